@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from threadloom.llm.line_dedup import OP9_SQL, op9_line_dedup
+from threadloom.llm.minhash import op3_minhash
 from threadloom.llm.sentencepiece_bpe import op6_sentencepiece
 from threadloom.llm.token_output import op1_token_output
 
 QUERIES = {
     "op1_token_output": op1_token_output,
+    "op3_minhash": op3_minhash,
     "op6_sentencepiece": op6_sentencepiece,
+    "op9_line_dedup": op9_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_line_dedup": OP9_SQL,
+}
