@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from threadloom.llm.decontamination import op2_decontamination
 from threadloom.llm.line_dedup import OP9_SQL, op9_line_dedup
 from threadloom.llm.minhash import op3_minhash
 from threadloom.llm.sentencepiece_bpe import op6_sentencepiece
@@ -9,6 +10,7 @@ from threadloom.llm.token_output import op1_token_output
 
 QUERIES = {
     "op1_token_output": op1_token_output,
+    "op2_decontamination": op2_decontamination,
     "op3_minhash": op3_minhash,
     "op6_sentencepiece": op6_sentencepiece,
     "op9_line_dedup": op9_line_dedup,

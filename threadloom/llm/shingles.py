@@ -36,19 +36,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def word_hashes(text: bytes) -> np.ndarray:
+#: What divides words where punctuation isn't to count: all ASCII but letters and digits.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
+def word_hashes(text: bytes, between: np.ndarray = SPACE) -> np.ndarray:
     """A 64-bit hash of each word, in order."""
     global _power, _unpower
     data = np.frombuffer(text.lower(), np.uint8)
     if not len(data):
         return np.empty(0, np.uint64)
-    inside = ~SPACE[data]
+    inside = ~between[data]
     starts = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]]))
     if not len(starts):
         return np.empty(0, np.uint64)
     while len(data) > len(_power):
         _power, _unpower = _powers(_BASE, 2 * len(_power)), _powers(_INVERSE, 2 * len(_unpower))
-    sums = np.add.reduceat(_BYTES[data] * _power[: len(data)], starts)
+    values = _BYTES[data] * _power[: len(data)]
+    values[~inside] = 0
+    sums = np.add.reduceat(values, starts)
     return mix(sums * _unpower[starts])
 
 
