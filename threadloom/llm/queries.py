@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from threadloom.llm.chat_format import OP8_SQL, op8_chat_format
 from threadloom.llm.decontamination import op2_decontamination
+from threadloom.llm.language_id import op5_language_id
 from threadloom.llm.line_dedup import OP9_SQL, op9_line_dedup
 from threadloom.llm.minhash import op3_minhash
 from threadloom.llm.sentencepiece_bpe import op6_sentencepiece
@@ -12,10 +14,13 @@ QUERIES = {
     "op1_token_output": op1_token_output,
     "op2_decontamination": op2_decontamination,
     "op3_minhash": op3_minhash,
+    "op5_language_id": op5_language_id,
     "op6_sentencepiece": op6_sentencepiece,
+    "op8_chat_format": op8_chat_format,
     "op9_line_dedup": op9_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op8_chat_format": OP8_SQL,
     "op9_line_dedup": OP9_SQL,
 }
