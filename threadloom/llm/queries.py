@@ -7,8 +7,10 @@ from threadloom.llm.decontamination import op2_decontamination
 from threadloom.llm.language_id import op5_language_id
 from threadloom.llm.line_dedup import OP9_SQL, op9_line_dedup
 from threadloom.llm.minhash import op3_minhash
+from threadloom.llm.posting_lists import op10_posting_lists
 from threadloom.llm.sentencepiece_bpe import op6_sentencepiece
 from threadloom.llm.token_output import op1_token_output
+from threadloom.llm.warc import OP7_SQL, op7_warc
 
 QUERIES = {
     "op1_token_output": op1_token_output,
@@ -16,11 +18,14 @@ QUERIES = {
     "op3_minhash": op3_minhash,
     "op5_language_id": op5_language_id,
     "op6_sentencepiece": op6_sentencepiece,
+    "op7_warc": op7_warc,
     "op8_chat_format": op8_chat_format,
     "op9_line_dedup": op9_line_dedup,
+    "op10_posting_lists": op10_posting_lists,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_warc": OP7_SQL,
     "op8_chat_format": OP8_SQL,
     "op9_line_dedup": OP9_SQL,
 }

@@ -179,7 +179,7 @@ def encode_text(text: bytes, path: str) -> np.ndarray:
     return np.frombuffer(b"".join(map(words.__getitem__, text.split(b" "))), "<u4")
 
 
-def _encode_rows(path: str, digests: bool, batches):
+def _encode_rows(path: str, digests: bool, with_ids: bool, batches):
     e, _ = encoder(path)
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
@@ -195,24 +195,27 @@ def _encode_rows(path: str, digests: bool, batches):
                     "decoded_sha256": [hashlib.sha256(d.encode()).hexdigest() for d in decoded],
                 }
             else:
-                columns |= {"piece_ids": pa.array(plain, pa.list_(pa.int32())), "decoded": pa.array(decoded, pa.string())}
+                columns |= {"decoded": pa.array(decoded, pa.string())}
+            if with_ids:
+                columns |= {"piece_ids": pa.array(plain, pa.list_(pa.int32()))}
             yield pa.RecordBatch.from_pydict(columns)
 
 
-def encode(docs: DataFrame, text: str = "text", keep: list[str] | None = None, model: str | None = None, digests: bool = False) -> DataFrame:
-    """Adds piece_ids (array<int>) and decoded (string) to the columns `keep` (all, unless given).
+def encode(docs: DataFrame, text: str = "text", keep: list[str] | None = None, model: str | None = None, digests: bool = False, with_ids: bool = True) -> DataFrame:
+    """Adds decoded (string) and piece_ids (array<int>) to the columns `keep` (all, unless given).
 
-    With digests, n_tokens, ids_sha256 and decoded_sha256 instead, so that the ids don't leave their task.
+    With digests, n_tokens, ids_sha256 and decoded_sha256 come instead of decoded; without with_ids, the
+    ids don't leave their task.
     A narrow job: no row moves to another machine. Columns of docs with the names of new ones give way.
     """
-    new = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["piece_ids", "decoded"]
+    new = (["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["decoded"]) + ["piece_ids"] * with_ids
     kept = [c for c in (docs.columns if keep is None else keep) if c not in new]
     rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("binary").alias("__text"))
     kinds = dict(docs.dtypes)
     added = {"n_tokens": "long", "piece_ids": "array<int>"}
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in kept] + [f"{c} {added.get(c, 'string')}" for c in new])
-    return rows.mapInArrow(functools.partial(_encode_rows, model or model_path(), digests), schema)
+    return rows.mapInArrow(functools.partial(_encode_rows, model or model_path(), digests, with_ids), schema)
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(table(spark, sf_dir, "documents"), keep=["doc_id"], digests=True)
+    return encode(table(spark, sf_dir, "documents"), keep=["doc_id"], digests=True, with_ids=False)
