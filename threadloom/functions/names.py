@@ -7,18 +7,18 @@ from pyspark.sql import functions as F
 
 #: Layers before the business layers.
 TECHNICAL_SCHEMAS = ("DLO", "DWO")
-#: Wrapper name spaces and what they stand for in comparisons.
+#: Wrapper name spaces of program names and what they stand for in comparisons.
 WRAPPERS = {
-    "DLK_DLO": "DLO",
+    "DWS_DM": "DM",
+    "DWS_DWM": "DWM",
     "DWS_DWA": "DWA",
+    "DWS_DWP": "DWP",
     "DWS_DWD": "DWD",
-    "DWS_DWE": "DWE",
     "DWS_DWF": "DWF",
-    "DWS_DWM": "DWM",
+    "DWS_DWUPRR": "DWUPRR",
     "DWS_DWO": "DWO",
-    "DWS_DWP": "DWP",
-    "DWS_DWR": "DWR",
-    "DWS_DWS": "DWS",
+    "DWS_DLO": "DLO",
+    "DLK_DLO": "DLO",
 }
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from threadloom.plans import graph_queries
+from threadloom.plans import fact_queries, graph_queries, reconcile_queries, text_queries
 
-_PARTS = (graph_queries,)
+_PARTS = (graph_queries, reconcile_queries, fact_queries, text_queries)
 
 QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 ORACLE_SQL = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}
