@@ -7,10 +7,11 @@ candidate pair, the estimate (corrected for chance agreement of so few bits) mus
 `margin` of the threshold; then the full sets decide.
 
 A bucket isn't expanded into pairs. First each node is held against the bucket's least node; what
-that links is joined into components. Only buckets that still span several components go on: each node
-outside the bucket's main component meets the bucket in blocks of bounded size, where signatures are
-compared and only likely pairs are handed on. So every two nodes of a bucket end in one component or are
-compared, and a group of near copies costs its size, not its square.
+that links is joined into components. Buckets that still span several components are pooled by their largest
+component, so nodes that meet in many buckets meet once; each node outside it is held against
+the pool in blocks of bounded size, signatures first and then full sets, and one link to a component
+is enough. So every two nodes of a bucket end in one component or are compared, and no pair leaves a task
+but links.
 
 At the default 40 bands of 5, a pair at 0.8 shares no bucket once in ten million pairs.
 """
@@ -30,7 +31,7 @@ from threadloom.llm.shingles import mix, shingle_hashes, word_hashes
 
 BITS = 4
 _PER_WORD = 64 // BITS
-_BLOCK, _MINOR = 512, 64
+_BLOCK, _MINOR, _BLOCK_SHINGLES = 512, 256, 500_000
 _rng = np.random.default_rng(77)
 _FACTORS = _rng.integers(0, 1 << 31, 4096, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _OFFSETS = _rng.integers(0, 1 << 32, 4096, dtype=np.uint32)
@@ -108,17 +109,20 @@ def estimate(differing: Column, n: int) -> Column:
     return (1 - differing / n - chance) / (1 - chance)
 
 
-def _blocks(n: int, threshold: float, margin: float, batches):
-    """Pairs of a block: each minor node against each node, other components only."""
-    least = threshold - margin
+def _blocks(n: int, percent: int, margin: float, batches):
+    """Links of a block: each minor node against all nodes of other components, likeliest first, one a component."""
+    least = percent / 100 - margin
     for batch in batches:
-        out = set()
+        out = []
         for row in batch.column("members"):
             members = row.as_py()
             minor = [m for m in members if m["minor"]]
-            if not minor:
+            others = [m for m in members if not m["minor"]]
+            if not minor or not others:
                 continue
-            a, b = (np.array([m["signature"] for m in x], np.int64).view(np.uint64) for x in (minor, members))
+            a, b = (np.array([m["signature"] for m in x], np.int64).view(np.uint64) for x in (minor, others))
+            sets = [np.array(m["hashes"], np.int64) for m in others]
+            sizes = np.array([len(h) for h in sets])
             for k, m in enumerate(minor):
                 d = a[k] ^ b
                 for step in (1, 2, 4, 8, 16):
@@ -126,10 +130,14 @@ def _blocks(n: int, threshold: float, margin: float, batches):
                         d |= d >> np.uint64(step)
                 differing = np.bitwise_count(d & np.uint64(sum(1 << s for s in range(0, 64, BITS)))).sum(axis=1)
                 similar = (1 - differing / n - 2.0**-BITS) / (1 - 2.0**-BITS)
-                for j in np.flatnonzero(similar >= least).tolist():
-                    if members[j]["root"] != m["root"]:
-                        out.add((min(m["node"], members[j]["node"]), max(m["node"], members[j]["node"])))
-        out = sorted(out)
+                own, linked = np.array(m["hashes"], np.int64), {m["root"]}
+                likely = np.flatnonzero((similar >= least) & (np.minimum(sizes, len(own)) * 100 >= np.maximum(sizes, len(own)) * percent))
+                for j in likely[np.argsort(-similar[likely], kind="stable")].tolist():
+                    if others[j]["root"] not in linked:
+                        common = len(np.intersect1d(own, sets[j], assume_unique=True))
+                        if common * 100 >= (len(own) + sizes[j] - common) * percent:
+                            linked.add(others[j]["root"])
+                            out.append((m["node"], others[j]["node"]))
         yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([x for _, x in out], pa.binary())})
 
 
@@ -164,12 +172,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, band
         two = pairs.join(slim.toDF("a", "na", "sa"), "a").join(slim.toDF("b", "nb", "sb"), "b")
         return two.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).where(estimate(mismatches(F.col("sa"), F.col("sb")), bands * rows) >= threshold - margin).select("a", "b")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b), those whose full sets are similar enough; sets are made only for nodes in a pair."""
-        wanted = store(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc_id"), "node"), "wanted")
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """The full sets (node, hashes) of some nodes, from one document's text each."""
+        wanted = store(wanted.distinct().join(nodes.select("node", "doc_id"), "node"), "wanted")
         texts = rows_.join(bounded(wanted.select("doc_id").distinct(), 16), "doc_id", "left_semi").select("doc_id", "text")
-        sets = texts.mapInArrow(functools.partial(_sets, size), "node binary, hashes array<long>").join(bounded(wanted.select("node"), 32), "node", "left_semi").dropDuplicates(["node"])
-        sets = store(sets, "sets")
+        sets = texts.mapInArrow(functools.partial(_sets, size), "node binary, hashes array<long>").join(bounded(wanted.select("node"), 32), "node", "left_semi")
+        return store(sets.dropDuplicates(["node"]), "sets")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """Of pairs (a, b), those whose full sets are similar enough."""
+        sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")))
         both = pairs.join(sets.toDF("a", "ha"), "a").join(sets.toDF("b", "hb"), "b")
         common = F.size(F.array_intersect("ha", "hb"))
         return both.where(common * 100 >= (F.size("ha") + F.size("hb") - common) * percent).select("a", "b")
@@ -178,20 +190,24 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, band
     links = store(confirmed(pairs), "confirmed")
     roots = components(links)
 
-    # buckets that span several components: their minor nodes meet all nodes, in blocks
+    # buckets that span several components, pooled by their largest one
     labelled = store(members.where("n > 2").join(roots.select("node", "root"), "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root")), "labelled")
     by_root = labelled.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("k"))
-    open_ = by_root.groupBy("bucket").agg(F.max(F.struct("k", "root")).alias("main"), F.sum("k").alias("n"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    wide = labelled.join(open_, "bucket").join(slim.select("node", "signature"), "node").withColumn("minor", F.col("root") != F.col("main.root"))
-    chunks, minors = F.ceil(F.col("n") / _BLOCK), F.ceil((F.col("n") - F.col("main.k")) / _MINOR)
-    own, own_minor = F.pmod(F.xxhash64("node"), chunks), F.pmod(F.xxhash64("node", F.lit(1)), minors)
-    #: a node goes once to its own chunk for each group of minor nodes; a minor node also to all chunks of its group
-    spread = wide.select("bucket", "node", "root", "signature", F.explode(F.sequence(F.lit(0).cast("long"), minors - 1)).alias("y"), own.alias("x"), F.lit(False).alias("minor")).unionAll(
-        wide.where("minor").select("bucket", "node", "root", "signature", own_minor.alias("y"), F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("x"), F.lit(True).alias("minor"))
+    open_ = by_root.groupBy("bucket").agg(F.max(F.struct("k", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    pooled = labelled.join(open_, "bucket").select(F.col("main.root").alias("pool"), "node", "root").distinct()
+    pooled = store(pooled.join(slim, "node").withColumn("minor", F.col("root") != F.col("pool")), "pooled")
+    full = F.greatest(F.ceil(F.count(F.lit(1)) / _BLOCK), F.ceil(F.sum("n_shingles") / _BLOCK_SHINGLES))
+    few = F.greatest(F.ceil(F.count_if("minor") / _MINOR), F.ceil(F.sum(F.when(F.col("minor"), F.col("n_shingles"))) / _BLOCK_SHINGLES))
+    sizes = pooled.groupBy("pool").agg(full.alias("chunks"), few.alias("minors"))
+    wide = pooled.join(sizes, "pool").join(sets_of(pooled.select("node")), "node")
+    own, own_minor = F.pmod(F.xxhash64("node"), F.col("chunks")), F.pmod(F.xxhash64("node", F.lit(1)), F.col("minors"))
+    payload = ["pool", "node", "root", "signature", "hashes"]
+    #: a node goes to its own chunk once for each group of minor nodes; a minor node to its group once for each chunk
+    spread = wide.select(*payload, own.alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("minors") - 1)).alias("y"), F.lit(False).alias("minor")).unionAll(
+        wide.where("minor").select(*payload, F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("x"), own_minor.alias("y"), F.lit(True).alias("minor"))
     )
-    blocks = spread.groupBy("bucket", "x", "y").agg(F.collect_list(F.struct("node", "root", "signature", "minor")).alias("members")).select("members")
-    found = blocks.mapInArrow(functools.partial(_blocks, bands * rows, threshold, margin), "a binary, b binary").distinct()
-    more = store(confirmed(store(likely(found.join(pairs, ["a", "b"], "left_anti")), "pairs")), "confirmed")
+    blocks = spread.groupBy("pool", "x", "y").agg(F.collect_list(F.struct("node", "root", "signature", "hashes", "minor")).alias("members")).select("members")
+    more = store(blocks.mapInArrow(functools.partial(_blocks, bands * rows, percent, margin), "a binary, b binary"), "confirmed")
     roots = components(links.unionAll(more))
 
     least = nodes.select("node", "doc_id").join(roots, "node").groupBy("root").agg(F.min("doc_id").alias("component_id"))
