@@ -58,7 +58,7 @@ def _hash_for_spark(text: str) -> str:
 
 def run(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     """A query over the given tables."""
-    text = _bind(text, _TABLES)
+    text = _bind(text.replace("{", "{{").replace("}", "}}"), _TABLES)
     used = {n: table(spark, sf_dir, n) for n in _TABLES if f"{{{n}}}" in text}
     return spark.sql(text, **used)
 
