@@ -66,24 +66,38 @@ def table_aliases(x: Column) -> Column:
 
 
 def parse_program_name(x: Column) -> Column:
-    """(I4) 005:<schema.table>:<step>:<suffix>: target, step, authoritative, problem.
+    """(I4) 005:<schema.table>:<step>:<suffix>: target, hint, step, suffix, diagnostics.
 
-    Four parts name an authoritative target, three parts a hint only; anything else is a problem.
+    Only four parts give a target; three give a hint. The target's name space is unwrapped. Steps are
+    positive whole numbers; the usual suffix is 00.
     """
-    p = F.split(F.trim(x), ":")
-    target = canonical_name(p[1])
-    problem = (
-        F.when(x.isNull() | (F.trim(x) == ""), "EMPTY")
-        .when(p[0] != "005", "PREFIX")
-        .when(~F.size(p).isin(3, 4), "PARTS")
-        .when(target.isNull(), "TARGET")
-        .when(~p[2].rlike(r"^\d+$"), "STEP")
+    text = F.trim(F.coalesce(x, F.lit("")))
+    part = lambda k: F.trim(F.coalesce(F.try_element_at(F.split(text, ":"), F.lit(k)), F.lit("")))
+    n = F.when(text == "", 0).otherwise(F.size(F.split(text, ":")))
+    marked = F.upper(part(1)) == "005"
+    name = F.when(marked, comparison_name(part(2)))
+    step = F.regexp_substr(part(3), F.lit(r"^0*[1-9][0-9]{0,8}$")).cast("int")
+    four = marked & (n == 4)
+    say = lambda when, what: F.when(when, F.lit(what))
+    diagnostics = F.array_compact(
+        F.array(
+            say(~marked & (n > 0), "MARKER_INVALID"),
+            say(~marked | name.isNull(), "TARGET_INVALID"),
+            say(marked & (n != 4), "FORMAT_UNSUPPORTED"),
+            say(marked & ((n < 4) | ((n == 4) & (part(4) == ""))), "INCOMPLETE"),
+            say(n > 4, "FORMAT_INVALID"),
+            say(marked & (n != 4), "STEP_MISSING"),
+            say(four & name.isNotNull(), "TARGET_RESOLVED"),
+            say(four & step.isNull(), "STEP_INVALID"),
+            say(four & (part(4) != "") & (part(4) != "00"), "SUFFIX_NONSTANDARD"),
+        )
     )
     return F.struct(
-        F.when(problem.isNull(), target).alias("target"),
-        F.when(problem.isNull(), F.try_to_number(p[2], F.lit("999999999")).cast("int")).alias("step"),
-        F.coalesce(problem.isNull() & (F.size(p) == 4), F.lit(False)).alias("authoritative"),
-        problem.alias("problem"),
+        F.when(four, name).alias("target"),
+        F.when(n.isin(3, 4), name).alias("hint"),
+        F.when(four, step).alias("step"),
+        F.when(four, part(4)).alias("suffix"),
+        diagnostics.alias("diagnostics"),
     )
 
 
@@ -135,9 +149,30 @@ def has_cjk(x: Column) -> Column:
     return x.rlike("[一-鿿]")
 
 
+#: Fixed value: how receiving plans begin.
+RECEIVE_PREFIX = "PLAN_SA_RECV_"
+
+
 def receive_namespace(plan: Column, source: Column) -> Column:
-    """(I15) The part of a plan's tokens after its only run of the source's tokens; NULL if there isn't just one."""
-    tokens, want = F.split(F.upper(plan), "_"), F.split(F.upper(source), "_")
+    """(I15) What stands before the source's tokens in PLAN_SA_RECV_<name space>_<source>[_...].
+
+    NULL for another shape, an empty name space, empty tokens, or several possible places.
+    """
+    bare = F.regexp_extract(F.upper(plan), f"^{RECEIVE_PREFIX}(.+)$", 1)
+    tokens, want = F.split(bare, "_"), F.split(F.upper(source), "_")
     n, w = F.size(tokens), F.size(want)
-    at = F.filter(F.sequence(F.lit(1), F.greatest(n - w + 1, F.lit(1))), lambda i: F.slice(tokens, i, w) == want)
-    return F.when(F.size(at) == 1, F.array_join(F.slice(tokens, at[0], n), "_"))
+    at = F.filter(F.sequence(F.lit(1), F.greatest(n - w + 1, F.lit(1))), lambda i: (F.slice(tokens, i, w) == want) & (i > 1))
+    good = (bare != "") & ~F.array_contains(tokens, "") & ~F.array_contains(want, "") & (F.size(at) == 1)
+    return F.when(good, F.array_join(F.slice(tokens, F.lit(1), F.greatest(F.try_element_at(at, F.lit(1)) - 1, F.lit(0))), "_"))
+
+
+def logical_target(x: Column) -> Column:
+    """(I16) DWF.F_X, DWF_X and X are one logical target."""
+    return F.regexp_replace(short_name(x), "^(DWF_|F_)", "")
+
+
+def program_file_name(path: Column) -> Column:
+    """(I16) The program's name: file name without ending, without leading numbers and JOB_, without _DAY or _NIGHT."""
+    name = F.upper(F.regexp_replace(last_components(path, 1), r"\.[^.]*$", ""))
+    bare = F.regexp_replace(F.regexp_replace(name, r"^(?:JOB_|[0-9]+_)+", ""), "^DWS_DWS_", "DWS_")
+    return F.regexp_replace(bare, "_(?:DAY|NIGHT)$", "")

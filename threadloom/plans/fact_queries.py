@@ -179,16 +179,18 @@ def overlay_merge(spark, sf_dir):
     return facts.overlay(base, run(spark, sf_dir, "select o_custkey as k, max(o_orderpriority) as v from orders where o_custkey % 4 = 0 group by 1"), "k", "v")
 
 
-_NAMES = "select l_orderkey, l_linenumber, concat(case l_linenumber % 4 when 0 then '005' when 1 then ' 005' else '5' end, ':dwf.t', cast(l_partkey as varchar(20)), ':', cast(l_suppkey as varchar(20)), case when l_quantity > 25 then ':main' else '' end) as name from lineitem"
+_NAMES = "select l_orderkey, l_linenumber, concat(case l_linenumber % 4 when 0 then '005' when 1 then ' 005' else '5' end, ':dws_dwf.t', cast(l_partkey as varchar(20)), ':', cast(l_suppkey as varchar(20)), case when l_quantity > 25 then ':00' when l_quantity > 20 then ':x' else '' end) as name from lineitem"
 
 
 @query(
-    f"""SELECT l_orderkey, l_linenumber, CASE WHEN ok THEN upper(p[2]) END AS target, CASE WHEN ok THEN CAST(p[3] AS INTEGER) END AS step, ok AND len(p) = 4 AS authoritative, CASE WHEN NOT ok THEN 'PREFIX' END AS problem
-    FROM (SELECT *, p[1] = '005' AS ok FROM (SELECT l_orderkey, l_linenumber, string_split(trim(name), ':') AS p FROM ({_NAMES})))"""
+    f"""SELECT l_orderkey, l_linenumber, CASE WHEN four THEN t END AS target, CASE WHEN marked THEN t END AS hint, CASE WHEN four AND CAST(p[3] AS INTEGER) > 0 THEN CAST(p[3] AS INTEGER) END AS step, CASE WHEN four THEN p[4] END AS suffix,
+      concat_ws(',', CASE WHEN NOT marked THEN 'MARKER_INVALID,TARGET_INVALID' END, CASE WHEN marked AND NOT four THEN 'FORMAT_UNSUPPORTED,INCOMPLETE,STEP_MISSING' END, CASE WHEN four THEN 'TARGET_RESOLVED' END, CASE WHEN four AND CAST(p[3] AS INTEGER) = 0 THEN 'STEP_INVALID' END, CASE WHEN four AND p[4] <> '00' THEN 'SUFFIX_NONSTANDARD' END) AS diagnostics
+    FROM (SELECT *, p[1] = '005' AS marked, p[1] = '005' AND len(p) = 4 AS four, replace(upper(p[2]), 'DWS_DWF.', 'DWF.') AS t FROM (SELECT l_orderkey, l_linenumber, string_split(trim(name), ':') AS p FROM ({_NAMES})))"""
 )
 def program_name_parse(spark, sf_dir):
     rows = run(spark, sf_dir, _NAMES)
-    return rows.select("l_orderkey", "l_linenumber", names.parse_program_name(F.col("name")).alias("p")).select("l_orderkey", "l_linenumber", "p.*")
+    out = rows.select("l_orderkey", "l_linenumber", names.parse_program_name(F.col("name")).alias("p")).select("l_orderkey", "l_linenumber", "p.*")
+    return out.withColumn("diagnostics", F.array_join("diagnostics", ","))
 
 
 @query("SELECT p_partkey, sha256(concat_ws(chr(31), 'PROD', p_brand, p_type, CAST(p_partkey AS VARCHAR))) AS key FROM part")
