@@ -8,6 +8,7 @@ from threadloom.llm.language_id import op5_language_id
 from threadloom.llm.line_dedup import OP9_SQL, op9_line_dedup
 from threadloom.llm.minhash import op3_minhash
 from threadloom.llm.posting_lists import op10_posting_lists
+from threadloom.llm.pseudonyms import op4_pseudonyms
 from threadloom.llm.sentencepiece_bpe import op6_sentencepiece
 from threadloom.llm.token_output import op1_token_output
 from threadloom.llm.warc import OP7_SQL, op7_warc
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_token_output": op1_token_output,
     "op2_decontamination": op2_decontamination,
     "op3_minhash": op3_minhash,
+    "op4_pseudonyms": op4_pseudonyms,
     "op5_language_id": op5_language_id,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_warc": op7_warc,
