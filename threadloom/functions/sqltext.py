@@ -149,3 +149,28 @@ def search_tokens(text: Column, tokens: list[str], squeeze: bool = False) -> Col
     for t in tokens:
         found = found & F.contains(x, F.lit(t.upper()))
     return F.coalesce(found, F.lit(False))
+
+
+def quick_tables(x: Column) -> Column:
+    """Names after FROM, JOIN and USING, upper case, sorted and distinct; names with CJK characters are left out."""
+    found = F.transform(_all(x, r"(?i)\b(?:FROM|JOIN|USING)\s+([\w.]+)"), F.upper)
+    return F.array_sort(F.array_distinct(F.filter(found, lambda t: ~t.rlike("[一-鿿]"))))
+
+
+def created_objects(x: Column, kind: str) -> Column:
+    """Names of created TABLEs, VIEWs or FUNCTIONs, sorted and distinct."""
+    found = _all(x, rf"(?i)\bCREATE\s+(?:OR\s+REPLACE\s+)?(?:(?:TEMP|TEMPORARY)\s+)?{kind}\s+(?:IF\s+NOT\s+EXISTS\s+)?([\w.$]+)")
+    return F.array_sort(F.array_distinct(F.transform(found, F.upper)))
+
+
+def used_functions(x: Column, known: list[str]) -> Column:
+    """Which of some functions are called."""
+    return F.array_compact(F.array(*[F.when(F.upper(x).rlike(rf"\b{f.upper()}\s*\("), F.lit(f.upper())) for f in sorted(known)]))
+
+
+def unload_descriptor(x: Column) -> Column:
+    """H22: 'target,f1,f2' as (target, n_fields, fields); a JSON array of names counts as well."""
+    names = F.from_json(x, "array<string>")
+    parts = F.transform(F.split(x, ","), lambda p: F.trim(p))
+    items = F.coalesce(names, parts)
+    return F.struct(F.upper(items[0]).alias("target"), (F.size(items) - 1).cast("long").alias("n_fields"), F.array_join(F.slice(items, F.lit(2), F.greatest(F.size(items) - 1, F.lit(0))), ",").alias("fields"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from threadloom.plans import extract_queries, fact_queries, graph_queries, reconcile_queries, text_queries
+from threadloom.plans import extract_queries, fact_queries, graph_queries, metadata_queries, reconcile_queries, text_queries
 
-_PARTS = (graph_queries, reconcile_queries, fact_queries, text_queries, extract_queries)
+_PARTS = (graph_queries, reconcile_queries, fact_queries, text_queries, extract_queries, metadata_queries)
 
 QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 ORACLE_SQL = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}
