@@ -24,12 +24,14 @@ WRAPPERS = {
 
 def normalize_table_name(x: Column) -> Column:
     """Upper case without quotes, brackets and white space."""
-    return F.upper(F.regexp_replace(x, r"[\s\"'`\[\]]", ""))
+    return F.upper(F.translate(x, " \t\n\r\x0b\x0c\"'`[]", ""))
 
 
 def canonical_name(x: Column) -> Column:
     """SCHEMA.TABLE in canonical form; NULL unless there are exactly two non-empty parts."""
-    return F.regexp_substr(normalize_table_name(x), F.lit(r"^[^.]+\.[^.]+$"))
+    n = normalize_table_name(x)
+    dot = F.instr(n, ".")
+    return F.when((dot > 1) & (dot < F.length(n)) & (dot == F.length(n) - F.length(F.substring_index(n, ".", -1))), n)
 
 
 def schema_of(x: Column) -> Column:
@@ -51,11 +53,10 @@ def is_business(x: Column) -> Column:
 
 
 def comparison_name(x: Column) -> Column:
-    """The canonical name with wrapper name spaces replaced; applying it twice changes nothing."""
-    out = canonical_name(x)
-    for wrapper, plain in WRAPPERS.items():
-        out = F.regexp_replace(out, rf"^{wrapper}\.", f"{plain}.")
-    return out
+    """The canonical name with its wrapper name space replaced; applying it twice changes nothing."""
+    n = canonical_name(x)
+    # every wrapper is four letters and the plain name space
+    return F.when(F.substring_index(n, ".", 1).isin(*WRAPPERS), F.substring(n, 5, 1 << 20)).otherwise(n)
 
 
 def table_aliases(x: Column) -> Column:

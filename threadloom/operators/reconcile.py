@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.functions.names import comparison_name, is_technical
+from threadloom.functions.names import TECHNICAL_SCHEMAS, comparison_name
 
 KEY = ["environment", "target", "source"]
 
@@ -18,7 +18,8 @@ def projection(edges: DataFrame, provenance: str) -> DataFrame:
 def normalized(edges: DataFrame) -> DataFrame:
     """Names as they compare; rows with a technical or unqualified end go."""
     out = edges.withColumn("target", comparison_name(F.col("target"))).withColumn("source", comparison_name(F.col("source")))
-    return out.where("target is not null and source is not null").where(~is_technical(F.col("target")) & ~is_technical(F.col("source")))
+    layer = lambda c: F.substring_index(c, ".", 1)  # noqa: E731  the names are canonical already
+    return out.where(~layer("target").isin(*TECHNICAL_SCHEMAS) & ~layer("source").isin(*TECHNICAL_SCHEMAS))  # NULL names go too
 
 
 def reconcile(sql_side: DataFrame, schedule_side: DataFrame) -> DataFrame:
