@@ -50,3 +50,17 @@ def open_fs(uri: str):
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def lean(f, *args):
+    """f's batches, then the worker's unused memory is given back: workers outlive their tasks and share a machine."""
+    import ctypes
+
+    import pyarrow as pa
+
+    yield from f(*args)
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass

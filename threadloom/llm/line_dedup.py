@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import store, table
+from threadloom.llm.common import lean, store, table
 
 SPACES = b" \t\n\r\x0b\x0c"
 SEGMENT_BITS = 1 << 20
@@ -140,21 +140,20 @@ def dedup_lines(docs: DataFrame, shortest: int = 10, bits_per_line: int = 16, mo
     while bits < most_bits and bits < n * bits_per_line:
         bits *= 2
 
-    marks = docs.select(binary).mapInArrow(functools.partial(_mark, bits, shortest), "segment long, once binary, twice binary")
+    marks = docs.select(binary).mapInArrow(functools.partial(lean, _mark, bits, shortest), "segment long, once binary, twice binary")
     twice = bytearray(bits // 8)
     for row in marks.groupBy("segment").applyInArrow(_merge, "segment long, twice binary").toLocalIterator():
         twice[row["segment"] * SEGMENT_BITS // 8 : (row["segment"] + 1) * SEGMENT_BITS // 8] = row["twice"]
     shared = spark.sparkContext.broadcast(bytes(twice))
 
     ident = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    suspects = store(docs.select(ident.alias("id"), binary.alias("text")).mapInArrow(functools.partial(_suspects, bits, shortest, shared), "id long, key binary"), "suspects")
+    suspects = store(docs.select(ident.alias("id"), binary.alias("text")).mapInArrow(functools.partial(lean, _suspects, bits, shortest, shared), "id long, key binary"), "suspects")
     first = suspects.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("key", "first")
     gone = store(suspects.join(first, "key").where("id > first").groupBy("id").agg(F.collect_set("key").alias("__gone")), "gone")
-    size = gone.agg(F.sum(F.size("__gone") * 40 + 60)).first()[0] or 0
     rows = docs.select(*[F.col(f"`{c}`") for c in kept], binary.alias("__text"), ident.alias("__id"))
-    rows = rows.join(F.broadcast(gone) if size <= 8 << 20 else gone, F.col("__id") == F.col("id"), "left").drop("__id", "id")
+    rows = rows.join(gone, F.col("__id") == F.col("id"), "left").drop("__id", "id")
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in kept] + ["text string, n_lines long, n_dropped long"])
-    return rows.mapInArrow(functools.partial(_rewrite, shortest), schema).select(*[F.col(f"`{c}`") for c in dict.fromkeys([*(c for c in docs.columns if c in kept or c == "text"), *new])])
+    return rows.mapInArrow(functools.partial(lean, _rewrite, shortest), schema).select(*[F.col(f"`{c}`") for c in dict.fromkeys([*(c for c in docs.columns if c in kept or c == "text"), *new])])
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
