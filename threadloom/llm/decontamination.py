@@ -16,13 +16,14 @@ documents are never shuffled.
 from __future__ import annotations
 
 import functools
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import table
+from threadloom.llm.common import lean, table
 from threadloom.llm.shingles import PUNCTUATION, mix, word_hashes
 
 #: Positions of each mask that count.
@@ -101,7 +102,7 @@ def agreement(item: np.ndarray, words: np.ndarray, start: int) -> int | None:
     return int(total[-1])
 
 
-_kept: dict[int, Items] = {}
+_kept: dict[str, Items] = {}
 
 
 def _items(shared) -> Items:
@@ -133,7 +134,7 @@ def _blocks(benchmark: DataFrame, block_items: int):
     for k in range(n):
         part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).select("item_id", "text")
         rows = [(r[0], r[1]) for r in part.toLocalIterator()]
-        yield spark.sparkContext.broadcast((hash((k, id(rows), spark.sparkContext.startTime)), rows))
+        yield spark.sparkContext.broadcast((uuid.uuid4().hex, rows))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, block_items: int = 50_000) -> DataFrame:
@@ -144,14 +145,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_items: int = 50_00
     would meet clean texts. Repeated rows are each reported. Further columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
-    parts = [rows.mapInArrow(functools.partial(_search, b), f"doc_id long, {_FOUND}") for b in _blocks(benchmark, block_items)]
+    parts = [rows.mapInArrow(functools.partial(lean, _search, b), f"doc_id long, {_FOUND}") for b in _blocks(benchmark, block_items)]
     return functools.reduce(DataFrame.unionAll, parts or [docs.sparkSession.createDataFrame([], f"doc_id long, {_FOUND}")])
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_items: int = 50_000) -> DataFrame:
     """docs, all columns, without the rows whose text holds an item; what else holds as for contaminated()."""
     for shared in _blocks(benchmark, block_items):
-        docs = docs.withColumn("__text", F.col("text").cast("binary")).mapInArrow(functools.partial(_clean, shared), docs.schema)
+        docs = docs.withColumn("__text", F.col("text").cast("binary")).mapInArrow(functools.partial(lean, _clean, shared), docs.schema)
     return docs
 
 
