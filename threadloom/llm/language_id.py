@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import store, table
+from threadloom.llm.common import lean, store, table
 
 BUCKETS = 1 << 15
 NONE = "und"
@@ -85,25 +85,51 @@ def train(labelled: DataFrame, sample: int = 4000) -> Model:
     return Model(counts)
 
 
-def _score(shared, markup: bool, batches):
+def _softmax(logs: np.ndarray) -> np.ndarray:
+    e = np.exp(logs - logs.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
+def _prior(langs: list[str], none_prior: float) -> np.ndarray:
+    return np.array([none_prior if x == NONE else (1 - none_prior) / max(1, len(langs) - 1) for x in langs])
+
+
+def _score(shared, markup: bool, none_prior: float, batches):
+    """Adds each text's tempered log-likelihoods and its own posterior, which is its vote; a text without trigrams votes for all alike."""
     model = shared.value
+    prior = np.log(_prior(model.langs, none_prior))
     for batch in batches:
-        scores = []
-        for x in batch.column("__text"):
+        scores = np.zeros((batch.num_rows, len(model.langs)))
+        for k, x in enumerate(batch.column("__text")):
             text = x.as_py() or b""
-            scores.append(model.likelihoods(plain(text) if markup else text) * TEMPER)
+            scores[k] = model.likelihoods(plain(text) if markup else text) * TEMPER
+        own = _softmax(scores + prior)
+        own[~scores.any(axis=1)] = 1 / len(model.langs)
         columns = {c: batch.column(c) for c in batch.schema.names if c != "__text"}
-        yield pa.RecordBatch.from_pydict(columns | {"ll": pa.array(scores, pa.list_(pa.float64()))})
+        yield pa.RecordBatch.from_pydict(columns | {"__ll": pa.array(list(scores), pa.list_(pa.float64())), "__own": pa.array(list(own), pa.list_(pa.float64()))})
 
 
-def _vector(n: int, f) -> Column:
-    return F.array(*[f(k) for k in range(n)])
+def _fuse(langs: list[str], total: list[float], none_prior: float, weight: float, at_least: float, batches):
+    """lang, posterior and accepted from the likelihoods and the counts of the row's host, suffix and declared language."""
+    whole = np.array(total)
 
+    def smoothed(counts, own, parent):
+        rest = np.maximum(counts - own, 0)
+        return (rest + weight * parent) / (rest.sum(axis=1, keepdims=True) + weight)
 
-def _softmax(logs: Column, n: int) -> Column:
-    top = F.array_max(logs)
-    e = F.transform(logs, lambda x: F.exp(x - top))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ll, own, host, suffix, declared = (np.array(batch.column(c).to_pylist()) for c in ("__ll", "__own", "__n__host", "__n__suffix", "__n__declared"))
+        p0 = smoothed(whole[None, :], own, _prior(langs, none_prior))
+        p2 = smoothed(host, own, smoothed(suffix, own, p0))
+        post = _softmax(ll + np.log(p2) + np.log(smoothed(declared, own, p0)) - np.log(p0))
+        best, empty = post.argmax(axis=1), ~ll.any(axis=1)
+        posterior = np.where(empty, 0.0, np.round(post.max(axis=1), 6))
+        lang = [NONE if e else langs[k] for k, e in zip(best.tolist(), empty.tolist(), strict=True)]
+        accepted = [x != NONE and p >= at_least for x, p in zip(lang, posterior.tolist(), strict=True)]
+        columns = {c: batch.column(c) for c in batch.schema.names if not c.startswith("__")}
+        yield pa.RecordBatch.from_pydict(columns | {"lang": pa.array(lang, pa.string()), "posterior": posterior, "accepted": pa.array(accepted, pa.bool_())})
 
 
 def identify(rows: DataFrame, model: Model, markup: bool, none_prior: float = 1e-3, weight: float = 20.0, at_least: float = 0.5) -> DataFrame:
@@ -121,45 +147,19 @@ def identify(rows: DataFrame, model: Model, markup: bool, none_prior: float = 1e
     kinds = dict(rows.dtypes)
     keys = [c for c in rows.columns if c != "text"]
     scored = rows.select(*[F.col(f"`{c}`") for c in keys], F.col("text").cast("binary").alias("__text"))
-    scored = scored.mapInArrow(functools.partial(_score, shared, markup), ", ".join([f"`{c}` {kinds[c]}" for c in keys] + ["ll array<double>"]))
-    even = F.array(*[F.lit(math.log((1 - none_prior) / max(1, n - 1)) if x != NONE else math.log(none_prior)) for x in langs])
-    own = _softmax(F.zip_with("ll", even, lambda a, b: a + b), n)
-    scored = store(
-        scored.select("*", F.coalesce("declared", F.lit("")).alias("__declared"), F.coalesce("host", F.lit("")).alias("__host"))
-        .withColumn("__suffix", F.when(F.col("__host").rlike(r"\.[A-Za-z]+$"), F.lower(F.regexp_extract("__host", r"\.([A-Za-z]+)$", 1))).otherwise(""))
-        .withColumn("__empty", F.aggregate("ll", F.lit(True), lambda a, b: a & (b == 0)))
-        .withColumn("__own", F.when(F.col("__empty"), even_vote(n)).otherwise(own)),
-        "likelihoods",
-    )
+    scored = scored.mapInArrow(functools.partial(lean, _score, shared, markup, none_prior), ", ".join([f"`{c}` {kinds[c]}" for c in keys] + ["__ll array<double>, __own array<double>"]))
+    suffix = F.lower(F.regexp_extract("__host", r"\.([A-Za-z]+)$", 1))
+    scored = store(scored.select("*", F.coalesce("declared", F.lit("")).alias("__declared"), F.coalesce("host", F.lit("")).alias("__host")).withColumn("__suffix", suffix), "likelihoods")
 
     def votes(*by: str) -> DataFrame:
         name = f"__n{by[-1]}" if by else "__nall"
-        return scored.groupBy(*by).agg(*[F.sum(F.col("__own")[k]).alias(f"v{k}") for k in range(n)]).select(*by, _vector(n, lambda k: F.col(f"v{k}")).alias(name))
-
-    hosts = votes("__suffix", "__host")
-    suffixes, declared = votes("__suffix"), votes("__declared")
-    total = votes().first()[0]  # a number a language
-
-    def smoothed(counts: Column, parent: Column) -> Column:
-        rest = F.zip_with(counts, F.col("__own"), lambda a, b: F.greatest(a - b, F.lit(0.0)))
-        total = F.aggregate(rest, F.lit(0.0), lambda a, b: a + b)
-        return F.zip_with(rest, parent, lambda a, p: (a + F.lit(weight) * p) / (total + F.lit(weight)))
-
-    floor = F.array(*[F.lit(none_prior if x == NONE else (1 - none_prior) / max(1, n - 1)) for x in langs])
-    joined = scored.join(hosts, ["__suffix", "__host"]).join(suffixes, "__suffix").join(declared, "__declared")
-    joined = joined.withColumn("__p0", smoothed(F.array(*[F.lit(float(x or 0)) for x in total]), floor))
-    joined = joined.withColumn("__p1", smoothed(F.col("__n__suffix"), F.col("__p0"))).withColumn("__p2", smoothed(F.col("__n__host"), F.col("__p1")))
-    joined = joined.withColumn("__pd", smoothed(F.col("__n__declared"), F.col("__p0")))
-    logs = _vector(n, lambda k: F.col("ll")[k] + F.log(F.col("__p2")[k]) + F.log(F.col("__pd")[k]) - F.log(F.col("__p0")[k]))
-    fused = joined.withColumn("__post", _softmax(logs, n)).withColumn("__best", F.array_max("__post"))
-    lang = F.when(F.col("__empty"), NONE).otherwise(F.element_at(F.array(*map(F.lit, langs)), F.array_position("__post", F.col("__best")).cast("int")))
-    posterior = F.when(F.col("__empty"), 0.0).otherwise(F.col("__best"))
-    return fused.select(*[F.col(f"`{c}`") for c in keys], lang.alias("lang"), F.round(posterior, 6).alias("posterior")).withColumn("accepted", (F.col("lang") != NONE) & (F.col("posterior") >= at_least))
-
-
-def even_vote(n: int) -> Column:
-    """What a row without text votes."""
-    return F.array(*[F.lit(1.0 / n)] * n)
+        return scored.groupBy(*by).agg(F.array(*[F.sum(F.col("__own")[k]) for k in range(n)]).alias(name))
+
+    total = [float(x or 0) for x in votes().first()[0]]  # a number a language
+    joined = scored.join(votes("__suffix", "__host"), ["__suffix", "__host"]).join(votes("__suffix"), "__suffix").join(votes("__declared"), "__declared")
+    needed = joined.select(*[F.col(f"`{c}`") for c in keys], "__ll", "__own", "__n__host", "__n__suffix", "__n__declared")
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in keys] + ["lang string, posterior double, accepted boolean"])
+    return needed.mapInArrow(functools.partial(lean, _fuse, langs, total, none_prior, weight, at_least), schema)
 
 
 def host_of(url: str | Column) -> Column:

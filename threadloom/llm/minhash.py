@@ -25,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import store, table
+from threadloom.llm.common import lean, store, table
 from threadloom.llm.components import components
 from threadloom.llm.shingles import mix, shingle_hashes, word_hashes
 
 BITS = 4
 _PER_WORD = 64 // BITS
-_BLOCK, _MINOR, _BLOCK_SHINGLES = 512, 256, 500_000
+_BLOCK, _MINOR, _BLOCK_SHINGLES = 512, 256, 200_000
 _rng = np.random.default_rng(77)
 _FACTORS = _rng.integers(0, 1 << 31, 4096, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _OFFSETS = _rng.integers(0, 1 << 32, 4096, dtype=np.uint32)
@@ -158,7 +158,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, band
     """
     rows_ = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
     percent = round(threshold * 100)
-    sketched = store(rows_.mapInArrow(functools.partial(_sketches, size, bands, rows), f"doc_id long, {NODE}"), "sketches")
+    sketched = store(rows_.mapInArrow(functools.partial(lean, _sketches, size, bands, rows), f"doc_id long, {NODE}"), "sketches")
     known = sketched.where("n_shingles > 0 and doc_id is not null")
     nodes = store(known.groupBy("node").agg(F.min(F.struct("doc_id", "n_shingles", "signature", "buckets")).alias("x"), F.count(F.lit(1)).alias("copies")).select("node", "x.*", "copies"), "nodes")
     slim = nodes.select("node", "n_shingles", "signature")
@@ -176,7 +176,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, band
         """The full sets (node, hashes) of some nodes, from one document's text each."""
         wanted = store(wanted.distinct().join(nodes.select("node", "doc_id"), "node"), "wanted")
         texts = rows_.join(bounded(wanted.select("doc_id").distinct(), 16), "doc_id", "left_semi").select("doc_id", "text")
-        sets = texts.mapInArrow(functools.partial(_sets, size), "node binary, hashes array<long>").join(bounded(wanted.select("node"), 32), "node", "left_semi")
+        sets = texts.mapInArrow(functools.partial(lean, _sets, size), "node binary, hashes array<long>").join(bounded(wanted.select("node"), 32), "node", "left_semi")
         return store(sets.dropDuplicates(["node"]), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -207,7 +207,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, band
         wide.where("minor").select(*payload, F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("x"), own_minor.alias("y"), F.lit(True).alias("minor"))
     )
     blocks = spread.groupBy("pool", "x", "y").agg(F.collect_list(F.struct("node", "root", "signature", "hashes", "minor")).alias("members")).select("members")
-    more = store(blocks.mapInArrow(functools.partial(_blocks, bands * rows, percent, margin), "a binary, b binary"), "confirmed")
+    more = store(blocks.mapInArrow(functools.partial(lean, _blocks, bands * rows, percent, margin), "a binary, b binary"), "confirmed")
     roots = components(links.unionAll(more))
 
     least = nodes.select("node", "doc_id").join(roots, "node").groupBy("root").agg(F.min("doc_id").alias("component_id"))

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import table
+from threadloom.llm.common import lean, table
 
 ROUNDS = 10
 #: Dates are permuted among the days of these years.
@@ -226,7 +226,7 @@ def pseudonymize(docs: DataFrame, key: bytes, back: bool = False) -> DataFrame:
     kinds = dict(docs.dtypes)
     rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col("text").alias("__text"))
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in kept] + ["text string, n_found long, found_kinds string"])
-    return rows.mapInArrow(functools.partial(_replace_rows, key, back), schema)
+    return rows.mapInArrow(functools.partial(lean, _replace_rows, key, back), schema)
 
 
 def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:

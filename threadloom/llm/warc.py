@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import open_fs, partitions, scratch, store, table
+from threadloom.llm.common import lean, open_fs, partitions, scratch, store, table
 
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL name space of RFC 9562
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -149,8 +149,8 @@ def write_warc(pages: DataFrame, out: str, least: int = 1000, shard_bytes: int =
     )
     keyed = both.withColumn("shard", shard_of("page_id") if len(bounds) else F.lit(0).cast("long")).select("shard", "page_id", "digest", "mark", "url", "payload", "refers")
     dealt = keyed.repartitionByRange(min(shards, 1 << 20), "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "digest", "mark", "url")
-    attempts = store(dealt.mapInArrow(functools.partial(_write, out, roll_bytes, least, date), MANIFEST), "warc-attempts")
-    attempts.repartition(partitions(spark), "shard", "part").mapInArrow(functools.partial(_commit, out), MANIFEST).write.parquet(f"{out}/manifest")
+    attempts = store(dealt.mapInArrow(functools.partial(lean, _write, out, roll_bytes, least, date), MANIFEST), "warc-attempts")
+    attempts.repartition(partitions(spark), "shard", "part").mapInArrow(functools.partial(lean, _commit, out), MANIFEST).write.parquet(f"{out}/manifest")
     return spark.read.parquet(f"{out}/manifest")
 
 
