@@ -76,10 +76,10 @@ class _Model:
         self.flat_counts = self.counts.reshape(-1)
         self.base_c = self.lane * (width - 1)
         self.floor = np.minimum(np.arange(width)[None, :], self.sizes[:, None])
-        self.cum = np.zeros((n, width), np.uint64)
-        self.flat_cum = self.cum.reshape(-1)
-        #: A slot holds symbol << 3 | confidence.
-        self.t1, self.t2 = np.zeros(n * width, np.int32), np.zeros(n * _SLOTS, np.int32)
+        self.cum = np.zeros((n, width), np.int64)
+        self.cum_at = self.cum.reshape(-1).take
+        #: A slot holds symbol << 3 | hits in a row, up to seven.
+        self.t1, self.t2 = np.zeros(n * width, np.int64), np.zeros(n * _SLOTS, np.int64)
         self.p1, self.p2 = np.full(n * 8, 6000, np.int64), np.full(n * 8, 12000, np.int64)
         self.prev, self.hash2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
         self.step = 0
@@ -92,27 +92,52 @@ class _Model:
         self.step += 1
         self.i1 = self.base0 + self.prev
         self.i2 = self.base2 + self.hash2
-        self.s1, self.s2 = self.t1[self.i1], self.t2[self.i2]
-        self.k1, self.k2 = self.base_p + (self.s1 & 7), self.base_p + (self.s2 & 7)
-        self.q1, self.q2 = self.p1[self.k1], self.p2[self.k2]
+        s1, s2 = self.t1.take(self.i1), self.t2.take(self.i2)
+        self.c1, self.c2 = s1 & 7, s2 & 7
+        self.k1, self.k2 = self.base_p + self.c1, self.base_p + self.c2
+        self.q1, self.q2 = self.p1.take(self.k1), self.p2.take(self.k2)
         self.w2 = self.q2 << 10
-        self.rest = (1 << _TOTAL) - self.w2
-        self.w1 = (self.rest >> 16) * self.q1
-        self.w0 = self.rest - self.w1
-        self.a1, self.a2 = self.s1 >> 3, self.s2 >> 3
+        rest = (1 << _TOTAL) - self.w2
+        self.w1 = (rest >> 16) * self.q1
+        self.w0 = rest - self.w1
+        self.w12 = self.w1 + self.w2
+        self.a1, self.a2 = s1 >> 3, s2 >> 3
+
+    def interval(self, sym: np.ndarray):
+        """(start, width) of the symbol in the mixed distribution; the order-2 prediction comes first, then order 1."""
+        i = self.base0 + sym
+        c0 = self.cum_at(i) * self.w0 >> 16
+        freq = (self.cum_at(i + 1) * self.w0 >> 16) - c0
+        start = c0 + self.w12
+        self.hit2, self.hit1 = self.a2 == sym, self.a1 == sym
+        np.copyto(start, self.w2, where=self.hit1)
+        np.copyto(freq, self.w1, where=self.hit1)
+        np.copyto(start, 0, where=self.hit2)
+        np.copyto(freq, self.w2, where=self.hit2)
+        return start.view(np.uint64), freq.view(np.uint64)
 
     def learn(self, sym: np.ndarray):
-        for slots, at, s, a, prob, k, q, most in ((self.t1, self.i1, self.s1, self.a1, self.p1, self.k1, self.q1, 57000), (self.t2, self.i2, self.s2, self.a2, self.p2, self.k2, self.q2, 65000)):
-            hit = a == sym
-            c = s & 7
-            kept = np.where(hit, s + (c < 7), s - (c + 1 >> 1))
-            slots[at] = np.where(hit | (c > 0), kept, sym << 3)
-            prob[k] = q + np.where(hit, (most - q) >> 5, -(q >> 5))
+        """Must follow interval() of the same symbols."""
+        tag = sym << 3
+        for slots, at, c, hit, prob, k, q, most in ((self.t1, self.i1, self.c1, self.hit1, self.p1, self.k1, self.q1, 57000), (self.t2, self.i2, self.c2, self.hit2, self.p2, self.k2, self.q2, 65000)):
+            slots[at] = tag + hit * np.minimum(c + 1, 7)
+            prob[k] = q + (hit * most - q + 31 >> 5)  # stays above 0
         self.flat_counts[self.base_c + sym] += _GAIN
         self.hash2 = (self.prev * 1259 + sym * 2557 + (sym >> 5)) & (_SLOTS - 1)
         self.prev = sym
 
 
+def _renew(low: np.ndarray, rng: np.ndarray):
+    """Which coders have their top 16 bits settled, or too small a range; the latter are cut so that they settle."""
+    settled = (low ^ (low + rng)) < _TOP
+    need = np.flatnonzero(settled | (rng < _BOT))
+    if len(need):
+        cut = need[~settled.take(need)]
+        if len(cut):
+            rng[cut] = (~low[cut] + _U(1)) & _LOWMASK
+    return need
+
+
 def _encode_batch(symbols: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
     """symbols: blocks x steps, local ids. Returns each block's stream of 16-bit words."""
     n, steps = symbols.shape
@@ -122,29 +147,14 @@ def _encode_batch(symbols: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
     out, at = np.zeros(n * width, np.uint16), m.lane * width
     start_at = at.copy()
     columns = np.ascontiguousarray(symbols.T.astype(np.int64))
-    for t in range(steps):
-        sym = columns[t]
+    for sym in columns:
         m.predict()
-        i = m.base0 + sym
-        w0 = m.w0.astype(np.uint64)
-        c0 = m.flat_cum[i] * w0 >> _S16
-        c1 = m.flat_cum[i + 1] * w0 >> _S16
-        is2, is1 = m.a2 == sym, m.a1 == sym
-        start = np.where(is2, 0, np.where(is1, m.w2, m.w2 + m.w1 + c0.view(np.int64))).view(np.uint64)
-        freq = np.where(is2, m.w2, np.where(is1, m.w1, (c1 - c0).view(np.int64))).view(np.uint64)
-        r = rng >> _ST
-        low += r * start
-        rng = r * freq
-        while True:
-            settled = (low ^ (low + rng)) < _TOP
-            small = rng < _BOT
-            need = np.flatnonzero(settled | small)
-            if not len(need):
-                break
-            cut = need[~settled[need]]
-            rng[cut] = (~low[cut] + _U(1)) & _LOWMASK
-            x = low[need]
-            where = at[need]
+        start, freq = m.interval(sym)
+        rng >>= _ST
+        low += rng * start
+        rng *= freq
+        while len(need := _renew(low, rng)):
+            x, where = low.take(need), at.take(need)
             out[where] = x >> _S48
             at[need] = where + 1
             low[need] = x << _S16
@@ -174,36 +184,22 @@ def _decode_batch(streams: list[np.ndarray], sizes: np.ndarray, steps: int) -> n
     last = m.base0 + m.sizes - 1
     for t in range(steps):
         m.predict()
-        r = rng >> _ST
-        v = ((code - low) // r).view(np.int64)
-        is2 = v < m.w2
-        is1 = ~is2 & (v < m.w2 + m.w1)
-        u = np.maximum(v - m.w2 - m.w1, 0)
-        goal = (((u + 1 << 16) - 1) // m.w0).view(np.uint64)
+        rng >>= _ST
+        v = ((code - low) // rng).view(np.int64)
+        goal = ((v - m.w12 + 1 << 16) - 1) // m.w0
         i = m.base0.copy()
         for b in range(bits - 1, -1, -1):
             j = np.minimum(i + (1 << b), last)
-            i = np.where(m.flat_cum[j] <= goal, j, i)
-        sym = np.where(is2, m.a2, np.where(is1, m.a1, i - m.base0))
-        i = m.base0 + sym
-        w0 = m.w0.astype(np.uint64)
-        c0 = m.flat_cum[i] * w0 >> _S16
-        c1 = m.flat_cum[i + 1] * w0 >> _S16
-        is2, is1 = m.a2 == sym, m.a1 == sym
-        start = np.where(is2, 0, np.where(is1, m.w2, m.w2 + m.w1 + c0.view(np.int64))).view(np.uint64)
-        freq = np.where(is2, m.w2, np.where(is1, m.w1, (c1 - c0).view(np.int64))).view(np.uint64)
-        low += r * start
-        rng = r * freq
-        while True:
-            settled = (low ^ (low + rng)) < _TOP
-            small = rng < _BOT
-            need = np.flatnonzero(settled | small)
-            if not len(need):
-                break
-            cut = need[~settled[need]]
-            rng[cut] = (~low[cut] + _U(1)) & _LOWMASK
-            where = at[need]
-            code[need] = code[need] << _S16 | data[where]
+            np.copyto(i, j, where=m.cum_at(j) <= goal)
+        sym = i - m.base0
+        np.copyto(sym, m.a1, where=v < m.w12)
+        np.copyto(sym, m.a2, where=v < m.w2)
+        start, freq = m.interval(sym)
+        low += rng * start
+        rng *= freq
+        while len(need := _renew(low, rng)):
+            where = at.take(need)
+            code[need] = code.take(need) << _S16 | data.take(where)
             at[need] = where + 1
             low[need] <<= _S16
             rng[need] <<= _S16

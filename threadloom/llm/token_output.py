@@ -14,24 +14,38 @@ from __future__ import annotations
 import functools
 import os
 import struct
+import unicodedata
 import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from threadloom.llm import range_coder
-from threadloom.llm.common import open_fs, partitions, scratch, table
+from threadloom.llm.common import lean, open_fs, partitions, scratch, table
 
 MAGIC = b"TLTOK1\0\0"
 HEAD = struct.Struct("<8sIIQ")  # magic, bytes of the document table, documents, ids
 MANIFEST = "shard long, path string, documents long, n_tokens long, n_bytes long"
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
-_ASCII_TAIL = b".,"
+_PARTS = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+#: No contractions, special tokens, controls, inner white space, or letters whose lower case depends on their place.
+_PLAIN = regex.compile(r"[^'<\p{C}\p{Z}\u03a3\u0130]*")
+
+
+def _byte_characters() -> dict[int, int]:
+    """Byte-level BPE writes each byte as a printable character: its own where that is one, else 256 and on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {b: b if b in own else next(others) for b in range(256)}
+
+
+_BYTE_CHARACTERS = _byte_characters()
 
 
 def tokenizer_path(name: str = DEFAULT_TOKENIZER) -> str:
@@ -43,37 +57,58 @@ def tokenizer_path(name: str = DEFAULT_TOKENIZER) -> str:
 class WordIds(dict):
     """Maps a piece of text between white space to its ids, as little-endian bytes.
 
-    The tokenizer's units never hold white space and don't look beyond it, so the pieces can be
-    encoded one by one. Full stops and commas that end a piece after an ASCII letter are units too.
-    Two generations of at most `most` entries bound its memory.
+    The tokenizer cuts a text into runs of letters, single digits and runs of other characters, none of
+    which holds white space, so pieces can be encoded one by one, and their parts too. A part of letters goes
+    straight to the library's BPE model; whatever might depend on more than its own characters
+    (apostrophes, special tokens, text that isn't in normal form) goes to the whole tokenizer.
+    At most `most` entries, and as many older ones, are kept of each kind.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.inner = Tokenizer.from_file(path), most, {}
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.model = self.tokenizer.model
+        self.old: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.old_parts: dict[str, bytes] = {}
 
-    def _one(self, piece: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _inner(self, piece: bytes) -> bytes:
-        if piece.isascii() and b"<" not in piece:
-            piece = piece.lower()
-        got = self.inner.get(piece)
+    def part(self, text: str) -> bytes:
+        got = self.parts.get(text)
         if got is None:
-            if len(self.inner) >= self.most:
-                self.inner.clear()
-            got = self.inner[piece] = self._one(piece)
+            got = self.old_parts.get(text)
+            if got is None:
+                if text.isalpha():
+                    letters = text if text.isascii() else text.encode().decode("latin-1").translate(_BYTE_CHARACTERS)
+                    got = struct.pack(f"<{len(ids)}I", *ids) if (ids := [t.id for t in self.model.tokenize(letters)]) else b""
+                else:
+                    got = self.whole(text)
+            if len(self.parts) >= self.most:
+                self.old_parts, self.parts = self.parts, {}
+            self.parts[text] = got
         return got
 
+    def piece(self, piece: bytes) -> bytes:
+        text = piece.decode()
+        head = text.rstrip(".,")  # most pieces are letters and a stop
+        if head.isalpha() and "\u03a3" not in head and "\u0130" not in head and (head.isascii() or unicodedata.is_normalized("NFC", head)):
+            return self.part(head.lower()) + (self.part(text[len(head) :]) if len(head) < len(text) else b"")
+        if not _PLAIN.fullmatch(text) or not unicodedata.is_normalized("NFC", text):
+            return self.whole(text)
+        return b"".join(map(self.part, _PARTS.findall(text.lower())))
+
     def __missing__(self, piece: bytes) -> bytes:
         if len(piece) > 200:  # long pieces are rare and don't come again
-            return self._one(piece)
-        head = piece.rstrip(_ASCII_TAIL)
-        tail = piece[len(head) :]
-        got = self._inner(head) + self._inner(tail) if tail and head[-1:].isalnum() else self._inner(piece)
+            return self.piece(piece)
+        got = self.old.get(piece)
+        if got is None:
+            got = self.piece(piece)
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
         self[piece] = got
         return got
@@ -111,7 +146,7 @@ def _write_shards(out: str, tokenizer: str, end_id: int, batches):
     path = f"{out}/shard-{shard:06d}-{uuid.uuid4().hex}.tok"
     fs, local = open_fs(path)
     fs.create_dir(local.rpartition("/")[0], recursive=True)
-    with fs.open_output_stream(local) as f:
+    with fs.open_output_stream(local, compression=None) as f:
         f.write(HEAD.pack(MAGIC, len(heads), len(lengths), len(ids)))
         f.write(heads)
         for b in blocks:
@@ -130,7 +165,7 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str | None = None, e
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
     rows = rows.repartitionByRange(shards or partitions(spark), F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     rows = rows.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
-    done = rows.mapInArrow(functools.partial(_write_shards, f"{out}/data", tokenizer or tokenizer_path(), end_id), MANIFEST)
+    done = rows.mapInArrow(functools.partial(lean, _write_shards, f"{out}/data", tokenizer or tokenizer_path(), end_id), MANIFEST)
     done.write.mode("errorifexists").parquet(f"{out}/manifest")
     return spark.read.parquet(f"{out}/manifest")
 
@@ -138,7 +173,7 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str | None = None, e
 def read_shard(path: str):
     """(known, doc_ids, lengths, ids) of one shard."""
     fs, local = open_fs(path)
-    with fs.open_input_stream(local) as f:
+    with fs.open_input_stream(local, compression=None) as f:
         data = f.read()
     magic, size, n, total = HEAD.unpack_from(data)
     if magic != MAGIC:
@@ -175,7 +210,7 @@ def read_token_files(spark: SparkSession, out: str, with_ids: bool = True) -> Da
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     shards = manifest.select("path", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
     kinds = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
-    return shards.repartition(partitions(spark), "path").mapInArrow(functools.partial(_read_rows, with_ids), kinds)
+    return shards.repartition(partitions(spark), "path").mapInArrow(functools.partial(lean, _read_rows, with_ids), kinds)
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
