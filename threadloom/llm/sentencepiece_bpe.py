@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import table
+from threadloom.llm.common import lean, table
 
 SPACE = "▁"
 DEFAULT_MODEL = "piece_bpe_32k.model"
@@ -36,7 +36,7 @@ def model_path(name: str = DEFAULT_MODEL) -> str:
 
 
 class Encoder:
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 200_000):
         import ahocorasick
         import sentencepiece
 
@@ -61,8 +61,10 @@ class Encoder:
         if any(SPACE in p.lstrip(SPACE) for p in pieces):
             raise ValueError("pieces with a space after other characters aren't supported")
         self.breaks = re.compile("|".join(breaks)) if breaks else None
-        self.fits = functools.lru_cache(1 << 18)(self._fits)
+        self.fits = functools.lru_cache(3 << 16)(self._fits)
+        #: Words met lately, and those met before them: at most `most` each.
         self.inner: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
         """The pieces that merging from single characters gives: best score first, then leftmost. For short texts."""
@@ -133,17 +135,19 @@ class Encoder:
         for part in self.breaks.split(word) if self.breaks else [word]:
             got = self.inner.get(part)
             if got is None:
-                got = self._ids(part)
+                got = self.older.get(part)
+                if got is None:
+                    got = self._ids(part)
                 if len(part) < 200:
                     if len(self.inner) >= self.most:
-                        self.inner.clear()
+                        self.older, self.inner = self.inner, {}
                     self.inner[part] = got
             out.append(got)
         return b"".join(out)
 
 
 class Words(dict):
-    """From a word in UTF-8 to the ids of a space and the word; two generations bound its memory."""
+    """From a word in UTF-8 to the ids of a space and the word; emptied when full, as the encoder keeps the words too."""
 
     def __init__(self, encoder: Encoder):
         self.encoder = encoder
@@ -151,7 +155,7 @@ class Words(dict):
     def __missing__(self, word: bytes) -> bytes:
         got = self.encoder.word(SPACE + word.decode())
         if len(word) < 200:
-            if len(self) >= self.encoder.most:
+            if len(self) >= self.encoder.most // 2:
                 self.clear()
             self[word] = got
         return got
@@ -214,7 +218,7 @@ def encode(docs: DataFrame, text: str = "text", keep: list[str] | None = None, m
     kinds = dict(docs.dtypes)
     added = {"n_tokens": "long", "piece_ids": "array<int>"}
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in kept] + [f"{c} {added.get(c, 'string')}" for c in new])
-    return rows.mapInArrow(functools.partial(_encode_rows, model or model_path(), digests, with_ids), schema)
+    return rows.mapInArrow(functools.partial(lean, _encode_rows, model or model_path(), digests, with_ids), schema)
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
