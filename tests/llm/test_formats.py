@@ -135,6 +135,18 @@ def test_nearest_neighbours(spark):
     assert posting_lists.search(df.where("vec_id >= 20000"), df.where("vec_id = 20001")).count() == 0
 
 
+def test_lists_read_grow_with_the_lists(spark):
+    """Isotropic vectors: the distance ratio prunes little, so the number of lists read decides."""
+    x = np.random.default_rng(3).normal(size=(20_000, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got: dict[int, set] = {}
+    for r in posting_lists.search(df, df.where("vec_id % 200 = 0"), list_length=50, probes=4).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    near = lambda q: set(np.argsort(((x - x[q]) ** 2).sum(axis=1))[1:11].tolist())
+    assert len(got) == 100 and sum(len(near(q) & ids) for q, ids in got.items()) >= 0.9 * 10 * len(got)
+
+
 @pytest.mark.parametrize("n", [1, 5, 400])
 def test_graph_finds_near_centroids(n):
     rng = np.random.default_rng(n)
