@@ -147,6 +147,24 @@ def test_lists_read_grow_with_the_lists(spark):
     assert len(got) == 100 and sum(len(near(q) & ids) for q, ids in got.items()) >= 0.9 * 10 * len(got)
 
 
+def test_outliers_and_small_groups_get_all_their_neighbours(spark):
+    """A far vector and a tight group of 3 that have lists of their own, and an id of many vectors beside a query."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(2000, 8)), [[90.0] + [0.0] * 7], [[0.0, 70.0] + [0.0] * 6] * 3 + rng.normal(size=(3, 8)) * 1e-3, [[0.0, 0.0, 500.0] + [0.0] * 5] * 900 + rng.normal(size=(900, 8))])
+    ids = np.concatenate([np.arange(2004), [3000], np.full(899, 3001)])
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>").repartition(4)
+    got: dict[int, list] = {}
+    for r in posting_lists.search(df, df.where("vec_id in (2000, 2001, 2002, 2003, 3000)"), list_length=20).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert sorted(got) == [2000, 2001, 2002, 2003, 3000]
+    for q, rank in got.items():
+        score: dict[int, float] = {}
+        for i, d in zip(ids.tolist(), np.sqrt(((x - x[ids == q][0]) ** 2).sum(axis=1)).tolist()):
+            score[i] = min(d, score.get(i, d))
+        near = [i for _, i in sorted((d, i) for i, d in score.items() if i != q)][:10]
+        assert len(rank) == len(set(rank)) == 10 and len(set(near) & set(rank)) >= 9
+
+
 @pytest.mark.parametrize("n", [1, 5, 400])
 def test_graph_finds_near_centroids(n):
     rng = np.random.default_rng(n)
