@@ -48,6 +48,22 @@ def test_equal_values_stay_linked_whatever_their_separators():
     assert date.fromisoformat(a).strftime("%d.%m.%Y") == b and date.fromisoformat(a).strftime("%m/%d/%Y") == c
 
 
+def test_secrets_without_digits_are_found_in_any_text():
+    p = P.Pseudonyms(KEY)
+    line = 'password = "correct-horse-battery"'
+    new, found = p.replace(line)
+    assert found == {"secret": 1} and "correct-horse-battery" not in new and p.replace(new, back=True)[0] == line
+    assert p.replace(line + " on page 3")[0] == new + " on page 3"
+
+
+@pytest.mark.parametrize("forms", [["+15551234567", "+1 555 123 4567", "+1 (555) 123-4567"], ["+442079460958", "+44 20 7946 0958"], ["+353861234567", "+353 86 123 4567"], ["+35312 34 56", "+353 12 34 56"]])
+def test_equal_phone_numbers_stay_linked(forms):
+    p = P.Pseudonyms(KEY)
+    new = [p.replace(f"call {t}, please")[0] for t in forms]
+    assert len({"".join(c for c in t if c.isdigit()) for t in new}) == 1 and all(f not in n for f, n in zip(forms, new, strict=True))
+    assert [p.replace(n, back=True)[0] for n in new] == [f"call {t}, please" for t in forms]
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 10, 97, 256, 1000])
 def test_permutations_are_permutations(size):
     p = P.Pseudonyms(KEY)

@@ -45,7 +45,10 @@ _FIND = regex.compile(
     """,
     regex.X | regex.I,
 )
-_MAYBE = regex.compile(r"[0-9@]")
+#: What every value has: a digit, an at sign, or the quote in front of a secret.
+_MAYBE = regex.compile(r"""[0-9@]|[=:]\s{0,3}["']""")
+#: Country codes of one and two digits; all others have three.
+_COUNTRIES = {"1", "7", *"20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()}
 
 
 class Pseudonyms:
@@ -130,11 +133,11 @@ class Pseudonyms:
         return _filled(text, digits)
 
     def phone(self, text: str, back: bool) -> str | None:
-        country = regex.match(r"\+[0-9]{1,3}?(?=[ .(-])|\+[0-9]{2}", text)[0]
-        digits = _only_digits(text[len(country) :])
-        if not 7 <= len(digits) <= 14:
+        digits = _only_digits(text)
+        if not 8 <= len(digits) <= 17:
             return None
-        return country + _filled(text[len(country) :], self.digits(f"phone|{country}", digits, back))
+        country = next((digits[:k] for k in (1, 2) if digits[:k] in _COUNTRIES), digits[:3])
+        return _filled(text, country + self.digits(f"phone|+{country}", digits[len(country) :], back))
 
     def ip(self, text: str, back: bool) -> str | None:
         parts = text.split(".")
