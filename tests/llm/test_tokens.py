@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from threadloom.llm import range_coder, sentencepiece_bpe, token_output
+from threadloom.llm import range_coder, sentencepiece_bpe, token_output, word_table
 from threadloom.llm.common import scratch
 
 TEXTS = ["it's <|endoftext|> don't", "J̌ x", "ΑΣ ΣΑΣ ñ İ", "a  b ", " a\n\n  b", "▁a ▁ b", "<s>hi</s><0x41>", "日本🙂", "ﬁ①\x00", "a.b,c ² x².", "x" * 5000]
@@ -40,9 +40,22 @@ def test_words_encode_as_the_library_does():
     from tokenizers import Tokenizer
 
     path = token_output.tokenizer_path()
-    plain, ids_of = Tokenizer.from_file(path), token_output._ids_of(path)
-    for t in _random_texts(1500):
-        assert np.frombuffer(ids_of(t.encode()), "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
+    plain, texts = Tokenizer.from_file(path), _random_texts(1500)
+    for _ in range(2):  # with an empty and with a filled table
+        for t, ids in zip(texts, token_output.encode_texts([t.encode() for t in texts], path), strict=True):
+            assert ids.tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_a_full_word_table_starts_anew():
+    calls = []
+    table = word_table.WordTable(lambda words: [calls.append(w) or np.array([len(w), w[0]], "<u4").tobytes() for w in words], most=50)
+    rng = random.Random(5)
+    for _ in range(40):
+        words = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 18))).encode() for _ in range(60)]
+        data = np.frombuffer(b" ".join(words), np.uint8)
+        ids, n = table.encode(data, np.array([0, len(data)]), b"\1\0\0\0")
+        assert n.tolist() == [121] and ids.tolist() == [x for w in words for x in (len(w), w[0])] + [1]
+    assert len(calls) < 40 * 60
 
 
 def test_backtracking_encodes_as_the_library_does():

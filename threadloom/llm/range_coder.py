@@ -1,250 +1,298 @@
 """Adaptive context-mixing range coder for blocks of token ids, coded in lockstep over many blocks.
 
-A block holds its own alphabet (the distinct ids, as varint gaps) and a range-coded stream. Each id is
+A block holds its own alphabet (the distinct ids, as gaps) and a range-coded stream. Each id is
 coded by one mixed distribution of three predictions: the id last seen after the two ids before
 (order 2), the id last seen after the one before (order 1), and adaptive counts (order 0). The weights of
-the first two follow how often predictions of the same confidence have been right so far. All state
-starts afresh in each block, and each block carries the CRC-32 of its ids.
+the first two follow how often predictions of the same confidence have been right so far in the block.
+All state starts afresh in each block, and each block carries the CRC-32 of its ids.
 
 All blocks of a batch advance together, one id a step, so that a step is a few dozen numpy calls over
-all blocks. Only integers are used: any machine decodes what any other wrote.
+all blocks. Only integers decide, so any machine decodes what any other wrote.
 """
 
 from __future__ import annotations
 
+import io
+import itertools
 import struct
 import zlib
 
 import numpy as np
 
-MAGIC = b"TLRB"
+MAGIC = b"TLR2"
 HEAD = struct.Struct("<4sIIIII")  # magic, ids, alphabet size, alphabet bytes, stream words, crc32
-LANES = 2048
-MAX_BLOCK = 2048
-MIN_BLOCK = 512
-
-_TOTAL = 26  # bits of a step's total frequency
-_SLOTS = 4096  # order-2 contexts of a block
-_REBUILD = 512  # steps between two rebuilds of the order-0 table
-_GAIN = 32
+LANES = 4096
+BLOCK = 1024
+
+_TOTAL = 20  # bits of a step's total frequency
+_ALL = 1 << _TOTAL
+_PLAIN = 12  # bits of the order-0 table
+_SLOTS = 1024  # order-2 contexts of a block
+_REBUILD = 128  # steps between two rebuilds of the weights, of which every fourth one rebuilds the order-0 table
+_GAIN = 32  # what a symbol met adds to its count
+_CONF = 4  # confidences of a prediction: hits in a row, up to _CONF - 1
 _U = np.uint64
-_TOP, _BOT = _U(1 << 48), _U(1 << 32)
-_LOWMASK = _U((1 << 32) - 1)
-_S16, _S48, _ST = _U(16), _U(48), _U(_TOTAL)
+_LEAST, _LOW32 = _U(1 << 32), _U((1 << 32) - 1)
+_S16, _S32, _ST = _U(16), _U(32), _U(_TOTAL)
+
+
+_place = np.zeros(1 << 18, np.int32)
 
 
-def block_length(n: int, lanes: int = 256) -> int:
-    """Ids a block so that a shard of n ids fills about `lanes` blocks, within fixed bounds."""
-    return int(min(MAX_BLOCK, max(MIN_BLOCK, -(-n // lanes))))
+def _alphabet(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids, ascending, and the place of each id among them."""
+    found = np.sort(ids)
+    found = found[np.concatenate([[True], found[1:] != found[:-1]])]
+    if found[-1] >= len(_place):
+        return found, np.searchsorted(found, ids)
+    _place[found] = np.arange(len(found))
+    return found, _place[ids]
 
 
-def _varints(values: np.ndarray) -> bytes:
-    out = bytearray()
-    for v in values.tolist():
-        while v > 127:
-            out.append(v & 127 | 128)
-            v >>= 7
-        out.append(v)
-    return bytes(out)
+def _pack_gaps(alphabet: np.ndarray) -> bytes:
+    """A byte for each gap; larger gaps follow in 16 bits, and those that don't fit there in 32."""
+    gaps = np.diff(alphabet.astype(np.int64), prepend=0)
+    large = gaps[gaps >= 255]
+    return np.minimum(gaps, 255).astype(np.uint8).tobytes() + np.minimum(large, 65535).astype("<u2").tobytes() + large[large >= 65535].astype("<u4").tobytes()
 
 
-def _gaps(data: bytes, n: int) -> np.ndarray:
-    out, v, shift = np.empty(n, np.int64), 0, 0
-    k = 0
-    for b in data:
-        v |= (b & 127) << shift
-        if b > 127:
-            shift += 7
-        else:
-            out[k] = v
-            k, v, shift = k + 1, 0, 0
-    return np.cumsum(out)
+def _unpack_gaps(data: bytes, n: int) -> np.ndarray:
+    gaps = np.frombuffer(data, np.uint8, n).astype(np.int64)
+    escaped = np.flatnonzero(gaps == 255)
+    large = np.frombuffer(data, "<u2", len(escaped), n).astype(np.int64)
+    huge = large == 65535
+    large[huge] = np.frombuffer(data, "<u4", int(huge.sum()), n + 2 * len(escaped))
+    gaps[escaped] = large
+    return np.cumsum(gaps)
 
 
 class _Model:
     """The adaptive state of all blocks of a batch; encoder and decoder drive it alike."""
 
-    def __init__(self, sizes: np.ndarray):
-        n = len(sizes)
-        width = int(sizes.max()) + 1
+    def __init__(self, sizes: np.ndarray, steps: int, search: bool):
+        n, width = len(sizes), int(sizes.max())
         self.n, self.width, self.sizes = n, width, sizes.astype(np.int64)
-        self.lane = np.arange(n, dtype=np.int64)
-        self.base0 = self.lane * width
-        self.base2 = self.lane * _SLOTS
-        self.base_p = self.lane * 8
-        self.counts = (np.arange(width - 1)[None, :] < self.sizes[:, None]).astype(np.int32)
-        self.flat_counts = self.counts.reshape(-1)
-        self.base_c = self.lane * (width - 1)
-        self.floor = np.minimum(np.arange(width)[None, :], self.sizes[:, None])
-        self.cum = np.zeros((n, width), np.int64)
-        self.cum_at = self.cum.reshape(-1).take
-        #: A slot holds symbol << 3 | hits in a row, up to seven.
-        self.t1, self.t2 = np.zeros(n * width, np.int64), np.zeros(n * _SLOTS, np.int64)
-        self.p1, self.p2 = np.full(n * 8, 6000, np.int64), np.full(n * 8, 12000, np.int64)
+        lane = np.arange(n, dtype=np.int64)
+        self.base0 = lane * width
+        # one table for both orders: a context's slot holds symbol * _CONF + hits in a row
+        self.slots = np.zeros(n * (width + _SLOTS), np.uint16)
+        self.at = np.stack([self.base0, n * width + lane * _SLOTS])
+        self.base2 = self.at[1].copy()
+        self.index = np.empty((2, n), np.int64)
+        self.base_w = lane * _CONF * _CONF
+        self.counts = (np.arange(width)[None, :] < sizes[:, None]).astype(np.int64)
+        self.history = np.empty((steps, n), np.uint16)
+        self.tries, self.hits = np.zeros((2, n, _CONF), np.int64), np.zeros((2, n, _CONF), np.int64)
+        self.tried, self.met = np.zeros((2, n), np.int64), np.zeros((2, n), np.int64)
+        self.tries += 16
+        self.hits += np.array([[[1, 3, 5, 8]], [[2, 6, 10, 14]]])
+        self.search = search
         self.prev, self.hash2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        self.step = 0
+        self.step = self.counted = 0
+
+    def _weigh(self):
+        """Weights of each pair of confidences, packed: order 2, order 1, units of order 0."""
+        for k in range(_CONF):
+            self.tries[:, :, k] += self.tried >> 16 * k & 0xFFFF
+            self.hits[:, :, k] += self.met >> 16 * k & 0xFFFF
+        self.tried[:], self.met[:] = 0, 0
+        (t1, t2), (h1, h2) = self.tries, self.hits
+        w2 = np.clip(h2 * _ALL // t2, 64, _ALL - (3 << _PLAIN))[:, :, None]
+        w1 = np.clip((_ALL - w2) * h1[:, None, :] // t1[:, None, :], 64, _ALL - w2 - (2 << _PLAIN))
+        w0 = _ALL - w2 - w1 >> _PLAIN
+        w2 = _ALL - w1 - (w0 << _PLAIN)
+        self.weights = (w2 << 42 | w1 << 21 | w0).reshape(-1)
+
+    def _count(self):
+        """The order-0 table from all symbols so far."""
+        fresh = self.history[self.counted : self.step]
+        if len(fresh):
+            self.counts += _GAIN * np.bincount((fresh + self.base0).ravel(), minlength=self.n * self.width).reshape(self.n, self.width)
+            self.counted = self.step
+        room = (1 << _PLAIN) - self.sizes
+        freq = self.counts * room[:, None] // self.counts.sum(axis=1)[:, None] + (np.arange(self.width)[None, :] < self.sizes[:, None])
+        freq[:, 0] += (1 << _PLAIN) - freq.sum(axis=1)
+        cum = freq.cumsum(axis=1) - freq
+        self.spans = (cum << 16 | freq).astype(np.uint32).reshape(-1)
+        if self.search:
+            self.symbols = np.repeat(np.tile(np.arange(self.width, dtype=np.uint16), self.n), freq.ravel())
 
     def predict(self):
-        if self.step % _REBUILD == 0 or self.step in (32, 128):
-            total = np.cumsum(self.counts, axis=1, dtype=np.int64)
-            room = 65536 - self.sizes
-            self.cum[:, 1:] = total * room[:, None] // total[:, -1:] + self.floor[:, 1:]
-        self.step += 1
-        self.i1 = self.base0 + self.prev
-        self.i2 = self.base2 + self.hash2
-        s1, s2 = self.t1.take(self.i1), self.t2.take(self.i2)
-        self.c1, self.c2 = s1 & 7, s2 & 7
-        self.k1, self.k2 = self.base_p + self.c1, self.base_p + self.c2
-        self.q1, self.q2 = self.p1.take(self.k1), self.p2.take(self.k2)
-        self.w2 = self.q2 << 10
-        rest = (1 << _TOTAL) - self.w2
-        self.w1 = (rest >> 16) * self.q1
-        self.w0 = rest - self.w1
-        self.w12 = self.w1 + self.w2
-        self.a1, self.a2 = s1 >> 3, s2 >> 3
+        step = self.step
+        if step % _REBUILD == 0:
+            self._weigh()
+        if step % (4 * _REBUILD) == 0 or step in (32, 128):
+            self._count()
+        np.add(self.base0, self.prev, out=self.index[0])
+        np.add(self.base2, self.hash2, out=self.index[1])
+        slots = self.slots.take(self.index).astype(np.int64)
+        self.conf = slots & _CONF - 1
+        self.guess = slots >> 2
+        k = self.conf[1] << 2
+        k += self.conf[0]
+        k += self.base_w
+        w = self.weights.take(k)
+        self.w0 = w & 0x1FFFFF
+        self.w2 = w >> 42
+        w >>= 21
+        w &= 0x1FFFFF
+        self.w1 = w
+        self.w12 = w + self.w2
 
     def interval(self, sym: np.ndarray):
         """(start, width) of the symbol in the mixed distribution; the order-2 prediction comes first, then order 1."""
-        i = self.base0 + sym
-        c0 = self.cum_at(i) * self.w0 >> 16
-        freq = (self.cum_at(i + 1) * self.w0 >> 16) - c0
-        start = c0 + self.w12
-        self.hit2, self.hit1 = self.a2 == sym, self.a1 == sym
-        np.copyto(start, self.w2, where=self.hit1)
-        np.copyto(freq, self.w1, where=self.hit1)
-        np.copyto(start, 0, where=self.hit2)
-        np.copyto(freq, self.w2, where=self.hit2)
+        start = self.spans.take(self.base0 + sym).astype(np.int64)
+        freq = start & 0xFFFF
+        freq *= self.w0
+        start >>= 16
+        start *= self.w0
+        start += self.w12
+        self.hit = self.guess == sym
+        h1, h2 = self.hit
+        np.copyto(start, self.w2, where=h1)
+        np.copyto(freq, self.w1, where=h1)
+        np.copyto(start, 0, where=h2)
+        np.copyto(freq, self.w2, where=h2)
         return start.view(np.uint64), freq.view(np.uint64)
 
     def learn(self, sym: np.ndarray):
         """Must follow interval() of the same symbols."""
-        tag = sym << 3
-        for slots, at, c, hit, prob, k, q, most in ((self.t1, self.i1, self.c1, self.hit1, self.p1, self.k1, self.q1, 57000), (self.t2, self.i2, self.c2, self.hit2, self.p2, self.k2, self.q2, 65000)):
-            slots[at] = tag + hit * np.minimum(c + 1, 7)
-            prob[k] = q + (hit * most - q + 31 >> 5)  # stays above 0
-        self.flat_counts[self.base_c + sym] += _GAIN
-        self.hash2 = (self.prev * 1259 + sym * 2557 + (sym >> 5)) & (_SLOTS - 1)
+        hit, conf = self.hit.astype(np.int64), self.conf
+        mark = np.left_shift(1, conf << 4)
+        self.tried += mark
+        mark *= hit
+        self.met += mark
+        conf += 1
+        np.minimum(conf, _CONF - 1, out=conf)
+        conf *= hit
+        conf += sym << 2
+        self.slots[self.index] = conf
+        self.history[self.step] = sym
+        self.step += 1
+        h = self.prev * 1259
+        h += sym * 2557
+        h &= _SLOTS - 1
+        self.hash2 = h
         self.prev = sym
 
 
-def _renew(low: np.ndarray, rng: np.ndarray):
-    """Which coders have their top 16 bits settled, or too small a range; the latter are cut so that they settle."""
-    settled = (low ^ (low + rng)) < _TOP
-    need = np.flatnonzero(settled | (rng < _BOT))
-    if len(need):
-        cut = need[~settled.take(need)]
-        if len(cut):
-            rng[cut] = (~low[cut] + _U(1)) & _LOWMASK
-    return need
-
-
 def _encode_batch(symbols: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
-    """symbols: blocks x steps, local ids. Returns each block's stream of 16-bit words."""
-    n, steps = symbols.shape
-    m = _Model(sizes)
-    low, rng = np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64)
-    width = steps * 2 + 16
-    out, at = np.zeros(n * width, np.uint16), m.lane * width
-    start_at = at.copy()
-    columns = np.ascontiguousarray(symbols.T.astype(np.int64))
-    for sym in columns:
+    """symbols: steps x blocks, local ids. Returns each block's stream of 16-bit words."""
+    steps, n = symbols.shape
+    m = _Model(sizes, steps, False)
+    low, rng = np.zeros(n, np.uint64), np.full(n, 1 << 48, np.uint64)
+    # words x blocks, so that all blocks write close together
+    out, at = np.zeros(n * (steps * 2 + 16), np.uint32), np.arange(n, dtype=np.int64)
+    for row in symbols:
+        sym = row.astype(np.int64)
         m.predict()
         start, freq = m.interval(sym)
         rng >>= _ST
-        low += rng * start
+        start *= rng
+        low += start
         rng *= freq
-        while len(need := _renew(low, rng)):
-            x, where = low.take(need), at.take(need)
-            out[where] = x >> _S48
-            at[need] = where + 1
-            low[need] = x << _S16
-            rng[need] <<= _S16
+        while (small := rng < _LEAST).any():
+            out[at] = low >> _S32  # with the carry, which goes up at the end; overwritten unless the place moves on
+            np.copyto(low, (low & _LOW32) << _S16, where=small)
+            np.copyto(rng, rng << _S16, where=small)
+            at += small * np.int64(n)
         m.learn(sym)
-    for k in range(4):
-        out[at] = low >> _S48
-        at += 1
-        low <<= _S16
-    return [out[a:b] for a, b in zip(start_at, at, strict=True)]
+    for _ in range(3):
+        out[at] = low >> _S32
+        low = (low & _LOW32) << _S16
+        at += n
+    counts = at // n
+    words, carry = out.reshape(-1, n)[: counts.max()], np.zeros(n, np.uint32)
+    words[np.arange(len(words))[:, None] >= counts] = 0
+    for row in words[::-1]:
+        row += carry
+        carry = row >> np.uint32(16)
+    words = np.ascontiguousarray(words.T.astype("<u2"))
+    return [w[:k] for w, k in zip(words, counts.tolist(), strict=True)]
 
 
 def _decode_batch(streams: list[np.ndarray], sizes: np.ndarray, steps: int) -> np.ndarray:
     n = len(streams)
-    m = _Model(sizes)
-    width = max(map(len, streams)) + 8
-    data = np.zeros(n * width, np.uint64)
-    for k, s in enumerate(streams):
-        data[k * width : k * width + len(s)] = s
-    at = m.lane * width
-    low, rng, code = np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64), np.zeros(n, np.uint64)
-    for _ in range(4):
+    m = _Model(sizes, steps, True)
+    data = np.zeros((n, max(map(len, streams)) + 8), np.uint16)
+    for row, s in zip(data, streams, strict=True):
+        row[: len(s)] = s
+    data, at = np.ascontiguousarray(data.T).ravel(), np.arange(n, dtype=np.int64)
+    rng, code = np.full(n, 1 << 48, np.uint64), np.zeros(n, np.uint64)
+    for _ in range(3):
         code = code << _S16 | data[at]
-        at += 1
-    columns = np.empty((steps, n), np.int64)
-    bits = max(1, int(m.width).bit_length())
-    last = m.base0 + m.sizes - 1
-    for t in range(steps):
+        at += n
+    base = np.arange(n, dtype=np.int64) << _PLAIN
+    for _ in range(steps):
         m.predict()
         rng >>= _ST
-        v = ((code - low) // rng).view(np.int64)
-        goal = ((v - m.w12 + 1 << 16) - 1) // m.w0
-        i = m.base0.copy()
-        for b in range(bits - 1, -1, -1):
-            j = np.minimum(i + (1 << b), last)
-            np.copyto(i, j, where=m.cum_at(j) <= goal)
-        sym = i - m.base0
-        np.copyto(sym, m.a1, where=v < m.w12)
-        np.copyto(sym, m.a2, where=v < m.w2)
+        v = (code // rng).view(np.int64)
+        goal = v - m.w12
+        np.maximum(goal, 0, out=goal)
+        goal //= m.w0
+        goal += base
+        sym = m.symbols.take(goal, mode="clip").astype(np.int64)
+        np.copyto(sym, m.guess[0], where=v < m.w12)
+        np.copyto(sym, m.guess[1], where=v < m.w2)
         start, freq = m.interval(sym)
-        low += rng * start
+        start *= rng
+        code -= start
         rng *= freq
-        while len(need := _renew(low, rng)):
-            where = at.take(need)
-            code[need] = code.take(need) << _S16 | data.take(where)
-            at[need] = where + 1
-            low[need] <<= _S16
-            rng[need] <<= _S16
-        columns[t] = sym
+        while (small := rng < _LEAST).any():
+            np.copyto(code, code << _S16 | data.take(at), where=small)
+            np.copyto(rng, rng << _S16, where=small)
+            at += small * np.int64(n)
         m.learn(sym)
-    return columns.T
+    return m.history
 
 
-def encode(ids: np.ndarray, length: int | None = None) -> list[bytes]:
-    """ids (unsigned 32-bit) as self-contained blocks of `length` ids, the last one shorter."""
-    length = length or block_length(len(ids))
+def encode(ids: np.ndarray, length: int = BLOCK) -> list[bytes]:
+    """ids (unsigned 32-bit) as self-contained blocks of `length` ids (at most BLOCK), the last one shorter."""
     pieces = [ids[k : k + length] for k in range(0, len(ids), length)]
     out: list[bytes] = []
     for k in range(0, len(pieces), LANES):
         batch = pieces[k : k + LANES]
-        locals_ = [np.unique(p, return_inverse=True) for p in batch]
-        symbols = np.zeros((len(batch), max(map(len, batch))), np.int32)
+        locals_ = [_alphabet(p) for p in batch]
+        symbols = np.zeros((len(batch), max(map(len, batch))), np.uint16)
         for row, (_, inverse) in zip(symbols, locals_, strict=True):
             row[: len(inverse)] = inverse
-        streams = _encode_batch(symbols, np.array([len(a) for a, _ in locals_]))
+        streams = _encode_batch(np.ascontiguousarray(symbols.T), np.array([len(a) for a, _ in locals_]))
         for p, (alphabet, _), s in zip(batch, locals_, streams, strict=True):
-            gaps = _varints(np.diff(alphabet.astype(np.int64), prepend=0))
-            out.append(HEAD.pack(MAGIC, len(p), len(alphabet), len(gaps), len(s), zlib.crc32(p.astype("<u4").tobytes())) + gaps + s.astype("<u2").tobytes())
+            gaps = _pack_gaps(alphabet)
+            out.append(HEAD.pack(MAGIC, len(p), len(alphabet), len(gaps), len(s), zlib.crc32(np.ascontiguousarray(p, "<u4"))) + gaps + s.tobytes())
     return out
 
 
-def decode(data: bytes) -> np.ndarray:
-    """The ids of a run of blocks. Raises ValueError where a block's checksum doesn't hold."""
-    at, blocks = 0, []
-    while at < len(data):
-        magic, n, size, gap_bytes, words, crc = HEAD.unpack_from(data, at)
+def read_blocks(f, n_bytes: int):
+    """(ids, alphabet, stream, checksum) of each block in the next n_bytes of an open file."""
+    while n_bytes > 0:
+        magic, n, size, gap_bytes, words, crc = HEAD.unpack(f.read(HEAD.size))
         if magic != MAGIC:
-            raise ValueError(f"no block at byte {at}")
-        at += HEAD.size
-        alphabet = _gaps(data[at : at + gap_bytes], size)
-        at += gap_bytes
-        blocks.append((n, alphabet, np.frombuffer(data, "<u2", words, at), crc))
-        at += 2 * words
+            raise ValueError("no block where one should begin")
+        body = f.read(gap_bytes + 2 * words)
+        yield n, _unpack_gaps(body[:gap_bytes], size), np.frombuffer(body, "<u2", words, gap_bytes), crc
+        n_bytes -= HEAD.size + len(body)
+
+
+def decode_blocks(blocks: list[tuple]) -> np.ndarray:
+    """The ids of some blocks, at most LANES of them. Raises ValueError where a checksum doesn't hold."""
     out = []
-    for k in range(0, len(blocks), LANES):
-        batch = blocks[k : k + LANES]
-        symbols = _decode_batch([b[2] for b in batch], np.array([len(b[1]) for b in batch]), max(b[0] for b in batch))
-        for (n, alphabet, _, crc), row in zip(batch, symbols, strict=True):
-            ids = alphabet[row[:n]].astype("<u4")
-            if zlib.crc32(ids.tobytes()) != crc:
-                raise ValueError("checksum of a block doesn't hold")
-            out.append(ids)
-    return np.concatenate(out) if out else np.empty(0, "<u4")
+    symbols = _decode_batch([b[2] for b in blocks], np.array([len(b[1]) for b in blocks]), max(b[0] for b in blocks))
+    for (n, alphabet, _, crc), local in zip(blocks, np.ascontiguousarray(symbols.T), strict=True):
+        ids = alphabet.take(local[:n], mode="clip").astype("<u4")
+        if zlib.crc32(ids) != crc:
+            raise ValueError("checksum of a block doesn't hold")
+        out.append(ids)
+    return np.concatenate(out)
+
+
+def decode_file(f, n_bytes: int):
+    """The ids of the next n_bytes of an open file, a batch of blocks at a time."""
+    blocks = read_blocks(f, n_bytes)
+    while batch := list(itertools.islice(blocks, LANES)):
+        yield decode_blocks(batch)
+
+
+def decode(data: bytes) -> np.ndarray:
+    """The ids of a run of blocks."""
+    return np.concatenate([np.empty(0, "<u4"), *decode_file(io.BytesIO(data), len(data))])

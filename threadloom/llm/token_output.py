@@ -1,8 +1,9 @@
 """Token-ID files: texts are tokenized, sorted by document and written as range-coded shards.
 
-A shard holds a document table (ids and lengths, zlib), then the blocks of range_coder. Its path is of
-the form shard-<partition>-<attempt>.tok; the manifest, a Parquet table, names the shards that
-count. A task that runs twice, or dies half way, leaves at most a file that no manifest names.
+A shard holds the blocks of range_coder, then a document table (ids and lengths, zlib) and a trailer; it is
+written and read a batch of blocks at a time. Its path is of the form shard-<partition>-<attempt>.tok;
+the manifest, a Parquet table, names the shards that count. A task that runs twice, or dies half
+way, leaves at most a file that no manifest names.
 
 Nulls, empties and repeats: a null or empty text has no ids but the end id; a null doc_id is kept and
 sorts first; rows that share a doc_id are all kept, in the order of their texts' hashes.
@@ -27,10 +28,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from threadloom.llm import range_coder
-from threadloom.llm.common import lean, open_fs, partitions, scratch, table
+from threadloom.llm.common import lean, open_fs, scratch, table
+from threadloom.llm.word_table import WordTable
 
-MAGIC = b"TLTOK1\0\0"
-HEAD = struct.Struct("<8sIIQ")  # magic, bytes of the document table, documents, ids
+MAGIC = b"TLTOK2\0\0"
+TAIL = struct.Struct("<IIQQ8s")  # bytes of the document table, documents, ids, bytes of the blocks, magic
+CHUNK = 1 << 20
 MANIFEST = "shard long, path string, documents long, n_tokens long, n_bytes long"
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 _PARTS = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
@@ -54,23 +57,22 @@ def tokenizer_path(name: str = DEFAULT_TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-class WordIds(dict):
-    """Maps a piece of text between white space to its ids, as little-endian bytes.
+class WordIds:
+    """Maps pieces of text between ASCII white space to their ids, as little-endian bytes.
 
     The tokenizer cuts a text into runs of letters, single digits and runs of other characters, none of
     which holds white space, so pieces can be encoded one by one, and their parts too. A part of letters goes
     straight to the library's BPE model; whatever might depend on more than its own characters
     (apostrophes, special tokens, text that isn't in normal form) goes to the whole tokenizer.
-    At most `most` entries, and as many older ones, are kept of each kind.
+    At most `most` parts, and as many older ones, are kept.
     """
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.model = self.tokenizer.model
-        self.old: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
         self.old_parts: dict[str, bytes] = {}
 
@@ -92,125 +94,186 @@ class WordIds(dict):
             self.parts[text] = got
         return got
 
+    def pieces(self, pieces: list[bytes]):
+        part = self.part
+        for piece in pieces:
+            head = piece.rstrip(b".,")  # most pieces are letters and a stop
+            if head.isalpha():
+                got = part(head.lower().decode())
+                yield got + part(piece[len(head) :].decode()) if len(head) < len(piece) else got
+            else:
+                yield self.piece(piece)
+
     def piece(self, piece: bytes) -> bytes:
-        text = piece.decode()
-        head = text.rstrip(".,")  # most pieces are letters and a stop
+        text = piece.decode(errors="replace")
+        head = text.rstrip(".,")
         if head.isalpha() and "\u03a3" not in head and "\u0130" not in head and (head.isascii() or unicodedata.is_normalized("NFC", head)):
             return self.part(head.lower()) + (self.part(text[len(head) :]) if len(head) < len(text) else b"")
         if not _PLAIN.fullmatch(text) or not unicodedata.is_normalized("NFC", text):
             return self.whole(text)
         return b"".join(map(self.part, _PARTS.findall(text.lower())))
 
-    def __missing__(self, piece: bytes) -> bytes:
-        if len(piece) > 200:  # long pieces are rare and don't come again
-            return self.piece(piece)
-        got = self.old.get(piece)
-        if got is None:
-            got = self.piece(piece)
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        self[piece] = got
-        return got
 
+_tables: dict[str, WordTable] = {}
 
-_words: dict[str, WordIds] = {}
 
+def word_table(path: str) -> WordTable:
+    """Kept between the tasks of a worker."""
+    if path not in _tables:
+        _tables[path] = WordTable(WordIds(path).pieces, 2_000_000)
+    return _tables[path]
 
-def _ids_of(path: str):
-    """A function from a text's UTF-8 bytes to its ids' bytes, kept between the tasks of a worker."""
-    if path not in _words:
-        _words[path] = WordIds(path)
-    get = _words[path].__getitem__
-    return lambda text: b"".join(map(get, text.split()))
+
+def texts_in(column: pa.Array):
+    """A column of texts without nulls in chunks of about CHUNK bytes and whole texts: (bytes, bounds of the texts)."""
+    if not len(column):
+        return
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    at = 0
+    while at < len(column):
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK, "right")) - 1)
+        yield data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
+        at = to
+
+
+def encode_texts(texts: list[bytes], path: str, end: bytes = b"") -> list[np.ndarray]:
+    """The ids of each text, exactly the library's, and the ids `end`."""
+    out = []
+    for data, cuts in texts_in(pa.array(texts, pa.binary())):
+        ids, n = word_table(path).encode(data, cuts, end)
+        out += np.split(ids, np.cumsum(n)[:-1])
+    return out
 
 
 def _write_shards(out: str, tokenizer: str, end_id: int, batches):
-    ids_of = _ids_of(tokenizer)
+    words, end, batch_ids = word_table(tokenizer), np.array([end_id], "<u4").tobytes(), range_coder.LANES * range_coder.BLOCK
+    keys, lengths, waiting, n_waiting, n_ids, f = [], [], [], 0, 0, None
     shard = TaskContext.get().partitionId()
-    doc_ids, lengths, parts, end = [], [], [], np.array([end_id], "<u4").tobytes()
-    for batch in batches:
-        doc_ids.append(batch.column(0))
-        for text in batch.column(1):
-            got = ids_of(text.as_py() or b"") + end
-            lengths.append(len(got) // 4)
-            parts.append(got)
-    if not lengths:
-        return
-    ids = np.frombuffer(b"".join(parts), "<u4")
-    del parts
-    keys = pa.chunked_array(doc_ids)
-    known = keys.is_valid().to_numpy().astype(np.uint8)
-    heads = zlib.compress(known.tobytes() + keys.fill_null(0).to_numpy().astype("<i8").tobytes() + np.array(lengths, "<u4").tobytes(), 6)
-    blocks = range_coder.encode(ids)
     path = f"{out}/shard-{shard:06d}-{uuid.uuid4().hex}.tok"
-    fs, local = open_fs(path)
-    fs.create_dir(local.rpartition("/")[0], recursive=True)
-    with fs.open_output_stream(local, compression=None) as f:
-        f.write(HEAD.pack(MAGIC, len(heads), len(lengths), len(ids)))
-        f.write(heads)
-        for b in blocks:
-            f.write(b)
-    size = HEAD.size + len(heads) + sum(map(len, blocks))
-    yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [path], "documents": [len(lengths)], "n_tokens": [len(ids)], "n_bytes": [size]})
-
 
-def write_token_files(docs: DataFrame, out: str, tokenizer: str | None = None, end_id: int = 1, shards: int | None = None) -> DataFrame:
+    def coded(final: bool):
+        """What waits, in whole batches of blocks unless it is the end."""
+        nonlocal waiting, n_waiting
+        if n_waiting >= batch_ids or final and n_waiting:
+            ids = np.concatenate(waiting)
+            cut = len(ids) if final else len(ids) // batch_ids * batch_ids
+            waiting, n_waiting = [ids[cut:]], len(ids) - cut
+            for k in range(0, cut, batch_ids):
+                yield from range_coder.encode(ids[k : min(cut, k + batch_ids)])
+
+    n_bytes = 0
+    for batch in batches:
+        if f is None and batch.num_rows:
+            fs, local = open_fs(path)
+            fs.create_dir(local.rpartition("/")[0], recursive=True)
+            f = fs.open_output_stream(local, compression=None)
+        keys.append(batch.column(0))
+        for data, cuts in texts_in(batch.column(1)):
+            ids, n = words.encode(data, cuts, end)
+            lengths.append(n)
+            waiting.append(ids)
+            n_waiting += len(ids)
+            n_ids += len(ids)
+            for b in coded(False):
+                f.write(b)
+                n_bytes += len(b)
+    if f is None:
+        return
+    for b in coded(True):
+        f.write(b)
+        n_bytes += len(b)
+    keys = pa.chunked_array(keys)
+    heads = zlib.compress(keys.is_valid().to_numpy().astype(np.uint8).tobytes() + keys.fill_null(0).to_numpy().astype("<i8").tobytes() + np.concatenate(lengths).astype("<u4").tobytes(), 6)
+    f.write(heads)
+    f.write(TAIL.pack(len(heads), len(keys), n_ids, n_bytes, MAGIC))
+    f.close()
+    yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [path], "documents": [len(keys)], "n_tokens": [n_ids], "n_bytes": [n_bytes + len(heads) + TAIL.size]})
+
+
+def write_token_files(docs: DataFrame, out: str, tokenizer: str | None = None, end_id: int = 1, shards: int | None = None, shard_bytes: int = 24 << 20) -> DataFrame:
     """Writes the texts of docs (doc_id, text) below `out` in ascending doc_id order; returns the manifest.
 
-    The texts cross one range shuffle. A shard is one task's share: give `shards` for files of
-    another size; memory in a task follows a shard's ids.
+    The texts cross one range shuffle. A shard is one task's share of about `shard_bytes` of text, however large
+    the table is; a task holds a batch of blocks at a time.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    rows = rows.repartitionByRange(shards or partitions(spark), F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
+    if shards is None:
+        shards = max(1, -(-int(rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // shard_bytes))
+    rows = rows.repartitionByRange(shards, F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     rows = rows.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
     done = rows.mapInArrow(functools.partial(lean, _write_shards, f"{out}/data", tokenizer or tokenizer_path(), end_id), MANIFEST)
     done.write.mode("errorifexists").parquet(f"{out}/manifest")
-    return spark.read.parquet(f"{out}/manifest")
+    return spark.read.schema(MANIFEST).parquet(f"{out}/manifest")
 
 
-def read_shard(path: str):
-    """(known, doc_ids, lengths, ids) of one shard."""
+def open_shard(path: str):
+    """(known, doc_ids, lengths, batches of ids) of one shard, in order of the documents."""
     fs, local = open_fs(path)
-    with fs.open_input_stream(local, compression=None) as f:
-        data = f.read()
-    magic, size, n, total = HEAD.unpack_from(data)
+    f = fs.open_input_file(local)
+    f.seek(f.size() - TAIL.size)
+    size, n, total, block_bytes, magic = TAIL.unpack(f.read(TAIL.size))
     if magic != MAGIC:
         raise ValueError(f"{path} is no token file")
-    heads = zlib.decompress(data[HEAD.size : HEAD.size + size])
-    ids = range_coder.decode(data[HEAD.size + size :])
-    if len(ids) != total:
-        raise ValueError(f"{path} holds {len(ids)} ids instead of {total}")
-    return np.frombuffer(heads, np.uint8, n), np.frombuffer(heads, "<i8", n, n), np.frombuffer(heads, "<u4", n, 9 * n), ids
+    f.seek(block_bytes)
+    heads = zlib.decompress(f.read(size))
+    lengths = np.frombuffer(heads, "<u4", n, 9 * n).astype(np.int64)
+    if lengths.sum() != total:
+        raise ValueError(f"{path}: the document table doesn't fit {total} ids")
+    f.seek(0)
+    return np.frombuffer(heads, np.uint8, n), np.frombuffer(heads, "<i8", n, n), lengths, range_coder.decode_file(f, block_bytes)
 
 
 def _read_rows(with_ids: bool, batches):
     for batch in batches:
         for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            known, docs, lengths, ids = read_shard(path)
-            ends = np.cumsum(lengths, dtype=np.int64)
-            starts = ends - lengths
-            rows = {"doc_id": pa.array(docs, mask=known == 0), "start": starts + base, "n_tokens": lengths.astype(np.int64)}
-            raw = memoryview(ids.astype("<u4").tobytes())
-            rows["ids_crc32"] = np.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
-            if with_ids:
-                rows["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids.astype(np.int64)))
-            whole = pa.RecordBatch.from_pydict(rows)
-            for k in range(0, len(docs), 4096):
-                yield whole.slice(k, 4096)
+            known, docs, lengths, parts = open_shard(path)
+            ends = np.cumsum(lengths)
+            done, held, n_held = 0, [], 0  # documents returned, ids of those after them
+            for part in parts:
+                held.append(part)
+                n_held += len(part)
+                first = int(ends[done - 1]) if done else 0
+                to = int(np.searchsorted(ends, first + n_held, "right"))
+                if to == done:
+                    continue
+                ids = np.concatenate(held)
+                held, n_held = [ids[ends[to - 1] - first :]], n_held - int(ends[to - 1] - first)
+                for k in range(done, to, 4096):
+                    stop = min(to, k + 4096)
+                    yield _rows(ids, first, known[k:stop], docs[k:stop], lengths[k:stop], ends[k:stop], base, with_ids)
+                done = to
+            if done < len(docs):
+                raise ValueError(f"{path} ends before its last document")
+
+
+def _rows(ids: np.ndarray, first: int, known, docs, lengths, ends, base: int, with_ids: bool) -> pa.RecordBatch:
+    """Rows of some documents; ids[0] is the shard's id number `first`."""
+    raw, starts = memoryview(ids.astype("<u4", copy=False)).cast("B"), ends - lengths
+    rows = {"doc_id": pa.array(docs, mask=known == 0), "start": starts + base, "n_tokens": lengths}
+    rows["ids_crc32"] = np.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip((starts - first).tolist(), (ends - first).tolist(), strict=True)], np.int64)
+    if with_ids:
+        offsets = np.concatenate([starts[:1], ends]) - starts[0]
+        rows["ids"] = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids[starts[0] - first : ends[-1] - first].astype(np.int64)))
+    return pa.RecordBatch.from_pydict(rows)
 
 
 def read_token_files(spark: SparkSession, out: str, with_ids: bool = True) -> DataFrame:
     """Rows (doc_id, start, n_tokens, ids_crc32[, ids]) of the shards that the manifest names.
 
     start counts the ids of all documents before; only the manifest, a row a shard, is summed for it.
+    Without a manifest the files aren't finished, and Spark says that the path doesn't exist.
     """
-    manifest = spark.read.parquet(f"{out}/manifest")
+    manifest = spark.read.schema(MANIFEST).parquet(f"{out}/manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    shards = manifest.select("path", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
+    shards = manifest.select("shard", "path", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
     kinds = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
-    return shards.repartition(partitions(spark), "path").mapInArrow(functools.partial(lean, _read_rows, with_ids), kinds)
+    # a task reads a shard at a time
+    dealt = shards.repartition(max(1, min(shards.count(), 100_000)), "shard").select("path", "base")
+    return dealt.mapInArrow(functools.partial(lean, _read_rows, with_ids), kinds)
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
