@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import pytest
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, node string, `key` string, n_lines long, piece_ids string"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, node string, `key` string, n_lines long, piece_ids string, id long, `__text` string, posterior string, accepted string, `a.b` string, segment string"
+
+OTHERS = (4, "t", "q", "r", "dot", "s")
 
 
 @pytest.fixture(scope="session")
@@ -26,7 +28,7 @@ def odd_docs(spark):
         (10, "  zeile EINS ist lang genug \r\nkurz\n\nZeile drei ist auch lang", "de", "b.de"),
         (11, "éàü 日本語 🙂 ñ", "fr", "c.fr"),
     ]
-    return spark.createDataFrame([(i, t, a, s, None if t is None else len(t), "x", None, 7, "p") for i, t, a, s in rows], DOCS)
+    return spark.createDataFrame([(i, t, a, s, None if t is None else len(t), "x", None, 7, "p", *OTHERS) for i, t, a, s in rows], DOCS)
 
 
 @pytest.fixture(scope="session")

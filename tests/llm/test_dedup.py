@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from threadloom.llm import components, decontamination, line_dedup, minhash, shingles
+from threadloom.llm import common, components, decontamination, line_dedup, minhash, shingles
 
 
 def _shingles(text, size):
@@ -58,6 +58,24 @@ def test_near_duplicates_of_odd_rows(spark, odd_docs, no_docs):
     assert minhash.near_duplicates(no_docs).count() == 0
 
 
+def test_one_row_of_each_group_stays(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, text), (5, text + " more"), (5, "a text that nobody else has got at all"), (5, "a text that nobody else has got at all"), (7, text), (None, text), (None, text), (8, None), (8, None), (9, "x " * 50), (9, "x " * 51)]
+    docs = spark.createDataFrame([(i, t, 3) for i, t in rows], "doc_id long, text string, `__hash` int").repartition(4)
+    got = minhash.drop_near_duplicates(docs)
+    assert got.columns == docs.columns
+    assert sorted(((r[0] or 0, r[1] or "") for r in got.collect()), key=str)[:-1] == sorted([(1, text), (5, "a text that nobody else has got at all"), (0, text), (0, text), (8, ""), (8, "")], key=str) and got.count() == 7
+
+
+def test_hot_keys_are_dealt_to_several_tasks(spark, monkeypatch):
+    left = spark.range(3000).selectExpr("if(id % 3 = 0, 1, id) as k", "id as v")
+    right = left.groupBy("k").agg(F.count(F.lit(1)).alias("n")).withColumn("w", F.col("k") * 2)
+    want = sorted(map(tuple, left.join(right, "k").select("k", "v", "w").collect()))
+    for row_bytes in (8, 1 << 20):
+        got = common.hot_join(left, right, "k", "n", row_bytes, least=50)
+        assert got.columns == ["k", "v", "w"] and sorted(map(tuple, got.collect())) == want
+
+
 def test_estimate_is_close(spark):
     rng = np.random.default_rng(1)
     for share in (0.5, 0.8, 0.95):
@@ -163,10 +181,10 @@ def test_decontamination_matches_brute_force(spark, odd_docs, no_docs):
                 best = max((a for s in range(-len(w), len(t)) if (a := decontamination.agreement(w, t, s)) is not None), default=None)
                 if best is not None:
                     want.add((d, i, best))
-    for block in (50_000, 4):
-        got = decontamination.contaminated(df, benchmark, block)
+    for most_bits in (1 << 28, 4):  # a crowded filter, too
+        got = decontamination.contaminated(df, benchmark, most_bits)
         assert {(r["doc_id"], r["item_id"], r["n_matched"]) for r in got.collect()} == want
-        clean = decontamination.drop_contaminated(df, benchmark, block)
+        clean = decontamination.drop_contaminated(df, benchmark, most_bits)
         assert {r[0] for r in clean.select("doc_id").collect()} == {n for n, _ in docs} - {d for d, _, _ in want}
     assert len(want) > 10
     kept = decontamination.drop_contaminated(odd_docs, benchmark)

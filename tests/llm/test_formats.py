@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
+import time
 
 import numpy as np
 import pytest
@@ -17,6 +19,11 @@ RECORDS = [
     ({"system": "S", "messages": [{"role": "user>x\n", "content": "\\l<turn a></turn>\n\\g\\\\"}]}, "messages+system", [("system", "S"), ("user>x\n", "\\l<turn a></turn>\n\\g\\\\")]),
     ({"messages": []}, "messages-empty", []),
     ({"messages": [{"role": "assistant", "content": "é🙂\x00" * 20_000}, {"role": None, "content": "</turn>\n"}]}, "messages", [("assistant", "é🙂\x00" * 20_000), ("", "</turn>\n")]),
+    ({"messages": [{"role": "system"}, {"role": "human", "content": "hi"}]}, "messages", [("system", ""), ("human", "hi")]),
+    ({"turns": [{"x": 1}, {"text": "t", "role": "gpt"}, {}], "messages": None}, None, None),
+    ({"turns": [{"x": {"y": [1]}}, {"text": "t", "role": "gpt"}, {}]}, "turns", [("", ""), ("gpt", "t"), ("", "")]),
+    ({"messages": "no list"}, "messages-empty", None),
+    ({"system": None, "question": "q", "answer": "a"}, "question-answer+system", [("system", ""), ("user", "q"), ("assistant", "a")]),
     ({"unknown": 1}, None, None),
 ]
 
@@ -41,6 +48,19 @@ def test_layouts_and_round_trip(spark):
     assert "Python" not in nodes and "Arrow" not in nodes
 
 
+def test_long_texts_are_formatted_whole(spark):
+    rows = [(1, 0, "user", "ab<" * 7_000_000), (1, 1, "assistant", "c" * 21_000_000), (2, 0, "user", "x"), (2, 1, "user", "y" * 21_000_000)]
+    df = spark.createDataFrame(rows[:0], "conv_id long, turn long, role string, text string")
+    for i, t, role, text in rows:
+        df = df.unionAll(spark.range(1).select(F.lit(i).cast("long"), F.lit(t).cast("long"), F.lit(role), F.repeat(F.lit(text[:3]), len(text) // 3)))
+    back = chat_format.read_turns(chat_format.format_turns(chat_format.canonical_turns(chat_format.records_of(df))))
+    got = back.select("conv_id", "layout", F.transform("turns", lambda t: F.struct(t["role"], F.length(t["text"]))).alias("t"), F.length(F.array_join("learned", "")).alias("n")).collect()
+    assert sorted((r[0], r[1], [tuple(x) for x in r[2]], r[3]) for r in got) == [
+        (1, "prompt-response", [("user", 21_000_000), ("assistant", 21_000_000)], 21_000_000),
+        (2, "messages", [("user", 0), ("user", 21_000_000)], 0),
+    ]
+
+
 def test_conversations_with_nulls_and_ties(spark):
     rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, None, None, None), (None, 1, "assistant", "x"), (2, 0, "user", "a"), (2, 0, "user", "a")]
     got = chat_format.canonical_turns(chat_format.records_of(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
@@ -82,6 +102,15 @@ def test_warc_files_are_deterministic(spark):
     assert seen[0] == seen[1] and len(seen[0]) > 3
 
 
+@pytest.mark.parametrize("ids", [[7] * 60, [None] * 60, [*range(30), *range(1 << 62, (1 << 62) + 30)], [-(1 << 63), (1 << 63) - 1, 0, None], [k * k for k in range(200)]])
+def test_warc_shards_hold_about_the_same_bytes(spark, ids):
+    pages = spark.createDataFrame([(i, None, f"{k:04d}" * 250) for k, i in enumerate(ids)], "page_id long, url string, html string")
+    out = scratch(spark, "warc")
+    got = warc.write_warc(pages.repartition(3), out, shard_bytes=5000).groupBy("shard").agg(F.sum("records").alias("n")).collect()
+    assert sum(r["n"] for r in got) == len(ids) and all(r["n"] <= 20 for r in got)
+    assert sorted(r["page_id"] or 0 for r in warc.read_warc(spark, out).collect()) == sorted(i or 0 for i in ids)
+
+
 def test_language_of_odd_rows(spark, odd_docs, no_docs):
     words = {"en": "the and of this with that from", "de": "der die und das nicht mit von", "fr": "le la les dans est pour avec"}
     rows = [(k, " ".join(np.random.default_rng(k).choice(w.split(), 30)), lang, f"h{k % 3}.{lang}", 0) for k, (lang, w) in enumerate((x for _ in range(40) for x in words.items()))]
@@ -97,6 +126,53 @@ def test_language_of_odd_rows(spark, odd_docs, no_docs):
     assert language_id.identify_documents(odd_docs, language_id.train(no_docs)).where("accepted").count() == 0
 
 
+def test_posteriors_match_the_plain_formula(spark):
+    """Votes counted and fused row by row in plain Python."""
+    rng = np.random.default_rng(6)
+    words = {"en": "the and of this with that from".split(), "de": "der die und das nicht mit von".split()}
+    rows = []
+    for k in range(80):
+        lang = ["en", "de"][k % 2]
+        text = None if k % 19 == 0 else " ".join(rng.choice(words[lang], rng.integers(0, 4)))
+        rows.append((k, text, [lang, None, "en"][k % 3], [f"a{k % 5}.{lang}", None, "plain", "x.de"][k % 4]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    model = language_id.train(docs)
+    langs, n = model.langs, len(model.langs)
+    ll = [model.likelihoods((t or "").encode()) / 3 for _, t, _, _ in rows]
+    base = [1e-3 if x == "und" else (1 - 1e-3) / (n - 1) for x in langs]
+    soft = lambda x: [v / sum(e) for e in [[math.exp(y - max(x)) for y in x]] for v in e]
+    own = [soft([a + math.log(b) for a, b in zip(x, base, strict=True)]) if any(x) else [1 / n] * n for x in ll]
+    suffix = lambda h: h.rpartition(".")[2] if h and "." in h else ""
+
+    def prior(k, same, parent):
+        rest = [sum(own[j][i] for j in range(len(rows)) if j != k and same(rows[j])) for i in range(n)]
+        return [(r + 20 * p) / (sum(rest) + 20) for r, p in zip(rest, parent, strict=True)]
+
+    got = {r["doc_id"]: r for r in language_id.identify_documents(docs.repartition(3), model).collect()}
+    for k, (i, _, declared, host) in enumerate(rows):
+        p0 = prior(k, lambda r: True, base)
+        p1 = prior(k, lambda r: suffix(r[3]) == suffix(host), p0)  # noqa: B023
+        p2 = prior(k, lambda r: (r[3] or "") == (host or ""), p1)  # noqa: B023
+        p3 = prior(k, lambda r: (r[2] or "") == (declared or ""), p0)  # noqa: B023
+        post = soft([a + math.log(b) + math.log(c) - math.log(d) for a, b, c, d in zip(ll[k], p2, p3, p0, strict=True)])
+        best = max(range(n), key=post.__getitem__)
+        if any(ll[k]):
+            assert got[i]["lang"] == langs[best] and abs(got[i]["posterior"] - post[best]) < 1e-5
+            assert got[i]["accepted"] == (langs[best] != "und" and post[best] >= 0.5)
+        else:
+            assert (got[i]["lang"], got[i]["posterior"], got[i]["accepted"]) == ("und", 0.0, False)
+
+
+def test_markup_is_taken_out_in_one_pass():
+    page = b"<p>a &amp; b<script>x<y</SCRIPT ><!-- <b> -->c<style>d</style> <i>e"
+    assert b" ".join(language_id.plain(page).split()) == b"a & b c e"
+    assert language_id.plain(b"a < b") == b"a < b" and language_id.plain(b"<script>x") == b" x" and language_id.plain(b"") == b""
+    began = time.perf_counter()
+    for part in (b"<", b"<script ", b"<!--", b"<style>", b"</script"):
+        language_id.plain(part * 500_000)
+    assert time.perf_counter() - began < 30
+
+
 def test_evidence_decides_short_pages(spark):
     lang = {"en": "the and of this with that from", "de": "der die und das nicht mit von"}
     docs = spark.createDataFrame([(w, k) for k, v in lang.items() for w in [v] * 20], "text string, lang string")

@@ -1,7 +1,7 @@
 """Chat formatting with built-in functions only.
 
-A record is a JSON object of some layout. Its nested field paths (those that any mapping knows, sorted) are
-hashed, and the hash selects a declarative mapping to canonical turns: an array of (role, text). The
+A record is a JSON object of some layout. Its nested field paths (those that any mapping knows, sorted; for a list, those
+of all its items) are hashed, and the hash selects a declarative mapping to canonical turns: an array of (role, text). The
 template then writes each turn as
 
     <turn ROLE>TEXT</turn>\\n
@@ -11,20 +11,23 @@ lengths (skip, take, rest) for each turn: `take` characters of assistant text co
 
 Nulls, empties and repeats: a null text or role is an empty string; a record whose layout no mapping
 knows, or that is no JSON object, comes back with null turns; empty lists give empty strings; repeated
-records are all kept. Texts are formatted whole. Further fields of a record and columns of the table pass by.
+records are all kept. Texts are formatted whole, up to Spark's own bound of a string. Further fields of a record
+and columns of the table pass by; columns named layout, turns, formatted or loss_mask give way.
 """
 
 from __future__ import annotations
 
 import hashlib
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import scratch, table
+from threadloom.llm.common import column, fresh, scratch, table
 
-#: What layouts call the roles.
+#: The JSON reader's bounds, lifted: a text may be as long as a string can be.
+JSON = {"maxStringLen": str(2**31 - 1)}
+#: What the conversations layout calls the roles.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "prompter": "user"}
 
 
@@ -37,6 +40,8 @@ class Mapping:
     parts: tuple[tuple[str, tuple[str, ...]], ...] = field(default=())
     #: The list has no item, so its items show no fields.
     empty: bool = False
+    #: The list's names of the roles, where they are others.
+    roles: tuple[tuple[str, str], ...] = ()
 
     def paths(self) -> list[str]:
         if self.items:
@@ -49,14 +54,14 @@ class Mapping:
 
 
 def _with_system(m: Mapping) -> list[Mapping]:
-    return [m, Mapping(f"{m.name}+system", m.items, (("system", ("system",)), *m.parts), m.empty)]
+    return [m, replace(m, name=f"{m.name}+system", parts=(("system", ("system",)), *m.parts))]
 
 
 MAPPINGS = [
     x
     for m in (
         Mapping("messages", ("messages", "role", "content")),
-        Mapping("conversations", ("conversations", "from", "value")),
+        Mapping("conversations", ("conversations", "from", "value"), roles=tuple(ROLES.items())),
         Mapping("turns", ("turns", "role", "text")),
         *(Mapping(f"{a}-empty", (a, b, c), empty=True) for a, b, c in (("messages", "role", "content"), ("conversations", "from", "value"), ("turns", "role", "text"))),
         Mapping("prompt-completion", parts=(("user", ("prompt",)), ("assistant", ("completion",)))),
@@ -69,29 +74,34 @@ MAPPINGS = [
 ]
 
 
-def record_paths(record: Column, mappings: list[Mapping]) -> Column:
-    """The record's nested field paths that some mapping knows, sorted."""
-    known = sorted({p for m in mappings for p in m.paths()})
-    lists = sorted({m.items[0] for m in mappings if m.items})
-    found = [F.coalesce(F.json_object_keys(record), F.array().cast("array<string>"))]
-    for name in lists:
-        inner = F.array_join(F.json_object_keys(F.get_json_object(record, f"$.{name}[0]")), f",{name}[].")
-        found.append(F.when(inner != "", F.split(F.concat(F.lit(f"{name}[]."), inner), ",")).otherwise(F.array().cast("array<string>")))
-    return F.array_sort(F.array_intersect(F.array_distinct(F.concat(*found)), F.array(*map(F.lit, known))))
+_MAP = "map<string,string>"
+_NONE = "array<string>"
+
 
+def _items(fields: Column, name: str) -> Column:
+    """A list's items, each a map from its fields to their JSON or text; null where the field isn't a list of objects."""
+    return F.from_json(fields[name], f"array<{_MAP}>", JSON)
 
-def fingerprint(record: Column, mappings: list[Mapping] | None = None) -> Column:
-    return F.sha2(F.array_join(record_paths(record, mappings or MAPPINGS), ","), 256)
+
+def _fingerprint(fields: Column, lists: dict[str, Column], mappings: list[Mapping]) -> Column:
+    """The hash of the nested field paths that some mapping knows, sorted."""
+    known = sorted({p for m in mappings for p in m.paths()})
+    found = [F.coalesce(F.map_keys(fields), F.array().cast(_NONE))]
+    for name, items in lists.items():
+        inner = F.flatten(F.transform(items, lambda i: F.coalesce(F.map_keys(i), F.array().cast(_NONE))))
+        found.append(F.coalesce(F.transform(inner, lambda k: F.concat(F.lit(f"{name}[]."), k)), F.array().cast(_NONE)))  # noqa: B023
+    paths = F.array_sort(F.array_intersect(F.array_distinct(F.concat(*found)), F.array(*map(F.lit, known))))
+    return F.sha2(F.array_join(paths, ","), 256)
 
 
 def _turn(role: Column, text: Column) -> Column:
     return F.struct(F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
 
 
-def _apply(m: Mapping, record: Column) -> Column:
+def _apply(m: Mapping, fields: Column, lists: dict[str, Column]) -> Column:
     parts = []
-    for role, fields in m.parts:
-        values = [F.coalesce(F.get_json_object(record, f"$.{f}"), F.lit("")) for f in fields]
+    for role, names in m.parts:
+        values = [F.coalesce(fields[f], F.lit("")) for f in names]
         text = values[0]
         for v in values[1:]:
             text = F.when(v == "", text).otherwise(F.concat(text, F.lit("\n"), v))
@@ -99,22 +109,34 @@ def _apply(m: Mapping, record: Column) -> Column:
     out = F.array(*parts) if parts else None
     if m.items:
         name, role, text = m.items
-        items = F.from_json(F.get_json_object(record, f"$.{name}"), f"array<struct<`{role}`: string, `{text}`: string>>")
-        names = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
-        turns = F.transform(items, lambda t: _turn(F.coalesce(F.element_at(names, t[role]), t[role]), t[text]))
+        named = lambda t: t[role]
+        if m.roles:
+            names = F.create_map(*[F.lit(x) for pair in m.roles for x in pair])
+            named = lambda t: F.coalesce(F.element_at(names, t[role]), t[role])
+        turns = F.transform(lists[name], lambda t: _turn(named(t), t[text]))
         out = F.concat(out, turns) if parts else turns
     return out
 
 
 def canonical_turns(records: DataFrame, record: str = "record", mappings: list[Mapping] | None = None) -> DataFrame:
-    """Adds layout (string) and turns (array<struct<role, text>>) to records, by the record's fingerprint."""
+    """Adds layout (string) and turns (array<struct<role, text>>) to records, by the record's fingerprint.
+
+    Items of a list may differ in their fields; a field that an item lacks counts as empty.
+    """
     mappings = mappings or MAPPINGS
-    out = records.withColumn("__print", fingerprint(F.col(record), mappings))
+    lists = sorted({m.items[0] for m in mappings if m.items})
+    records = records.drop("layout", "turns")
+    whole, mark, *names = fresh(records, "fields", "print", *lists)
+    # each column is parsed once: Spark doesn't inline what costs much into several places
+    out = records.withColumn(whole, F.from_json(column(record), _MAP, JSON))
+    out = out.withColumns({n: _items(F.col(whole), x) for n, x in zip(names, lists, strict=True)})
+    items = {x: F.col(n) for n, x in zip(names, lists, strict=True)}
+    out = out.withColumn(mark, _fingerprint(F.col(whole), items, mappings))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast("array<struct<role: string, text: string>>")
     for m in mappings:
-        here = F.col("__print") == m.fingerprint()
-        layout, turns = F.when(here, m.name).otherwise(layout), F.when(here, _apply(m, F.col(record))).otherwise(turns)
-    return out.withColumn("layout", layout).withColumn("turns", turns).drop("__print")
+        here = F.col(mark) == m.fingerprint()
+        layout, turns = F.when(here, m.name).otherwise(layout), F.when(here, _apply(m, F.col(whole), items)).otherwise(turns)
+    return out.withColumns({"layout": layout, "turns": turns}).drop(whole, mark, *names)
 
 
 def escape(x: Column) -> Column:
@@ -139,39 +161,54 @@ OPEN, CLOSE = "<turn ", "</turn>\n"
 
 def format_turns(rows: DataFrame, turns: str = "turns", learn: str = "assistant") -> DataFrame:
     """Adds formatted (string) and loss_mask (array<struct<skip, take, rest>>, characters of each turn) to rows."""
+    (parts,) = fresh(rows, "parts")
     head = lambda t: F.concat(F.lit(OPEN), _escape_role(t["role"]), F.lit(">"))
-    out = rows.withColumn("__parts", F.transform(turns, lambda t: F.struct(head(t).alias("head"), escape(t["text"]).alias("body"), (t["role"] == learn).alias("learn"))))
-    formatted = F.array_join(F.transform("__parts", lambda p: F.concat(p["head"], p["body"], F.lit(CLOSE))), "")
+    out = rows.withColumn(parts, F.transform(turns, lambda t: F.struct(head(t).alias("head"), escape(t["text"]).alias("body"), (t["role"] == learn).alias("learn"))))
+    formatted = F.array_join(F.transform(parts, lambda p: F.concat(p["head"], p["body"], F.lit(CLOSE))), "")
     mask = F.transform(
-        "__parts",
+        parts,
         lambda p: F.struct(
             (F.length(p["head"]) + F.when(p["learn"], 0).otherwise(F.length(p["body"]))).alias("skip"),
             F.when(p["learn"], F.length(p["body"])).otherwise(0).alias("take"),
             F.lit(len(CLOSE)).alias("rest"),
         ),
     )
-    return out.withColumn("formatted", formatted).withColumn("loss_mask", mask).drop("__parts")
+    return out.withColumn("formatted", formatted).withColumn("loss_mask", mask).drop(parts)
 
 
 def read_turns(rows: DataFrame) -> DataFrame:
     """From formatted and loss_mask: turns as they were, and learned, the texts under the loss mask."""
     pieces = F.expr(rf"slice(split(formatted, '\\Q{CLOSE.strip()}\\E\n', -1), 1, size(split(formatted, '\\Q{CLOSE.strip()}\\E\n', -1)) - 1)")
-    out = rows.withColumn("__pieces", F.when(F.col("formatted") == "", F.array().cast("array<string>")).otherwise(pieces))
+    (whole,) = fresh(rows, "pieces")
+    out = rows.withColumn(whole, F.when(F.col("formatted") == "", F.array().cast("array<string>")).otherwise(pieces))
     role = lambda p: F.substring_index(F.substr(p, F.lit(len(OPEN) + 1)), ">", 1)
     turns = F.transform(
-        "__pieces",
+        whole,
         lambda p: F.struct(_unescape_role(role(p)).alias("role"), unescape(F.substr(p, F.length(role(p)) + F.lit(len(OPEN) + 2))).alias("text")),
     )
-    taken = F.zip_with("__pieces", "loss_mask", lambda p, m: F.when(m["take"] > 0, unescape(F.substr(p, m["skip"] + 1, m["take"]))))
-    return out.withColumn("turns", turns).withColumn("learned", F.array_compact(taken)).drop("__pieces")
+    taken = F.zip_with(whole, "loss_mask", lambda p, m: F.when(m["take"] > 0, unescape(F.substr(p, m["skip"] + 1, m["take"]))))
+    return out.withColumn("turns", turns).withColumn("learned", F.array_compact(taken)).drop(whole)
 
 
 def records_of(conversations: DataFrame) -> DataFrame:
-    """(conv_id, record): the rows of a conversation, by turn, as one record of the messages layout."""
+    """(conv_id, record): the rows of a conversation, by turn, as one JSON record.
+
+    A question and its answer become a prompt-response record, with a system text before them one with a system field;
+    longer conversations a list of messages, or of turns where their conv_id is odd. A conversation is one record, so
+    its rows meet in one task: it must fit there, as its text is one string.
+    """
     row = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))
     grouped = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(row)).alias("rows"))
-    messages = F.transform("rows", lambda r: F.struct(r["role"].alias("role"), r["content"].alias("content")))
-    return grouped.select("conv_id", F.to_json(F.struct(messages.alias("messages"))).alias("record"))
+    roles = F.array_join(F.transform("rows", lambda r: r["role"]), ",")
+    text = lambda k: F.col("rows")[k]["content"]
+    listed = lambda name, value: F.to_json(F.struct(F.transform("rows", lambda r: F.struct(r["role"].alias("role"), r["content"].alias(value))).alias(name)))
+    record = (
+        F.when((roles == "user,assistant") & (F.size("rows") == 2), F.to_json(F.struct(text(0).alias("prompt"), text(1).alias("response"))))
+        .when((roles == "system,user,assistant") & (F.size("rows") == 3), F.to_json(F.struct(text(0).alias("system"), text(1).alias("question"), text(2).alias("answer"))))
+        .when(F.pmod("conv_id", F.lit(2)) == 1, listed("turns", "text"))
+        .otherwise(listed("messages", "content"))
+    )
+    return grouped.select("conv_id", record.alias("record"))
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,18 +236,13 @@ WITH rows_ AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
   UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
-), named AS (
-  SELECT conv_id, turn, text, role AS raw,
-         CASE role WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' WHEN 'bot' THEN 'assistant'
-                   WHEN 'model' THEN 'assistant' WHEN 'prompter' THEN 'user' ELSE role END AS role
-  FROM rows_
 )
 SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, raw, text)) AS turns_sha256,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
-  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, raw, text), '')) AS loss_sha256,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '')) AS loss_sha256,
   CAST(sum(15 + length(role) + length(text)
     + 2 * length(role) - length(replace(role, '\', '')) - length(replace(role, '<', '')) + length(role) - length(replace(role, '>', ''))
     + 2 * length(text) - length(replace(text, '\', '')) - length(replace(text, '<', ''))) AS BIGINT) AS formatted_chars
-FROM named GROUP BY conv_id
+FROM rows_ GROUP BY conv_id
 """

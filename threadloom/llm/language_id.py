@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import lean, store, table
+from threadloom.llm.common import column, fields, hot_join, lean, store, table
 
 BUCKETS = 1 << 15
 NONE = "und"
@@ -30,8 +30,8 @@ TEMPER = 1 / 3
 _FOLD = np.arange(256, dtype=np.uint32)
 for _b in range(128):
     _FOLD[_b] = ord(chr(_b).lower()) if chr(_b).isalpha() else 32
-_SCRIPTS = re.compile(rb"<(script|style)\b.*?</\1\s*>|<!--.*?-->", re.S | re.I)
-_TAGS = re.compile(rb"<[^>]*>")
+_OPENS = re.compile(rb"<(?:(!--)|(script|style)\b)?", re.I)
+_ENDS = {b"!--": re.compile(rb"-->"), b"script": re.compile(rb"</script\s*>", re.I), b"style": re.compile(rb"</style\s*>", re.I), b"": re.compile(rb">")}
 _HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]+)"
 _DECLARED = r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})"
 
@@ -47,9 +47,28 @@ def trigrams(text: bytes) -> np.ndarray:
 
 
 def plain(page: bytes) -> bytes:
-    """The text of a page."""
-    text = _TAGS.sub(b" ", _SCRIPTS.sub(b" ", page))
-    return html.unescape(text.decode()).encode() if b"&" in text else text
+    """The text of a page: without tags, comments, scripts and styles. One pass, as what isn't closed is looked for once."""
+    out, at, missing = [], 0, set()
+    while True:
+        m = _OPENS.search(page, at)
+        if m is None:
+            break
+        out.append(page[at : m.start()])
+        end = None
+        for kind in ((m[1] or m[2] or b"").lower(), b""):
+            if kind not in missing and end is None:
+                end = _ENDS[kind].search(page, m.end())
+                if end is None:
+                    missing.add(kind)
+        if end is None:
+            out.append(b"<")
+            at = m.start() + 1
+        else:
+            out.append(b" ")
+            at = end.end()
+    out.append(page[at:])
+    text = b"".join(out)
+    return html.unescape(text.decode(errors="replace")).encode(errors="replace") if b"&" in text else text
 
 
 def _count(batches):
@@ -75,7 +94,10 @@ class Model:
 
 
 def train(labelled: DataFrame, sample: int = 4000) -> Model:
-    """From labelled texts (lang, text), of which about `sample` are taken by a hash of the text."""
+    """From labelled texts (lang, text), of which about `sample` are taken by a hash of the text.
+
+    Rows with a null lang or text take no part; without any other row the model knows the background only.
+    """
     known = labelled.where("lang is not null and text is not null")
     step = max(1, known.count() // sample)
     rows = known.where(F.pmod(F.xxhash64("text"), F.lit(step)) == 0).limit(2 * sample).select("lang", F.col("text").cast("binary"))
@@ -94,42 +116,47 @@ def _prior(langs: list[str], none_prior: float) -> np.ndarray:
     return np.array([none_prior if x == NONE else (1 - none_prior) / max(1, len(langs) - 1) for x in langs])
 
 
-def _score(shared, markup: bool, none_prior: float, batches):
-    """Adds each text's tempered log-likelihoods and its own posterior, which is its vote; a text without trigrams votes for all alike."""
+def _score(shared, markup: bool, none_prior: float, names: list[str], batches):
+    """Adds each text's tempered log-likelihoods and its own posterior, which is its vote, in the place of the text, which comes last.
+
+    A text without trigrams votes for all languages alike.
+    """
     model = shared.value
     prior = np.log(_prior(model.langs, none_prior))
     for batch in batches:
         scores = np.zeros((batch.num_rows, len(model.langs)))
-        for k, x in enumerate(batch.column("__text")):
+        for k, x in enumerate(batch.columns[-1]):
             text = x.as_py() or b""
             scores[k] = model.likelihoods(plain(text) if markup else text) * TEMPER
         own = _softmax(scores + prior)
         own[~scores.any(axis=1)] = 1 / len(model.langs)
-        columns = {c: batch.column(c) for c in batch.schema.names if c != "__text"}
-        yield pa.RecordBatch.from_pydict(columns | {"__ll": pa.array(list(scores), pa.list_(pa.float64())), "__own": pa.array(list(own), pa.list_(pa.float64()))})
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(list(x), pa.list_(pa.float64())) for x in (scores, own))], names=names)
 
 
-def _fuse(langs: list[str], total: list[float], none_prior: float, weight: float, at_least: float, batches):
-    """lang, posterior and accepted from the likelihoods and the counts of the row's host, suffix and declared language."""
-    whole = np.array(total)
+def fuse(ll: np.ndarray, own: np.ndarray, host: np.ndarray, suffix: np.ndarray, declared: np.ndarray, total: np.ndarray, langs: list[str], none_prior: float, weight: float) -> np.ndarray:
+    """Posteriors (rows x languages) from log-likelihoods and the votes of each row's host, suffix, declared language and of all rows."""
 
-    def smoothed(counts, own, parent):
+    def smoothed(counts, parent):
         rest = np.maximum(counts - own, 0)
         return (rest + weight * parent) / (rest.sum(axis=1, keepdims=True) + weight)
 
+    p0 = smoothed(total[None, :], _prior(langs, none_prior))
+    p2 = smoothed(host, smoothed(suffix, p0))
+    return _softmax(ll + np.log(p2) + np.log(smoothed(declared, p0)) - np.log(p0))
+
+
+def _fuse(langs: list[str], total: list[float], none_prior: float, weight: float, at_least: float, n_keys: int, names: list[str], batches):
+    """lang, posterior and accepted, after the key columns."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        ll, own, host, suffix, declared = (np.array(batch.column(c).to_pylist()) for c in ("__ll", "__own", "__n__host", "__n__suffix", "__n__declared"))
-        p0 = smoothed(whole[None, :], own, _prior(langs, none_prior))
-        p2 = smoothed(host, own, smoothed(suffix, own, p0))
-        post = _softmax(ll + np.log(p2) + np.log(smoothed(declared, own, p0)) - np.log(p0))
+        ll, own, host, suffix, declared = (np.array(c.to_pylist()) for c in batch.columns[n_keys:])
+        post = fuse(ll, own, host, suffix, declared, np.array(total), langs, none_prior, weight)
         best, empty = post.argmax(axis=1), ~ll.any(axis=1)
         posterior = np.where(empty, 0.0, np.round(post.max(axis=1), 6))
         lang = [NONE if e else langs[k] for k, e in zip(best.tolist(), empty.tolist(), strict=True)]
         accepted = [x != NONE and p >= at_least for x, p in zip(lang, posterior.tolist(), strict=True)]
-        columns = {c: batch.column(c) for c in batch.schema.names if not c.startswith("__")}
-        yield pa.RecordBatch.from_pydict(columns | {"lang": pa.array(lang, pa.string()), "posterior": posterior, "accepted": pa.array(accepted, pa.bool_())})
+        yield pa.RecordBatch.from_arrays([*batch.columns[:n_keys], pa.array(lang, pa.string()), pa.array(posterior), pa.array(accepted, pa.bool_())], names=names)
 
 
 def identify(rows: DataFrame, model: Model, markup: bool, none_prior: float = 1e-3, weight: float = 20.0, at_least: float = 0.5) -> DataFrame:
@@ -138,28 +165,37 @@ def identify(rows: DataFrame, model: Model, markup: bool, none_prior: float = 1e
     A row is accepted if its text has a trigram of letters and its best language isn't the background and
     has a posterior of `at_least`. Nulls and empties: a null text counts as empty and isn't accepted (its
     lang is 'und', its posterior 0); a null declared language, host or suffix is a value like any other,
-    so that it says what rows without one are like. Repeated rows each count. Keys keep their columns;
-    names that start with two underscores are reserved.
+    so that it says what rows without one are like. Repeated rows each count; an empty table gives none. Keys keep
+    their columns, whatever their names; those named lang, posterior or accepted give way.
     """
     spark = rows.sparkSession
     langs, n = model.langs, len(model.langs)
     shared = spark.sparkContext.broadcast(model)
-    kinds = dict(rows.dtypes)
-    keys = [c for c in rows.columns if c != "text"]
-    scored = rows.select(*[F.col(f"`{c}`") for c in keys], F.col("text").cast("binary").alias("__text"))
-    scored = scored.mapInArrow(functools.partial(lean, _score, shared, markup, none_prior), ", ".join([f"`{c}` {kinds[c]}" for c in keys] + ["__ll array<double>, __own array<double>"]))
-    suffix = F.lower(F.regexp_extract("__host", r"\.([A-Za-z]+)$", 1))
-    scored = store(scored.select("*", F.coalesce("declared", F.lit("")).alias("__declared"), F.coalesce("host", F.lit("")).alias("__host")).withColumn("__suffix", suffix), "likelihoods")
-
-    def votes(*by: str) -> DataFrame:
-        name = f"__n{by[-1]}" if by else "__nall"
-        return scored.groupBy(*by).agg(F.array(*[F.sum(F.col("__own")[k]) for k in range(n)]).alias(name))
-
-    total = [float(x or 0) for x in votes().first()[0]]  # a number a language
-    joined = scored.join(votes("__suffix", "__host"), ["__suffix", "__host"]).join(votes("__suffix"), "__suffix").join(votes("__declared"), "__declared")
-    needed = joined.select(*[F.col(f"`{c}`") for c in keys], "__ll", "__own", "__n__host", "__n__suffix", "__n__declared")
-    schema = ", ".join([f"`{c}` {kinds[c]}" for c in keys] + ["lang string, posterior double, accepted boolean"])
-    return needed.mapInArrow(functools.partial(lean, _fuse, langs, total, none_prior, weight, at_least), schema)
+    new = ["lang", "posterior", "accepted"]
+    keys = [c for c in rows.columns if c not in ("text", *new)]
+    inner = [f"key{k}" for k in range(len(keys))]  # so that no name of theirs clashes with one used here
+    named = rows.select(*[column(c).alias(k) for c, k in zip(keys, inner, strict=True)], F.coalesce("declared", F.lit("")).alias("declared"), F.coalesce("host", F.lit("")).alias("host"), F.col("text").cast("binary").alias("text"))
+    schema = fields(named, [*inner, "declared", "host"], ll="array<double>", own="array<double>")
+    scored = named.mapInArrow(functools.partial(lean, _score, shared, markup, none_prior, schema.names), schema)
+    scored = store(scored.withColumn("suffix", F.lower(F.regexp_extract("host", r"\.([A-Za-z]+)$", 1))), "likelihoods")
+
+    def sums(votes: str) -> Column:
+        return F.array(*[F.sum(F.col(votes)[k]) for k in range(n)])
+
+    counted = lambda by, df, votes, k: df.groupBy(by).agg(sums(votes).alias(f"n_{by}"), k.alias(f"rows_{by}"))
+    # a host has one suffix, so suffixes are summed up from hosts, and the total from suffixes
+    hosts = store(scored.groupBy("host").agg(F.first("suffix").alias("suffix"), sums("own").alias("n_host"), F.count(F.lit(1)).alias("rows_host")), "hosts")
+    suffixes = store(counted("suffix", hosts, "n_host", F.sum("rows_host")), "suffixes")
+    declared = store(counted("declared", scored, "own", F.count(F.lit(1))), "declared")
+    total = [float(x or 0) for x in suffixes.agg(sums("n_suffix")).first()[0]]  # a number a language
+    row_bytes = 16 * n + 100
+    joined = hot_join(scored.drop("suffix"), hosts, "host", "rows_host", row_bytes)
+    joined = hot_join(joined, suffixes, "suffix", "rows_suffix", row_bytes)
+    joined = hot_join(joined, declared, "declared", "rows_declared", row_bytes)
+    needed = joined.select(*inner, "ll", "own", "n_host", "n_suffix", "n_declared")
+    out = fields(named, inner, lang="string", posterior="double", accepted="boolean")
+    done = needed.mapInArrow(functools.partial(lean, _fuse, langs, total, none_prior, weight, at_least, len(inner), out.names), out)
+    return done.select(*[F.col(k).alias(c) for c, k in zip(keys, inner, strict=True)], *new)
 
 
 def host_of(url: str | Column) -> Column:
@@ -171,12 +207,13 @@ def declared_of(page: str | Column) -> Column:
 
 
 def identify_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """Of documents (doc_id, text, lang, source): lang is what they declare, source is their host."""
+    """Of documents (doc_id, text, lang, source): lang is what they declare, source is their host. Nulls and so on as for identify()."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("lang").alias("declared"), F.col("source").alias("host"), "text")
     return identify(rows, model, markup=False)
 
 
 def identify_pages(pages: DataFrame, model: Model) -> DataFrame:
+    """Of pages (page_id, url, html); a null or odd url has no host, a null html no text. Nulls and so on as for identify()."""
     rows = pages.select("page_id", declared_of("html").alias("declared"), host_of("url").alias("host"), F.col("html").alias("text"))
     return identify(rows, model, markup=True)
 

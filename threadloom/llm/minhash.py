@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import lean, store, table
+from threadloom.llm.common import bounded, fresh, hot_join, lean, store, table
 from threadloom.llm.components import components
 from threadloom.llm.shingles import mix, shingle_hashes, word_hashes
 
@@ -77,7 +77,7 @@ def _sketches(size: int, bands: int, rows: int, batches):
                 for c, v in zip(out.values(), (set_key(h), len(h), a, b), strict=True):
                     c.append(v)
             yield pa.RecordBatch.from_pydict(
-                {"doc_id": part.column(0), "node": pa.array(out["node"], pa.binary()), "n_shingles": out["n_shingles"], "signature": pa.array(out["signature"], pa.list_(pa.int64())), "buckets": pa.array(out["buckets"], pa.list_(pa.int64()))}
+                {"doc_id": part.column(0), "text_hash": part.column(2), "node": pa.array(out["node"], pa.binary()), "n_shingles": out["n_shingles"], "signature": pa.array(out["signature"], pa.list_(pa.int64())), "buckets": pa.array(out["buckets"], pa.list_(pa.int64()))}
             )
 
 
@@ -141,24 +141,11 @@ def _blocks(n: int, percent: int, margin: float, batches):
         yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([x for _, x in out], pa.binary())})
 
 
-def bounded(df: DataFrame, row_bytes: int, most_mb: int = 8) -> DataFrame:
-    """df, marked for broadcast only where its counted rows are few enough. df must be cheap to count."""
-    return F.broadcast(df) if df.count() * row_bytes <= most_mb << 20 else df
-
-
-def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, bands: int = 40, rows: int = 5, margin: float = 0.2) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text).
-
-    Documents are linked if their shingle sets' similarity is at least `threshold`; component_id is
-    the least doc_id reachable by links, and the document that carries it is kept.
-
-    Nulls, empties and repeats: a text without words has no shingles and links with nothing; a null
-    doc_id links with nothing, has a null component_id and is kept; rows that repeat a doc_id all
-    return. Further columns of docs are ignored.
-    """
-    rows_ = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
+def _groups(docs: DataFrame, size: int, threshold: float, bands: int, rows: int, margin: float) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash, n_shingles, node) of each row, and (node, component_id, group) of the nodes that aren't alone."""
+    rows_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     percent = round(threshold * 100)
-    sketched = store(rows_.mapInArrow(functools.partial(lean, _sketches, size, bands, rows), f"doc_id long, {NODE}"), "sketches")
+    sketched = store(rows_.withColumn("text_hash", F.xxhash64(F.col("text").cast("string"))).mapInArrow(functools.partial(lean, _sketches, size, bands, rows), f"doc_id long, text_hash long, {NODE}"), "sketches")
     known = sketched.where("n_shingles > 0 and doc_id is not null")
     nodes = store(known.groupBy("node").agg(F.min(F.struct("doc_id", "n_shingles", "signature", "buckets")).alias("x"), F.count(F.lit(1)).alias("copies")).select("node", "x.*", "copies"), "nodes")
     slim = nodes.select("node", "n_shingles", "signature")
@@ -193,13 +180,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, band
     # buckets that span several components, pooled by their largest one
     labelled = store(members.where("n > 2").join(roots.select("node", "root"), "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root")), "labelled")
     by_root = labelled.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("k"))
-    open_ = by_root.groupBy("bucket").agg(F.max(F.struct("k", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    pooled = labelled.join(open_, "bucket").select(F.col("main.root").alias("pool"), "node", "root").distinct()
+    open_ = by_root.groupBy("bucket").agg(F.max(F.struct("k", "root")).alias("main"), F.count(F.lit(1)).alias("roots"), F.sum("k").alias("n")).where("roots > 1")
+    open_ = store(open_, "open")
+    pooled = hot_join(labelled, open_, "bucket", "n", 128).select(F.col("main.root").alias("pool"), "node", "root").distinct()
     pooled = store(pooled.join(slim, "node").withColumn("minor", F.col("root") != F.col("pool")), "pooled")
     full = F.greatest(F.ceil(F.count(F.lit(1)) / _BLOCK), F.ceil(F.sum("n_shingles") / _BLOCK_SHINGLES))
     few = F.greatest(F.ceil(F.count_if("minor") / _MINOR), F.ceil(F.sum(F.when(F.col("minor"), F.col("n_shingles"))) / _BLOCK_SHINGLES))
-    sizes = pooled.groupBy("pool").agg(full.alias("chunks"), few.alias("minors"))
-    wide = pooled.join(sizes, "pool").join(sets_of(pooled.select("node")), "node")
+    sizes = store(pooled.groupBy("pool").agg(full.alias("chunks"), few.alias("minors"), F.count(F.lit(1)).alias("n")), "pools")
+    wide = hot_join(pooled, sizes, "pool", "n", 64).join(sets_of(pooled.select("node")), "node")
     own, own_minor = F.pmod(F.xxhash64("node"), F.col("chunks")), F.pmod(F.xxhash64("node", F.lit(1)), F.col("minors"))
     payload = ["pool", "node", "root", "signature", "hashes"]
     #: a node goes to its own chunk once for each group of minor nodes; a minor node to its group once for each chunk
@@ -211,12 +199,53 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, band
     roots = components(links.unionAll(more))
 
     least = nodes.select("node", "doc_id").join(roots, "node").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    linked = roots.join(least, "root").select("node", "component_id")
-    alone = nodes.where("copies > 1").join(roots, "node", "left_anti").select("node", F.col("doc_id").alias("component_id"))
-    named = sketched.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("node"))).alias("node"))
-    out = named.join(linked.unionAll(alone), "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    linked = roots.join(least, "root").select("node", "component_id", F.col("root").alias("group"))
+    alone = nodes.where("copies > 1").join(roots, "node", "left_anti").select("node", F.col("doc_id").alias("component_id"), F.col("node").alias("group"))
+    named = sketched.select("doc_id", "text_hash", "n_shingles", F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("node"))).alias("node"))
+    return named, linked.unionAll(alone)
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, bands: int = 40, rows: int = 5, margin: float = 0.2) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept, text_hash) for each row of docs (doc_id, text).
+
+    Documents are linked if their shingle sets' similarity is at least `threshold`; component_id is
+    the least doc_id reachable by links, and the document that carries it is kept.
+
+    Nulls, empties and repeats: a text without words has no shingles and links with nothing; a null
+    doc_id links with nothing, has a null component_id and is kept; rows that repeat a doc_id all
+    return. Of rows that share a doc_id and differ in text, each follows its own text; text_hash tells
+    them apart. Further columns of docs are ignored, and an empty table gives no row.
+    """
+    named, groups = _groups(docs, size, threshold, bands, rows, margin)
+    out = named.join(groups, "node", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "text_hash")
+
+
+def drop_near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, bands: int = 40, rows: int = 5, margin: float = 0.2) -> DataFrame:
+    """docs, all columns, with one row of each group of near-duplicates.
+
+    It is the row of the least doc_id, and of rows that share it, of the least text hash; of rows equal in doc_id
+    and text one stays. Rows without a doc_id and rows without words all stay. Links are those of near_duplicates().
+    """
+    named, groups = _groups(docs, size, threshold, bands, rows, margin)
+    members = store(named.join(groups, "node").select("doc_id", "text_hash", "group"), "members-of-groups")
+    first = store(members.groupBy("group").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.count(F.lit(1)).alias("n")), "first-of-groups")
+    stays = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    gone = store(hot_join(members, first, "group", "n", 64).where(~stays).select("doc_id", "text_hash").distinct(), "gone")
+    again = store(members.groupBy("doc_id", "text_hash").count().where("count > 1").select("doc_id", "text_hash"), "repeated")
+    out = _among(docs, gone, "left_anti")
+    if again.isEmpty():
+        return out
+    # rows that are equal in doc_id and text
+    (text_hash,) = fresh(out, "hash")
+    one = _among(out, again, "left_semi").withColumn(text_hash, F.xxhash64("text")).dropDuplicates(["doc_id", text_hash]).drop(text_hash)
+    return _among(out, again, "left_anti").unionAll(one)
+
+
+def _among(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    a, b = fresh(docs, "id", "hash")
+    return docs.join(bounded(rows.toDF(a, b), 24), (F.col("doc_id").cast("long") == F.col(a)) & (F.xxhash64("text") == F.col(b)), how)
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), size=2)
+    return near_duplicates(table(spark, sf_dir, "documents"), size=2).drop("text_hash")

@@ -2,7 +2,8 @@
 
 What a text holds of validated numbers (payment cards by check digit, bank accounts by remainder, social security
 numbers, phone numbers, IPv4 addresses), calendar dates, mail addresses and quoted secrets is replaced by
-another value of the same format: same length, separators, letter case and validity. The replacement is
+another value of the same format: same length, separators, letter case and validity (numbers in IPv4 addresses may
+have another count of digits). The replacement is
 a keyed Feistel permutation of the value's own domain, so equal values stay equal in all documents, in whatever
 separators they are written, different ones stay different, and who holds the key can turn it back.
 
@@ -24,13 +25,18 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import lean, table
+from threadloom.llm.common import column, fields, fresh, mapped, table
 
 ROUNDS = 10
 #: Dates are permuted among the days of these years.
-FIRST_DAY, DAYS = date(1900, 1, 1), (date(2100, 1, 1) - date(1900, 1, 1)).days
+FIRST_DAY, LAST_YEAR = date(1900, 1, 1), 2100
+MONTHS = (LAST_YEAR - FIRST_DAY.year) * 12
+#: The days after the 12th of a month.
+_LATE = [d for k in range((date(LAST_YEAR, 1, 1) - FIRST_DAY).days) if (d := FIRST_DAY + timedelta(days=k)).day > 12]
+_LATE_AT = {d: k for k, d in enumerate(_LATE)}
 _DIGITS = "0123456789"
 _LOWER, _UPPER, _HEX = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
+_TO_LOWER = str.maketrans(_UPPER, _LOWER)
 
 _FIND = regex.compile(
     r"""
@@ -120,7 +126,7 @@ class Pseudonyms:
         body = self.letters(f"iban|{plain[:2]}", plain[4:], back)
         check = 98 - _remainder(plain[:2] + "00" + body)
         out = iter(plain[:2] + f"{check:02d}" + body)
-        return "".join(c if c == " " else next(out) for c in text)
+        return _cased(text, "".join(c if c == " " else next(out) for c in text))
 
     def ssn(self, text: str, back: bool) -> str | None:
         digits = _only_digits(text)
@@ -147,26 +153,39 @@ class Pseudonyms:
         return ".".join(map(str, value.to_bytes(4, "big")))
 
     def day(self, text: str, back: bool) -> str | None:
+        """With slashes the month comes first, unless only the other order is a date.
+
+        Days up to the 12th and later ones are permuted among themselves, so that a date still reads in that order.
+        """
         a, b, c = (int(x) for x in regex.split(r"[-./]", text))
-        try:
-            when = date(a, b, c) if "-" in text else date(c, b, a) if "." in text else date(c, a, b)
-        except ValueError:
-            return None
-        k = (when - FIRST_DAY).days
-        if not 0 <= k < DAYS:
-            return None
-        new = FIRST_DAY + timedelta(days=self.permuted("day", k, DAYS, back))
-        return new.strftime("%Y-%m-%d" if "-" in text else "%d.%m.%Y" if "." in text else "%m/%d/%Y")
+        for y, m, d, form in ((a, b, c, "%Y-%m-%d"),) if "-" in text else ((c, b, a, "%d.%m.%Y"),) if "." in text else ((c, a, b, "%m/%d/%Y"), (c, b, a, "%d/%m/%Y")):
+            try:
+                when = date(y, m, d)
+            except ValueError:
+                continue
+            if not FIRST_DAY.year <= y < LAST_YEAR:
+                return None
+            months = (y - FIRST_DAY.year) * 12 + m - 1
+            if d <= 12:
+                months, d = divmod(self.permuted("day|12", months * 12 + d - 1, MONTHS * 12, back), 12)
+                new = date(FIRST_DAY.year + months // 12, months % 12 + 1, d + 1)
+            else:
+                new = _LATE[self.permuted("day|31", _LATE_AT[when], len(_LATE), back)]
+            return new.strftime(form)
+        return None
 
     def email(self, text: str, back: bool) -> str | None:
         local, _, domain = text.rpartition("@")
-        return f"{self.letters('email|' + domain.lower(), local, back)}@{domain}"
+        return f"{_cased(local, self.letters('email|' + domain.lower(), local.translate(_TO_LOWER), back))}@{domain}"
 
     def secret(self, text: str, back: bool) -> str | None:
         if set(text) <= set(_HEX):
             n = len(text)
             return f"{self.permuted(f'hex|{n}', int(text, 16), 16**n, back):0{n}x}"
-        return self.letters("secret", text, back)
+        text = self.letters("secret", text, back)
+        while set(text) <= set(_HEX):  # those have their own permutation
+            text = self.letters("secret", text, back)
+        return text
 
     def replace(self, text: str, back: bool = False) -> tuple[str, Counter]:
         """The text with its pseudonyms (or, with back, its values again), and how many of each kind."""
@@ -189,6 +208,11 @@ def _only_digits(text: str) -> str:
     return "".join(c for c in text if c in _DIGITS)
 
 
+def _cased(text: str, new: str) -> str:
+    """new, of the same length, in upper and lower case where text is."""
+    return "".join(n.upper() if c in _UPPER else n.lower() if c in _LOWER else n for c, n in zip(text, new, strict=True))
+
+
 def _filled(text: str, digits: str) -> str:
     """The text with its digits replaced in order."""
     it = iter(digits)
@@ -209,27 +233,25 @@ def _remainder(iban: str) -> int:
 _kept: dict[bytes, Pseudonyms] = {}
 
 
-def _replace_rows(key: bytes, back: bool, batches):
+def _replace_rows(key: bytes, back: bool, names: list[str], batches):
+    """The kept columns and the new ones; the text comes last."""
     p = _kept.setdefault(key, Pseudonyms(key))
     for batch in batches:
         texts, counts, kinds = [], [], []
-        for x in batch.column("__text"):
+        for x in batch.columns[-1]:
             text, found = (None, Counter()) if (t := x.as_py()) is None else p.replace(t, back)
             texts.append(text)
             counts.append(sum(found.values()))
             kinds.append(",".join(f"{k}:{n}" for k, n in sorted(found.items())))
-        columns = {c: batch.column(c) for c in batch.schema.names if c != "__text"}
-        yield pa.RecordBatch.from_pydict(columns | {"text": pa.array(texts, pa.string()), "n_found": pa.array(counts, pa.int64()), "found_kinds": pa.array(kinds, pa.string())})
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(kinds, pa.string())], names=names)
 
 
 def pseudonymize(docs: DataFrame, key: bytes, back: bool = False) -> DataFrame:
     """docs with text replaced, and n_found and found_kinds ('card:1,email:2') added. A narrow job: no row moves."""
-    new = ["text", "n_found", "found_kinds"]
-    kept = [c for c in docs.columns if c not in new]
-    kinds = dict(docs.dtypes)
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col("text").alias("__text"))
-    schema = ", ".join([f"`{c}` {kinds[c]}" for c in kept] + ["text string, n_found long, found_kinds string"])
-    return rows.mapInArrow(functools.partial(lean, _replace_rows, key, back), schema)
+    kept = [c for c in docs.columns if c not in ("text", "n_found", "found_kinds")]
+    rows = docs.select(*map(column, kept), F.col("text").alias(fresh(docs, "text")[0]))
+    schema = fields(docs, kept, text="string", n_found="long", found_kinds="string")
+    return mapped(rows, schema, _replace_rows, key, back)
 
 
 def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:

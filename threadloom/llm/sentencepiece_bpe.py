@@ -21,9 +21,8 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from threadloom.llm.common import lean, table
+from threadloom.llm.common import column, fields, fresh, mapped, table
 
 SPACE = "▁"
 DEFAULT_MODEL = "piece_bpe_32k.model"
@@ -153,7 +152,7 @@ class Words(dict):
         self.encoder = encoder
 
     def __missing__(self, word: bytes) -> bytes:
-        got = self.encoder.word(SPACE + word.decode())
+        got = self.encoder.word(SPACE + word.decode(errors="replace"))
         if len(word) < 200:
             if len(self) >= self.encoder.most // 2:
                 self.clear()
@@ -178,31 +177,30 @@ def encode_text(text: bytes, path: str) -> np.ndarray:
     if not text:
         return np.empty(0, "<u4")
     if b"  " in text or b"\xe2\x96\x81" in text or text[:1] == b" " or text[-1:] == b" ":
-        whole = SPACE + text.decode().replace(" ", SPACE)
+        whole = SPACE + text.decode(errors="replace").replace(" ", SPACE)
         return np.frombuffer(b"".join(map(e.word, _RUNS.findall(whole))), "<u4")
     return np.frombuffer(b"".join(map(words.__getitem__, text.split(b" "))), "<u4")
 
 
-def _encode_rows(path: str, digests: bool, with_ids: bool, batches):
+def _encode_rows(path: str, digests: bool, with_ids: bool, names: list[str], batches):
+    """The kept columns and the new ones; the text comes last."""
     e, _ = encoder(path)
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
-            ids = [encode_text(x.as_py() or b"", path) for x in part.column("__text")]
+            ids = [encode_text(x.as_py() or b"", path) for x in part.columns[-1]]
             plain = [i.tolist() for i in ids]
             decoded = [e.model.decode(i) for i in plain]
-            columns = {c: part.column(c) for c in part.schema.names if c != "__text"}
+            columns = part.columns[:-1]
             if digests:
-                columns |= {
-                    "n_tokens": pa.array([len(i) for i in plain], pa.int64()),
-                    "ids_sha256": [hashlib.sha256(",".join(map(str, i)).encode()).hexdigest() for i in plain],
-                    "decoded_sha256": [hashlib.sha256(d.encode()).hexdigest() for d in decoded],
-                }
+                columns.append(pa.array([len(i) for i in plain], pa.int64()))
+                columns.append(pa.array([hashlib.sha256(",".join(map(str, i)).encode()).hexdigest() for i in plain], pa.string()))
+                columns.append(pa.array([hashlib.sha256(d.encode()).hexdigest() for d in decoded], pa.string()))
             else:
-                columns |= {"decoded": pa.array(decoded, pa.string())}
+                columns.append(pa.array(decoded, pa.string()))
             if with_ids:
-                columns |= {"piece_ids": pa.array(plain, pa.list_(pa.int32()))}
-            yield pa.RecordBatch.from_pydict(columns)
+                columns.append(pa.array(plain, pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
 def encode(docs: DataFrame, text: str = "text", keep: list[str] | None = None, model: str | None = None, digests: bool = False, with_ids: bool = True) -> DataFrame:
@@ -214,11 +212,10 @@ def encode(docs: DataFrame, text: str = "text", keep: list[str] | None = None, m
     """
     new = (["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["decoded"]) + ["piece_ids"] * with_ids
     kept = [c for c in (docs.columns if keep is None else keep) if c not in new]
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("binary").alias("__text"))
-    kinds = dict(docs.dtypes)
-    added = {"n_tokens": "long", "piece_ids": "array<int>"}
-    schema = ", ".join([f"`{c}` {kinds[c]}" for c in kept] + [f"{c} {added.get(c, 'string')}" for c in new])
-    return rows.mapInArrow(functools.partial(lean, _encode_rows, model or model_path(), digests, with_ids), schema)
+    rows = docs.select(*map(column, kept), column(text).cast("binary").alias(fresh(docs, "text")[0]))
+    kinds = {"n_tokens": "long", "piece_ids": "array<int>"}
+    schema = fields(docs, kept, **{c: kinds.get(c, "string") for c in new})
+    return mapped(rows, schema, _encode_rows, model or model_path(), digests, with_ids)
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

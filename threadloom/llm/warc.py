@@ -1,7 +1,8 @@
 """WARC archives: a deterministic sharded writer and a reader.
 
-Pages are cut into shards by page_id at bounds from a sample that hashing fixes, so the same table
-gives the same shards on any cluster. A shard's records are sorted, written one gzip member each,
+Pages are cut into shards by page_id, at bounds from sums of bytes over intervals of page_ids, so the same table
+gives the same shards on any cluster, each of about the same bytes; a page_id of more bytes than a shard is cut by digest.
+A shard's records are sorted, written one gzip member each,
 and rolled to a new file by compressed size. HTTP and WARC headers, record ids and digests are made
 anew from the payload. Each file is written under a temporary name; the manifest of finished attempts is
 stored, and a second job moves the files it names to their final names. Either job may run twice.
@@ -11,7 +12,7 @@ that is decided on digests, by a grouped maximum, and reaches the writer as mark
 their page, so payloads cross one shuffle only.
 
 Nulls, empties and repeats: a null html is an empty payload; a null url gives no target header; a null
-page_id sorts first and is never what others refer to; of repeated rows of one page, the first is as above
+page_id sorts first (cut by digest too, where there are many) and is never what others refer to; of repeated rows of one page, the first is as above
 and the others revisit it. An empty table gives no file. Further columns aren't stored.
 """
 
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import lean, open_fs, partitions, scratch, store, table
+from threadloom.llm.common import lean, open_fs, scratch, store, table
 
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL name space of RFC 9562
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -122,8 +123,58 @@ def _commit(out: str, batches):
         yield pa.RecordBatch.from_pylist(rows, schema=batch.schema)
 
 
-def write_warc(pages: DataFrame, out: str, least: int = 1000, shard_bytes: int = 64 << 20, roll_bytes: int = 32 << 20, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
-    """Writes pages (page_id, url, html) as archives below `out`; returns the manifest (shard, part, path, records, n_bytes)."""
+#: What a null page_id sorts as.
+NO_PAGE = -(1 << 63)
+#: Intervals that a round starts with, and parts that a heavy one is cut into.
+_WIDE, _CUT = 1024, 16
+
+
+def cuts(slim: DataFrame, shard_bytes: int, most_shards: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
+    """(first page_ids of intervals, ascending from NO_PAGE; shards of each), from rows (page_id, n bytes).
+
+    Intervals of equal width are summed up, and heavy ones cut and summed again until each is light or a single page_id;
+    then neighbours are joined up to a shard's size. The driver sees a sum an interval: a few numbers a shard, of which
+    there are at most most_shards, as shards grow beyond shard_bytes in very large tables.
+    """
+    low, high, total = slim.agg(F.min("page_id"), F.max("page_id"), F.sum("n")).first()
+    if low is None:
+        starts = np.array([NO_PAGE])
+    else:
+        starts = np.unique(np.array([NO_PAGE, *(low + (high + 1 - low) * k // _WIDE for k in range(_WIDE))], np.int64))
+    room = max(shard_bytes, int(total or 0) // most_shards)
+    while True:
+        at = starts
+
+        @F.pandas_udf("long")
+        def interval(page: pd.Series) -> pd.Series:
+            return pd.Series(np.searchsorted(at, page.fillna(NO_PAGE).to_numpy(np.int64), side="right") - 1)  # noqa: B023
+
+        sums = np.zeros(len(starts), np.int64)
+        for k, n in slim.groupBy(interval("page_id").alias("k")).agg(F.sum("n").alias("n")).toLocalIterator():
+            sums[k] = n or 0
+        ends = [*starts[1:].tolist(), (high if high is not None else NO_PAGE) + 1]
+        wide = np.array([b - a > 1 for a, b in zip(starts.tolist(), ends, strict=True)])
+        wide[0] = False  # null page_ids
+        heavy = np.flatnonzero((sums * 2 > room) & wide)
+        joined, held = [], None
+        for k, (start, n) in enumerate(zip(starts.tolist(), sums.tolist(), strict=True)):
+            if held is None or held + n > room // (2 if len(heavy) else 1) or k in (0, 1):
+                joined.append(k)
+                held = 0
+            held += n
+        if not len(heavy):
+            sums = np.add.reduceat(sums, joined)
+            return starts[joined], np.maximum(1, -(-sums // (2 * room)))
+        more = [a + (b - a) * j // _CUT for a, b in ((int(starts[k]), int(ends[k])) for k in heavy.tolist()) for j in range(_CUT)]
+        after = heavy[heavy + 1 < len(starts)] + 1  # what follows a cut interval begins anew
+        starts = np.unique(np.concatenate([starts[joined], np.array(more, np.int64), starts[after]]))
+
+
+def write_warc(pages: DataFrame, out: str, least: int = 1000, shard_bytes: int = 32 << 20, roll_bytes: int = 32 << 20, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
+    """Writes pages (page_id, url, html) as archives below `out`; returns the manifest (shard, part, path, records, n_bytes).
+
+    Nulls, empties and repeats are as the module says.
+    """
     spark = pages.sparkSession
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     full = pages.select(F.col("page_id").cast("long"), "url", payload.alias("payload"))
@@ -133,25 +184,24 @@ def write_warc(pages: DataFrame, out: str, least: int = 1000, shard_bytes: int =
     last = slim.where(F.col("n") >= least).groupBy("digest", "n").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("copies")).where("copies > 1 and last is not null")
     marks = slim.join(last, ["digest", "n"]).where("page_id is null or page_id < last").select("page_id", "digest", "last").distinct()
 
-    rows, size = slim.agg(F.count(F.lit(1)), F.sum("n")).first()
-    shards = max(1, -(-int(size or 0) // shard_bytes))
-    step = max(1, int(rows) // (shards * 64))  # about 64 sampled ids a shard
-    sample = sorted(r[0] for r in slim.where(F.col("page_id").isNotNull() & (F.pmod(F.xxhash64("page_id"), F.lit(step)) == 0)).select("page_id").collect()) if shards > 1 else []
-    bounds = np.array(sample, np.int64)[[len(sample) * k // shards for k in range(1, shards)]] if sample else np.empty(0, np.int64)
+    starts, parts = cuts(slim, shard_bytes)
+    first = np.cumsum(parts) - parts
 
-    @F.pandas_udf("long")
-    def shard_of(x: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, x.fillna(np.iinfo(np.int64).min).to_numpy(np.int64), side="right"))
+    @F.pandas_udf("int")
+    def shard_of(page: pd.Series, digest: pd.Series) -> pd.Series:
+        k = np.searchsorted(starts, page.fillna(NO_PAGE).to_numpy(np.int64), side="right") - 1
+        sub = digest.str[:12].map(lambda d: int(d, 16)).to_numpy(np.int64) % parts[k]
+        return pd.Series((first[k] + sub).astype(np.int32))
 
     # a page and its marker have the same keys, and the marker sorts first
     both = full.select("page_id", "digest", F.lit(1).alias("mark"), "url", "payload", F.lit(None).cast("long").alias("refers")).unionAll(
         marks.select("page_id", "digest", F.lit(0), F.lit(None).cast("string"), F.lit(None).cast("binary"), "last")
     )
-    keyed = both.withColumn("shard", shard_of("page_id") if len(bounds) else F.lit(0).cast("long")).select("shard", "page_id", "digest", "mark", "url", "payload", "refers")
-    dealt = keyed.repartitionByRange(min(shards, 1 << 20), "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "digest", "mark", "url")
+    keyed = both.withColumn("shard", shard_of("page_id", "digest") if parts.sum() > 1 else F.lit(0)).select("shard", "page_id", "digest", "mark", "url", "payload", "refers")
+    dealt = keyed.repartitionById(int(parts.sum()), "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "digest", "mark", "url")
     attempts = store(dealt.mapInArrow(functools.partial(lean, _write, out, roll_bytes, least, date), MANIFEST), "warc-attempts")
-    attempts.repartition(partitions(spark), "shard", "part").mapInArrow(functools.partial(lean, _commit, out), MANIFEST).write.parquet(f"{out}/manifest")
-    return spark.read.parquet(f"{out}/manifest")
+    attempts.repartition(max(1, min(1000, int(parts.sum()))), "shard", "part").mapInArrow(functools.partial(lean, _commit, out), MANIFEST).write.parquet(f"{out}/manifest")
+    return spark.read.schema(MANIFEST).parquet(f"{out}/manifest")
 
 
 def records_in(f):
@@ -205,9 +255,13 @@ _ROWS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload", pa
 
 
 def read_warc(spark: SparkSession, out: str) -> DataFrame:
-    """The records of the archives that the manifest names; digests are checked, a revisit's payload is null."""
+    """The records of the archives that the manifest names; digests are checked, a revisit's payload is null.
+
+    Without a manifest the archives aren't finished, and Spark says that the path doesn't exist.
+    """
     kinds = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    return spark.read.parquet(f"{out}/manifest").select("path").repartition(partitions(spark), "path").mapInArrow(_read, kinds)
+    manifest = spark.read.schema(MANIFEST).parquet(f"{out}/manifest")
+    return manifest.repartition(max(1, min(manifest.count(), 100_000)), "path").select("path").mapInArrow(_read, kinds)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
