@@ -10,29 +10,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm import decontamination, language_id, line_dedup, minhash, sentencepiece_bpe
-from threadloom.llm.common import store, table
+from threadloom.llm.common import bounded, column, fresh, store, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without words or in no known language; lang becomes the language found."""
     found = language_id.identify_documents(docs, language_id.train(docs))
     changed = found.where(~F.col("accepted") | ~F.col("lang").eqNullSafe(F.col("declared")))
-    rows = changed.groupBy("doc_id", "text_hash", "declared").agg(F.max("lang").alias("__lang"), F.max("accepted").alias("__accepted"))
-    rows = store(rows.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("declared").alias("__declared"), "__lang", "__accepted"), "changed")
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")) & F.col("lang").eqNullSafe(F.col("__declared"))
-    joined = docs.join(minhash.bounded(rows, 100), same, "left").where(F.coalesce("__accepted", F.lit(True)))
-    return joined.withColumn("lang", F.coalesce("__lang", "lang")).select(*docs.columns)
+    rows = changed.groupBy("doc_id", "text_hash", "declared").agg(F.max("lang"), F.max("accepted"))
+    i, text_hash, declared, lang, accepted = names = fresh(docs, "id", "hash", "declared", "found", "accepted")
+    same = F.col("doc_id").eqNullSafe(F.col(i)) & (F.xxhash64("text") == F.col(text_hash)) & F.col("lang").eqNullSafe(F.col(declared))
+    joined = docs.join(bounded(store(rows.toDF(*names), "changed"), 100), same, "left").where(F.coalesce(accepted, F.lit(True)))
+    return joined.withColumn("lang", F.coalesce(lang, "lang")).select(*map(column, docs.columns))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(docs)
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*map(column, docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates: five words, similarity 0.8."""
-    gone = store(minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct(), "near")
-    return docs.join(minhash.bounded(gone, 16), "doc_id", "left_anti").select(*docs.columns)
+    return minhash.drop_near_duplicates(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
