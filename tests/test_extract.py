@@ -42,6 +42,38 @@ def test_python_sources():
     assert extract.python_sql("print('hello')") == []
 
 
+def test_names_stand_for_their_last_binding():
+    code = 'sql = "select 1 from a"\nrun_sql(sql)\nsql = "select 2 from b"\nrun_sql(sql)\nsql = make()\nrun_sql(sql)\nq = "select 3 "\nq += "from c"\nfetch_all(sql_str=q)'
+    assert [s for _, s, _ in extract.python_sql(code)] == ["select 1 from a", "select 2 from b", "select 3 from c"]
+    assert extract.envelope(code)[0] == ("SUCCESS", "HIGH", "CANDIDATE_FOUND", 3)
+    reasons = {"": "EMPTY_SCRIPT", "run_sql()": "SQL_ARGUMENT_MISSING", "run_sql('x')": "SQL_ARGUMENT_NOT_SQL", "f(": "PYTHON_PARSE_FAILED", "go('select a from b')": "SQL_CALL_NOT_RECOGNIZED"}
+    assert {k: extract.envelope(k)[0][2] for k in reasons} == reasons
+
+
+def test_statement_grammar(spark):
+    one = lambda x, f: _eval(spark, x, f)
+    sources = ["select * from \"a b\".`c`, x join [d].[e] on 1 = 1", "select * from f(1) join s . t using (k)", "with recursive r (n) as (select 1 from base) select * from r", "select substring(a from 2 for 3) from t", "select * from lateral (select 1 from u) x", "/* from no */ select 'from no' -- from no\nfrom yes", None]
+    assert one(sources, sqltext.source_tables) == [["AB.C", "D.E"], ["S.T"], ["BASE"], ["T"], ["U"], ["YES"], []]
+    classes = one(["INSERT INTO LOCAL TABLE x.y SELECT 1", "create unlogged table if not exists t#1 (a int)", "create or replace temp view v as select 1", "update only a . b set c = 1", "drop table x"], sqltext.statement_class)
+    assert [(c["statement_type"], c["target"], c["is_temporary"]) for c in classes] == [("INSERT_INTO", "X.Y", False), ("CREATE_TABLE", "T#1", False), ("CREATE_VIEW", "V", True), ("UPDATE", "A.B", False), ("UNKNOWN", None, False)]
+    assert one(["insert into a.{x} select 1", "merge into a . {0} using b", "create foreign table if not exists %s (a int)", "insert into a select '{x}'"], sqltext.dynamic_target) == ["INSERT", "MERGE", "CREATE_FOREIGN_TABLE", None]
+    assert one(["a" * 200_000 + " from t where x = '" + "b" * 200_000 + "'"], sqltext.source_tables) == [["T"]]
+
+
+def test_columns_through_queries():
+    leaf = lambda sql: [r[2:] for r in extract.projections(sql)]
+    assert leaf("insert into t (a) with c as (select x.k as a from s.u x), d as (select a from c) select d.a from d") == [("S.U", "K", "RESOLVED")]
+    assert leaf("with c as (select a from c) insert into t (a) select c.a from c") == [(None, "A", "UNRESOLVED")]  # its own source
+    assert leaf("insert into t (a) select q.a from (select a from x union select a from y) q")[0][2] == "UNRESOLVED"
+    assert leaf("insert into t (a, b) select q.n, r.m from (select distinct p.z n from s.p p) as q left join s.r r on q.n = r.n where 1 = 1") == [("S.P", "Z", "RESOLVED"), ("S.R", "M", "RESOLVED")]
+
+
+def test_json_paths_and_hashes(spark):
+    assert _eval(spark, ['{"b": 1, "a": [ {"d": 2, "c": null} ]}', "no json", None, "3"], names.canonical_json) == ['{"a":[{"c":null,"d":2}],"b":1}', None, None, "3"]
+    a, b, c = _eval(spark, ["http://h/x/y?q=1", "/z/x/y", None], names.path_hash)
+    assert a == b and c is None
+
+
 def test_ddl_and_projections():
     ddl = "create temp table x.y (a int comment 'it, is', b decimal(1,2), primary key (a)); comment on column x.y.b is 'B'; alter table x.y add c int comment 'C'"
     assert extract.ddl_columns(ddl) == [("X.Y", "A", "it, is", "create"), ("X.Y", "B", None, "create"), ("X.Y", "C", "C", "alter"), ("X.Y", "B", "B", "comment")]
@@ -68,7 +100,7 @@ def test_name_functions(spark):
     parsed = _eval(spark, ["005:dws_dwf.t:3:x", "005:dwf.t:3", "004:dwf.t:3", "005:t:3", "", "x", None], names.parse_program_name)
     got = [(p["target"], p["hint"], p["step"]) for p in parsed]
     assert got == [("DWF.T", "DWF.T", 3), (None, "DWF.T", None), *[(None, None, None)] * 2, (None, None, None), (None, None, None), (None, None, None)]
-    assert "STEP_MISSING" in parsed[1]["diagnostics"] and parsed[3]["diagnostics"][0] == "TARGET_INVALID" and parsed[2]["diagnostics"] == ["MARKER_INVALID", "TARGET_INVALID"]
+    assert "PROGRAM_NAME_STEP_MISSING" in parsed[1]["diagnostics"] and parsed[3]["diagnostics"][0] == "PROGRAM_NAME_TARGET_INVALID" and parsed[2]["diagnostics"] == ["PROGRAM_NAME_MARKER_INVALID", "PROGRAM_NAME_TARGET_INVALID"]
     assert _eval(spark, ["8:05", "23:59:59", "8:61", "x", None], names.schedule_seconds) == [29100, 86399, None, None, None]
     assert _eval(spark, ["DWS_T", "T"], lambda x: F.array_join(names.table_aliases(x), ",")) == ["DWS_T,T", "T,DWS_T"]
     assert _eval(spark, [r"C:\a\b\c.py", "/x/y/", ""], lambda x: names.last_components(x, 2)) == ["b/c.py", "x/y", ""]

@@ -4,6 +4,7 @@ import random
 from collections import deque
 
 import pytest
+from pyspark.sql import functions as F
 
 from threadloom.operators import graph
 
@@ -66,9 +67,41 @@ def test_collapse_counts_every_path(spark):
     kinds = spark.createDataFrame([(n, n[0] in "tlr") for n in nodes], "node string, collapsible boolean")
     want = {("A", "B", 1024), ("B", "B", 1), }
     assert {(r["src"], r["dst"], r["paths"]) for r in graph.collapse(_edges(spark, pairs), kinds).collect() if r["src"] in "AB"} == want
-    loop = spark.createDataFrame([("t0", True), ("t1", True)], "node string, collapsible boolean")
-    with pytest.raises(ValueError):
-        graph.collapse(_edges(spark, [("A", "t0"), ("t0", "t1"), ("t1", "t0")]), loop, max_depth=5)
+
+
+def _simple_paths(pairs, inner):
+    """Every path between outer nodes through inner ones that meets no node twice (but may end where it began)."""
+    out = {}
+
+    def walk(path):
+        for a, b in sorted(set(pairs)):
+            if a == path[-1] and (b not in path or (b == path[0] and b not in inner)):
+                if b in inner:
+                    walk([*path, b])
+                else:
+                    out.setdefault((path[0], b), []).append([*path, b])
+
+    for n in {n for p in pairs for n in p} - inner:
+        walk([n])
+    return out
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_collapse_with_cycles_and_samples(spark, seed):
+    rng = random.Random(seed)
+    inner = {f"t{k}" for k in range(5)}
+    names = [*sorted(inner), "A", "B", "C"]
+    pairs = [(rng.choice(names), rng.choice(names)) for _ in range(16)] + [("A", "t0"), ("t0", "t1"), ("t1", "t0"), ("t1", "B")]
+    kinds = spark.createDataFrame([(n, n in inner) for n in names], "node string, collapsible boolean")
+    want = _simple_paths(pairs, inner)
+    got = {(r["src"], r["dst"]): (r["paths"], r["depth"]) for r in graph.collapse(_edges(spark, pairs), kinds).collect()}
+    assert got == {k: (len(v), min(map(len, v)) - 1) for k, v in want.items()}
+    few = {(r["src"], r["dst"]): (r["paths"], r["depth"]) for r in graph.collapse(_edges(spark, pairs), kinds, most_states=1).collect()}
+    assert few == {k: (None, d) for k, (_, d) in got.items()}
+    samples = {}
+    for r in graph.path_samples(_edges(spark, pairs), kinds, most=1000).collect():
+        samples.setdefault((r["src"], r["dst"]), []).append((r["place"], r["path"]))
+    assert {k: [p for _, p in sorted(v)] for k, v in samples.items()} == {k: sorted(v, key=lambda p: (len(p), p)) for k, v in want.items()}
 
 
 def test_boundary_keeps_loops_apart(spark):
@@ -88,3 +121,80 @@ def test_chunks_hold_their_closures(spark):
     assert max(sizes.values()) <= 20
     with pytest.raises(ValueError):
         graph.pack_closures(_edges(spark, pairs), most=5)
+
+
+def test_chunks_of_a_large_group_repeat_what_they_share(spark):
+    """Many tops over one shared base, a cycle, and a pair: no weak group fits, each closure does."""
+    pairs = [(f"top{k}", "mid") for k in range(40)] + [("mid", f"low{k}") for k in range(5)] + [("c1", "c2"), ("c2", "c1"), ("c2", "mid"), ("x", "y")]
+    closure = {}
+    for n in {n for p in pairs for n in p}:
+        seen, todo = set(), [n]
+        while todo:
+            m = todo.pop()
+            if m not in seen:
+                seen.add(m)
+                todo += [b for a, b in pairs if a == m]
+        closure[n] = seen
+    chunks = {}
+    for r in graph.pack_closures(_edges(spark, pairs), most=12).collect():
+        assert r["node"] not in chunks.setdefault(r["chunk"], set())
+        chunks[r["chunk"]].add(r["node"])
+    assert all(len(c) <= 12 and all(closure[n] <= c for n in c) for c in chunks.values())
+    assert set().union(*chunks.values()) == set(closure)
+
+
+@pytest.mark.parametrize("seed", range(1, 2))
+def test_strong_components_equal_mutual_reach(spark, seed):
+    rng = random.Random(seed)
+    n = rng.randint(8, 30)
+    pairs = [(f"n{rng.randrange(n)}", f"n{rng.randrange(n)}") for _ in range(int(n * rng.choice([1.0, 1.3, 2.0])))] + [(f"r{k}", f"r{(k + 1) % 40}") for k in range(40)]
+    reach = {}
+    for a in {x for p in pairs for x in p}:
+        seen, todo = set(), [a]
+        while todo:
+            for x, y in pairs:
+                if x == todo[-1] and y not in seen:
+                    seen.add(y)
+                    todo.insert(0, y)
+            todo.pop()
+        reach[a] = seen
+    want = {}
+    for a in reach:
+        group = {b for b in reach if b in reach[a] and a in reach[b]} | {a}
+        if len(group) > 1:
+            want[a] = (min(group), len(group))
+    assert {r["node"]: (r["component"], r["size"]) for r in graph.strong_components(_edges(spark, pairs)).collect()} == want
+
+
+def test_dependents_of_several_starts(spark):
+    e = _edges(spark, [("a", "b"), ("b", "c"), ("d", "c"), ("c", "a")])
+    found, lost = graph.dependents_of(e, spark.createDataFrame([("d", 0), ("a", 1), ("q", 2)], "start string, place int"))
+    assert {tuple(r) for r in found.collect()} == {("d", "d", 0), ("a", "a", 0), ("c", "d", 1), ("b", "d", 3)} and [r[0] for r in lost.collect()] == ["q"]
+
+
+def test_upstream_stops_at_the_layer(spark):
+    e = _edges(spark, [("DWF.a", "DWM.b"), ("ODS.x", "DWF.a"), ("DWM.b", "DWA.c"), ("src", "DWA.c"), ("DWA.c", "DWM.b")])
+    stop = F.startswith("node", F.lit("DWF."))
+    got = {tuple(r) for r in graph.trace_upstream(e, spark.createDataFrame([("DWA.c",), ("DWF.a",)], "start string"), stop).collect()}
+    assert got == {("DWA.c", "DWA.c", 0, None), ("DWA.c", "DWM.b", 1, None), ("DWA.c", "src", 1, "NATURAL"), ("DWA.c", "DWF.a", 2, "STOP"), ("DWF.a", "DWF.a", 0, None), ("DWF.a", "ODS.x", 1, "NATURAL")}
+
+
+def test_included_nodes_and_program_edges(spark):
+    edges = spark.createDataFrame([("p", "S.a", "tmp"), ("p", "tmp", "S.b"), ("p", "S.x", "S.y"), ("q", "S.a", "S.b"), ("q", "S.c", "S.d")], "program string, src string, dst string")
+    choices = spark.createDataFrame([("p", "S.b", "AUTHORITATIVE"), ("q", None, "NONE")], "program string, target string, choice string")
+    assert {tuple(r) for r in graph.included(edges, choices).collect()} == {("p", "S.a"), ("p", "tmp"), ("p", "S.b"), ("q", "S.a"), ("q", "S.b"), ("q", "S.c"), ("q", "S.d")}
+    kinds = spark.createDataFrame([("p", "tmp", True)], "program string, node string, collapsible boolean")
+    got = {tuple(r) for r in graph.program_edges(edges, kinds, choices).collect()}
+    assert got == {("p", "S.a", "S.b", 1, 2), ("q", "S.a", "S.b", 1, 1), ("q", "S.c", "S.d", 1, 1)}
+
+
+def test_boundary_groups_and_fallback(spark):
+    programs = spark.createDataFrame([("p1", "n1", 1, "T.a"), ("p2", "n2", 2, "T.a"), ("p3", "n3", 1, "T.b"), ("p4", "n4", None, "T.c")], "program string, name string, step int, target string")
+    edges = spark.createDataFrame(
+        [("p1", "n1", "S.x", "tmp"), ("p2", "n2", "tmp", "T.a"), ("p2", "n2", "T.a", "T.a"), ("o", "o", "S.z", "T.a"), ("p3", "n3", "S.x", "T.q"), ("o", "o", "S.w", "T.b"), ("p4", "bad", "S.v", "T.c"), ("p4", "n4", "T.c", "T.d")],
+        "program string, name string, src string, dst string",
+    )
+    bad = {(r["target"], r["diagnostic"].removeprefix("PROGRAM_BOUNDARY_")) for r in graph.boundary_diagnostics(programs, edges).collect()}
+    assert bad == {("T.b", "RESULT_NOT_OBSERVED"), ("T.c", "DUPLICATE_STEP"), ("T.c", "EDGE_PROVENANCE_MISMATCH"), ("T.c", "RESULT_USED_AS_SOURCE")}
+    got = {tuple(r) for r in graph.boundary_projections(programs, edges).collect()}
+    assert got == {("T.a", "S.x", "p1", False), ("T.a", "T.a", "p2", False), ("T.a", "S.z", "o", False), ("T.b", "S.w", "o", True), ("T.c", "S.v", "p4", True)}

@@ -79,7 +79,7 @@ def parse_program_name(x: Column) -> Column:
     name = F.when(marked, comparison_name(part(2)))
     step = F.regexp_substr(part(3), F.lit(r"^0*[1-9][0-9]{0,8}$")).cast("int")
     four = marked & (n == 4)
-    say = lambda when, what: F.when(when, F.lit(what))
+    say = lambda when, what: F.when(when, F.lit(f"PROGRAM_NAME_{what}"))  # noqa: E731  fixed values
     diagnostics = F.array_compact(
         F.array(
             say(~marked & (n > 0), "MARKER_INVALID"),
@@ -119,6 +119,17 @@ def normalize_timestamp_text(x: Column) -> Column:
     return F.when(ok, spread.try_cast("timestamp"))
 
 
+def canonical_json(x: Column, most_chars: int = 1 << 20) -> Column:
+    """(I12) JSON with sorted keys at every level and no blanks; NULL where it isn't JSON or is longer than most_chars."""
+    parsed = F.when(F.length(x) <= most_chars, F.try_parse_json(x))
+    return F.to_json(parsed)  # a variant keeps its keys sorted
+
+
+def path_hash(path: Column) -> Column:
+    """(I19) sha256 of the last two components of a path or address, without query or fragment."""
+    return F.sha2(last_components(F.regexp_replace(path, r"[?#].*$", ""), 2), 256)
+
+
 def stable_key(*parts: Column | str) -> Column:
     """sha256 of the parts joined by U+001F."""
     return F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(p) if isinstance(p, str) else p, F.lit("")) for p in parts]), 256)

@@ -19,6 +19,30 @@ def coverage_funnel(programs: DataFrame) -> DataFrame:
     return out
 
 
+def coverage_steps(steps: DataFrame) -> DataFrame:
+    """E7 below programs: per environment and profile steps, those with target, sources and edges, distinct nodes, and the ratios of each to the one before.
+
+    steps is (environment, profile, program, target, sources array, edges): an edge count of 0 is a step without lineage.
+    """
+    some = lambda c: F.count_if(c)
+    out = steps.groupBy("environment", "profile").agg(
+        F.count(F.lit(1)).alias("steps"),
+        some(F.col("target").isNotNull()).alias("targets"),
+        some(F.size("sources") > 0).alias("sourced"),
+        some(F.col("edges") > 0).alias("linked"),
+        F.sum("edges").alias("edges"),
+        F.countDistinct("target").alias("distinct_targets"),
+    )
+    pairs = (("target", "targets", "steps"), ("source", "sourced", "steps"), ("link", "linked", "targets"), ("edge", "edges", "linked"))
+    return out.select("*", *[F.round(ratio(F.col(a), F.col(b)), 6).alias(f"{name}_ratio") for name, a, b in pairs])
+
+
+def reason_histogram(programs: DataFrame, reason: Column) -> DataFrame:
+    """Per environment and profile how many programs fail for which reason, those that don't left out."""
+    named = programs.select("environment", "profile", reason.alias("reason")).where("reason is not null")
+    return named.groupBy("environment", "profile", "reason").agg(F.count(F.lit(1)).alias("programs"))
+
+
 def corpus_metrics(samples: DataFrame, by: str) -> DataFrame:
     """True and false positives, ambiguous, precision (NULL without a verdict), for each value of `by` and overall (NULL)."""
     count = lambda v: F.count_if(F.col("label") == v)
@@ -28,10 +52,12 @@ def corpus_metrics(samples: DataFrame, by: str) -> DataFrame:
 
 
 def evidence(contributions: DataFrame, keys: list[str], item: str, most: int) -> DataFrame:
-    """Exact counts, the first `most` distinct items in order, and whether more exist."""
-    items = F.array_sort(F.collect_set(item))
-    out = contributions.groupBy(*keys).agg(F.count(F.lit(1)).alias("facts"), F.countDistinct(item).alias("distinct_items"), items.alias("items"))
-    return out.withColumn("sample", F.array_join(F.slice("items", 1, most), ",")).withColumn("truncated", F.col("distinct_items") > most).drop("items")
+    """Exact counts, the first `most` distinct items in order, and whether more exist. A key's list never holds more than `most`."""
+    counts = contributions.groupBy(*keys, item).agg(F.count(F.lit(1)).alias("n"))  # once an item, so hot keys are spread over items
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(item).asc_nulls_last()))
+    known = F.col(item).isNotNull() & (F.col("k") <= most)
+    out = counts.withColumn("k", rank).groupBy(*keys).agg(F.sum("n").alias("facts"), F.count(item).alias("distinct_items"), F.collect_list(F.when(known, F.col(item))).alias("items"))
+    return out.withColumn("sample", F.array_join(F.array_sort("items"), ",")).withColumn("truncated", F.col("distinct_items") > most).drop("items")
 
 
 def multiset_minus(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

@@ -6,25 +6,34 @@ allowed everywhere unless said otherwise.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import functools
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from threadloom.functions.tables import store
+from threadloom.functions.names import canonical_name, normalize_table_name
+from threadloom.functions.tables import bounded, store
 
 MAX_DEPTH, MAX_NODES = 7, 300
+#: Orders of the nodes that a round of strong_components looks at.
+ORDERS = 4
 
 
-@dataclass
 class Traversal:
-    """nodes (node, depth, rank), edges (src, dst) among them, and whether an unvisited neighbour was left."""
+    """nodes (node, depth, rank), edges (src, dst) among them; whether an unvisited neighbour was left is asked of Spark when it is wanted."""
 
-    nodes: DataFrame
-    edges: DataFrame
-    truncated: bool
-    root_found: bool
+    def __init__(self, nodes: DataFrame, edges: DataFrame, truncated: Callable[[], bool], root_found: Callable[[], bool]):
+        self.nodes, self.edges, self._truncated, self._root_found = nodes, edges, truncated, root_found
+
+    @functools.cached_property
+    def truncated(self) -> bool:
+        return self._truncated()
+
+    @functools.cached_property
+    def root_found(self) -> bool:
+        return self._root_found()
 
 
 def pairs(edges: DataFrame) -> DataFrame:
@@ -37,34 +46,34 @@ def turned(edges: DataFrame, direction: str) -> DataFrame:
     return edges if direction == "down" else edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
+def _nodes(spark: SparkSession, kind: str, visited: dict) -> DataFrame:
+    """The visited nodes as constants of the plan: no job, no Python rows."""
+    rows = [F.struct(F.lit(n).cast(kind).alias("node"), F.lit(d).alias("depth"), F.lit(r).alias("rank")) for n, (d, r) in visited.items()]
+    return spark.range(1).select(F.inline(F.array(*rows)))
+
+
 def bounded_bfs(edges: DataFrame, root, direction: str = "down", max_depth: int = MAX_DEPTH, max_nodes: int = MAX_NODES) -> Traversal:
     """Breadth-first, at most max_nodes nodes with the root, admitted in first-in first-out order.
 
     Within a level the order is (rank of the first parent, name). What the driver holds is the admitted
-    nodes, at most max_nodes of them; each level is one scan of the edges against them.
+    nodes, at most max_nodes of them; a level is one filtered scan of the edges, whose filter reaches the files.
     """
     spark = edges.sparkSession
     kind = edges.schema["src"].dataType.simpleString()
     flow = turned(edges.select("src", "dst").where("src is not null and dst is not null"), direction)
     visited: dict = {root: (0, 0)}
-    frontier, depth = [(root, 0)], 0
-    as_rows = lambda rows: spark.createDataFrame(rows, f"node {kind}, depth int, rank int")
+    frontier, depth = [root], 0
     while frontier and depth < max_depth and len(visited) < max_nodes:
         depth += 1
-        here = as_rows([(n, depth, r) for n, r in frontier])
-        known = as_rows([(n, d, r) for n, (d, r) in visited.items()])
-        reached = flow.join(F.broadcast(here), flow["src"] == here["node"]).groupBy("dst").agg(F.min("rank").alias("parent"))
-        new = reached.join(F.broadcast(known.select(F.col("node").alias("dst"))), "dst", "left_anti")
-        frontier = []
-        for row in new.orderBy("parent", "dst").limit(max_nodes - len(visited)).collect():
-            frontier.append((row["dst"], len(visited)))
-            visited[row["dst"]] = (depth, len(visited))
-    nodes = as_rows([(n, d, r) for n, (d, r) in visited.items()])
-    names = F.broadcast(nodes.select("node"))
-    left = flow.join(names, flow["src"] == names["node"], "left_semi").join(names, flow["dst"] == names["node"], "left_anti")
+        parent = F.array_position(F.array(*[F.lit(n) for n in frontier]), F.col("src"))  # in order of rank
+        reached = flow.where(F.col("src").isin(frontier) & ~F.col("dst").isin([*visited])).groupBy("dst").agg(F.min(parent).alias("parent"))
+        frontier = [r["dst"] for r in reached.orderBy("parent", "dst").limit(max_nodes - len(visited)).collect()]
+        visited |= {n: (depth, len(visited) + k) for k, n in enumerate(frontier)}
+    names = [*visited]
+    left = flow.where(F.col("src").isin(names) & ~F.col("dst").isin(names))
     touching = edges.where((F.col("src") == F.lit(root)) | (F.col("dst") == F.lit(root)))
-    inside = pairs(edges.join(names, edges["src"] == names["node"], "left_semi").join(names, F.col("dst") == names["node"], "left_semi"))
-    return Traversal(nodes, inside, not left.isEmpty(), not touching.isEmpty())
+    inside = pairs(edges.where(F.col("src").isin(names) & F.col("dst").isin(names)))
+    return Traversal(_nodes(spark, kind, visited), inside, lambda: not left.isEmpty(), lambda: not touching.isEmpty())
 
 
 def bfs_both(edges: DataFrame, root, max_depth: int = MAX_DEPTH, max_nodes: int = MAX_NODES) -> Traversal:
@@ -73,10 +82,15 @@ def bfs_both(edges: DataFrame, root, max_depth: int = MAX_DEPTH, max_nodes: int
     merged = a.nodes.unionByName(b.nodes).groupBy("node").agg(F.min("depth").alias("depth"))
     kept = merged.orderBy("depth", "node").limit(max_nodes)
     kept = kept.withColumn("rank", F.row_number().over(Window.orderBy("depth", "node")) - 1)
-    names = F.broadcast(kept.select("node"))
+    names = F.broadcast(kept.select("node"))  # at most max_nodes rows
     inside = a.edges.unionByName(b.edges).distinct()
     inside = inside.join(names, inside["src"] == names["node"], "left_semi").join(names, F.col("dst") == names["node"], "left_semi")
-    return Traversal(kept, inside, a.truncated or b.truncated or merged.count() > max_nodes, a.root_found or b.root_found)
+    return Traversal(kept, inside, lambda: a.truncated or b.truncated or merged.count() > max_nodes, lambda: a.root_found or b.root_found)
+
+
+def neighbours(edges: DataFrame, nodes: list, direction: str = "down") -> DataFrame:
+    """(src, dst): the distinct edges that leave the given nodes, or with 'up' those that enter them."""
+    return pairs(edges).where(F.col("src" if direction == "down" else "dst").isin(nodes))
 
 
 def blast_radius(edges: DataFrame, root, max_depth: int = MAX_DEPTH, max_nodes: int = MAX_NODES) -> DataFrame:
@@ -127,12 +141,56 @@ def closure(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     raise ValueError("paths longer than 2 to the power max_rounds")
 
 
+def _least_reaching(flow: DataFrame, labels: DataFrame) -> DataFrame:
+    """(way, node, label): the least label among the node and all that reach it by (u, v) edges of one way.
+
+    Each round takes labels over edges and then jumps: what reaches a node's label reaches the node. Labels are
+    (order, node), so a label names its node; rounds grow with the logarithm of the paths, mostly.
+    """
+    now = labels.select("way", "node", "label")
+    while True:
+        came = flow.join(now.select("way", F.col("node").alias("u"), F.col("label").alias("from")), ["way", "u"]).groupBy("way", F.col("v").alias("node")).agg(F.min("from").alias("from"))
+        hop = now.join(came, ["way", "node"], "left").select("way", "node", F.least("label", F.coalesce("from", "label")).alias("label"), F.col("label").alias("was"))
+        hop = store(hop, "labels")
+        far = hop.select(F.col("way").alias("far_way"), F.col("node").alias("at"), F.col("label").alias("far"))
+        jumped = hop.join(far, (F.col("way") == F.col("far_way")) & (F.col("label.node") == F.col("at"))).select("way", "node", F.least("label", "far").alias("label"), "was")
+        now = store(jumped.withColumn("moved", F.col("label") != F.col("was")).drop("was"), "labels")
+        if now.where("moved").isEmpty():
+            return now.drop("moved")
+        now = now.drop("moved")
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
-    """(node, component, size) of the components of more than one node; the least member names one."""
-    paths = closure(edges)
-    mutual = paths.alias("a").join(paths.alias("b"), (F.col("a.src") == F.col("b.dst")) & (F.col("a.dst") == F.col("b.src"))).where("a.src <> a.dst")
-    named = mutual.groupBy(F.col("a.src").alias("node")).agg(F.least(F.min("a.dst"), F.col("node")).alias("component"), (F.count(F.lit(1)) + 1).alias("size"))
-    return named
+    """(node, component, size) of the components of more than one node; the least member names one.
+
+    All nodes of a component have the same least ancestor and the same least descendant in any order of the nodes. Each
+    round orders the nodes anew by a few hashes, cuts the edges between nodes that differ in any of these, and takes out the nodes
+    for which the two are one node: those are whole components. No closure is built; rows never exceed nodes and edges.
+    """
+    e = store(pairs(edges).where("src <> dst").select(F.col("src").alias("u"), F.col("dst").alias("v")), "edges")
+    done, salt = None, 0
+    while not e.isEmpty():
+        inner = e.join(e.select(F.col("v").alias("u")).distinct(), "u", "left_semi").join(e.select(F.col("u").alias("v")).distinct(), "v", "left_semi")
+        e = store(inner.select("u", "v"), "edges")
+        nodes = e.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        ways = F.explode(F.array(*map(F.lit, range(2 * ORDERS)))).alias("way")
+        order = F.xxhash64("node", F.lit(salt) + F.floor(F.col("way") / 2))
+        labels = nodes.select(ways, "node").withColumn("label", F.struct(order.alias("order"), F.col("node").alias("node")))
+        salt += ORDERS
+        forth, back = (F.explode(F.array(*map(F.lit, range(k, 2 * ORDERS, 2)))).alias("way") for k in (0, 1))
+        flow = e.select(forth, "u", "v").unionByName(e.select(back, F.col("v").alias("u"), F.col("u").alias("v")))
+        found = _least_reaching(flow, labels)
+        wide = found.groupBy("node").agg(*[F.max(F.when(F.col("way") == k, F.col("label.node"))).alias(f"w{k}") for k in range(2 * ORDERS)])
+        met = F.coalesce(*[F.when(F.col(f"w{k}") == F.col(f"w{k + 1}"), F.col(f"w{k}")) for k in range(0, 2 * ORDERS, 2)])
+        both = store(wide.select("node", met.alias("root"), F.struct(*[f"w{k}" for k in range(2 * ORDERS)]).alias("class")), "classes")
+        whole = both.where("root is not null").select("node", "root")
+        done = whole if done is None else done.unionByName(whole)
+        open_ = both.where("root is null").select("node", "class")
+        e = store(e.join(open_.toDF("u", "a"), "u").join(open_.toDF("v", "b"), "v").where("a = b").select("u", "v"), "edges")
+    if done is None:
+        return edges.select(F.col("src").alias("node"), F.col("src").alias("component"), F.lit(0).cast("long").alias("size")).where("false")
+    named = done.groupBy("root").agg(F.min("node").alias("component"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    return done.join(named, "root").select("node", "component", "size")
 
 
 def topological_levels(edges: DataFrame) -> DataFrame:
@@ -151,30 +209,95 @@ def topological_levels(edges: DataFrame) -> DataFrame:
         level += 1
 
 
-def collapse(edges: DataFrame, kinds: DataFrame, max_depth: int = 64) -> DataFrame:
-    """(src, dst, paths, depth): business edges through collapsible nodes, with exact path counts.
+def _collapsible(edges: DataFrame, kinds: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges with a flag whether dst is collapsible, those of them that start at a node that isn't)."""
+    flag = kinds.where("collapsible").select(F.col("node").alias("dst")).distinct().withColumn("inner", F.lit(True))
+    e = store(pairs(edges).join(flag, "dst", "left").select("src", "dst", F.coalesce("inner", F.lit(False)).alias("inner")), "edges")
+    return e, e.join(flag.select(F.col("dst").alias("src")), "src", "left_anti")
+
+
+def _has_inner_cycle(e: DataFrame, starts: DataFrame) -> bool:
+    inside = e.where("inner").select("src", "dst").join(starts.select("src"), "src", "left_anti")
+    return not inside.where("src = dst").isEmpty() or not strong_components(inside).isEmpty()
 
-    kinds is (node, collapsible). Walks start and end at nodes that aren't collapsible; the edges of a path count.
-    Counts are summed a level at a time, so the number of paths doesn't matter; depth is the shortest path's.
-    Raises where the collapsible nodes hold a cycle longer walks than max_depth would need.
+
+def collapse(edges: DataFrame, kinds: DataFrame, most_states: int = 1_000_000) -> DataFrame:
+    """(src, dst, paths, depth): business edges through collapsible nodes, with exact path counts.
+
+    kinds is (node, collapsible). Walks start and end at nodes that aren't collapsible; the edges of a path count;
+    depth is the shortest path's. Without a cycle of collapsible nodes counts are summed a level at a time, so the number of paths
+    doesn't matter. With one, paths that visit no node twice are walked and counted; beyond most_states open walks
+    the pairs and depths stay exact and paths is null.
     """
-    e = pairs(edges)
-    flag = kinds.where("collapsible").select(F.col("node").alias("dst")).withColumn("inner", F.lit(True))
-    e = store(e.join(flag, "dst", "left").select("src", "dst", F.coalesce("inner", F.lit(False)).alias("inner")), "edges")
-    starts = e.join(flag.select(F.col("dst").alias("src")), "src", "left_anti")
-    walk = store(starts.select("src", F.col("dst").alias("at"), "inner", F.lit(1).cast("long").alias("paths")), "walk")
+    e, starts = _collapsible(edges, kinds)
+    first = starts.select("src", F.col("dst").alias("at"), "inner")
+    if (counted := _summed(e, first, starts)) is not None:
+        return counted
+    walk = store(first.withColumn("path", F.array("src", "at")), "walk")
+    ends = walk.where("not inner").select("src", F.col("at").alias("dst"), F.lit(1).alias("depth"))
+    depth = 1
+    while True:
+        open_ = walk.where("inner")
+        n = open_.count()
+        if not n:
+            return ends.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("paths"), F.min("depth").cast("long").alias("depth"))
+        if n > most_states:
+            return _reached(e, first)
+        depth += 1
+        step = open_.select(F.col("src").alias("start"), "at", "path").join(e, F.col("at") == e["src"]).where(~F.array_contains("path", F.col("dst")) | ((F.col("dst") == F.col("start")) & ~F.col("inner")))
+        walk = store(step.select(F.col("start").alias("src"), F.col("dst").alias("at"), "inner", F.concat("path", F.array("dst")).alias("path")), "walk")
+        ends = ends.unionByName(walk.where("not inner").select("src", F.col("at").alias("dst"), F.lit(depth).alias("depth")))
+
+
+def _summed(e: DataFrame, first: DataFrame, starts: DataFrame, look_at: int = 32) -> DataFrame | None:
+    """Counts a level at a time; None if walks of look_at edges are still open because of a cycle."""
+    walk = store(first.withColumn("paths", F.lit(1).cast("long")), "walk")
     ends, depth = walk.where("not inner").select("src", F.col("at").alias("dst"), "paths", F.lit(1).alias("depth")), 1
     while True:
         open_ = walk.where("inner")
         if open_.isEmpty():
-            break
+            return ends.groupBy("src", "dst").agg(F.sum("paths").alias("paths"), F.min("depth").cast("long").alias("depth"))
         depth += 1
-        if depth > max_depth:
-            raise ValueError("collapsible nodes form a cycle or a chain longer than max_depth")
+        if depth == look_at and _has_inner_cycle(e, starts):
+            return None
         step = open_.select(F.col("src").alias("start"), "at", "paths").join(e, F.col("at") == e["src"])
         walk = store(step.groupBy(F.col("start").alias("src"), F.col("dst").alias("at"), "inner").agg(F.sum("paths").alias("paths")), "walk")
         ends = ends.unionByName(walk.where("not inner").select("src", F.col("at").alias("dst"), "paths", F.lit(depth).alias("depth")))
-    return ends.groupBy("src", "dst").agg(F.sum("paths").alias("paths"), F.min("depth").cast("long").alias("depth"))
+
+
+def _reached(e: DataFrame, first: DataFrame) -> DataFrame:
+    """Pairs and depths only: each node once a start."""
+    found = last = store(first.distinct().withColumn("depth", F.lit(1)), "walk")
+    depth = 1
+    while True:
+        depth += 1
+        step = last.where("inner").select(F.col("src").alias("start"), "at").join(e, F.col("at") == e["src"]).select(F.col("start").alias("src"), F.col("dst").alias("at"), "inner").distinct()
+        last = store(step.join(found.select("src", "at"), ["src", "at"], "left_anti").withColumn("depth", F.lit(depth)), "walk")
+        if last.isEmpty():
+            return found.where("not inner").select("src", F.col("at").alias("dst"), F.lit(None).cast("long").alias("paths"), F.col("depth").cast("long").alias("depth"))
+        found = found.unionByName(last)
+
+
+def path_samples(edges: DataFrame, kinds: DataFrame, most: int = 100) -> DataFrame:
+    """(src, dst, place, path): of the paths that collapse() counts the first `most` a pair, by length and then by names.
+
+    Only the first `most` open walks of a start to a node are carried on: longer or later ones can't be among the first,
+    as they continue alike. (With cycles, walks that meet their own nodes end, so fewer than `most` may be left.)
+    """
+    e, starts = _collapsible(edges, kinds)
+    rank = F.row_number().over(Window.partitionBy("src", "at").orderBy("path"))
+    walk = store(starts.select("src", F.col("dst").alias("at"), "inner", F.array("src", "dst").alias("path")), "walk")
+    ends = walk.where("not inner")
+    while True:
+        open_ = walk.where("inner")
+        if open_.isEmpty():
+            break
+        step = open_.select(F.col("src").alias("start"), "at", "path").join(e, F.col("at") == e["src"]).where(~F.array_contains("path", F.col("dst")) | ((F.col("dst") == F.col("start")) & ~F.col("inner")))
+        wider = step.select(F.col("start").alias("src"), F.col("dst").alias("at"), "inner", F.concat("path", F.array("dst")).alias("path"))
+        walk = store(wider.withColumn("k", rank).where(F.col("k") <= most).drop("k"), "walk")
+        ends = ends.unionByName(walk.where("not inner"))
+    place = F.row_number().over(Window.partitionBy("src", "at").orderBy(F.size("path"), "path"))
+    return ends.withColumn("place", place).where(F.col("place") <= most).select("src", F.col("at").alias("dst"), "place", "path")
 
 
 def reaching(edges: DataFrame, targets: DataFrame) -> DataFrame:
@@ -230,13 +353,7 @@ def contract(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return short.join(a, "src").join(b, "dst").select(F.col("src_label").alias("src"), F.col("dst_label").alias("dst")).distinct()
 
 
-def pack_closures(edges: DataFrame, most: int = 500) -> DataFrame:
-    """(chunk, node): chunks of at most `most` rows, each with all that its nodes depend on.
-
-    Nodes of one weak group stay together; groups are dealt to chunks by a running total of sizes. Raises for
-    a group larger than `most`.
-    """
-    e = store(pairs(edges), "edges")
+def _weak_groups(e: DataFrame) -> DataFrame:
     both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     nodes = both.select(F.col("src").alias("node")).distinct()
     label = store(nodes.withColumn("group", F.col("node")), "group")
@@ -247,13 +364,148 @@ def pack_closures(edges: DataFrame, most: int = 500) -> DataFrame:
         jumped = hop.join(hop.select(F.col("node").alias("group"), F.col("group").alias("g2")), "group").select("node", F.least("group", "g2").alias("group"))
         now = store(jumped, "group")
         if now.join(label, ["node", "group"], "left_anti").isEmpty():
-            break
+            return label
         label = now
-    sizes = label.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
+
+
+def pack_closures(edges: DataFrame, most: int = 500) -> DataFrame:
+    """(chunk, node): chunks of at most `most` rows, each with all that its nodes depend on (src depends on dst).
+
+    Nodes of one weak group stay together where it fits; of a larger group each node that nothing depends on brings its
+    closure, so that rows repeat in several chunks. Raises for a single closure larger than `most`.
+    """
+    e = store(pairs(edges), "edges")
+    label = _weak_groups(e)
+    large = label.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+    whole = label.join(large, "group", "left_anti").select("group", "node")
+    inside = store(label.join(large, "group", "left_semi").select("node"), "large")
+    if not inside.isEmpty():
+        e2 = store(e.join(inside.select(F.col("node").alias("src")), "src", "left_semi"), "edges")
+        tops = inside.join(e2.where("src <> dst").select(F.col("dst").alias("node")), "node", "left_anti")
+        below = levels(e2, tops.select(F.col("node").alias("start"))).select(F.col("start").alias("group"), "node")
+        # nodes behind no top are in or behind a cycle: each component's least member stands for it
+        rest = inside.join(below.select("node"), "node", "left_anti")
+        parts = strong_components(e2)
+        heads = rest.join(parts.select("node", "component"), "node", "left").select(F.coalesce("component", "node").alias("start")).distinct()
+        closed = store(below.unionByName(levels(e2, heads).select(F.col("start").alias("group"), "node")), "closures")
+        whole = whole.unionByName(closed)
+    sizes = store(whole.groupBy("group").agg(F.count(F.lit(1)).alias("n")), "sizes")
     if not sizes.where(F.col("n") > most).isEmpty():
-        raise ValueError(f"a group is larger than {most}")
-    # groups of a bucket are packed on their own, so no task sees all groups
+        raise ValueError(f"a closure is larger than {most}")
+    # groups above half a chunk have one of their own; smaller ones of a bucket are packed by a running total, a task a bucket
+    half = most // 2
     w = Window.partitionBy("bucket").orderBy("group")
-    packed = sizes.withColumn("bucket", F.pmod(F.xxhash64("group"), F.lit(64))).withColumn("end", F.sum("n").over(w))
-    packed = packed.withColumn("chunk", F.concat_ws("-", "bucket", F.floor((F.col("end") - 1) * 2 / most)))
-    return label.join(packed.select("group", "chunk"), "group").select("chunk", "node")
+    small = sizes.where(F.col("n") <= half).withColumn("bucket", F.pmod(F.xxhash64("group"), F.lit(64))).withColumn("end", F.sum("n").over(w))
+    small = small.select("group", F.concat_ws("-", F.col("bucket").cast("string"), F.floor((F.col("end") - 1) / max(1, half)).cast("string")).alias("chunk"))
+    alone = sizes.where(F.col("n") > half).select("group", F.concat(F.lit("g-"), F.col("group").cast("string")).alias("chunk"))
+    return whole.join(small.unionByName(alone), "group").select("chunk", "node").distinct()
+
+
+def dependents_of(edges: DataFrame, starts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, start, level) and the starts that no edge has. starts is (start, place).
+
+    A node that several starts reach belongs to the first of them by place; starts are at level 0 of their own.
+    """
+    e = pairs(edges)
+    known = e.select(F.col("src").alias("start")).union(e.select("dst")).distinct()
+    found = levels(e, starts.join(known, "start", "left_semi")).join(bounded(starts), "start")
+    own = F.when(F.col("level") == 0, -1).otherwise(F.col("place"))
+    first = found.groupBy("node").agg(F.min(F.struct(own.alias("own"), F.col("place"), F.col("start"), F.col("level"))).alias("f"))
+    return first.select("node", "f.start", "f.level"), starts.join(known, "start", "left_anti").select("start")
+
+
+def included(edges: DataFrame, choices: DataFrame) -> DataFrame:
+    """(program, node): the nodes of each program's graph that its materialization takes in.
+
+    edges is (program, src, dst), choices (program, target, choice) of audit.select_target: with a chosen target those that reach
+    it and itself, if something writes it; without one all nodes of the program.
+    """
+    e = store(edges.where("src is not null and dst is not null").select("program", "src", "dst").distinct(), "edges")
+    nodes = e.select("program", F.explode(F.array("src", "dst")).alias("node")).distinct()
+    chosen = choices.where("target is not null").select("program", "target")
+    written = chosen.join(e.select("program", F.col("dst").alias("target")), ["program", "target"], "left_semi")
+    keyed = e.select(F.struct("program", F.col("src").alias("n")).alias("src"), F.struct("program", F.col("dst").alias("n")).alias("dst"))
+    up = levels(keyed, written.select(F.struct("program", F.col("target").alias("n")).alias("start")), "up")
+    reach = up.select(F.col("node.program").alias("program"), F.col("node.n").alias("node")).distinct()
+    return nodes.join(chosen.select("program"), "program", "left_anti").unionByName(reach)
+
+
+def program_edges(edges: DataFrame, kinds: DataFrame, choices: DataFrame) -> DataFrame:
+    """(program, src, dst, paths, depth): each program's business edges inside its included nodes.
+
+    edges is (program, src, dst), kinds (program, node, collapsible), choices as for included().
+    """
+    taken = store(included(edges, choices), "included")
+    inside = edges.join(taken.select("program", F.col("node").alias("src")), ["program", "src"], "left_semi").join(taken.select("program", F.col("node").alias("dst")), ["program", "dst"], "left_semi")
+    key = lambda c: F.struct("program", F.col(c).alias("n"))
+    out = collapse(inside.select(key("src").alias("src"), key("dst").alias("dst")), kinds.select(key("node").alias("node"), "collapsible"))
+    return out.select(F.col("src.program").alias("program"), F.col("src.n").alias("src"), F.col("dst.n").alias("dst"), "paths", "depth")
+
+
+def bind_target(target: Column, authority: Column) -> Column:
+    """A write target without a name space is the authority if that is qualified and has the same base name."""
+    t, a = normalize_table_name(target), canonical_name(authority)
+    return F.when(~F.contains(t, F.lit(".")) & a.isNotNull() & (F.substring_index(a, ".", -1) == t), a).otherwise(target)
+
+
+def boundary_diagnostics(programs: DataFrame, edges: DataFrame) -> DataFrame:
+    """(target, diagnostic) of targets whose programs can't be projected as one group.
+
+    programs is (program, name, step, target), edges (program, name, src, dst), all names canonical.
+    AMBIGUOUS_PROGRAM: a program twice, or under two targets; DUPLICATE_STEP: no or equal steps; EDGE_PROVENANCE_MISMATCH: an edge under
+    another name than its program's; RESULT_NOT_OBSERVED: nothing writes the target; RESULT_USED_AS_SOURCE: it feeds another table.
+    """
+    say = lambda df, what: df.select("target", F.lit(f"PROGRAM_BOUNDARY_{what}").alias("diagnostic"))
+    twice = programs.groupBy("program").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("program")
+    steps = programs.groupBy("target").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("step").alias("d"))
+    mine = programs.select("program", "target", F.col("name").alias("own"))
+    facts = edges.join(mine, "program")
+    seen = facts.groupBy("target").agg(F.count_if(F.col("dst") == F.col("target")).alias("writes"), F.count_if((F.col("src") == F.col("target")) & (F.col("dst") != F.col("target"))).alias("feeds"))
+    judged = programs.select("target").distinct().join(seen, "target", "left").na.fill(0, ["writes", "feeds"])
+    return (
+        say(programs.join(twice, "program", "left_semi"), "AMBIGUOUS_PROGRAM")
+        .unionByName(say(steps.where("d < n"), "DUPLICATE_STEP"))
+        .unionByName(say(facts.where(~F.col("name").eqNullSafe(F.col("own"))), "EDGE_PROVENANCE_MISMATCH"))
+        .unionByName(say(judged.where("writes = 0"), "RESULT_NOT_OBSERVED"))
+        .unionByName(say(judged.where("feeds > 0"), "RESULT_USED_AS_SOURCE"))
+        .distinct()
+    )
+
+
+def boundary_projections(programs: DataFrame, edges: DataFrame) -> DataFrame:
+    """(target, src, program, fallback): sources of each target over all its programs together.
+
+    Targets without a diagnostic are projected: external sources of the edges that reach the target, self edges of the target, and direct
+    facts of programs outside the group. Targets with one fall back to their direct edges.
+    """
+    bad = store(boundary_diagnostics(programs, edges).select("target").distinct(), "diagnosed")
+    good = store(programs.join(bad, "target", "left_anti").select("program", F.col("target").alias("result")), "groups")
+    facts = store(edges.where("src is not null and dst is not null").join(good, "program").select(F.col("result").alias("group"), "program", "src", "dst").distinct(), "facts")
+    key = lambda c: F.struct("group", F.col(c).alias("n"))
+    ends = good.select(F.struct(F.col("result").alias("group"), F.col("result").alias("n")).alias("target")).distinct()
+    reach = reaching(facts.select(key("src").alias("src"), key("dst").alias("dst")), ends).select(F.col("target.n").alias("group"), F.col("src.n").alias("src"), F.col("dst.n").alias("dst"))
+    inside = store(facts.join(reach, ["group", "src", "dst"], "left_semi"), "inside")
+    outer = inside.join(inside.select("group", F.col("dst").alias("src")).distinct(), ["group", "src"], "left_anti").where(F.col("src") != F.col("group"))
+    own = inside.where((F.col("src") == F.col("group")) & (F.col("dst") == F.col("group")))
+    direct = edges.where("src is not null and dst is not null").select(F.col("dst").alias("target"), "src", "program")
+    foreign = direct.join(good.select(F.col("result").alias("target")).distinct(), "target", "left_semi").join(good.select("program", F.col("result").alias("target")), ["program", "target"], "left_anti").select("target", "src", "program")
+    name = lambda df: df.select(F.col("group").alias("target"), "src", "program")
+    projected = name(outer.select("group", "src", "program")).unionByName(name(own.select("group", "src", "program"))).unionByName(foreign).withColumn("fallback", F.lit(False))
+    return projected.unionByName(direct.join(bad, "target", "left_semi").withColumn("fallback", F.lit(True))).distinct()
+
+
+def trace_upstream(edges: DataFrame, starts: DataFrame, stop: Column, max_depth: int = 30) -> DataFrame:
+    """(start, node, level, terminal): upstream from each start; nodes where `stop` (a condition on `node`) holds are reached but not passed.
+
+    terminal is STOP, NATURAL (nothing feeds it) or null.
+    """
+    e = store(pairs(edges), "edges")
+    own = starts.select("start").distinct()
+    direct = e.select(F.col("dst").alias("start"), F.col("src").alias("first")).join(own, "start", "left_semi")
+    flow = e.select(F.col("dst").alias("node"), "src").where(~F.coalesce(stop, F.lit(False))).select(F.col("node").alias("src"), F.col("src").alias("dst"))
+    beyond = levels(flow, direct.select(F.col("first").alias("start")).distinct(), "down", max_depth - 1)
+    further = direct.join(beyond.select(F.col("start").alias("first"), "node", (F.col("level") + 1).alias("level")), "first").select("start", "node", "level")
+    found = own.select("start", F.col("start").alias("node"), F.lit(0).alias("level")).unionByName(further).groupBy("start", "node").agg(F.min("level").alias("level"))
+    fed = e.select(F.col("dst").alias("node")).distinct().withColumn("fed", F.lit(True))
+    kind = F.when((F.col("level") > 0) & F.coalesce(stop, F.lit(False)), "STOP").when(F.col("fed").isNull(), "NATURAL")
+    return found.join(fed, "node", "left").select("start", "node", "level", kind.alias("terminal"))

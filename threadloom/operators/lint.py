@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.functions.sqltext import hardcoded_dates, search_tokens
+from threadloom.functions.names import is_business, is_technical, normalize_table_name
+from threadloom.functions.sqltext import all_tables, hardcoded_dates, search_tokens
+from threadloom.operators.graph import strong_components
 
 #: The prefix of table names in a layer.
 TABLE_PREFIXES = {"DWF": "F_", "DWM": "M_", "DWA": "A_", "DWP": "P_", "DWD": "RMD_"}
@@ -94,6 +96,43 @@ def schedule_issues(jobs: DataFrame, deps: DataFrame, online: DataFrame) -> Data
     return own.unionByName(self_).unionByName(unknown).unionByName(clash).distinct()
 
 
+def empty_sequences(plans: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Q7: (plan, seq) of sequences that hold no job; plans is (plan, seq), jobs (seq, job)."""
+    return plans.select("plan", "seq").distinct().join(jobs.where("job is not null").select("seq"), "seq", "left_anti").select("plan", "seq")
+
+
+def cycle_issues(deps: DataFrame) -> DataFrame:
+    """Q7: (job, CYCLE) for every job on a cycle of dependencies (job, dep), one that depends on itself too."""
+    edges = deps.select(F.col("job").alias("src"), F.col("dep").alias("dst"))
+    found = strong_components(edges).select(F.col("node").alias("job")).unionByName(edges.where("src = dst").select(F.col("src").alias("job")))
+    return found.distinct().withColumn("rule", F.lit("CYCLE"))
+
+
+def sheet_tables(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, table, class) of the tables in each line's SQL: BUSINESS, TECHNICAL or UNCLASSIFIED."""
+    found = rows.select(key, F.explode(all_tables(F.col(text))).alias("table"))
+    kind = F.when(is_technical(F.col("table")), "TECHNICAL").when(is_business(F.col("table")), "BUSINESS").otherwise("UNCLASSIFIED")
+    return found.withColumn("class", kind)
+
+
+def lineage_search(corpus: DataFrame, key: str, text: str, reached: DataFrame) -> DataFrame:
+    """(key, table) of texts that name a table of a column walk (node: schema.table.column), qualified or not.
+
+    Texts are cut into words, so the join is one of equal words and not of every text with every name.
+    """
+    table = F.upper(F.substring_index("node", ".", 2))
+    names_ = reached.select(table.alias("table"), F.substring_index(table, ".", -1).alias("word")).distinct()
+    words = corpus.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.upper(text), F.lit(r"(\w+)"), F.lit(1)))).alias("word"))
+    return words.join(names_, "word").select(key, "table").distinct()
+
+
+def send_search(rows: DataFrame, key: str, fields: str, targets: list[str]) -> DataFrame:
+    """(key, target, n_fields) of send descriptors 'target,f1,f2' whose target is one of some, as names compare."""
+    wanted = [normalize_table_name(F.lit(t)) for t in targets]
+    found = rows.select(key, normalize_table_name(F.substring_index(fields, ",", 1)).alias("target"), (F.size(F.split(fields, ",")) - 1).cast("long").alias("n_fields"))
+    return found.where(F.col("target").isin(*wanted)).orderBy("target", key)
+
+
 def keyword_hits(rows: DataFrame, key: str, text: str, words: list[str]) -> DataFrame:
     """Q8: (key, word): words of a fixed dictionary that occur, whatever the case."""
     u = F.upper(F.col(text))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.functions.names import TECHNICAL_SCHEMAS, comparison_name
+from threadloom.functions.names import TECHNICAL_SCHEMAS, comparison_name, parse_program_name
 
 KEY = ["environment", "target", "source"]
 
@@ -16,10 +18,17 @@ def projection(edges: DataFrame, provenance: str) -> DataFrame:
 
 
 def normalized(edges: DataFrame) -> DataFrame:
-    """Names as they compare; rows with a technical or unqualified end go."""
-    out = edges.withColumn("target", comparison_name(F.col("target"))).withColumn("source", comparison_name(F.col("source")))
-    layer = lambda c: F.substring_index(c, ".", 1)  # noqa: E731  the names are canonical already
-    return out.where(~layer("target").isin(*TECHNICAL_SCHEMAS) & ~layer("source").isin(*TECHNICAL_SCHEMAS))  # NULL names go too
+    """Names as they compare; rows with a technical or unqualified end go.
+
+    Each distinct name is made comparable once: there are far fewer names than rows, and two joins cost less than the text work.
+    """
+    raw = edges.select(F.explode(F.array("target", "source")).alias("raw")).distinct()
+    known = raw.withColumn("name", comparison_name(F.col("raw")))
+    layer = F.substring_index("name", ".", 1)  # the names are canonical already
+    known = known.where(~layer.isin(*TECHNICAL_SCHEMAS))  # NULL names go too
+    a, b = known.toDF("target", "__t"), known.toDF("source", "__s")
+    out = edges.join(a, "target").join(b, "source").withColumn("target", F.col("__t")).withColumn("source", F.col("__s"))
+    return out.select(*edges.columns)
 
 
 def reconcile(sql_side: DataFrame, schedule_side: DataFrame) -> DataFrame:
@@ -46,6 +55,48 @@ def summarize(rows: DataFrame, requested: DataFrame | None = None) -> DataFrame:
     return out.withColumn("consistent", (F.col("sql_only") == 0) & (F.col("schedule_only") == 0))
 
 
+def active_inventory(states: DataFrame, active_batch: str) -> DataFrame:
+    """M4: (target) that programs of the active batch declare, from states (batch_id, program).
+
+    Names that don't follow the grammar give a row of NULL, so that who asks can't take the inventory for whole.
+    """
+    parsed = states.where(F.col("batch_id") == active_batch).select(parse_program_name(F.col("program")).alias("p"))
+    return parsed.select("p.target").distinct()
+
+
+def visible(rows: DataFrame, status: str | None = None, hide_suppressed: bool = False, hide_self: bool = False) -> DataFrame:
+    """Rows of display() without what the options hide."""
+    if status is not None:
+        rows = rows.where(F.col("status") == status)
+    if hide_suppressed:
+        rows = rows.where("kind <> 'SUPPRESSED'")
+    return rows.where("kind <> 'SELF'") if hide_self else rows
+
+
+def in_scope(rows: DataFrame, environment: str, profile: str | None = None, targets: list[str] | None = None, programs: list[str] | None = None) -> DataFrame:
+    """Rows of an environment and profile whose target is among some, or whose program is; plain filters, so that they reach the files."""
+    out = rows.where(F.col("environment") == environment)
+    if profile is not None:
+        out = out.where(F.col("profile") == profile)
+    asked = [F.col(c).isin(v) for c, v in (("target", targets), ("program", programs)) if v is not None]
+    return out.where(functools.reduce(lambda a, b: a | b, asked)) if asked else out
+
+
+def reconcile_active(sql_edges: DataFrame, schedule_edges: DataFrame, batches: DataFrame, stored: DataFrame, states: DataFrame, version: str) -> DataFrame:
+    """M8: the active batches of both sides reconciled, with suppressions that were found from just these batches.
+
+    sql_edges and schedule_edges are (batch_id, environment, target, source, program), batches (side, batch_id, is_active). Where an active program's
+    name is malformed, nothing is suppressed: its target is unknown.
+    """
+    active = {r["side"]: r["batch_id"] for r in batches.where("is_active").select("side", "batch_id").collect()}  # a batch a side
+    side = lambda edges, s: projection(normalized(edges.where(F.col("batch_id") == active.get(s)).drop("batch_id")), "program")
+    rows = reconcile(side(sql_edges, "SQL"), side(schedule_edges, "SCHEDULE"))
+    declared = active_inventory(states, active.get("SQL"))
+    keys = usable_suppressions(stored, active.get("SQL"), active.get("SCHEDULE"), version).join(declared.where("target is not null").select(F.col("target").alias("source")), "source", "left_anti")
+    malformed = declared.where("target is null").agg((F.count(F.lit(1)) > 0).alias("malformed"))
+    return apply_suppressions(rows, keys.join(F.broadcast(malformed)).where("not malformed"))  # a flag of one row
+
+
 def classify_suppressions(rows: DataFrame, active_targets: DataFrame) -> DataFrame:
     """SQL_ONLY keys whose source no active program declares as its target."""
     return rows.where("status = 'SQL_ONLY'").join(active_targets.select(F.col("target").alias("source")), "source", "left_anti").select(*KEY, F.lit("NO_INTERNAL_PROGRAM").alias("reason"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 SCOPE = ["environment", "profile"]
 IDENTITY = [*SCOPE, "program"]
@@ -27,7 +30,7 @@ def incremental_plan(current: DataFrame, previous: DataFrame, version: str, comp
     if not complete:
         out = out.where("action <> 'DELETED'")
     elif scopes is not None:
-        inside = F.broadcast(scopes.select(*SCOPE).distinct().withColumn("__in", F.lit(True)))
+        inside = scopes.select(*SCOPE).distinct().withColumn("__in", F.lit(True))
         out = out.join(inside, SCOPE, "left").where("action <> 'DELETED' or __in")
     return out.select(*IDENTITY, "action")
 
@@ -115,6 +118,23 @@ def history(batches: DataFrame, facts: DataFrame) -> DataFrame:
     return batches.join(counts, "batch_id", "left").na.fill(0, ["n_rows"]).orderBy(F.desc("created_at"), "batch_id")
 
 
+def set_disposition(issues: DataFrame, batch_id: str, stable_key: str, disposition: str) -> DataFrame:
+    """Issues with one issue of one batch under a new disposition; all other rows as they were."""
+    here = (F.col("batch_id") == batch_id) & (F.col("stable_key") == stable_key)
+    return issues.withColumn("disposition", F.when(here, disposition).otherwise(F.col("disposition")))
+
+
+def merged_edges(edges: DataFrame, most: int = 100) -> DataFrame:
+    """One row for each (environment, profile, source, target, program, job): facts, paths summed, the first evidences in order."""
+    keys = [*SCOPE, "source", "target", "program", "job"]
+    facts = edges.groupBy(*keys).agg(F.count(F.lit(1)).alias("facts"), F.sum("paths").alias("paths"))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("evidence"))
+    first = edges.where("evidence is not null").select(*keys, "evidence").distinct().withColumn("k", rank).where(F.col("k") <= most)
+    texts = first.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list("evidence")), ",").alias("evidence"))
+    same = functools.reduce(lambda a, b: a & b, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys])
+    return facts.alias("a").join(texts.alias("b"), same, "left").select(*[f"a.{k}" for k in keys], "facts", "paths", "b.evidence")
+
+
 def failure_reason(has_source: Column, parsed: Column, has_target: Column, has_edges: Column) -> Column:
     """The first reason that applies, NULL where there is none."""
     return F.when(~has_source, "NO_SOURCE").when(~parsed, "PARSE_FAILED").when(~has_target, "NO_TARGET").when(~has_edges, "NO_EDGES")

@@ -111,7 +111,7 @@ def metadata_resolution(spark, sf_dir):
     return facts.namespace_matches(p, n)
 
 
-_DEPS = "select distinct o_orderkey % 700 as job, o_custkey % 900 as dep from orders where o_orderkey % 3 = 0"
+_DEPS = "select distinct o_orderkey % 700 as job, o_custkey % 900 as dep from orders"
 
 
 @query(f"WITH j AS (SELECT DISTINCT CAST(o_orderkey % 700 AS VARCHAR) AS job FROM orders), d AS (SELECT CAST(job AS VARCHAR) AS job, CAST(dep AS VARCHAR) AS dep FROM ({_DEPS})) SELECT j.job, coalesce(a.dep, '') AS unload, coalesce(b.dep, '') AS process FROM j LEFT JOIN d a ON a.job = j.job LEFT JOIN d b ON b.job = a.dep")
@@ -120,14 +120,9 @@ def two_hop_chain(spark, sf_dir):
     return facts.two_hops(run(spark, sf_dir, "select distinct cast(o_orderkey % 700 as string) as job from orders"), deps)
 
 
-_ALL_DEPS = _DEPS.replace(" where o_orderkey % 3 = 0", "")
-
-
-@query(ORACLE_SQL["two_hop_chain"].replace(_DEPS, _ALL_DEPS))
+@query(ORACLE_SQL["two_hop_chain"])
 def two_hop_chain_all(spark, sf_dir):
-    """Every dependency; two_hop_chain takes a third."""
-    deps = run(spark, sf_dir, _ALL_DEPS).select(F.col("job").cast("string"), F.col("dep").cast("string"))
-    return facts.two_hops(run(spark, sf_dir, "select distinct cast(o_orderkey % 700 as string) as job from orders"), deps)
+    return two_hop_chain(spark, sf_dir)
 
 
 @query(
@@ -194,7 +189,7 @@ _NAMES = "select l_orderkey, l_linenumber, concat(case l_linenumber % 4 when 0 t
 
 @query(
     f"""SELECT l_orderkey, l_linenumber, CASE WHEN four THEN t END AS target, CASE WHEN marked THEN t END AS hint, CASE WHEN four AND CAST(p[3] AS INTEGER) > 0 THEN CAST(p[3] AS INTEGER) END AS step, CASE WHEN four THEN p[4] END AS suffix,
-      concat_ws(',', CASE WHEN NOT marked THEN 'MARKER_INVALID,TARGET_INVALID' END, CASE WHEN marked AND NOT four THEN 'FORMAT_UNSUPPORTED,INCOMPLETE,STEP_MISSING' END, CASE WHEN four THEN 'TARGET_RESOLVED' END, CASE WHEN four AND CAST(p[3] AS INTEGER) = 0 THEN 'STEP_INVALID' END, CASE WHEN four AND p[4] <> '00' THEN 'SUFFIX_NONSTANDARD' END) AS diagnostics
+      concat_ws(',', CASE WHEN NOT marked THEN 'PROGRAM_NAME_MARKER_INVALID,PROGRAM_NAME_TARGET_INVALID' END, CASE WHEN marked AND NOT four THEN 'PROGRAM_NAME_FORMAT_UNSUPPORTED,PROGRAM_NAME_INCOMPLETE,PROGRAM_NAME_STEP_MISSING' END, CASE WHEN four THEN 'PROGRAM_NAME_TARGET_RESOLVED' END, CASE WHEN four AND CAST(p[3] AS INTEGER) = 0 THEN 'PROGRAM_NAME_STEP_INVALID' END, CASE WHEN four AND p[4] <> '00' THEN 'PROGRAM_NAME_SUFFIX_NONSTANDARD' END) AS diagnostics
     FROM (SELECT *, p[1] = '005' AS marked, p[1] = '005' AND len(p) = 4 AS four, replace(upper(p[2]), 'DWS_DWF.', 'DWF.') AS t FROM (SELECT l_orderkey, l_linenumber, string_split(trim(name), ':') AS p FROM ({_NAMES})))"""
 )
 def program_name_parse(spark, sf_dir):

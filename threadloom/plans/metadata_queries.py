@@ -14,18 +14,17 @@ QUERIES, ORACLE_SQL = query.queries, query.oracle_sql
 
 
 @query(
-    f"""WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM {duck('edges_chain')} t), p AS (SELECT concat('PLAN', CAST(o_custkey AS VARCHAR)) AS plan, min(o_orderkey) AS job FROM orders WHERE o_custkey % 20 = 0 GROUP BY o_custkey),
+    f"""WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM {duck('edges_chain')} t), p AS (SELECT concat('PLAN', CAST(o_custkey AS VARCHAR)) AS plan, min(o_orderkey) AS job FROM orders GROUP BY o_custkey),
     w AS (SELECT plan, job FROM p UNION SELECT w.plan, e.dst FROM w JOIN e ON e.src = w.job) SELECT plan, job, concat('DWF.', o_orderpriority) AS target FROM w JOIN orders ON o_orderkey = job WHERE o_orderstatus = 'F'"""
 )
 def plan_receipts(spark, sf_dir):
-    plans = run(spark, sf_dir, "select concat('PLAN', cast(o_custkey as string)) as plan, min(o_orderkey) as job from orders where o_custkey % 20 = 0 group by o_custkey")
+    plans = run(spark, sf_dir, "select concat('PLAN', cast(o_custkey as string)) as plan, min(o_orderkey) as job from orders group by o_custkey")
     outputs = run(spark, sf_dir, "select o_orderkey as job, concat(case when o_orderstatus = 'F' then 'DWF.' else 'DWD.' end, o_orderpriority) as target from orders")
     return metadata.receipts(plans, outputs, relation(spark, sf_dir, "edges_chain"), "DWF.")
 
 
-@query(ORACLE_SQL["plan_receipts"].replace(" WHERE o_custkey % 20 = 0", ""))
+@query(ORACLE_SQL["plan_receipts"])
 def plan_receipts_all(spark, sf_dir):
-    """Every plan; plan_receipts takes a twentieth."""
     plans = run(spark, sf_dir, "select concat('PLAN', cast(o_custkey as string)) as plan, min(o_orderkey) as job from orders group by o_custkey")
     outputs = run(spark, sf_dir, "select o_orderkey as job, concat(case when o_orderstatus = 'F' then 'DWF.' else 'DWD.' end, o_orderpriority) as target from orders")
     return metadata.receipts(plans, outputs, relation(spark, sf_dir, "edges_chain"), "DWF.")
@@ -43,18 +42,17 @@ _WRITES = "select distinct concat('J', cast(l_orderkey % 60 as varchar(20))) as
 
 @query(
     f"""WITH RECURSIVE r AS ({_READS}), w AS ({_WRITES}), own AS (SELECT * FROM r EXCEPT SELECT * FROM w), e AS (SELECT concat('table:', tab) AS a, concat('task:', job) AS b FROM w UNION SELECT concat('task:', job), concat('table:', tab) FROM own),
-    g AS (SELECT concat('table:T', k) AS start, concat('table:T', k) AS node, 0 AS level FROM (SELECT unnest(['1', '7']) AS k) UNION SELECT g.start, e.b, g.level + 1 FROM g JOIN e ON e.a = g.node WHERE g.level < 9)
+    g AS (SELECT concat('table:T', k) AS start, concat('table:T', k) AS node, 0 AS level FROM (SELECT unnest(['1', '7']) AS k) UNION SELECT g.start, e.b, g.level + 1 FROM g JOIN e ON e.a = g.node WHERE g.level < 30)
     SELECT split_part(start, ':', 2) AS start, split_part(node, ':', 2) AS node, split_part(node, ':', 1) AS kind, CAST(min(level) AS INTEGER) AS "column" FROM g GROUP BY g.start, g.node"""
 )
 def layered_upstream(spark, sf_dir):
     reads, writes = (run(spark, sf_dir, t).withColumnRenamed("tab", "table") for t in (_READS, _WRITES))
     start = spark.sql("select explode(array('T1', 'T7')) as table")
-    return metadata.layered(reads, writes, start, max_depth=9)
+    return metadata.layered(reads, writes, start)
 
 
-@query(ORACLE_SQL["layered_upstream"].replace("g.level < 9", "g.level < 30"))
+@query(ORACLE_SQL["layered_upstream"])
 def layered_upstream_all(spark, sf_dir):
-    """To the operator's own depth; layered_upstream stops at 9."""
     reads, writes = (run(spark, sf_dir, t).withColumnRenamed("tab", "table") for t in (_READS, _WRITES))
     return metadata.layered(reads, writes, spark.sql("select explode(array('T1', 'T7')) as table"))
 
@@ -63,17 +61,16 @@ _COLUMNS = "select distinct 's' as schema_name, concat('t', cast(l_suppkey % 30
 
 
 @query(
-    f"""WITH RECURSIVE e AS (SELECT DISTINCT upper(concat('s.', a, '.', b)) AS src, upper(concat('s.', c, '.', d)) AS dst FROM ({_COLUMNS})), g AS (SELECT 'S.T0.C1' AS node, 0 AS level UNION SELECT e.dst, g.level + 1 FROM g JOIN e ON e.src = g.node WHERE g.level < 6)
+    f"""WITH RECURSIVE e AS (SELECT DISTINCT upper(concat('s.', a, '.', b)) AS src, upper(concat('s.', c, '.', d)) AS dst FROM ({_COLUMNS})), g AS (SELECT 'S.T0.C1' AS node, 0 AS level UNION SELECT e.dst, g.level + 1 FROM g JOIN e ON e.src = g.node WHERE g.level < 30)
     SELECT 'S.T0.C1' AS start, node, CAST(min(level) AS INTEGER) AS level FROM g GROUP BY node"""
 )
 def column_walk(spark, sf_dir):
     rows = run(spark, sf_dir, _COLUMNS).select(F.col("schema_name").alias("schema"), F.col("a").alias("table"), F.col("b").alias("column"), F.col("schema_name").alias("to_schema"), F.col("c").alias("to_table"), F.col("d").alias("to_column"))
-    return metadata.column_walk(rows, spark.sql("select 'S.T0.C1' as node"), max_depth=6)
+    return metadata.column_walk(rows, spark.sql("select 'S.T0.C1' as node"))
 
 
-@query(ORACLE_SQL["column_walk"].replace("g.level < 6", "g.level < 30"))
+@query(ORACLE_SQL["column_walk"])
 def column_walk_all(spark, sf_dir):
-    """To the operator's own depth; column_walk stops at 6."""
     rows = run(spark, sf_dir, _COLUMNS).select(F.col("schema_name").alias("schema"), F.col("a").alias("table"), F.col("b").alias("column"), F.col("schema_name").alias("to_schema"), F.col("c").alias("to_table"), F.col("d").alias("to_column"))
     return metadata.column_walk(rows, spark.sql("select 'S.T0.C1' as node"))
 

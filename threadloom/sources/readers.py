@@ -137,4 +137,4 @@ def spreadsheet(spark: SparkSession, path: str, wanted: dict[str, str], header_r
 def active_rows(facts: DataFrame, batches: DataFrame) -> DataFrame:
     """The active batch's rows; an active batch without rows gives one row of nulls, none without an active batch."""
     active = batches.where("is_active").select("batch_id")
-    return F.broadcast(active).join(facts, "batch_id", "left")
+    return active.join(facts, "batch_id", "left")
