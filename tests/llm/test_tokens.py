@@ -65,6 +65,17 @@ def test_backtracking_encodes_as_the_library_does():
         assert sentencepiece_bpe.encode_text(t.encode(), path).tolist() == model.encode(t), repr(t)
 
 
+def test_long_words_without_a_break():
+    path = sentencepiece_bpe.model_path()
+    model, rng = sentencepiece_bpe.encoder(path)[0].model, random.Random(7)
+    word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(600_000))
+    assert sentencepiece_bpe.encode_text(word.encode(), path).tolist() == model.encode(word)
+    from tokenizers import Tokenizer
+
+    path = token_output.tokenizer_path()
+    assert token_output.encode_texts([word.encode()], path)[0].tolist() == Tokenizer.from_file(path).encode(word, add_special_tokens=False).ids
+
+
 def test_token_files(spark, odd_docs, no_docs):
     from tokenizers import Tokenizer
 

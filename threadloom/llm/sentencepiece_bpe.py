@@ -91,7 +91,7 @@ class Encoder:
             at[end - size + 1] |= 1 << size
         if at[0] >> n:
             return [text]
-        fits, dead = self.fits, 0
+        fits, dead = self.fits, None  # a bit for each place; most words need none
         out: list[str] = []
         #: For each piece taken: the sizes at its place that are left to try.
         left: list[int] = []
@@ -101,7 +101,7 @@ class Encoder:
                 size = sizes.bit_length() - 1
                 sizes ^= 1 << size
                 end = pos + size
-                if dead and dead >> end & 1:
+                if dead is not None and dead[end >> 3] >> (end & 7) & 1:
                     continue
                 piece = text[pos:end]
                 if last is None or fits(last, piece):
@@ -112,7 +112,9 @@ class Encoder:
             else:
                 if not out:
                     raise ValueError("no encoding: the vocabulary isn't of the merge type")
-                dead |= 1 << pos
+                if dead is None:
+                    dead = bytearray((n >> 3) + 1)
+                dead[pos >> 3] |= 1 << (pos & 7)
                 pos -= len(out.pop())
                 sizes = left.pop()
                 last = out[-1] if out else None
