@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from threadloom.operators import reconcile, snapshot
-from threadloom.sources import readers
+from threadloom.sources import readers, store
 from threadloom.sources.store import SnapshotStore
 from threadloom.streaming import incremental
 
@@ -87,3 +87,13 @@ def test_readers(spark, tmp_path):
     assert [tuple(r) for r in readers.active_rows(facts, batches).collect()] == [("y", None)]
     sources = readers.program_sources(spark.createDataFrame([(" n ", "code", "dwf.t"), (None, "c", None), ("m", None, None)], "name string, code string, target string"), "PROD", "P", "name", "code", "target")
     assert [(r["program_name"], r["expected_target"], len(r["source_hash"])) for r in sources.collect()] == [("n", "DWF.T", 64)]
+
+
+def test_copies_keep_their_columns(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, None)], "k int, v string")
+    store.copy_table(rows, spark, "copied")
+    store.copy_table(rows.where("k = 2"), spark, "copied")
+    assert [tuple(r) for r in spark.table("copied").collect()] == [(2, None)]
+    with pytest.raises(ValueError):
+        store.copy_table(rows.select("k"), spark, "copied")
+    spark.sql("drop table copied")

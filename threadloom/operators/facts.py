@@ -66,8 +66,20 @@ def multiset_minus(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 
 def quantiles(rows: DataFrame, by: str, value: str) -> DataFrame:
-    """Inclusive P50 and P95."""
-    return rows.groupBy(by).agg(F.round(F.percentile(value, F.lit(0.5)), 6).alias("p50"), F.round(F.percentile(value, F.lit(0.95)), 6).alias("p95"), F.max(value).alias("most"))
+    """Inclusive P50 and P95, exact, with the value between two places interpolated.
+
+    Distinct values are counted first and their running counts looked up, so no group is held in one buffer.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy(by)
+    placed = counts.withColumn("end", F.sum("n").over(w.orderBy(value))).withColumn("total", F.sum("n").over(w))
+    aggs, out = [F.max(value).alias("most")], []
+    for name, p in (("p50", 0.5), ("p95", 0.95)):
+        at = (F.col("total") - 1) * p
+        on = lambda k: F.max(F.when((F.col("end") - F.col("n") <= k) & (k < F.col("end")), F.col(value)))
+        aggs += [on(F.floor(at)).alias(f"{name}_low"), on(F.ceil(at)).alias(f"{name}_high"), F.max(at - F.floor(at)).alias(f"{name}_part")]
+        out.append(F.round(F.col(f"{name}_low") + (F.col(f"{name}_high") - F.col(f"{name}_low")) * F.col(f"{name}_part"), 6).alias(name))
+    return placed.groupBy(by).agg(*aggs).select(by, *out, "most")
 
 
 def latest_by_alias(tables: DataFrame, times: DataFrame) -> DataFrame:
@@ -137,7 +149,7 @@ def namespace_matches(physical: DataFrame, namespaces: DataFrame) -> DataFrame:
 
     RESOLVED with one match, UNRESOLVED with none, CONFLICT with several. An equi-join on the logical target comes first.
     """
-    hit = physical.join(namespaces, "logical").where(F.startswith("encoded", F.concat("namespace", F.lit("_"))) | (F.col("encoded") == F.col("namespace")))
+    hit = physical.select("logical", "encoded").distinct().join(namespaces.select("logical", "namespace").distinct(), "logical").where(F.startswith("encoded", F.concat("namespace", F.lit("_"))) | (F.col("encoded") == F.col("namespace")))
     found = hit.groupBy("logical", "encoded").agg(F.countDistinct("namespace").alias("candidates"), F.min("namespace").alias("namespace"))
     out = physical.select("logical", "encoded").distinct().join(found, ["logical", "encoded"], "left").na.fill(0, ["candidates"])
     state = F.when(F.col("candidates") == 0, "UNRESOLVED").when(F.col("candidates") == 1, "RESOLVED").otherwise("CONFLICT")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -16,13 +19,32 @@ def receipts(plans: DataFrame, outputs: DataFrame, depends: DataFrame, prefix: s
     return reached.join(outputs.where(F.startswith("target", F.lit(prefix))), "job").select("plan", "job", "target").distinct()
 
 
-def containing(texts: DataFrame, key: str, text: str, patterns: DataFrame, most: int = 10_000) -> DataFrame:
-    """(key, pattern): a small table of patterns found in texts. Patterns are a stated set of at most `most`, tried on each text in one pass."""
-    known = [r[0] for r in patterns.select("pattern").distinct().limit(most + 1).collect()]
+def containing(texts: DataFrame, key: str, text: str, patterns: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """(key, pattern): a small table of patterns found in texts, whatever the case. Patterns are a stated set of at most `most`.
+
+    One automaton of all patterns reads each text once, however many they are.
+    """
+    known = [r[0] for r in patterns.where("pattern <> ''").select(F.upper("pattern")).distinct().limit(most + 1).collect()]
     if len(known) > most:
         raise ValueError(f"more than {most} patterns; split them into several calls")
-    found = F.filter(F.array(*[F.lit(p) for p in sorted(known)]), lambda p: F.contains(F.upper(F.col(text)), F.upper(p)))
-    return texts.select(key, F.explode(found).alias("pattern"))
+    kind = texts.schema[key].dataType.simpleString()
+    return texts.select(key, F.upper(text).alias("text")).mapInArrow(functools.partial(_search, known), f"`{key}` {kind}, pattern string")
+
+
+def _search(patterns: list[str], batches):
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for p in patterns:
+        automaton.add_word(p, p)
+    automaton.make_automaton()
+    for batch in batches:
+        rows, found = [], []
+        for k, x in enumerate(batch.column(1)):
+            hits = sorted({p for _, p in automaton.iter(x.as_py() or "")}) if patterns else []
+            rows += [k] * len(hits)
+            found += hits
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(found, pa.string())], names=[batch.schema.names[0], "pattern"])
 
 
 def layered(job_reads: DataFrame, job_writes: DataFrame, start: DataFrame, max_depth: int = 30) -> DataFrame:
@@ -44,9 +66,16 @@ def column_walk(relations: DataFrame, start: DataFrame, max_depth: int = 30) ->
     return levels(edges, start.select(F.col("node").alias("start")), "down", max_depth)
 
 
-def find_start(names: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(wanted, match, state): an exact name, else the only name that ends with or holds it, else how many do."""
-    hit = wanted.join(names, F.contains(F.upper("name"), F.upper("wanted")))  # wanted is what a person asks for: few rows
+def find_start(names: DataFrame, wanted: DataFrame, most: int = 1000) -> DataFrame:
+    """(wanted, match, state): an exact name, else the only name that ends with or holds it, else how many do.
+
+    wanted is what people ask for, at most `most` of them; each name is held against them in one pass.
+    """
+    asked = [r[0] for r in wanted.where("wanted is not null").select("wanted").distinct().limit(most + 1).collect()]
+    if len(asked) > most:
+        raise ValueError(f"more than {most} starts; split them into several calls")
+    held = F.filter(F.array(*map(F.lit, asked)).cast("array<string>"), lambda w: F.contains(F.upper(F.col("name")), F.upper(w)))
+    hit = names.select("name", F.explode(held).alias("wanted"))
     exact = F.max(F.when(F.upper("name") == F.upper("wanted"), F.col("name")))
     ends = F.endswith(F.upper("name"), F.upper("wanted"))
     got = hit.groupBy("wanted").agg(exact.alias("exact"), F.count_if(ends).alias("n_ends"), F.min(F.when(ends, F.col("name"))).alias("ends"), F.count(F.lit(1)).alias("n"), F.min("name").alias("holds"))
