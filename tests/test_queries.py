@@ -33,7 +33,7 @@ def duck():
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+@pytest.mark.parametrize("name", sorted(n for n in catalogue.QUERIES if n.removesuffix("_all") == n or n.removesuffix("_all") not in catalogue.QUERIES))  # x_all is x
 def test_query(spark, duck, name):
     df = catalogue.QUERIES[name](spark, SF)
     rows = df.collect()

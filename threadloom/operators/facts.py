@@ -132,6 +132,20 @@ def source_statistics(rows: DataFrame, by: str, text: str) -> DataFrame:
     return rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(text).isNull()).alias("nulls"), F.count_if(n == 0).alias("empty"), F.min(n).cast("long").alias("shortest"), F.max(n).cast("long").alias("longest"))
 
 
+def type_histogram(rows: DataFrame, by: str, text: str) -> DataFrame:
+    """How many texts of each kind: NULL, EMPTY, SQL, MARKUP, JSON or TEXT."""
+    x = F.ltrim(F.col(text))
+    kind = (
+        F.when(x.isNull(), "NULL")
+        .when(x == "", "EMPTY")
+        .when(x.rlike(r"(?i)^(SELECT|INSERT|CREATE|UPDATE|DELETE|MERGE|WITH)\b"), "SQL")
+        .when(x.startswith("<"), "MARKUP")
+        .when(x.rlike(r"^[\[{]"), "JSON")
+        .otherwise("TEXT")
+    )
+    return rows.groupBy(by, kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def evidence_matrix(profiles: DataFrame, features: list[str], found: DataFrame) -> DataFrame:
     """A cell for each profile and feature, UNKNOWN where nothing was found."""
     cells = profiles.select("profile", F.explode(F.array(*map(F.lit, features))).alias("feature"))

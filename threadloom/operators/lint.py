@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions.names import is_business, is_technical, normalize_table_name
-from threadloom.functions.sqltext import all_tables, hardcoded_dates, search_tokens
+from threadloom.functions.sqltext import all_tables, created_objects, hardcoded_dates, search_tokens, source_tables, used_functions
 from threadloom.operators.graph import strong_components
 
 #: The prefix of table names in a layer.
@@ -77,6 +77,40 @@ def script_issues(scripts: DataFrame, key: str, text: str) -> DataFrame:
     return scripts.select(key, F.explode(found).alias("rule"))
 
 
+#: Which rules hold for which kind of script, what a log line says, and names that need no schema.
+KIND_RULES = {
+    "SQL": ("ALTER", "CREATED_FUNCTION", "CREATED_VIEW", "DISTINCT", "FIXED_GROUP", "TOO_LONG", "USED_FUNCTION"),
+    "HIVE": ("ALTER", "TOO_LONG", "VARCHAR2"),
+    "PYTHON": (
+        "CREATED_FUNCTION", "CREATED_VIEW", "DISTINCT", "EQUALS_SUBQUERY", "FIXED_LENGTH", "HARDCODED_DATE", "IN_SUBQUERY", "LOOP", "MISSING_LOG", "NESTED_NULL_FUNCTION",
+        "OLD_JOIN", "PARTITION_MISMATCH", "RECURSIVE", "UNQUALIFIED_TABLE", "USED_FUNCTION",
+    ),
+}
+LOG_TEXT = "影响条数"
+BARE_NAMES = ("AGE", "DATETIME", "DUAL", "LAST_DAY")
+
+
+def kind_issues(scripts: DataFrame, key: str, text: str, functions: list[str]) -> DataFrame:
+    """Q1, Q2, Q3: (key, rule) by the script's kind, from (key, text, kind, partitioned): the last says what metadata know of the target.
+
+    functions are the names that count as used functions. A target without known state has no partition rule.
+    """
+    x, u = F.col(text), F.upper(text)
+    step = u.rlike(r"\bDEF\s+ROLLBACK_DEAL\s*\(") & u.rlike(r"(TRUNCATE|ADD|DROP|SPLIT) PARTITION")
+    bare = F.filter(source_tables(x), lambda t: ~F.contains(t, F.lit(".")) & ~t.isin(*BARE_NAMES, *[f.upper() for f in functions]))
+    rules = script_rules(x) | {
+        "CREATED_FUNCTION": F.size(created_objects(x, "FUNCTION")) > 0,
+        "CREATED_VIEW": F.size(created_objects(x, "VIEW")) > 0,
+        "MISSING_LOG": ~F.contains(x, F.lit(LOG_TEXT)),
+        "PARTITION_MISMATCH": step != F.col("partitioned"),
+        "UNQUALIFIED_TABLE": F.size(bare) > 0,
+        "USED_FUNCTION": F.size(used_functions(x, functions)) > 0,
+    }
+    kinds = {n: [k for k, names in KIND_RULES.items() if n in names] for n in rules}
+    found = F.array_compact(F.array(*[F.when(F.col("kind").isin(*kinds[n]) & c, F.lit(n)) for n, c in sorted(rules.items()) if kinds[n]]))
+    return scripts.select(key, F.explode(found).alias("rule"))
+
+
 def schedule_issues(jobs: DataFrame, deps: DataFrame, online: DataFrame) -> DataFrame:
     """Q7: (job, rule): CASE, DOMAIN, DISABLED, PRIORITY, SELF_DEPENDENCY, UNKNOWN_DEPENDENCY and OUTPUT_CLASH.
 

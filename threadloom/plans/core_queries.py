@@ -493,3 +493,28 @@ def empty_sequences(spark, sf_dir):
 def dependency_cycles(spark, sf_dir):
     """Q7: jobs that depend on themselves in the end."""
     return lint.cycle_issues(relation(spark, sf_dir, "edges_cycle").select(F.col("src").alias("job"), F.col("dst").alias("dep")))
+
+
+_KINDS = """select l_orderkey * 10 + l_linenumber as id, case l_linenumber % 3 when 0 then 'SQL' when 1 then 'HIVE' else 'PYTHON' end as kind, case when l_suppkey % 3 > 0 then l_suppkey % 3 = 1 end as partitioned,
+    concat(case when l_partkey % 2 = 0 then 'create view v.x as ' else '' end, 'select ', case when l_partkey % 3 = 0 then 'distinct ' else '' end, case when l_partkey % 5 = 0 then 'decode( a)' else 'a' end, ' from ', case when l_partkey % 7 = 0 then 'bare' else 's.t' end,
+    case when l_suppkey % 2 = 0 then '; alter table s.t add b varchar2(9)' else '' end, case when l_orderkey % 2 = 0 then ' 影响条数' else '' end, case when l_orderkey % 3 = 0 then ' def rollback_deal (x): drop partition p' else '' end) as script from lineitem"""
+
+
+@query(
+    f"""SELECT id, rule FROM (SELECT id, unnest([CASE WHEN kind <> 'PYTHON' AND script LIKE '%alter%' THEN 'ALTER' END, CASE WHEN kind <> 'HIVE' AND script LIKE 'create view%' THEN 'CREATED_VIEW' END, CASE WHEN kind <> 'HIVE' AND script LIKE '%distinct%' THEN 'DISTINCT' END,
+      CASE WHEN kind = 'PYTHON' AND script LIKE '%varchar2%' THEN 'FIXED_LENGTH' END, CASE WHEN kind = 'HIVE' AND script LIKE '%varchar2%' THEN 'VARCHAR2' END, CASE WHEN kind = 'PYTHON' AND script NOT LIKE '%影响条数%' THEN 'MISSING_LOG' END, CASE WHEN kind = 'PYTHON' AND (script LIKE '%rollback%') <> partitioned THEN 'PARTITION_MISMATCH' END,
+      CASE WHEN kind = 'PYTHON' AND script LIKE '%bare%' THEN 'UNQUALIFIED_TABLE' END, CASE WHEN kind <> 'HIVE' AND script LIKE '%decode%' THEN 'USED_FUNCTION' END]) AS rule FROM ({_KINDS})) WHERE rule IS NOT NULL"""
+)
+def kind_rules(spark, sf_dir):
+    """Q1, Q2, Q3."""
+    return lint.kind_issues(run(spark, sf_dir, _KINDS), "id", "script", ["decode"])
+
+
+@query(
+    """SELECT kind_of AS source, CASE WHEN text IS NULL THEN 'NULL' WHEN ltrim(text) = '' THEN 'EMPTY' WHEN regexp_matches(ltrim(text), '(?i)^(SELECT|INSERT|CREATE|UPDATE|DELETE|MERGE|WITH)\\b') THEN 'SQL' WHEN ltrim(text) LIKE '<%' THEN 'MARKUP' WHEN regexp_matches(ltrim(text), '^[\\[{]') THEN 'JSON' ELSE 'TEXT' END AS kind, count(*) AS n
+    FROM (SELECT source AS kind_of, text FROM documents UNION ALL SELECT 'pages', html FROM pages UNION ALL SELECT 'events', props FROM events UNION ALL SELECT 'part', CASE p_size % 3 WHEN 0 THEN ' select 1' WHEN 1 THEN '' END FROM part) GROUP BY ALL"""
+)
+def text_kinds(spark, sf_dir):
+    """R3."""
+    rows = run(spark, sf_dir, "select source, text from documents union all select 'pages', html from pages union all select 'events', props from events union all select 'part', case p_size % 3 when 0 then ' select 1' when 1 then '' end from part")
+    return facts.type_histogram(rows, "source", "text")
