@@ -28,7 +28,7 @@ CREATE_FOREIGN = r"\bCREATE\s+(?:(?:OR\s+REPLACE|GLOBAL|LOCAL)\s+)*FOREIGN\s+TAB
 MERGE, UPDATE = r"\bMERGE\s+INTO\s+", r"\bUPDATE\s+(?:ONLY\s+)?"
 OTHERS = r"\bDELETE\s+FROM\s+(?:ONLY\s+)?|\b(?:ALTER|TRUNCATE|DROP)\s+(?:TABLE|VIEW)\s+(?:IF\s+EXISTS\s+)?(?:ONLY\s+)?"
 _plain = lambda p: p.replace("(INTO|OVERWRITE)", "(?:INTO|OVERWRITE)").replace("((?:(?:OR", "(?:(?:(?:OR")
-WRITES = rf"(?:{_plain(INSERT)}|{_plain(CREATE_TABLE)}|{_plain(CREATE_VIEW)}|{CREATE_FOREIGN}|{MERGE}|{UPDATE}|{OTHERS}){NAME}"
+WRITES = rf"\b(?=[ACDIMTU])(?:{_plain(INSERT)}|{_plain(CREATE_TABLE)}|{_plain(CREATE_VIEW)}|{CREATE_FOREIGN}|{MERGE}|{UPDATE}|{OTHERS}){NAME}"
 CTES = rf"(?:\bWITH\b|,)\s*(?:RECURSIVE\s+)?({_PART})(?:\s*\([^)]*\))?\s+AS\s*(?:(?:NOT\s+)?MATERIALIZED\s*)?\("
 #: A function's brackets, without brackets inside, that hold a FROM but no query: EXTRACT(DAY FROM D).
 _CALL = r"\b(?!(?:AS|FROM|JOIN|LATERAL|ON|SELECT|USING|VALUES|WHERE|WITH|IN|EXISTS)\b)[A-Z_]\w*\s*\((?:(?!\b(?:SELECT|WITH)\b)[^()])*\bFROM\b(?:(?!\b(?:SELECT|WITH)\b)[^()])*\)"
@@ -45,12 +45,19 @@ def mask_literals(x: Column) -> Column:
 
 def without_comments(x: Column) -> Column:
     """Comments outside literals as a blank each (H2; operators.extract.strip_comments keeps the offsets)."""
-    return F.regexp_replace(x, r"(?s)((?:'[^']*+')++)|--[^\n]*+|/\*.*?(?:\*/|\z)", "$1 ")
+    some = F.contains(x, F.lit("--")) | F.contains(x, F.lit("/*"))
+    return F.when(some, F.regexp_replace(x, r"(?s)((?:'[^']*+')++)|--[^\n]*+|/\*.*?(?:\*/|\z)", "$1 ")).otherwise(x)
 
 
 def cleaned(x: Column) -> Column:
     """What the patterns run on: no comments, empty literals, upper case, no FROM inside a function's brackets (H7)."""
-    return F.regexp_replace(F.upper(mask_literals(without_comments(x))), _CALL, "F()")
+    plain = _once(without_comments(x), lambda t: F.upper(F.when(F.contains(t, F.lit("'")), mask_literals(t)).otherwise(t)))
+    return _once(plain, lambda t: F.when(t.rlike(r"\([^()]*\bFROM\b"), F.regexp_replace(t, _CALL, "F()")).otherwise(t))
+
+
+def _once(value: Column, f) -> Column:
+    """f(value) with the value worked out once, however often f uses it, in branches too."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
 
 def _names(found: Column) -> Column:
@@ -58,6 +65,12 @@ def _names(found: Column) -> Column:
     return F.array_distinct(F.transform(found, normalize_table_name))
 
 
+def _without_ctes(text: Column, names: Column) -> Column:
+    """Names without those of CTEs and without ignored words."""
+    others = F.array(*map(F.lit, NOT_TABLES))
+    return F.when(F.contains(text, F.lit("WITH")), F.array_except(F.array_except(names, _names(_all(text, CTES))), others)).otherwise(F.array_except(names, others))
+
+
 def cte_names(x: Column) -> Column:
     """H5, upper case, in order of first appearance."""
     return _names(_all(cleaned(x), CTES))
@@ -65,15 +78,12 @@ def cte_names(x: Column) -> Column:
 
 def source_tables(x: Column) -> Column:
     """H6: what FROM, JOIN and USING name, without CTEs, functions, placeholders and ignored words, distinct in order of appearance."""
-    text = cleaned(x)
-    return F.array_except(F.array_except(_names(_all(text, SOURCES)), _names(_all(text, CTES))), F.array(*map(F.lit, NOT_TABLES)))
+    return F.coalesce(_once(cleaned(x), lambda t: _without_ctes(t, _names(_all(t, SOURCES)))), F.array().cast("array<string>"))
 
 
 def all_tables(x: Column) -> Column:
     """Sources and everything written, defined or dropped, sorted and distinct."""
-    text = cleaned(x)
-    found = _names(F.concat(_all(text, SOURCES), _all(text, WRITES)))
-    return F.array_sort(F.array_except(F.array_except(found, _names(_all(text, CTES))), F.array(*map(F.lit, NOT_TABLES))))
+    return _once(cleaned(x), lambda t: F.array_sort(_without_ctes(t, _names(F.concat(_all(t, SOURCES), _all(t, WRITES))))))
 
 
 def upstream_tables(x: Column, own: Column, schemas: tuple[str, ...]) -> Column:
@@ -83,38 +93,60 @@ def upstream_tables(x: Column, own: Column, schemas: tuple[str, ...]) -> Column:
 
 def statement_class(x: Column) -> Column:
     """H4: (statement_type, target, insert_mode, is_temporary) of one statement, by fixed precedence."""
-    m = cleaned(x)
-    get = lambda p, k: F.nullif(F.regexp_extract(m, p, k), F.lit(""))
-    name = lambda p, k=1: normalize_table_name(get(p + NAME, k))
-    insert, mode = name(INSERT, 2), get(INSERT + NAME, 1)
-    create, view, merge, update = name(CREATE_TABLE, 2), name(CREATE_VIEW, 2), name(MERGE), name(UPDATE)
-    temporary = F.when(insert.isNotNull(), False).when(create.isNotNull(), get(CREATE_TABLE + NAME, 1).contains("TEMP")).otherwise(get(CREATE_VIEW + NAME, 1).contains("TEMP"))
+    return _once(_once(cleaned(x), _heads), _classified)
+
+
+def _heads(m: Column) -> Column:
+    """The names and modifiers of each kind of statement that a text holds; a text without the kind's word isn't searched."""
+
+    def get(word: str, pattern: str, k: int) -> Column:
+        return F.when(F.contains(m, F.lit(word)), F.nullif(F.regexp_extract(m, pattern + NAME, k), F.lit("")))
+
+    return F.struct(
+        get("INSERT", INSERT, 2).alias("insert"),
+        get("INSERT", INSERT, 1).alias("mode"),
+        get("TABLE", CREATE_TABLE, 2).alias("create"),
+        get("TABLE", CREATE_TABLE, 1).contains("TEMP").alias("create_temp"),
+        get("VIEW", CREATE_VIEW, 2).alias("view"),
+        get("VIEW", CREATE_VIEW, 1).contains("TEMP").alias("view_temp"),
+        get("MERGE", MERGE, 1).alias("merge"),
+        get("UPDATE", UPDATE, 1).alias("update"),
+        m.rlike(r"\bSELECT\b").alias("selects"),
+    )
+
+
+def _classified(h: Column) -> Column:
+    some = lambda c: h[c].isNotNull()
     kind = (
-        F.when(insert.isNotNull(), F.concat(F.lit("INSERT_"), mode))
-        .when(create.isNotNull(), "CREATE_TABLE")
-        .when(view.isNotNull(), "CREATE_VIEW")
-        .when(merge.isNotNull(), "MERGE")
-        .when(update.isNotNull(), "UPDATE")
-        .when(m.rlike(r"\bSELECT\b"), "SELECT")
+        F.when(some("insert"), F.concat(F.lit("INSERT_"), h["mode"]))
+        .when(some("create"), "CREATE_TABLE")
+        .when(some("view"), "CREATE_VIEW")
+        .when(some("merge"), "MERGE")
+        .when(some("update"), "UPDATE")
+        .when(h["selects"], "SELECT")
         .otherwise("UNKNOWN")
     )
+    temporary = F.when(some("insert"), False).when(some("create"), h["create_temp"]).otherwise(h["view_temp"])
     return F.struct(
         kind.alias("statement_type"),
-        F.coalesce(insert, create, view, merge, update).alias("target"),
-        F.when(insert.isNotNull(), mode).alias("insert_mode"),
+        normalize_table_name(F.coalesce(*[h[c] for c in ("insert", "create", "view", "merge", "update")])).alias("target"),
+        F.when(some("insert"), h["mode"]).alias("insert_mode"),
         F.coalesce(temporary, F.lit(False)).alias("is_temporary"),
     )
 
 
 def dynamic_target(x: Column) -> Column:
     """What kind of statement writes a name that holds a placeholder, NULL for none; such a statement gives no target."""
-    m = cleaned(x)
     hole = r"[^\s,();]*[{%]|[^\s,();]+\s*\.\s*[^\s,();]*[{%]"
-    out = F.lit(None).cast("string")
     kinds = (("UPDATE", UPDATE), ("MERGE", MERGE), ("CREATE_VIEW", CREATE_VIEW), ("CREATE_TABLE", CREATE_TABLE), ("INSERT", INSERT), ("CREATE_FOREIGN_TABLE", CREATE_FOREIGN))
-    for kind, prefix in kinds:
-        out = F.when(m.rlike(f"{prefix}(?:{hole})"), kind).otherwise(out)
-    return out
+
+    def kind_of(m: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for kind, prefix in kinds:
+            out = F.when(m.rlike(f"{prefix}(?:{hole})"), kind).otherwise(out)
+        return F.when(F.contains(m, F.lit("{")) | F.contains(m, F.lit("%")), out)
+
+    return _once(cleaned(x), kind_of)
 
 
 def has_dynamic_target(x: Column) -> Column:
