@@ -34,8 +34,6 @@ _CONF = 4  # confidences of a prediction: hits in a row, up to _CONF - 1
 _U = np.uint64
 _LEAST, _LOW32 = _U(1 << 32), _U((1 << 32) - 1)
 _S16, _S32, _ST = _U(16), _U(32), _U(_TOTAL)
-
-
 _place = np.zeros(1 << 18, np.int32)
 
 
@@ -76,8 +74,7 @@ class _Model:
         self.base0 = lane * width
         # one table for both orders: a context's slot holds symbol * _CONF + hits in a row
         self.slots = np.zeros(n * (width + _SLOTS), np.uint16)
-        self.at = np.stack([self.base0, n * width + lane * _SLOTS])
-        self.base2 = self.at[1].copy()
+        self.base2 = n * width + lane * _SLOTS
         self.index = np.empty((2, n), np.int64)
         self.base_w = lane * _CONF * _CONF
         self.counts = (np.arange(width)[None, :] < sizes[:, None]).astype(np.int64)

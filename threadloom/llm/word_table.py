@@ -106,7 +106,7 @@ class WordTable:
         a, b = _packed(padded, starts, np.minimum(lengths, LONGEST))
         entry = self.find(a, b).astype(np.int64)
         entry[~short] = -1
-        missing = np.flatnonzero(entry < 0)
+        missing, full = np.flatnonzero(entry < 0), False
         extra: list[bytes] = [end]
         if len(missing):
             raw, numbers = data.tobytes(), {}
@@ -115,11 +115,9 @@ class WordTable:
             lead = np.empty(len(numbers), np.int64)
             lead[which[::-1]] = missing[::-1]
             kept = np.flatnonzero(short[lead])
-            if self.n + len(kept) > self.most:
-                # what was found stays usable for this chunk; the table starts anew with the next one
-                kept, full = kept[:0], True
-            else:
-                full = False
+            full = self.n + len(kept) > self.most
+            if full:  # what was found stays usable for this chunk; the table starts anew with the next one
+                kept = kept[:0]
             place = np.full(len(numbers), -1, np.int64)
             if len(kept):
                 place[kept] = self.add(a[lead[kept]], b[lead[kept]], [got[k] for k in kept.tolist()])
@@ -127,10 +125,7 @@ class WordTable:
             place[rest] = -2 - np.arange(1, len(rest) + 1)
             extra += [got[k] for k in rest.tolist()]
             entry[missing] = place[which]
-        else:
-            full = False
         # the end of each text is a word of its own, entry -2
-        texts = len(cuts) - 1
         entry = np.insert(entry, np.searchsorted(starts, cuts[1:]), -2)
         flat = np.frombuffer(b"".join(extra), "<u4")
         counts = np.fromiter(map(len, extra), np.int64, len(extra)) // 4
@@ -146,8 +141,7 @@ class WordTable:
             self.pool = np.concatenate([self.pool, np.empty(max(len(flat), self.most), "<u4")])
         self.pool[self.used : self.used + len(flat)] = flat  # beyond the entries; overwritten by the next ones
         ids = self.pool.take(at)
-        marks = stops[np.flatnonzero(entry == -2)]
+        marks = stops[entry == -2]
         if full:
             self.clear()
-        assert len(marks) == texts
         return ids, np.diff(marks, prepend=0)
