@@ -44,6 +44,7 @@ class Encoder:
         ordinary = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         self.ids = {sp.id_to_piece(i): i for i in ordinary}
         self.scores = {sp.id_to_piece(i): sp.get_score(i) for i in ordinary}
+        self.decimal = [str(i) for i in range(sp.get_piece_size())]
         self.byte_ids = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.automaton = ahocorasick.Automaton()
         for piece in self.ids:
@@ -196,7 +197,7 @@ def _encode_rows(path: str, digests: bool, with_ids: bool, names: list[str], bat
             columns = part.columns[:-1]
             if digests:
                 columns.append(pa.array([len(i) for i in plain], pa.int64()))
-                columns.append(pa.array([hashlib.sha256(",".join(map(str, i)).encode()).hexdigest() for i in plain], pa.string()))
+                columns.append(pa.array([hashlib.sha256(",".join(map(e.decimal.__getitem__, i)).encode()).hexdigest() for i in plain], pa.string()))
                 columns.append(pa.array([hashlib.sha256(d.encode()).hexdigest() for d in decoded], pa.string()))
             else:
                 columns.append(pa.array(decoded, pa.string()))
