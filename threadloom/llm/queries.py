@@ -9,7 +9,10 @@ from threadloom.llm.line_dedup import OP9_SQL, op9_line_dedup
 from threadloom.llm.minhash import op3_minhash
 from threadloom.llm.posting_lists import op10_posting_lists
 from threadloom.llm.pseudonyms import op4_pseudonyms
+from threadloom.llm.rare_digest import op12_rare_digest
 from threadloom.llm.sentencepiece_bpe import op6_sentencepiece
+from threadloom.llm.source_audit import OP11_SQL, op11_source_audit
+from threadloom.llm.spelling import op13_spelling_variants
 from threadloom.llm.token_output import op1_token_output
 from threadloom.llm.warc import OP7_SQL, op7_warc
 
@@ -24,10 +27,14 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_line_dedup": op9_line_dedup,
     "op10_posting_lists": op10_posting_lists,
+    "op11_source_audit": op11_source_audit,
+    "op12_rare_digest": op12_rare_digest,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op7_warc": OP7_SQL,
     "op8_chat_format": OP8_SQL,
     "op9_line_dedup": OP9_SQL,
+    "op11_source_audit": OP11_SQL,
 }
