@@ -41,15 +41,15 @@ _TO_LOWER = str.maketrans(_UPPER, _LOWER)
 _FIND = regex.compile(
     r"""
       (?P<email>(?<![\w.%+@-])[\w%+-]+(?:\.[\w%+-]+)*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}\b)
-    | (?P<secret>(?<=\b(?:token|secret|password|passwd|api_?key|key)\s{0,3}[=:]\s{0,3}["'])[0-9A-Za-z+/_-]{16,}(?=["']))
-    | (?P<iban>(?<![\w])[A-Z]{2}[0-9]{2}(?:\ ?[A-Z0-9]{4}){2,7}(?:\ ?[A-Z0-9]{1,4})?(?![\w]))
+    | (?P<secret>(?<=\b(?i:token|secret|password|passwd|api_?key|key)\s{0,3}[=:]\s{0,3}["'])[0-9A-Za-z+/_-]{16,}(?=["']))
+    | (?P<iban>(?<![\w])[A-Za-z]{2}[0-9]{2}(?:\ ?[A-Za-z0-9]{4}){2,7}(?:\ ?[A-Za-z0-9]{1,4})?(?![\w]))
     | (?P<phone>(?<![\w+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,3}(?![\w]))
     | (?P<ip>(?<![\w.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?!\.?\w))
     | (?P<day>(?<![\w./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![\w/-]|\.\w))
     | (?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))
     | (?P<card>(?<![\w-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-]))
     """,
-    regex.X | regex.I,
+    regex.X,  # values are of ASCII letters only: without case, K and S would stand for U+212A and U+017F too
 )
 #: What every value has: a digit, an at sign, or the quote in front of a secret.
 _MAYBE = regex.compile(r"""[0-9@]|[=:]\s{0,3}["']""")
@@ -121,7 +121,8 @@ class Pseudonyms:
 
     def iban(self, text: str, back: bool) -> str | None:
         plain = text.replace(" ", "").upper()
-        if not 15 <= len(plain) <= 34 or _remainder(plain) != 1:
+        # check digits 00, 01 and 99 leave the remainder of 97, 98 and 02, which are those that are given out
+        if not 15 <= len(plain) <= 34 or _remainder(plain) != 1 or not 2 <= int(plain[2:4]) <= 98:
             return None
         body = self.letters(f"iban|{plain[:2]}", plain[4:], back)
         check = 98 - _remainder(plain[:2] + "00" + body)
