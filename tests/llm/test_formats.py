@@ -22,7 +22,12 @@ RECORDS = [
     ({"messages": [{"role": "system"}, {"role": "human", "content": "hi"}]}, "messages", [("system", ""), ("human", "hi")]),
     ({"turns": [{"x": 1}, {"text": "t", "role": "gpt"}, {}], "messages": None}, None, None),
     ({"turns": [{"x": {"y": [1]}}, {"text": "t", "role": "gpt"}, {}]}, "turns", [("", ""), ("gpt", "t"), ("", "")]),
-    ({"messages": "no list"}, "messages-empty", None),
+    ({"messages": "no list"}, "malformed", None),
+    ({"messages": None}, "malformed", None),
+    ({"messages": ["hi", None, [1]]}, "malformed", None),
+    ({"messages": ["hi", {"role": "user", "content": "x"}, 5, [{"role": "a"}], {"role": "assistant", "content": "y"}, None]}, "messages+malformed", [("user", "x"), ("assistant", "y")]),
+    ({"system": "S", "messages": [None, {"role": "user", "content": [{"type": "text", "text": "t"}]}]}, "messages+system+malformed", [("system", "S"), ("user", '[{"type":"text","text":"t"}]')]),
+    ({"system": "S", "turns": {"role": "user"}}, "malformed", None),
     ({"system": None, "question": "q", "answer": "a"}, "question-answer+system", [("system", ""), ("user", "q"), ("assistant", "a")]),
     ({"unknown": 1}, None, None),
 ]

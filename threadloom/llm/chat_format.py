@@ -11,7 +11,9 @@ lengths (skip, take, rest) for each turn: `take` characters of assistant text co
 
 Nulls, empties and repeats: a null text or role is an empty string; a record whose layout no mapping
 knows, or that is no JSON object, comes back with null turns; empty lists give empty strings; repeated
-records are all kept. Texts are formatted whole, up to Spark's own bound of a string. Further fields of a record
+records are all kept. A list with items that are no objects (nulls, texts, lists) keeps its others, in order, and its layout ends in
+'+malformed'; one without any object, or a text, object or null in its place, has the layout 'malformed' and null turns. Null turns
+give a null text and mask. A content that is itself a list or object stays as its JSON text; fields such as tool_calls aren't turns and pass by. Texts are formatted whole, up to Spark's own bound of a string. Further fields of a record
 and columns of the table pass by; columns named layout, turns, formatted or loss_mask give way.
 """
 
@@ -79,8 +81,10 @@ _NONE = "array<string>"
 
 
 def _items(fields: Column, name: str) -> Column:
-    """A list's items, each a map from its fields to their JSON or text; null where the field isn't a list of objects."""
-    return F.from_json(fields[name], f"array<{_MAP}>", JSON)
+    """A list's items, each a map from its fields to their JSON or text, null for what is no object; null where the field isn't a list."""
+    whole = F.from_json(fields[name], f"array<{_MAP}>", JSON)
+    one_by_one = F.transform(F.from_json(fields[name], "array<string>", JSON), lambda i: F.from_json(i, _MAP, JSON))
+    return F.when(whole.isNotNull() & F.forall(whole, lambda i: i.isNotNull()), whole).otherwise(one_by_one)
 
 
 def _fingerprint(fields: Column, lists: dict[str, Column], mappings: list[Mapping]) -> Column:
@@ -130,12 +134,19 @@ def canonical_turns(records: DataFrame, record: str = "record", mappings: list[M
     # each column is parsed once: Spark doesn't inline what costs much into several places
     out = records.withColumn(whole, F.from_json(column(record), _MAP, JSON))
     out = out.withColumns({n: _items(F.col(whole), x) for n, x in zip(names, lists, strict=True)})
-    items = {x: F.col(n) for n, x in zip(names, lists, strict=True)}
+    items = {x: F.filter(n, lambda i: i.isNotNull()) for n, x in zip(names, lists, strict=True)}
+    read = {x: F.col(n) for n, x in zip(names, lists, strict=True)}
     out = out.withColumn(mark, _fingerprint(F.col(whole), items, mappings))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast("array<struct<role: string, text: string>>")
     for m in mappings:
         here = F.col(mark) == m.fingerprint()
-        layout, turns = F.when(here, m.name).otherwise(layout), F.when(here, _apply(m, F.col(whole), items)).otherwise(turns)
+        name, found = F.lit(m.name), _apply(m, F.col(whole), items)
+        if m.items:
+            given, good = F.size(read[m.items[0]]), F.size(items[m.items[0]])
+            lost = read[m.items[0]].isNull() | ((good == 0) & (given > 0))
+            name = F.when(lost, "malformed").when(good < given, f"{m.name}+malformed").otherwise(name)
+            found = F.when(~lost, found)
+        layout, turns = F.when(here, name).otherwise(layout), F.when(here, found).otherwise(turns)
     return out.withColumns({"layout": layout, "turns": turns}).drop(whole, mark, *names)
 
 
@@ -160,7 +171,7 @@ OPEN, CLOSE = "<turn ", "</turn>\n"
 
 
 def format_turns(rows: DataFrame, turns: str = "turns", learn: str = "assistant") -> DataFrame:
-    """Adds formatted (string) and loss_mask (array<struct<skip, take, rest>>, characters of each turn) to rows."""
+    """Adds formatted (string) and loss_mask (array<struct<skip, take, rest>>, characters of each turn) to rows; null turns give nulls."""
     (parts,) = fresh(rows, "parts")
     head = lambda t: F.concat(F.lit(OPEN), _escape_role(t["role"]), F.lit(">"))
     out = rows.withColumn(parts, F.transform(turns, lambda t: F.struct(head(t).alias("head"), escape(t["text"]).alias("body"), (t["role"] == learn).alias("learn"))))
