@@ -57,6 +57,9 @@ def test_statement_grammar(spark):
     classes = one(["INSERT INTO LOCAL TABLE x.y SELECT 1", "create unlogged table if not exists t#1 (a int)", "create or replace temp view v as select 1", "update only a . b set c = 1", "drop table x"], sqltext.statement_class)
     assert [(c["statement_type"], c["target"], c["is_temporary"]) for c in classes] == [("INSERT_INTO", "X.Y", False), ("CREATE_TABLE", "T#1", False), ("CREATE_VIEW", "V", True), ("UPDATE", "A.B", False), ("UNKNOWN", None, False)]
     assert one(["insert into a.{x} select 1", "merge into a . {0} using b", "create foreign table if not exists %s (a int)", "insert into a select '{x}'"], sqltext.dynamic_target) == ["INSERT", "MERGE", "CREATE_FOREIGN_TABLE", None]
+    odd = [r"select E'it\'s' from a where x = 'from b'", 'select "a--b" from t', "select extract(day from max(f(d))) from u", "select * from x where a in (select trim(b from c) from y) and d = 'x; -- from z'", "with a as not materialized(select 1 from b), c (k, l) as (select 2 from a) select * from c", "select " + "f(" * 3 + "a from b" + ")" * 3 + " from t", "select '" + "''" * 50_000 + r"\'" * 50_000 + "' from t"]
+    assert one(odd, sqltext.source_tables) == [["A"], ["T"], ["U"], ["X", "Y"], ["B"], ["T"], ["T"]]
+    assert one(["it's", "a 'b''c' \"d'e\" 'f", r"'\'' x"], sqltext.mask_literals) == ["it'", "a '' \"d'e\" '", "'' x"]
     assert one(["a" * 200_000 + " from t where x = '" + "b" * 200_000 + "'"], sqltext.source_tables) == [["T"]]
 
 
@@ -111,8 +114,9 @@ def test_name_functions(spark):
 
 
 def test_text_functions(spark):
-    assert _eval(spark, ["1 = 2", "false", "x = 1 and 3=4", "1 = 2 or x", "1 between 2 and 3", "1 = 1.0", None], sqltext.is_statically_false) == [True, True, True, False, False, False, False]
-    assert _eval(spark, ["select 1", "select 1; drop table t", "update t set a = 1", " show tables;"], sqltext.is_read_only) == [True, False, False, True]
+    assert _eval(spark, ["1 = 2", "false", "x = 1 and 3=4", "1 = 2 or x", "1 between 2 and 3", "1 = 1.0", None, "TRUE = FALSE", "(not true)", "true <> true", "1 = true", "(x = 1 and 2 <> 2.0)", "x in (select 1 from t where y and 1 = 2)", "not (1 = 2)"], sqltext.is_statically_false) == [True, True, True, False, False, False, False, True, True, True, False, True, False, False]
+    guarded = {"select 1": True, "select 1; drop table t": False, "update t set a = 1": False, " show tables;": True, "with d as (delete from t returning *) select * from d": False, "with x as (select 1) delete from t": False, "select ';' -- ;\n ; ": True, 'select "a;b"': True, "explain select 1": True, "explain analyze delete from t": False, "select a into t from u": False, "": False}
+    assert _eval(spark, [*guarded], sqltext.is_read_only) == [*guarded.values()]
     assert _eval(spark, ["insert into {t} select 1", "insert into dwf.t select 1", "merge into dwf.{x} using y"], sqltext.has_dynamic_target) == [True, False, True]
     assert _eval(spark, ["create table t (a int) DISTRIBUTE BY HASH(a, b)", "x"], sqltext.distribution_key) == ["a, b", None]
     assert _eval(spark, ["-outfile:1:outfile=X.dat:0", "y"], lambda x: sqltext.job_parameter(x, "outfile")) == ["X.dat", None]

@@ -30,6 +30,10 @@ _SHAPES = [
     """concat('truncate table ', t)""",
     """concat('create materialized view ', t, ' as select * from ', s, ' union all select * from dwd.', split_part(r, '.', 2), '; ')""",
     """concat('insert into ', t, ' select * from ', s, ' join $stage#1 on true join {dynamic} on true')""",
+    """concat('insert into ', t, ' select ''it', chr(92), '''s from lies'' as x from ', s, ' where y = ''from hidden''')""",
+    """concat('select "a--b", `c/*d` from ', s, ' join ', r, ' on 1 = 1')""",
+    """concat('create table ', t, ' as select extract(day from max(coalesce(d, e))), substring(trim(both x from y) from 2) from ', s)""",
+    """concat('delete from ', r, '; insert into ', t, ' select * from ', s, '; drop table if exists tmp_', c)""",
 ]
 _STATEMENTS = f"select id, shape, t, s, r, c, case shape {' '.join(f'when {k} then {v}' for k, v in enumerate(_SHAPES))} end as script from (select l_orderkey * 10 + l_linenumber as id, (l_partkey + l_linenumber) % {len(_SHAPES)} as shape, {_NAMES} from lineitem) x"
 _UP = f"(SELECT id, shape, upper(t) AS t, upper(s) AS s, upper(r) AS r, upper(c) AS c FROM ({_STATEMENTS}))"
@@ -41,7 +45,7 @@ def _mixed(spark, sf_dir):
 
 @query(
     f"""SELECT id, CASE shape WHEN 0 THEN s WHEN 1 THEN concat(s, ',', r) WHEN 2 THEN concat(s, ',', r) WHEN 3 THEN concat(s, ',', r) WHEN 4 THEN s WHEN 5 THEN concat(s, ',', r) WHEN 6 THEN concat(s, ',', r) WHEN 7 THEN s WHEN 8 THEN concat(t, ',', s) WHEN 9 THEN ''
-    WHEN 10 THEN concat(s, ',DWD.', split_part(r, '.', 2)) ELSE concat(s, ',$STAGE#1') END AS sources FROM {_UP}"""
+    WHEN 10 THEN concat(s, ',DWD.', split_part(r, '.', 2)) WHEN 11 THEN concat(s, ',$STAGE#1') WHEN 13 THEN concat(s, ',', r) WHEN 15 THEN concat(r, ',', s) ELSE s END AS sources FROM {_UP}"""
 )
 def mixed_sources(spark, sf_dir):
     """H6, H7."""
@@ -50,7 +54,7 @@ def mixed_sources(spark, sf_dir):
 
 @query(
     f"""SELECT id, array_to_string(list_sort(CASE shape WHEN 0 THEN [t, s] WHEN 1 THEN [t, s, r] WHEN 2 THEN ['TMP_' || c, s, r] WHEN 3 THEN [t, s, r] WHEN 4 THEN [t, s] WHEN 5 THEN [t, s, r] WHEN 6 THEN [s, r] WHEN 7 THEN [s] WHEN 8 THEN [t, s] WHEN 9 THEN [t]
-    WHEN 10 THEN [t, s, 'DWD.' || split_part(r, '.', 2)] ELSE [t, s, '$STAGE#1'] END), ',') AS tables FROM {_UP}"""
+    WHEN 10 THEN [t, s, 'DWD.' || split_part(r, '.', 2)] WHEN 11 THEN [t, s, '$STAGE#1'] WHEN 13 THEN [s, r] WHEN 15 THEN [t, s, r, 'TMP_' || c] ELSE [t, s] END), ',') AS tables FROM {_UP}"""
 )
 def mixed_tables(spark, sf_dir):
     """H14."""
@@ -58,8 +62,8 @@ def mixed_tables(spark, sf_dir):
 
 
 @query(
-    f"""SELECT id, CASE shape WHEN 0 THEN 'INSERT_INTO' WHEN 1 THEN 'INSERT_OVERWRITE' WHEN 2 THEN 'CREATE_TABLE' WHEN 3 THEN 'CREATE_VIEW' WHEN 4 THEN 'MERGE' WHEN 5 THEN 'UPDATE' WHEN 9 THEN 'UNKNOWN' WHEN 10 THEN 'CREATE_VIEW' WHEN 11 THEN 'INSERT_INTO' ELSE 'SELECT' END AS statement_type,
-    CASE WHEN shape IN (0, 1, 3, 4, 5, 10, 11) THEN t WHEN shape = 2 THEN 'TMP_' || c END AS target, CASE shape WHEN 0 THEN 'INTO' WHEN 1 THEN 'OVERWRITE' WHEN 11 THEN 'INTO' END AS insert_mode, shape = 2 AS is_temporary FROM {_UP}"""
+    f"""SELECT id, CASE shape WHEN 0 THEN 'INSERT_INTO' WHEN 1 THEN 'INSERT_OVERWRITE' WHEN 2 THEN 'CREATE_TABLE' WHEN 3 THEN 'CREATE_VIEW' WHEN 4 THEN 'MERGE' WHEN 5 THEN 'UPDATE' WHEN 9 THEN 'UNKNOWN' WHEN 10 THEN 'CREATE_VIEW' WHEN 11 THEN 'INSERT_INTO' WHEN 12 THEN 'INSERT_INTO' WHEN 14 THEN 'CREATE_TABLE' WHEN 15 THEN 'INSERT_INTO' ELSE 'SELECT' END AS statement_type,
+    CASE WHEN shape IN (0, 1, 3, 4, 5, 10, 11, 12, 14, 15) THEN t WHEN shape = 2 THEN 'TMP_' || c END AS target, CASE WHEN shape IN (0, 11, 12, 15) THEN 'INTO' WHEN shape = 1 THEN 'OVERWRITE' END AS insert_mode, shape = 2 AS is_temporary FROM {_UP}"""
 )
 def mixed_classes(spark, sf_dir):
     """H4."""
@@ -72,6 +76,22 @@ def mixed_ctes(spark, sf_dir):
     return _mixed(spark, sf_dir).select("id", F.array_join(sqltext.cte_names(F.col("script")), ",").alias("ctes"), sqltext.dynamic_target(F.col("script")).alias("dynamic_target"))
 
 
+@query(f"SELECT id, shape IN (6, 13) AS read_only FROM {_UP}")
+def read_only_statements(spark, sf_dir):
+    """C8."""
+    return _mixed(spark, sf_dir).select("id", sqltext.is_read_only(F.col("script")).alias("read_only"))
+
+
+_PREDICATES = """select l_orderkey * 10 + l_linenumber as id, concat(case when l_partkey % 3 = 0 then '(a.x = b.x) AND ' else '' end, cast(l_suppkey % 4 as varchar(9)), case when l_linenumber % 2 = 0 then ' = ' else ' <> ' end, cast(l_partkey % 4 as varchar(9)), '.0',
+    case l_linenumber when 3 then ' or b' when 4 then ' and not true' when 5 then ' and TRUE = FALSE' when 6 then ' and f(x and 1 = 2)' else ' and y = ''1 = 2''' end) as predicate from lineitem"""
+
+
+@query("SELECT l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_linenumber IN (3, 6) THEN false WHEN l_linenumber IN (4, 5) THEN true ELSE (l_suppkey % 4 = l_partkey % 4) = (l_linenumber % 2 = 1) END AS is_false FROM lineitem")
+def false_predicates(spark, sf_dir):
+    """C7."""
+    return run(spark, sf_dir, _PREDICATES).select("id", sqltext.is_statically_false(F.col("predicate")).alias("is_false"))
+
+
 _COMMENTED = "select p_partkey, concat('a', cast(p_size as varchar(9)), ' -- note ', p_name, chr(10), '/* ', p_type, ' */ b ''-- kept ', p_brand, '''') as script from part"
 
 
