@@ -6,7 +6,7 @@ dispositions come by joins with small tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions.names import is_business, is_technical, stable_key
@@ -98,3 +98,36 @@ def with_policy(issues: DataFrame, manual: DataFrame) -> DataFrame:
     keyed = issues.withColumn("severity", severity).withColumn("stable_key", stable_key("program", "issue_type", "node"))
     kept = manual.where(F.col("disposition").isin("ACCEPTED", "FALSE_POSITIVE")).select("stable_key", F.col("disposition").alias("__d"))
     return keyed.join(kept, "stable_key", "left").withColumn("disposition", F.coalesce("__d", F.lit("OPEN"))).drop("__d")
+
+
+#: Issues that belong to a branch, to a node or to a cycle; all others belong to their program.
+SCOPES = {
+    "ORPHAN_BRANCH": "branch",
+    "LINEAGE_BRANCH_BROKEN": "branch",
+    "SELF_REFERENCE": "node",
+    "STATIC_EMPTY_QUERY": "node",
+    "UNCLASSIFIED_FORMAL_SOURCE": "node",
+    "UNCLASSIFIED_FORMAL_SINK": "node",
+    "DYNAMIC_WRITE_TARGET_UNRESOLVED": "node",
+    "CYCLE_DETECTED": "cycle",
+}
+
+
+def issue_key(environment: Column, profile: Column, program: Column, issue_type: Column, node: Column | None = None, branch: Column | None = None, cycle: Column | None = None) -> Column:
+    """The SHA-256 of an issue's identity as JSON with sorted keys.
+
+    A branch's issue is told apart by its sink, a node's by its key, a cycle's by the set of its nodes in any order and number; whatever else is given
+    isn't part of the identity.
+    """
+    scope = F.coalesce(F.element_at(F.create_map(*[F.lit(v) for kv in SCOPES.items() for v in kv]), issue_type), F.lit("program"))
+    fields = {"environment": environment, "issue_type": issue_type, "program_name": program, "scope": scope, "source_profile": profile}
+    own = {"branch": ("branch_sink", branch), "node": ("node_key", node), "cycle": ("cycle_nodes", None if cycle is None else F.array_sort(F.array_distinct(cycle)))}
+
+    def of(kind: str | None) -> Column:
+        all_ = dict(fields)
+        if kind:
+            name, value = own[kind]
+            all_[name] = F.lit(None).cast("array<string>" if kind == "cycle" else "string") if value is None else value
+        return F.to_json(F.struct(*[c.alias(k) for k, c in sorted(all_.items())]), {"ignoreNullFields": "false"})
+
+    return F.sha2(F.coalesce(*[F.when(scope == k, of(k)) for k in own], of(None)), 256)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from threadloom.functions.names import ratio, table_aliases
+from threadloom.functions.tables import bounded, store
 
 
 def coverage_funnel(programs: DataFrame) -> DataFrame:
@@ -54,10 +55,13 @@ def corpus_metrics(samples: DataFrame, by: str) -> DataFrame:
 def evidence(contributions: DataFrame, keys: list[str], item: str, most: int) -> DataFrame:
     """Exact counts, the first `most` distinct items in order, and whether more exist. A key's list never holds more than `most`."""
     counts = contributions.groupBy(*keys, item).agg(F.count(F.lit(1)).alias("n"))  # once an item, so hot keys are spread over items
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(item).asc_nulls_last()))
-    known = F.col(item).isNotNull() & (F.col("k") <= most)
-    out = counts.withColumn("k", rank).groupBy(*keys).agg(F.sum("n").alias("facts"), F.count(item).alias("distinct_items"), F.collect_list(F.when(known, F.col(item))).alias("items"))
-    return out.withColumn("sample", F.array_join(F.array_sort("items"), ",")).withColumn("truncated", F.col("distinct_items") > most).drop("items")
+    totals = counts.groupBy(*keys).agg(F.sum("n").alias("facts"), F.count(item).alias("distinct_items"))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(item))
+    first = counts.where(F.col(item).isNotNull()).withColumn("k", rank).where(F.col("k") <= most)  # the limit is applied before rows move
+    first = first.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.array_join(F.array_sort(F.collect_list(item)), ",").alias("sample"))
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    out = totals.join(first, same, "left").select(*keys, "facts", "distinct_items", F.coalesce("sample", F.lit("")).alias("sample"))
+    return out.withColumn("truncated", F.col("distinct_items") > most)
 
 
 def multiset_minus(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
@@ -68,11 +72,16 @@ def multiset_minus(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 def quantiles(rows: DataFrame, by: str, value: str) -> DataFrame:
     """Inclusive P50 and P95, exact, with the value between two places interpolated.
 
-    Distinct values are counted first and their running counts looked up, so no group is held in one buffer.
+    Distinct values are counted first and dealt to tasks by ranges of (group, value); a task runs the counts of its own range, and the
+    sums of the ranges before, a row for each group in a range, are added. So one group of all rows is spread like many.
     """
     counts = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(by)
-    placed = counts.withColumn("end", F.sum("n").over(w.orderBy(value))).withColumn("total", F.sum("n").over(w))
+    counts = store(counts.repartitionByRange(by, value).withColumn("part", F.spark_partition_id()), "counts")
+    sums = counts.groupBy(by, "part").agg(F.sum("n").alias("sum"))
+    before = F.coalesce(F.sum("sum").over(Window.partitionBy(by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(F.col(by).alias("__by"), F.col("part").alias("__part"), before.alias("before"), F.sum("sum").over(Window.partitionBy(by)).alias("total"))
+    running = counts.withColumn("run", F.sum("n").over(Window.partitionBy(by, "part").orderBy(value)))
+    placed = running.join(bounded(store(sums, "sums")), F.col(by).eqNullSafe(F.col("__by")) & (F.col("part") == F.col("__part"))).withColumn("end", F.col("before") + F.col("run"))
     aggs, out = [F.max(value).alias("most")], []
     for name, p in (("p50", 0.5), ("p95", 0.95)):
         at = (F.col("total") - 1) * p
@@ -132,6 +141,32 @@ def source_statistics(rows: DataFrame, by: str, text: str) -> DataFrame:
     return rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(text).isNull()).alias("nulls"), F.count_if(n == 0).alias("empty"), F.min(n).cast("long").alias("shortest"), F.max(n).cast("long").alias("longest"))
 
 
+def decode_statistics(rows: DataFrame, by: str, content: str, most_replaced: float = 0.1) -> DataFrame:
+    """Of a binary column by profile: nulls; texts that are UTF-8 as they are (valid), after some bytes are replaced (repaired) and
+    only after more than most_replaced of their characters are (invalid); least, largest and total lengths, raw and decoded.
+
+    All sums, least and largest values: they merge in any order, and no text is kept.
+    """
+    x = F.col(content).cast("string")
+    whole = F.make_valid_utf8(x)
+    marks = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\ufffd"), F.lit("")))
+    raw, decoded = F.octet_length(F.col(content)).cast("long"), F.length(whole).cast("long")
+    valid = F.is_valid_utf8(x)
+    kept = ~valid & (marks(whole) <= most_replaced * decoded)
+    length = lambda c, name: [F.min(c).alias(f"{name}_least"), F.max(c).alias(f"{name}_most"), F.sum(c).alias(f"{name}_total")]
+    counts = [F.count(F.lit(1)).alias("n"), F.count_if(x.isNull()).alias("nulls"), F.count_if(valid).alias("valid"), F.count_if(kept).alias("repaired"), F.count_if(~valid & ~kept).alias("invalid")]
+    return rows.groupBy(by).agg(*counts, *length(raw, "raw"), *length(decoded, "decoded"))
+
+
+def length_histogram(rows: DataFrame, by: str, content: str) -> DataFrame:
+    """(by, measure, low, n): how many raw and decoded lengths lie from low to below its double; 0 is a bucket of its own."""
+    x = F.col(content)
+    measures = {"raw": F.octet_length(x), "decoded": F.length(F.make_valid_utf8(x.cast("string")))}
+    low = lambda n: F.when(n == 0, F.lit(0)).otherwise(F.pow(F.lit(2), F.length(F.bin(n.cast("long"))) - 1))
+    pairs_ = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), low(n).cast("long").alias("low")) for m, n in measures.items()])).alias("x")
+    return rows.where(x.isNotNull()).select(by, pairs_).groupBy(by, F.col("x.measure").alias("measure"), F.col("x.low").alias("low")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def type_histogram(rows: DataFrame, by: str, text: str) -> DataFrame:
     """How many texts of each kind: NULL, EMPTY, SQL, MARKUP, JSON or TEXT."""
     x = F.ltrim(F.col(text))
@@ -161,9 +196,12 @@ def overlay(base: DataFrame, local: DataFrame, key: str, value: str) -> DataFram
 def namespace_matches(physical: DataFrame, namespaces: DataFrame) -> DataFrame:
     """Resolve names (logical, encoded) to the one name space of the same logical target that begins them at a token boundary.
 
-    RESOLVED with one match, UNRESOLVED with none, CONFLICT with several. An equi-join on the logical target comes first.
+    RESOLVED with one match, UNRESOLVED with none, CONFLICT with several. Each name meets name spaces by the beginnings that it has at token
+    boundaries, a few rows a name, so a logical target of very many names costs no more than others.
     """
-    hit = physical.select("logical", "encoded").distinct().join(namespaces.select("logical", "namespace").distinct(), "logical").where(F.startswith("encoded", F.concat("namespace", F.lit("_"))) | (F.col("encoded") == F.col("namespace")))
+    tokens = F.split("encoded", "_")
+    begins = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(tokens)), lambda k: F.array_join(F.slice(tokens, F.lit(1), k), "_")))).alias("namespace")
+    hit = physical.select("logical", "encoded").distinct().select("logical", "encoded", begins).join(namespaces.select("logical", "namespace").distinct(), ["logical", "namespace"])
     found = hit.groupBy("logical", "encoded").agg(F.countDistinct("namespace").alias("candidates"), F.min("namespace").alias("namespace"))
     out = physical.select("logical", "encoded").distinct().join(found, ["logical", "encoded"], "left").na.fill(0, ["candidates"])
     state = F.when(F.col("candidates") == 0, "UNRESOLVED").when(F.col("candidates") == 1, "RESOLVED").otherwise("CONFLICT")
@@ -205,8 +243,9 @@ def json_fields(rows: DataFrame, column: str) -> DataFrame:
     return rows.select(F.explode(F.json_object_keys(column)).alias("field")).groupBy("field").agg(F.count(F.lit(1)).alias("n"))
 
 
-def batches_of(rows: DataFrame, key: str, size: int, parts: int = 64) -> DataFrame:
-    """Batches of at most `size` rows: numbered inside hash parts, so that no task orders the whole table."""
+def batches_of(rows: DataFrame, key: str, size: int, parts: int | None = None) -> DataFrame:
+    """Batches of at most `size` rows: numbered inside hash parts, of which there are as many as the table's rows need."""
+    parts = parts or max(64, rows.count() // 1_000_000)
     w = Window.partitionBy("part").orderBy(key)
     numbered = rows.withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts))).withColumn("k", F.row_number().over(w))
     return numbered.withColumn("batch", F.concat_ws("-", "part", F.floor((F.col("k") - 1) / size))).drop("part", "k")

@@ -46,39 +46,65 @@ def turned(edges: DataFrame, direction: str) -> DataFrame:
     return edges if direction == "down" else edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
+def _constant(value, kind: str) -> str:
+    """A node as a SQL literal."""
+    text = str(value).replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{text}'" if isinstance(value, str) else f"cast('{text}' as {kind})"
+
+
+def _list(values, kind: str) -> str:
+    return ", ".join(_constant(v, kind) for v in values)
+
+
 def _nodes(spark: SparkSession, kind: str, visited: dict) -> DataFrame:
     """The visited nodes as constants of the plan: no job, no Python rows."""
-    rows = [F.struct(F.lit(n).cast(kind).alias("node"), F.lit(d).alias("depth"), F.lit(r).alias("rank")) for n, (d, r) in visited.items()]
-    return spark.range(1).select(F.inline(F.array(*rows)))
+    rows = ", ".join(f"named_struct('node', {_constant(n, kind)}, 'depth', {d}, 'rank', {r})" for n, (d, r) in visited.items())
+    return spark.range(1).select(F.expr(f"inline(array({rows}))"))
+
+
+def _search(edges: DataFrame, root, directions: tuple[str, ...], max_depth: int, max_nodes: int) -> list[Traversal]:
+    """A bounded search in each direction; a level of all of them is one job."""
+    spark = edges.sparkSession
+    kind = edges.schema["src"].dataType.simpleString()
+    known = edges.select("src", "dst").where("src is not null and dst is not null")
+    flows = [turned(known, d) for d in directions]
+    visited: list[dict] = [{root: (0, 0)} for _ in directions]
+    frontiers, depth = [[root] for _ in directions], 0
+    while depth < max_depth and any(f and len(v) < max_nodes for f, v in zip(frontiers, visited, strict=True)):
+        depth += 1
+        rounds = []
+        for way, (flow, last, seen) in enumerate(zip(flows, frontiers, visited, strict=True)):
+            if last and len(seen) < max_nodes:
+                names = _list(last, kind)
+                parent = F.expr(f"min(array_position(array({names}), src))").alias("parent")  # in order of rank
+                reached = flow.where(F.expr(f"src in ({names}) and dst not in ({_list(seen, kind)})")).groupBy("dst").agg(parent)
+                rounds.append(reached.orderBy("parent", "dst").limit(max_nodes - len(seen)).select(F.lit(way).alias("way"), "parent", "dst"))
+        found = sorted(functools.reduce(DataFrame.unionAll, rounds).collect())
+        frontiers = [[r["dst"] for r in found if r["way"] == way] for way in range(len(directions))]
+        for seen, last in zip(visited, frontiers, strict=True):
+            seen |= {n: (depth, len(seen) + k) for k, n in enumerate(last)}
+    touching = edges.where((F.col("src") == F.lit(root)) | (F.col("dst") == F.lit(root)))
+    out = []
+    for flow, seen in zip(flows, visited, strict=True):
+        names = _list(seen, kind)
+        left, inside = flow.where(F.expr(f"src in ({names}) and dst not in ({names})")), pairs(edges.where(F.expr(f"src in ({names}) and dst in ({names})")))
+        out.append(Traversal(_nodes(spark, kind, seen), inside, lambda left=left: not left.isEmpty(), lambda: not touching.isEmpty()))
+    return out
 
 
 def bounded_bfs(edges: DataFrame, root, direction: str = "down", max_depth: int = MAX_DEPTH, max_nodes: int = MAX_NODES) -> Traversal:
     """Breadth-first, at most max_nodes nodes with the root, admitted in first-in first-out order.
 
     Within a level the order is (rank of the first parent, name). What the driver holds is the admitted
-    nodes, at most max_nodes of them; a level is one filtered scan of the edges, whose filter reaches the files.
+    nodes, at most max_nodes of them; a level is one filtered scan of the edges. Stored edges sorted by src are skipped by
+    their statistics, as the filter is on plain columns. Nodes are texts or numbers.
     """
-    spark = edges.sparkSession
-    kind = edges.schema["src"].dataType.simpleString()
-    flow = turned(edges.select("src", "dst").where("src is not null and dst is not null"), direction)
-    visited: dict = {root: (0, 0)}
-    frontier, depth = [root], 0
-    while frontier and depth < max_depth and len(visited) < max_nodes:
-        depth += 1
-        parent = F.array_position(F.array(*[F.lit(n) for n in frontier]), F.col("src"))  # in order of rank
-        reached = flow.where(F.col("src").isin(frontier) & ~F.col("dst").isin([*visited])).groupBy("dst").agg(F.min(parent).alias("parent"))
-        frontier = [r["dst"] for r in reached.orderBy("parent", "dst").limit(max_nodes - len(visited)).collect()]
-        visited |= {n: (depth, len(visited) + k) for k, n in enumerate(frontier)}
-    names = [*visited]
-    left = flow.where(F.col("src").isin(names) & ~F.col("dst").isin(names))
-    touching = edges.where((F.col("src") == F.lit(root)) | (F.col("dst") == F.lit(root)))
-    inside = pairs(edges.where(F.col("src").isin(names) & F.col("dst").isin(names)))
-    return Traversal(_nodes(spark, kind, visited), inside, lambda: not left.isEmpty(), lambda: not touching.isEmpty())
+    return _search(edges, root, (direction,), max_depth, max_nodes)[0]
 
 
 def bfs_both(edges: DataFrame, root, max_depth: int = MAX_DEPTH, max_nodes: int = MAX_NODES) -> Traversal:
     """Up and down, the lesser depth of a node, the first max_nodes by (depth, name), edges among those."""
-    a, b = (bounded_bfs(edges, root, d, max_depth, max_nodes) for d in ("up", "down"))
+    a, b = _search(edges, root, ("up", "down"), max_depth, max_nodes)
     merged = a.nodes.unionByName(b.nodes).groupBy("node").agg(F.min("depth").alias("depth"))
     kept = merged.orderBy("depth", "node").limit(max_nodes)
     kept = kept.withColumn("rank", F.row_number().over(Window.orderBy("depth", "node")) - 1)
@@ -104,10 +130,11 @@ def blast_radius(edges: DataFrame, root, max_depth: int = MAX_DEPTH, max_nodes:
     )
 
 
-def levels(edges: DataFrame, starts: DataFrame, direction: str = "down", max_depth: int | None = None) -> DataFrame:
+def levels(edges: DataFrame, starts: DataFrame, direction: str = "down", max_depth: int | None = None, most: int | None = None) -> DataFrame:
     """(start, node, level) for every node reached from each start (a column `start`), itself at 0.
 
-    A level joins only the rows found last with the edges; levels are written to the shared folder.
+    A level joins only the rows found last with the edges; levels are written to the shared folder, and every eight become one table, so that
+    a level looks at few tables however deep it is. With `most`, a start that reaches more nodes is an error at the level where it does.
     """
     flow = turned(pairs(edges), direction).toDF("from", "to")
     flow = store(flow, "edges")
@@ -121,6 +148,10 @@ def levels(edges: DataFrame, starts: DataFrame, direction: str = "down", max_dep
         if new.isEmpty():
             break
         found, last = found.unionByName(new), new
+        if level % 8 == 0:
+            found = store(found, "levels")
+        if most is not None and not found.groupBy("start").count().where(F.col("count") > most).isEmpty():
+            raise ValueError(f"a closure is larger than {most}")
     return found
 
 
@@ -281,23 +312,50 @@ def _reached(e: DataFrame, first: DataFrame) -> DataFrame:
 def path_samples(edges: DataFrame, kinds: DataFrame, most: int = 100) -> DataFrame:
     """(src, dst, place, path): of the paths that collapse() counts the first `most` a pair, by length and then by names.
 
-    Only the first `most` open walks of a start to a node are carried on: longer or later ones can't be among the first,
-    as they continue alike. (With cycles, walks that meet their own nodes end, so fewer than `most` may be left.)
+    Only the first walks of a start to a node are carried on. Without a cycle of collapsible nodes `most` of them are enough: others
+    continue alike and can't be among the first. With one, a kept walk may meet its own nodes where a dropped one wouldn't; a
+    start is settled once it dropped nothing, or each of its pairs has `most` paths no longer than the shortest walk that it dropped. The
+    others are walked again with four times the width, so no answer falls short and none is wrong; such graphs may have very many paths.
     """
     e, starts = _collapsible(edges, kinds)
+    place = F.row_number().over(Window.partitionBy("src", "at").orderBy(F.size("path"), "path"))
+    first = lambda ends: ends.withColumn("place", place).where(F.col("place") <= most)
+    out = lambda df: df.select("src", F.col("at").alias("dst"), "place", "path")
+    if not _has_inner_cycle(e, starts):
+        return out(first(_walks(e, starts, most)[0]))
+    pairs_ = store(_reached(e, starts.select("src", F.col("dst").alias("at"), "inner")).select("src", F.col("dst").alias("at")), "pairs")
+    done, todo, width = None, starts, most
+    while True:
+        ends, cut = _walks(e, todo, width)
+        found = store(first(ends), "paths")
+        full = found.where(F.col("place") == most).select("src", "at", F.size("path").alias("last"))
+        open_ = pairs_.join(cut, "src").join(full, ["src", "at"], "left").where("last is null or last > cut").select("src").distinct()
+        open_ = store(open_, "unsettled")
+        settled = found.join(open_, "src", "left_anti")
+        done = settled if done is None else done.unionByName(settled)
+        if open_.isEmpty():
+            return out(done)
+        todo, width = starts.join(open_, "src", "left_semi").select(*starts.columns), 4 * width
+
+
+def _walks(e: DataFrame, starts: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """(whole paths (src, at, path), of each start that dropped walks the nodes of its shortest one), `most` open walks a start and node."""
     rank = F.row_number().over(Window.partitionBy("src", "at").orderBy("path"))
     walk = store(starts.select("src", F.col("dst").alias("at"), "inner", F.array("src", "dst").alias("path")), "walk")
-    ends = walk.where("not inner")
+    ends, cuts = walk.where("not inner"), None
     while True:
         open_ = walk.where("inner")
         if open_.isEmpty():
             break
         step = open_.select(F.col("src").alias("start"), "at", "path").join(e, F.col("at") == e["src"]).where(~F.array_contains("path", F.col("dst")) | ((F.col("dst") == F.col("start")) & ~F.col("inner")))
         wider = step.select(F.col("start").alias("src"), F.col("dst").alias("at"), "inner", F.concat("path", F.array("dst")).alias("path"))
-        walk = store(wider.withColumn("k", rank).where(F.col("k") <= most).drop("k"), "walk")
+        ranked = store(wider.withColumn("k", rank).where(F.col("k") <= most + 1), "walk")
+        walk = ranked.where(F.col("k") <= most).drop("k")
         ends = ends.unionByName(walk.where("not inner"))
-    place = F.row_number().over(Window.partitionBy("src", "at").orderBy(F.size("path"), "path"))
-    return ends.withColumn("place", place).where(F.col("place") <= most).select("src", F.col("at").alias("dst"), "place", "path")
+        dropped = ranked.where((F.col("k") > most) & F.col("inner")).select("src", F.size("path").alias("n"))
+        cuts = dropped if cuts is None else cuts.unionByName(dropped)
+    none = ends.select("src", F.lit(0).alias("n")).limit(0)
+    return ends.select("src", "at", "path"), store((none if cuts is None else cuts).groupBy("src").agg(F.min("n").alias("cut")), "cuts")
 
 
 def reaching(edges: DataFrame, targets: DataFrame) -> DataFrame:
@@ -382,20 +440,20 @@ def pack_closures(edges: DataFrame, most: int = 500) -> DataFrame:
     if not inside.isEmpty():
         e2 = store(e.join(inside.select(F.col("node").alias("src")), "src", "left_semi"), "edges")
         tops = inside.join(e2.where("src <> dst").select(F.col("dst").alias("node")), "node", "left_anti")
-        below = levels(e2, tops.select(F.col("node").alias("start"))).select(F.col("start").alias("group"), "node")
+        below = levels(e2, tops.select(F.col("node").alias("start")), most=most).select(F.col("start").alias("group"), "node")
         # nodes behind no top are in or behind a cycle: each component's least member stands for it
         rest = inside.join(below.select("node"), "node", "left_anti")
         parts = strong_components(e2)
         heads = rest.join(parts.select("node", "component"), "node", "left").select(F.coalesce("component", "node").alias("start")).distinct()
-        closed = store(below.unionByName(levels(e2, heads).select(F.col("start").alias("group"), "node")), "closures")
+        closed = store(below.unionByName(levels(e2, heads, most=most).select(F.col("start").alias("group"), "node")), "closures")
         whole = whole.unionByName(closed)
     sizes = store(whole.groupBy("group").agg(F.count(F.lit(1)).alias("n")), "sizes")
     if not sizes.where(F.col("n") > most).isEmpty():
         raise ValueError(f"a closure is larger than {most}")
     # groups above half a chunk have one of their own; smaller ones of a bucket are packed by a running total, a task a bucket
-    half = most // 2
+    half, buckets = most // 2, max(64, sizes.count() // 1_000_000)
     w = Window.partitionBy("bucket").orderBy("group")
-    small = sizes.where(F.col("n") <= half).withColumn("bucket", F.pmod(F.xxhash64("group"), F.lit(64))).withColumn("end", F.sum("n").over(w))
+    small = sizes.where(F.col("n") <= half).withColumn("bucket", F.pmod(F.xxhash64("group"), F.lit(buckets))).withColumn("end", F.sum("n").over(w))
     small = small.select("group", F.concat_ws("-", F.col("bucket").cast("string"), F.floor((F.col("end") - 1) / max(1, half)).cast("string")).alias("chunk"))
     alone = sizes.where(F.col("n") > half).select("group", F.concat(F.lit("g-"), F.col("group").cast("string")).alias("chunk"))
     return whole.join(small.unionByName(alone), "group").select("chunk", "node").distinct()

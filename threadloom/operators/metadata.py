@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import functools
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from threadloom.functions.tables import bounded, store
 from threadloom.operators.graph import levels
 
 
@@ -19,32 +17,38 @@ def receipts(plans: DataFrame, outputs: DataFrame, depends: DataFrame, prefix: s
     return reached.join(outputs.where(F.startswith("target", F.lit(prefix))), "job").select("plan", "job", "target").distinct()
 
 
-def containing(texts: DataFrame, key: str, text: str, patterns: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """(key, pattern): a small table of patterns found in texts, whatever the case. Patterns are a stated set of at most `most`.
+#: Code points of the pieces by which patterns and texts meet.
+GRAM = 4
+
+
+def _grams(x: Column, size: int) -> Column:
+    """The distinct pieces of `size` code points."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - size + 1, F.lit(1))), lambda k: F.substr(x, k, F.lit(size))))
+
+
+def containing(texts: DataFrame, key: str, text: str, patterns: DataFrame) -> DataFrame:
+    """(key, pattern): patterns (a column `pattern`) found in texts, whatever the case. Keys are unique.
 
-    One automaton of all patterns reads each text once, however many they are.
+    A pattern is looked for by one piece of it: the one that fewest patterns have. Pieces of texts that are some pattern's
+    meet them in a join, and what meets is verified on the whole text; patterns shorter than a piece are pieces of their own length. Neither
+    side goes through the driver, and patterns are broadcast only if they are counted few.
     """
-    known = [r[0] for r in patterns.where("pattern <> ''").select(F.upper("pattern")).distinct().limit(most + 1).collect()]
-    if len(known) > most:
-        raise ValueError(f"more than {most} patterns; split them into several calls")
-    kind = texts.schema[key].dataType.simpleString()
-    return texts.select(key, F.upper(text).alias("text")).mapInArrow(functools.partial(_search, known), f"`{key}` {kind}, pattern string")
-
-
-def _search(patterns: list[str], batches):
-    import ahocorasick
-
-    automaton = ahocorasick.Automaton()
-    for p in patterns:
-        automaton.add_word(p, p)
-    automaton.make_automaton()
-    for batch in batches:
-        rows, found = [], []
-        for k, x in enumerate(batch.column(1)):
-            hits = sorted({p for _, p in automaton.iter(x.as_py() or "")}) if patterns else []
-            rows += [k] * len(hits)
-            found += hits
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(found, pa.string())], names=[batch.schema.names[0], "pattern"])
+    known = store(patterns.where("pattern <> ''").select(F.upper("pattern").alias("pattern")).distinct(), "patterns")
+    size = F.least(F.length("pattern"), F.lit(GRAM))
+    sizes = sorted(r[0] for r in known.select(size.alias("size")).distinct().collect())  # at most GRAM numbers
+    rows = texts.where(F.col(text).isNotNull()).select(key, F.upper(text).alias("__text"))
+    if not sizes:
+        return rows.select(key, F.lit("").alias("pattern")).limit(0)
+    pieces = F.when(size == sizes[0], _grams(F.col("pattern"), sizes[0]))
+    for n in sizes[1:]:
+        pieces = pieces.when(size == n, _grams(F.col("pattern"), n))
+    pieces = store(known.select("pattern", F.explode(pieces).alias("gram")), "grams")
+    shared = pieces.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    chosen = store(pieces.join(shared, "gram").groupBy("pattern").agg(F.min(F.struct("n", "gram")).alias("least")).select("pattern", "least.gram"), "chosen")
+    grams = bounded(chosen.select("gram").distinct(), 32)
+    here = rows.select(key, F.explode(F.array_distinct(F.concat(*[_grams(F.col("__text"), n) for n in sizes]))).alias("gram")).join(grams, "gram", "left_semi")
+    met = store(here.join(bounded(chosen, 64), "gram").select(key, "pattern").distinct(), "met")
+    return rows.join(met, key).where(F.contains("__text", F.col("pattern"))).select(key, "pattern")
 
 
 def layered(job_reads: DataFrame, job_writes: DataFrame, start: DataFrame, max_depth: int = 30) -> DataFrame:

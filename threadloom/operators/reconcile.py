@@ -18,17 +18,10 @@ def projection(edges: DataFrame, provenance: str) -> DataFrame:
 
 
 def normalized(edges: DataFrame) -> DataFrame:
-    """Names as they compare; rows with a technical or unqualified end go.
-
-    Each distinct name is made comparable once: there are far fewer names than rows, and two joins cost less than the text work.
-    """
-    raw = edges.select(F.explode(F.array("target", "source")).alias("raw")).distinct()
-    known = raw.withColumn("name", comparison_name(F.col("raw")))
-    layer = F.substring_index("name", ".", 1)  # the names are canonical already
-    known = known.where(~layer.isin(*TECHNICAL_SCHEMAS))  # NULL names go too
-    a, b = known.toDF("target", "__t"), known.toDF("source", "__s")
-    out = edges.join(a, "target").join(b, "source").withColumn("target", F.col("__t")).withColumn("source", F.col("__s"))
-    return out.select(*edges.columns)
+    """Names as they compare; rows with a technical or unqualified end go. No row moves."""
+    out = edges.withColumns({c: comparison_name(F.col(c)) for c in ("target", "source")})
+    business = lambda c: ~F.substring_index(c, ".", 1).isin(*TECHNICAL_SCHEMAS)  # noqa: E731  NULL names go too
+    return out.where(business("target") & business("source"))
 
 
 def reconcile(sql_side: DataFrame, schedule_side: DataFrame) -> DataFrame:

@@ -40,6 +40,16 @@ def stale_versions(previous: DataFrame, version: str, scopes: DataFrame) -> Data
     return previous.where(~F.col("version").eqNullSafe(F.lit(version))).select(*SCOPE).distinct().join(scopes.select(*SCOPE), SCOPE, "left_anti")
 
 
+def migration_gate(previous: DataFrame, version: str, scopes: DataFrame, complete: bool, partial: bool = False) -> None:
+    """L2: refuses a run over states of another pipeline version, unless it is a complete snapshot, no partial replay, and selects each stale scope."""
+    if previous.where(~F.col("version").eqNullSafe(F.lit(version))).isEmpty():
+        return
+    if not complete or partial:
+        raise ValueError(f"states of another version than {version} need a complete snapshot")
+    if left := stale_versions(previous, version, scopes).first():
+        raise ValueError(f"a scope of another version isn't selected: {left.asDict()}")
+
+
 def next_states(plan: DataFrame, current: DataFrame, previous: DataFrame, version: str, now: Column) -> DataFrame:
     """States after a run. first_seen stays; last_changed moves for NEW and CHANGED; what the plan doesn't name is carried over."""
     p = previous.select(*IDENTITY, F.col("hash").alias("was"), F.col("version").alias("old"), "first_seen", "last_seen", "last_changed")

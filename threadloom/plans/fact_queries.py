@@ -120,11 +120,6 @@ def two_hop_chain(spark, sf_dir):
     return facts.two_hops(run(spark, sf_dir, "select distinct cast(o_orderkey % 700 as string) as job from orders"), deps)
 
 
-@query(ORACLE_SQL["two_hop_chain"])
-def two_hop_chain_all(spark, sf_dir):
-    return two_hop_chain(spark, sf_dir)
-
-
 @query(
     """WITH a AS (SELECT o_orderkey AS id, concat('/x/', CAST(o_custkey % 50 AS VARCHAR), '/', o_orderstatus, '/', CAST(o_orderkey % 9 AS VARCHAR)) AS path FROM orders),
     b AS (SELECT c_custkey AS id, concat('/y/z/', CAST(c_custkey % 50 AS VARCHAR), '/O/', CAST(c_nationkey % 9 AS VARCHAR)) AS path FROM customer WHERE c_acctbal > 9000),

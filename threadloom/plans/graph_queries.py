@@ -59,11 +59,6 @@ def dependents_by_level(spark, sf_dir):
     return graph.levels(relation(spark, sf_dir, "edges_cycle"), starts)
 
 
-@query()
-def dependents_by_level_all(spark, sf_dir):
-    return dependents_by_level(spark, sf_dir)
-
-
 @query(
     f"""WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM {duck('edges_chain')} t),
     w AS (SELECT src, dst FROM e UNION SELECT w.src, e.dst FROM w JOIN e ON e.src = w.dst) SELECT src, count(*) AS reached FROM w GROUP BY src"""
@@ -73,11 +68,6 @@ def reachability_closure(spark, sf_dir):
     return graph.closure(relation(spark, sf_dir, "edges_chain")).groupBy("src").agg(F.count(F.lit(1)).alias("reached"))
 
 
-@query(ORACLE_SQL["reachability_closure"])
-def reachability_closure_all(spark, sf_dir):
-    return reachability_closure(spark, sf_dir)
-
-
 _SCC = f"""WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM {duck('edges_cycle')} t), w AS (SELECT src, dst FROM e UNION SELECT w.src, e.dst FROM w JOIN e ON e.src = w.dst),
     m AS (SELECT a.src AS node, a.dst AS other FROM w a JOIN w b ON a.src = b.dst AND a.dst = b.src WHERE a.src <> a.dst)"""
 
@@ -182,11 +172,6 @@ def topological_levels(spark, sf_dir):
     return graph.topological_levels(relation(spark, sf_dir, "edges_chain"))
 
 
-@query(ORACLE_SQL["topological_levels"])
-def topological_levels_all(spark, sf_dir):
-    return topological_levels(spark, sf_dir)
-
-
 @query()
 def closure_chunks(spark, sf_dir):
     return graph.pack_closures(relation(spark, sf_dir, "edges_chain"), 500)

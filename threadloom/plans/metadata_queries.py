@@ -23,13 +23,6 @@ def plan_receipts(spark, sf_dir):
     return metadata.receipts(plans, outputs, relation(spark, sf_dir, "edges_chain"), "DWF.")
 
 
-@query(ORACLE_SQL["plan_receipts"])
-def plan_receipts_all(spark, sf_dir):
-    plans = run(spark, sf_dir, "select concat('PLAN', cast(o_custkey as string)) as plan, min(o_orderkey) as job from orders group by o_custkey")
-    outputs = run(spark, sf_dir, "select o_orderkey as job, concat(case when o_orderstatus = 'F' then 'DWF.' else 'DWD.' end, o_orderpriority) as target from orders")
-    return metadata.receipts(plans, outputs, relation(spark, sf_dir, "edges_chain"), "DWF.")
-
-
 @query("SELECT doc_id, pattern FROM documents, (SELECT upper(n_name) AS pattern FROM nation UNION SELECT 'LICENSE' UNION SELECT 'HAND') p WHERE contains(upper(text), pattern)")
 def substring_join(spark, sf_dir):
     patterns = run(spark, sf_dir, "select upper(n_name) as pattern from nation union select 'LICENSE' union select 'HAND'")
@@ -51,12 +44,6 @@ def layered_upstream(spark, sf_dir):
     return metadata.layered(reads, writes, start)
 
 
-@query(ORACLE_SQL["layered_upstream"])
-def layered_upstream_all(spark, sf_dir):
-    reads, writes = (run(spark, sf_dir, t).withColumnRenamed("tab", "table") for t in (_READS, _WRITES))
-    return metadata.layered(reads, writes, spark.sql("select explode(array('T1', 'T7')) as table"))
-
-
 _COLUMNS = "select distinct 's' as schema_name, concat('t', cast(l_suppkey % 30 as varchar(20))) as a, concat('c', cast(l_linenumber as varchar(20))) as b, concat('t', cast(l_suppkey % 30 + 1 + l_partkey % 3 as varchar(20))) as c, concat('c', cast((l_linenumber * 3) % 7 as varchar(20))) as d from lineitem where l_suppkey % 30 < 27"
 
 
@@ -69,12 +56,6 @@ def column_walk(spark, sf_dir):
     return metadata.column_walk(rows, spark.sql("select 'S.T0.C1' as node"))
 
 
-@query(ORACLE_SQL["column_walk"])
-def column_walk_all(spark, sf_dir):
-    rows = run(spark, sf_dir, _COLUMNS).select(F.col("schema_name").alias("schema"), F.col("a").alias("table"), F.col("b").alias("column"), F.col("schema_name").alias("to_schema"), F.col("c").alias("to_table"), F.col("d").alias("to_column"))
-    return metadata.column_walk(rows, spark.sql("select 'S.T0.C1' as node"))
-
-
 @query(
     """WITH n AS (SELECT DISTINCT p_name AS name FROM part), w AS (SELECT unnest([(SELECT min(p_name) FROM part), upper((SELECT max(p_name) FROM part)), 'a', 'nothing like it']) AS wanted),
     h AS (SELECT wanted, max(CASE WHEN upper(name) = upper(wanted) THEN name END) AS exact, count(*) FILTER (WHERE ends_with(upper(name), upper(wanted))) AS n_ends, min(name) FILTER (WHERE ends_with(upper(name), upper(wanted))) AS ends, count(*) AS n, min(name) AS holds FROM w JOIN n ON contains(upper(name), upper(wanted)) GROUP BY wanted)

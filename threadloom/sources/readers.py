@@ -23,9 +23,23 @@ def program_sources(rows: DataFrame, environment: str, profile: str, name: str,
     return out.withColumn("source_hash", source_hash(fields))
 
 
-def jdbc_sources(spark: SparkSession, url: str, query: str, properties: dict[str, str], fetch_size: int = 1000) -> DataFrame:
-    """A1, A12 against a database: the query runs there, rows come in batches."""
-    return spark.read.format("jdbc").options(url=url, query=query, fetchsize=str(fetch_size), **properties).load()
+def jdbc_sources(spark: SparkSession, url: str, query: str, properties: dict[str, str], fetch_size: int = 1000, key: str | None = None, partitions: int | None = None) -> DataFrame:
+    """A1, A12 against a database: the query runs there, rows come in batches, filters on the result go to the server.
+
+    With a key (a number, date or timestamp of the query) the rows are read by `partitions` tasks, each a range of equal width
+    between the least and the largest key, which the server is asked for first; rows without a key come with the first range. Without one, or
+    for a result without keys, one task reads all.
+    """
+    source = spark.read.format("jdbc").options(url=url, fetchsize=str(fetch_size), **properties)
+    text = query if query.lstrip().startswith("(") else f"({query}) q"
+    if key is None:
+        return source.option("dbtable", text).load()
+    low, high = source.option("query", f"select min({key}) as low, max({key}) as high from {text}").load().first()
+    source = spark.read.format("jdbc").options(url=url, fetchsize=str(fetch_size), **properties).option("dbtable", text)
+    if low is None:
+        return source.load()
+    count = partitions or spark.sparkContext.defaultParallelism
+    return source.options(partitionColumn=key, lowerBound=str(low), upperBound=str(high), numPartitions=str(count)).load()
 
 
 def parameterized(spark: SparkSession, text: str, args: dict) -> DataFrame:
