@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from threadloom.llm import chat_format, language_id, posting_lists, warc
+from threadloom.llm import chat_format, common, language_id, posting_lists, warc
 from threadloom.llm.common import open_fs, scratch
 
 RECORDS = [
@@ -253,3 +253,19 @@ def test_graph_finds_near_centroids(n):
     found, d = posting_lists.Graph(c).search(x, 8)
     exact = np.argmin(((x[:, None] - c[None]) ** 2).sum(axis=2), axis=1)
     assert (found[:, 0] == exact).mean() >= 0.95 and (np.diff(d, axis=1) >= 0).all()
+
+
+def test_hot_payloads_are_dealt_to_several_tasks(spark, monkeypatch):
+    pages = spark.createDataFrame([(k, "http://h", "a page not found " * 80 if k % 3 else f"page {k} " * 200) for k in range(90)], "page_id long, url string, html string")
+    monkeypatch.setattr(warc, "hot_join", lambda a, b, key, count, _: common.hot_join(a, b, key, count, 1 << 30, least=7))
+    out = scratch(spark, "warc")
+    warc.write_warc(pages, out)
+    got = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in warc.read_warc(spark, out).collect()}
+    assert got == {k: ("revisit", 89) if k % 3 and k != 89 else ("response", None) for k in range(90)}
+
+
+def test_copies_of_a_text_train_a_model_once(spark):
+    rows = [("en", "the cat sat on the mat")] * 200 + [("de", "der Hund lief in den Wald"), ("de", "the cat sat on the mat"), (None, "x"), ("en", None)]
+    a = language_id.train(spark.createDataFrame(rows, "lang string, text string").repartition(7), sample=1000)
+    b = language_id.train(spark.createDataFrame(rows[199:][::-1], "lang string, text string").coalesce(1), sample=1000)
+    assert a.langs == b.langs and (a.logp == b.logp).all()

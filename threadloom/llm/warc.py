@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import lean, open_fs, scratch, store, table
+from threadloom.llm.common import hot_join, lean, open_fs, scratch, store, table
 
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL name space of RFC 9562
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -181,8 +181,10 @@ def write_warc(pages: DataFrame, out: str, least: int = 1000, shard_bytes: int =
     full = full.withColumn("digest", F.sha1("payload"))
     slim = store(full.select("page_id", "digest", F.octet_length("payload").cast("long").alias("n")), "digests")
 
-    last = slim.where(F.col("n") >= least).groupBy("digest", "n").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("copies")).where("copies > 1 and last is not null")
-    marks = slim.join(last, ["digest", "n"]).where("page_id is null or page_id < last").select("page_id", "digest", "last").distinct()
+    # a payload of very many copies is dealt to several tasks
+    keyed = slim.where(F.col("n") >= least).withColumn("same", F.concat_ws("-", "digest", F.col("n").cast("string")))
+    last = store(keyed.groupBy("same").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("copies")).where("copies > 1 and last is not null"), "repeated")
+    marks = hot_join(keyed, last, "same", "copies", 96).where("page_id is null or page_id < last").select("page_id", "digest", "last").distinct()
 
     starts, parts = cuts(slim, shard_bytes)
     first = np.cumsum(parts) - parts
