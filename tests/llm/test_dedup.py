@@ -191,3 +191,14 @@ def test_decontamination_matches_brute_force(spark, odd_docs, no_docs):
     assert kept.count() == 14 and kept.columns == odd_docs.columns
     assert decontamination.contaminated(no_docs, benchmark).count() == 0
     assert decontamination.contaminated(odd_docs, benchmark.limit(0)).count() == 0
+
+
+def test_an_item_of_very_many_documents_is_dealt_to_several_tasks(spark, monkeypatch):
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(5000)]
+    items = [" ".join(rng.sample(words, 40)) for _ in range(6)]
+    docs = [(k, " ".join(rng.sample(words, 30)) + " " + (items[0] if k % 4 else items[k % 6]) + " end") for k in range(80)] + [(99, "clean text of a few words")]
+    tables = spark.createDataFrame(docs, "doc_id long, text string").repartition(4), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = sorted(map(tuple, decontamination.contaminated(*tables).collect()))
+    monkeypatch.setattr(decontamination, "hot_join", lambda a, b, key, count, _: common.hot_join(a, b, key, count, 1 << 30, least=5))
+    assert sorted(map(tuple, decontamination.contaminated(*tables).collect())) == want and len(want) == 80

@@ -179,9 +179,10 @@ def _found(docs: DataFrame, benchmark: DataFrame, most_bits: int = 1 << 28) -> D
     sizes = store(pairs.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / PAIRS_AT_ONCE).alias("chunks")), "documents-met")
     chunk = F.pmod(F.xxhash64("item"), F.col("chunks")).alias("chunk")
     dealt = pairs.alias("p").join(bounded(sizes, 32).alias("s"), F.expr("p.text_hash = s.text_hash and p.doc_id <=> s.doc_id")).select("p.doc_id", "p.text_hash", "p.item", chunk)
-    # all items fit beside a block of documents if they are few; else each goes to the documents that it may be in
-    item_rows = items.select("item", F.struct("item_id", "tokens").alias("it"))
-    chunks = dealt.join(bounded(item_rows, 1024), "item").groupBy(*key, "chunk").agg(F.collect_list("it").alias("items"))
+    # all items fit beside a block of documents if their tokens, 8 bytes each, are few; else each goes to the documents that it may be in
+    n_items, n_tokens = items.agg(F.count(F.lit(1)), F.sum(F.size("tokens").cast("long"))).first()
+    item_rows = store(items.join(pairs.groupBy("item").agg(F.count(F.lit(1)).alias("n")), "item").select("item", F.struct("item_id", "tokens").alias("it"), "n"), "items-met")
+    chunks = hot_join(dealt, item_rows, "item", "n", 64 + 8 * -(-(n_tokens or 0) // max(1, n_items))).groupBy(*key, "chunk").agg(F.collect_list("it").alias("items"))
     met = bounded(sizes.select(*key), 24).alias("m")
     texts = rows.alias("r").join(met, F.expr("r.text_hash = m.text_hash and r.doc_id <=> m.doc_id"), "left_semi").dropDuplicates(key)
     ready = texts.alias("t").join(chunks.alias("c"), F.expr("t.text_hash = c.text_hash and t.doc_id <=> c.doc_id")).select("t.doc_id", "t.text_hash", "t.text", "c.items")
