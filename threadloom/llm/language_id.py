@@ -94,13 +94,14 @@ class Model:
 
 
 def train(labelled: DataFrame, sample: int = 4000) -> Model:
-    """From labelled texts (lang, text), of which about `sample` are taken by a hash of the text.
+    """From labelled texts (lang, text), of which about `sample` are taken by a hash of the text; copies of a text count once.
 
-    Rows with a null lang or text take no part; without any other row the model knows the background only.
+    The same rows are taken whatever their order is. Rows with a null lang or text take no part; without any other row the model knows the background only.
     """
     known = labelled.where("lang is not null and text is not null")
     step = max(1, known.count() // sample)
-    rows = known.where(F.pmod(F.xxhash64("text"), F.lit(step)) == 0).limit(2 * sample).select("lang", F.col("text").cast("binary"))
+    taken = known.select(F.xxhash64("text").alias("h"), "lang", F.col("text").cast("binary").alias("text")).where(F.pmod("h", F.lit(step)) == 0)
+    rows = taken.groupBy("h").agg(F.min(F.struct("lang", "text")).alias("x")).orderBy("h").limit(2 * sample).select("x.lang", "x.text")
     counts: dict[str, np.ndarray] = {}
     for lang, n in rows.coalesce(4).mapInArrow(_count, "lang string, n binary").collect():
         counts[lang] = counts.get(lang, 0) + np.frombuffer(n, np.int64)
