@@ -104,16 +104,31 @@ def near(word: str, half: int, words: list[str], lcps: list[int]):
     lcps[k] is the prefix that words k - 1 and k share.
     """
     at, end = bisect_left(words, word[:half]), bisect_left(words, word[:half] + _ABOVE)
-    rows = [(1, 0, 1)] * (len(word) + 3)  # by depth; rows up to `depth` hold for the word at hand
+    rows = [(1, 0, 1)] * (len(word) + 4)  # by depth; rows up to `depth` hold for the word at hand
     depth, n = half, len(word)
+    padded = word + "\0\0\0"  # nothing equals these, so cells behind the word cost an edit each
     while at < end:
         other = words[at]
         size = len(other)
         while depth < size:
-            row = rows[depth + 1] = _next_row(rows[depth], word, depth, other[depth])
-            if row[0] > 1 and row[1] > 1 and row[2] > 1:
+            # _next_row, written out
+            x, y, z = rows[depth]
+            c = other[depth]
+            a = x if padded[depth - 1] == c else x + 1
+            if y < a:
+                a = y + 1
+            b = y if padded[depth] == c else y + 1
+            if z < b:
+                b = z + 1
+            if a < b:
+                b = a + 1
+            d = z if padded[depth + 1] == c else z + 1
+            if b < d:
+                d = b + 1
+            if a > 1 and b > 1 and d > 1:
                 break
             depth += 1
+            rows[depth] = a, b, d
         else:
             if -1 <= n - size <= 1 and rows[size][n - size + 1] == 1:
                 yield at
