@@ -1,9 +1,9 @@
 """Source divergence audit: how the words of each source of a language differ from those of its other sources and of the language.
 
 Terms are counted by single-pass in-memory indexing. A task counts terms of its documents in memory, in one block of postings (term, language,
-source; occurrences, documents). A full block is sorted by term, cut by hash shards and handed on as a run of chunks, and a new block begins. A
-shard's chunks arrive in order of their first keys; a heap merges the runs that are open, and equal keys become one frequency. A
-shard holds a chunk of each open run. Keys are hashed with their language and source, so neither a
+source; occurrences, documents). A full block is sorted by term, a run for each of its groups, cut by hash shards and handed on in chunks, and a new
+block begins. A shard's chunks arrive group by group, in order of their first terms; a heap merges the runs that are open, and equal
+terms become one frequency. A shard holds a chunk of each open run of one group. Keys are hashed with their language and source, so neither a
 frequent word nor a large source lands in one shard.
 
 Pairs of sources start from what two sources without any term would have, as most terms of a language are in neither. Then the postings
@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import functools
 import heapq
-import re
 import zlib
 from collections import Counter
 
@@ -31,45 +30,59 @@ from pyspark.sql import Window
 
 from threadloom.llm.common import bounded, lean, store, table
 
-TERM = re.compile("[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
-_LOWER = {k: k + 32 for k in range(65, 91)}
+#: Bytes of a UTF-8 text: letters in lower case, and what isn't ASCII; all others part terms.
+_TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 SCALE = 1_000_000_000
 #: Sources in a block of pairs, and postings that a block's part of the terms holds at most, about.
 BLOCK, BLOCK_POSTINGS = 128, 400_000
 _CHUNK, _TERMS = 512, 4096
-_RUN = "shard int, low binary, keys array<string>, n array<long>, docs array<long>"
+_RUN = "shard int, low binary, lang string, source string, terms array<binary>, n array<long>, docs array<long>"
 _FREQUENCY = "lang string, source string, term string, n long, docs long"
 
 
+def terms_of(text: bytes) -> list[bytes]:
+    return text.translate(_TABLE).split()
+
+
+def _chunks(rows: list[tuple], terms: list[bytes], n: list[int], docs: list[int], ends: list[int]) -> pa.RecordBatch:
+    """Chunks as a batch: (shard, low, lang, source) of each, and the postings of all with the ends of each."""
+    offsets = pa.array([0, *ends], pa.int32())
+    heads = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.string(), pa.string()), strict=True)]
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(x, t)) for x, t in ((terms, pa.binary()), (n, pa.int64()), (docs, pa.int64()))]
+    return pa.RecordBatch.from_arrays([*heads, *lists], names=["shard", "low", "lang", "source", "terms", "n", "docs"])
+
+
 def _index(most: int, shards: int, batches):
-    """Runs of the blocks of one task; a block has about `most` postings."""
+    """Runs of the blocks of one task, one for each group that a block holds; a block has about `most` postings."""
     block: dict[tuple[str, str], tuple[Counter, Counter]] = {}
     held = 0
 
     def run():
-        rows = []
-        for (lang, source), (n, docs) in block.items():
-            group = f"\0{len(lang)}\0{lang}{source}"
-            seed = zlib.crc32(group.encode())
-            rows += [(zlib.crc32(term.encode(), seed) % shards, term + group, k, docs[term]) for term, k in n.items()]
-        block.clear()
-        rows.sort()
-        out, at = [], 0
-        while at < len(rows):
-            end = at + 1
-            while end < len(rows) and end - at < _CHUNK and rows[end][0] == rows[at][0]:
-                end += 1
-            out.append((rows[at][0], rows[at][1].encode(), *(list(c) for c in list(zip(*rows[at:end], strict=True))[1:])))
-            at = end
-        for k in range(0, len(out), 256):
-            part = zip(*out[k : k + 256], strict=True)
-            kinds = (pa.int32(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(part, kinds, strict=True)], names=["shard", "low", "keys", "n", "docs"])
+        rows, flat, ns, ds, ends = [], [], [], [], []
+        while block:
+            (lang, source), (n, docs) = block.popitem()
+            seed = zlib.crc32(f"{len(lang)}:{lang}{source}".encode())
+            parts: list[list[bytes]] = [[] for _ in range(shards)]
+            for term in sorted(n):
+                parts[zlib.crc32(term, seed) % shards].append(term)
+            for shard, terms in enumerate(parts):
+                for k in range(0, len(terms), _CHUNK):
+                    some = terms[k : k + _CHUNK]
+                    rows.append((shard, some[0], lang, source))
+                    flat += some
+                    ends.append(len(flat))
+            ns += map(n.__getitem__, flat[len(ns) :])
+            ds += map(docs.__getitem__, flat[len(ds) :])
+            if len(flat) > 100_000:
+                yield _chunks(rows, flat, ns, ds, ends)
+                rows, flat, ns, ds, ends = [], [], [], [], []
+        if rows:
+            yield _chunks(rows, flat, ns, ds, ends)
 
     for batch in batches:
         for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
             n, docs = block.setdefault((lang, source), (Counter(), Counter()))
-            words = TERM.findall((text.as_py() or b"").decode(errors="replace").translate(_LOWER))
+            words = terms_of(text.as_py() or b"")
             held -= len(n)
             n.update(words)
             docs.update(set(words))
@@ -81,61 +94,84 @@ def _index(most: int, shards: int, batches):
 
 
 def _merge(batches):
-    """Frequencies of the shards, whose chunks come in order of shard and first key."""
-    heap: list = []  # (key, number of its chunk, place in it, chunk)
-    shard, number, names, out = None, 0, {}, []
+    """Frequencies of the shards, whose chunks come in order of shard, group and first term."""
+    heap: list = []  # (term, number of its chunk, place in it, chunk)
+    here, number = None, 0
+    terms, ns, ds = [], [], []
     last, n, docs = None, 0, 0
 
     def drained(low):
-        """Takes out all keys below `low`, or all."""
+        """Takes out all terms below `low`, or all."""
         nonlocal last, n, docs
-        while heap and (low is None or heap[0][0] < low):
-            key, k, at, chunk = heap[0]
-            if key != last:
+        while heap:
+            term, k, at, chunk = heap[0]
+            if low is not None and term >= low:
+                return
+            some, a, b = chunk
+            if term == last:
+                n += a[at]
+                docs += b[at]
+            else:
                 if last is not None:
-                    out.append((last, n, docs))
-                last, n, docs = key, 0, 0
-            n += chunk[1][at]
-            docs += chunk[2][at]
-            if at + 1 < len(chunk[0]):
-                heapq.heapreplace(heap, (chunk[0][at + 1], k, at + 1, chunk))
+                    terms.append(last)
+                    ns.append(n)
+                    ds.append(docs)
+                last, n, docs = term, a[at], b[at]
+            at += 1
+            if at < len(some):
+                heapq.heapreplace(heap, (some[at], k, at, chunk))
             else:
                 heapq.heappop(heap)
         if low is None and last is not None:
-            out.append((last, n, docs))
+            terms.append(last)
+            ns.append(n)
+            ds.append(docs)
             last = None
 
     def rows():
-        parts = [key.split("\0", 1) for key, _, _ in out]
-        for _, group in parts:
-            if group not in names:
-                size, _, rest = group.partition("\0")
-                names[group] = rest[: int(size)], rest[int(size) :]
-        found = [names[g] for _, g in parts]
-        cols = [[a for a, _ in found], [b for _, b in found], [t for t, _ in parts], [x for _, x, _ in out], [x for _, _, x in out]]
-        out.clear()
-        return pa.RecordBatch.from_pydict(dict(zip(("lang", "source", "term", "n", "docs"), cols, strict=True)))
+        """What is finished of the group at hand."""
+        k = len(terms)
+        text = pa.array(terms, pa.binary())
+        try:
+            text = text.cast(pa.string())
+        except pa.ArrowInvalid:  # texts that aren't UTF-8
+            text = pa.array([t.decode(errors="replace") for t in terms], pa.string())
+        batch = pa.RecordBatch.from_arrays([pa.array([here[1]] * k, pa.string()), pa.array([here[2]] * k, pa.string()), text, pa.array(ns, pa.int64()), pa.array(ds, pa.int64())], names=["lang", "source", "term", "n", "docs"])
+        terms.clear()
+        ns.clear()
+        ds.clear()
+        return batch
 
     for batch in batches:
-        for s, keys, a, b in zip(*(batch.column(c).to_pylist() for c in ("shard", "keys", "n", "docs")), strict=True):
-            drained(keys[0] if s == shard else None)
-            shard = s
+        lists = batch.column("terms")
+        ends = (lists.offsets.to_numpy() - lists.offsets[0].as_py()).tolist()
+        flat = lists.flatten().to_numpy(zero_copy_only=False).tolist()
+        a, b = (batch.column(c).flatten().to_numpy().tolist() for c in ("n", "docs"))
+        for k, group in enumerate(zip(*(batch.column(c).to_pylist() for c in ("shard", "lang", "source")), strict=True)):
+            x, y = ends[k], ends[k + 1]
+            if group != here:
+                drained(None)
+                if terms:
+                    yield rows()
+                here = group
+            else:
+                drained(flat[x])
             number += 1
-            heapq.heappush(heap, (keys[0], number, 0, (keys, a, b)))
-            if len(out) > 20_000:
+            heapq.heappush(heap, (flat[x], number, 0, (flat[x:y], a[x:y], b[x:y])))
+            if len(terms) > 20_000:
                 yield rows()
     drained(None)
-    if out:
+    if terms:
         yield rows()
 
 
-def frequencies(docs: DataFrame, block_postings: int = 200_000, shard_bytes: int = 32 << 20, most_shards: int = 16_384) -> DataFrame:
+def frequencies(docs: DataFrame, block_postings: int = 500_000, shard_bytes: int = 32 << 20, most_shards: int = 16_384) -> DataFrame:
     """(lang, source, term, n, docs): occurrences of each term in each group, and documents of it that have it."""
     rows = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), F.col("text").cast("binary").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     shards = max(1, min(most_shards, -(-total // shard_bytes)))
     runs = rows.mapInArrow(functools.partial(lean, _index, block_postings, shards), _RUN)
-    dealt = runs.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "low")
+    dealt = runs.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "lang", "source", "low")
     return dealt.mapInArrow(functools.partial(lean, _merge), _FREQUENCY)
 
 
