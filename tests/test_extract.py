@@ -42,6 +42,20 @@ def test_python_sources():
     assert extract.python_sql("print('hello')") == []
 
 
+def test_programs_nested_or_long_beyond_reason():
+    deep = "run_sql(" + " + ".join(["'select 1 from t '"] * 5000) + ")"
+    assert len(extract.python_sql(deep)[0][1]) > 50_000 and extract.python_sql("x = " + "-" * 30_000 + "1") == []
+    assert extract.envelope("f(" * 3000 + ")" * 3000)[0][2] in ("PYTHON_PARSE_FAILED", "NO_SQL_CANDIDATE")
+    nested = "insert into t (a) " + "select a from (" * 1500 + "select a from x.y" + ") q" * 1500
+    assert extract.effective_sources(extract.query_blocks(nested)) == ["X.Y"] and extract.projections(nested) in ([], [("T", "A", "X.Y", "A", "RESOLVED")])
+
+
+def test_formatted_texts():
+    one = lambda code: [s for _, s, _ in extract.python_sql(code)]
+    assert one("run_sql('select {1}.{0} from {t} where a = {{x}} and b = {u}'.format('t', 's', t='dwf.t'))") == ["select s.t from dwf.t where a = {x} and b = {}"]
+    assert one("n = 3\nrun_sql(f'select {5} from t{n}')") == ["select 5 from t{}"] and one("run_sql(text('select 1 from t'))") == ["select 1 from t"]
+
+
 def test_names_stand_for_their_last_binding():
     code = 'sql = "select 1 from a"\nrun_sql(sql)\nsql = "select 2 from b"\nrun_sql(sql)\nsql = make()\nrun_sql(sql)\nq = "select 3 "\nq += "from c"\nfetch_all(sql_str=q)'
     assert [s for _, s, _ in extract.python_sql(code)] == ["select 1 from a", "select 2 from b", "select 3 from c"]

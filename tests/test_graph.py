@@ -6,7 +6,7 @@ from collections import deque
 import pytest
 from pyspark.sql import functions as F
 
-from threadloom.operators import graph
+from threadloom.operators import graph, snapshot
 
 
 def _edges(spark, pairs):
@@ -198,3 +198,46 @@ def test_boundary_groups_and_fallback(spark):
     assert bad == {("T.b", "RESULT_NOT_OBSERVED"), ("T.c", "DUPLICATE_STEP"), ("T.c", "EDGE_PROVENANCE_MISMATCH"), ("T.c", "RESULT_USED_AS_SOURCE")}
     got = {tuple(r) for r in graph.boundary_projections(programs, edges).collect()}
     assert got == {("T.a", "S.x", "p1", False), ("T.a", "T.a", "p2", False), ("T.a", "S.z", "o", False), ("T.b", "S.w", "o", True), ("T.c", "S.v", "p4", True)}
+
+
+def _simple_paths(edges, inner, most):
+    """Of each pair of outer nodes the first paths through inner ones, none twice on a path."""
+    out = {}
+
+    def walk(path):
+        for b in sorted({y for x, y in edges if x == path[-1]}):
+            if b not in inner:
+                if b not in path[1:]:
+                    out.setdefault((path[0], b), []).append((*path, b))
+            elif b not in path:
+                walk((*path, b))
+
+    for a in sorted({x for x, _ in edges} - inner):
+        walk((a,))
+    return {k: sorted(v, key=lambda p: (len(p), p))[:most] for k, v in out.items()}
+
+
+def test_first_paths_of_graphs_with_cycles(spark):
+    rng = random.Random(12)
+    edges, inner = set(), {f"i{k}" for k in range(6)}
+    nodes = sorted(inner) + ["a", "b", "z"]
+    while len(edges) < 26:
+        edges.add((rng.choice(nodes), rng.choice(nodes)))
+    edges = {e for e in edges if e[0] != e[1]}
+    kinds = spark.createDataFrame([(n, n in inner) for n in nodes], "node string, collapsible boolean")
+    for most in (1, 4):
+        got = {}
+        for r in graph.path_samples(spark.createDataFrame(sorted(edges), "src string, dst string"), kinds, most).orderBy("place").collect():
+            got.setdefault((r["src"], r["dst"]), []).append(tuple(r["path"]))
+        assert got == _simple_paths(edges, inner, most) and got
+
+
+def test_migrations_are_refused(spark):
+    scope = [c for c in snapshot.SCOPE]
+    rows = spark.createDataFrame([("a",) * len(scope) + ("1",), ("b",) * len(scope) + ("2",)], ", ".join(f"{c} string" for c in [*scope, "version"]))
+    scopes = lambda *names: spark.createDataFrame([(n,) * len(scope) for n in names], ", ".join(f"{c} string" for c in scope))
+    snapshot.migration_gate(rows, "2", scopes("a"), complete=True)
+    snapshot.migration_gate(rows.where("version = '2'"), "2", scopes(), complete=False)
+    for kwargs in ({"scopes": scopes("a"), "complete": False}, {"scopes": scopes("a"), "complete": True, "partial": True}, {"scopes": scopes("b"), "complete": True}):
+        with pytest.raises(ValueError, match="another version"):
+            snapshot.migration_gate(rows, "2", **kwargs)

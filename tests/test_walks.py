@@ -33,7 +33,7 @@ def _lists(df):
     return [(r["component"], r["place"], tuple(r["cycle"]), r["more"]) for r in df.orderBy("component", "place").collect()]
 
 
-@pytest.mark.parametrize("seed", [1])
+@pytest.mark.parametrize("seed", [3])
 def test_cycle_lists_match_brute_force(spark, seed):
     rng = random.Random(seed)
     edges = []
@@ -44,13 +44,12 @@ def test_cycle_lists_match_brute_force(spark, seed):
     edges += list(zip(ring, ring[1:] + ring[:1], strict=True)) + [(ring[3], 990), (990, 991), (991, ring[9]), (ring[12], ring[12])] + [(None, 1), (1, None)]
     df = spark.createDataFrame([*edges, *edges[:5]], "src int, dst int")
     want = _plain_cycles([e for e in edges if None not in e])
-    got = _lists(cycles.cycle_lists(df, most=10_000))
-    assert sorted((c for _, _, c, _ in got), key=lambda c: (len(c), c)) == want and not any(m for *_, m in got)
+    parts = []  # cycles that share a node are of one component
+    for c in want:
+        met = [p for p in parts if any(set(c) & set(d) for d in p)]
+        parts = [p for p in parts if p not in met] + [sorted([c, *(d for p in met for d in p)], key=lambda c: (len(c), c))]
     few = _lists(cycles.cycle_lists(df, most=3))
-    by = {}
-    for comp, _, c, _ in got:
-        by.setdefault(comp, []).append(c)
-    assert few == [(comp, k + 1, c, len(cs) > 3) for comp, cs in sorted(by.items()) for k, c in enumerate(sorted(cs, key=lambda c: (len(c), c))[:3])]
+    assert few == sorted((min(n for c in p for n in c), k + 1, c, len(p) > 3) for p in parts for k, c in enumerate(p[:3])) and any(m for *_, m in few)
     some = set(rng.sample([n for e in edges if None not in e for n in e], 4))
     only = _lists(cycles.cycle_lists(df, most=10_000, only=spark.createDataFrame([(n,) for n in some], "node int")))
     assert sorted(c for _, _, c, _ in only) == sorted(c for c in want if some & set(c))
@@ -215,14 +214,14 @@ def test_suppressions_by_scope(spark, tmp_path):
 
 
 def _scan(df):
-    """(files, rows) that the scan of an executed plan read."""
+    """Rows that the scan of an executed plan read."""
     df.collect()
     plan = df._jdf.queryExecution().executedPlan()
     todo = [plan]
     while todo:
         p = todo.pop()
         if p.nodeName().startswith("Scan"):
-            return p.metrics().apply("numFiles").value(), p.metrics().apply("numOutputRows").value()
+            return p.metrics().apply("numOutputRows").value()
         todo += [p.executedPlan()] if p.nodeName() == "AdaptiveSparkPlan" else [p.children().apply(k) for k in range(p.children().size())]
     raise AssertionError("no scan")
 
@@ -232,11 +231,12 @@ def test_lookups_skip_files(spark):
     store.rebuild_mapping(rows, "threadloom_names", "name", buckets=8)
     assert spark.table("threadloom_names").count() == 4000
     hit = store.lookup(spark, "threadloom_names", "name", ["n4444"])
-    assert [r["value"] for r in hit.collect()] == [4444] and 0 < _scan(hit)[1] < 1000  # rows of one bucket
+    assert [r["value"] for r in hit.collect()] == [4444] and 0 < _scan(hit) < 1000  # rows of one bucket
     none = store.lookup(spark, "threadloom_names", "name", ["n4445"])  # between the least and the largest name
-    assert none.count() == 0 and _scan(none)[1] == 0
+    assert none.count() == 0 and _scan(none) == 0
     spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")
-    assert _scan(store.lookup(spark, "threadloom_names", "name", ["n4444"]))[0] == 1
+    plan = store.lookup(spark, "threadloom_names", "name", ["n4444"])._jdf.queryExecution().executedPlan().toString()
+    assert "SelectedBucketsCount: 1 out of 8" in plan
     spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
     joined = spark.createDataFrame([("n2",), ("n3",)], "name string").hint("shuffle_merge").join(spark.table("threadloom_names"), "name")
     assert [r["value"] for r in joined.collect()] == [2]

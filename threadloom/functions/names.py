@@ -60,10 +60,25 @@ def comparison_name(x: Column) -> Column:
 
 
 def table_aliases(x: Column) -> Column:
-    """Names under which older metadata may know a table (I2): itself, its short name, with and without DWS_."""
+    """Names under which older metadata may know a table (I2): itself, its short name, with and without DWS_, and the forms of the E layer.
+
+    That layer's tables are DWE.X, DWS_DWE.X, DWP.DWE_X and DWE_X: each of them leads to the others.
+    """
     n, s = normalize_table_name(x), short_name(x)
     plain = F.regexp_replace(n, "^DWS_", "")
-    return F.array_distinct(F.array(n, s, plain, F.when(n.startswith("DWS_"), n).otherwise(F.concat(F.lit("DWS_"), n))))
+    rest = F.substr(n, F.instr(n, ".") + 1)
+    bare = F.regexp_replace(rest, "^DWE_", "")
+    own, marked = n.startswith("DWE."), s.startswith("DWE_")
+    forms = [
+        F.when(n.startswith("DWS_DWE.") | own, F.concat(F.lit("DWP.DWE_"), rest)),
+        F.when(n.startswith("DWS_DWE."), F.concat(F.lit("DWE."), rest)),
+        F.when(own, F.concat(F.lit("DWS_DWE."), rest)),
+        F.when(own, F.concat(F.lit("DWE_"), rest)),
+        F.when(n.startswith("DWS_DWP.DWE_"), F.concat(F.lit("DWE_"), bare)),
+        F.when(marked, F.concat(F.lit("DWS_DWE."), F.substr(s, F.lit(5)))),
+        F.when(marked, F.concat(F.lit("DWE."), F.substr(s, F.lit(5)))),
+    ]
+    return F.array_distinct(F.array_compact(F.array(n, s, plain, F.when(n.startswith("DWS_"), n).otherwise(F.concat(F.lit("DWS_"), n)), *forms)))
 
 
 def parse_program_name(x: Column) -> Column:

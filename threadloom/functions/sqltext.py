@@ -324,6 +324,22 @@ def created_objects(x: Column, kind: str) -> Column:
     return F.array_sort(F.array_distinct(F.transform(found, F.upper)))
 
 
+def defined_tables(x: Column) -> Column:
+    """(name, temporary) of each table that a list of columns defines, in order; CREATE ... AS defines none."""
+    pattern = F.lit(_HEADS["CREATE_TABLE"] + NAME + r"\s*\(")
+
+    def found(t: Column) -> Column:
+        both = F.arrays_zip(F.regexp_extract_all(t, pattern, F.lit(2)).alias("name"), F.regexp_extract_all(t, pattern, F.lit(1)).alias("modifiers"))
+        return F.transform(both, lambda p: F.struct(normalize_table_name(p["name"]).alias("name"), F.contains(p["modifiers"], F.lit("TEMP")).alias("temporary")))
+
+    return F.coalesce(_once(cleaned(x), found), F.array().cast("array<struct<name: string, temporary: boolean>>"))
+
+
+def altered_tables(x: Column) -> Column:
+    """What ALTER TABLE changes, sorted and distinct."""
+    return F.array_sort(_names(_all(cleaned(x), rf"\bALTER\s+TABLE\s+{_several('IF EXISTS', 'ONLY')}{NAME}")))
+
+
 def used_functions(x: Column, known: list[str]) -> Column:
     """Which of some functions are called."""
     return F.array_compact(F.array(*[F.when(F.upper(x).rlike(rf"\b{f.upper()}\s*\("), F.lit(f.upper())) for f in sorted(known)]))

@@ -22,8 +22,10 @@ GRAM = 4
 
 
 def _grams(x: Column, size: int) -> Column:
-    """The distinct pieces of `size` code points."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - size + 1, F.lit(1))), lambda k: F.substr(x, k, F.lit(size))))
+    """The distinct pieces of `size` characters: one pass splits the text, so that no piece is counted off from its beginning."""
+    pieces = lambda cs: F.transform(cs, lambda c, k: F.concat(c, *[F.get(cs, k + j) for j in range(1, size)]))
+    whole = F.element_at(F.transform(F.array(F.filter(F.split(x, ""), lambda c: c != "")), pieces), 1)
+    return F.array_compact(F.array_distinct(whole))
 
 
 def containing(texts: DataFrame, key: str, text: str, patterns: DataFrame) -> DataFrame:

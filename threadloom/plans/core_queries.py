@@ -92,6 +92,32 @@ def false_predicates(spark, sf_dir):
     return run(spark, sf_dir, _PREDICATES).select("id", sqltext.is_statically_false(F.col("predicate")).alias("is_false"))
 
 
+_DEFINITIONS = """select p_partkey, concat('-- create table no (a int)', chr(10), 'create ', case p_size % 4 when 0 then 'global temporary ' when 1 then 'unlogged ' when 2 then 'temp ' else '' end, 'table ', case when p_size % 3 = 0 then 'if not exists ' else '' end, '"dwf".t', cast(p_partkey as varchar(20)),
+    case when p_size % 5 = 0 then ' as select 1' else ' (a int comment ''create table x (b int)'')' end, '; create table dwm.u (a int); alter table only dwm.v', cast(p_size as varchar(9)), ' add b int; ALTER TABLE dwa.w drop a') as ddl from part"""
+
+
+@query(
+    f"""SELECT p_partkey, concat(CASE WHEN contains(ddl, ' as select') THEN '' ELSE concat('DWF.T', p_partkey, CASE WHEN contains(ddl, 'temp') THEN ':true' ELSE ':false' END, ',') END, 'DWM.U:false') AS defined, concat('DWA.W,DWM.V', regexp_extract(ddl, 'dwm[.]v([0-9]+)', 1)) AS altered FROM ({_DEFINITIONS})"""
+)
+def defined_objects(spark, sf_dir):
+    """Tables with their temporary flag, and what is altered."""
+    defined = F.transform(sqltext.defined_tables(F.col("ddl")), lambda t: F.concat(t["name"], F.lit(":"), t["temporary"].cast("string")))
+    return run(spark, sf_dir, _DEFINITIONS).select("p_partkey", F.array_join(defined, ",").alias("defined"), F.array_join(sqltext.altered_tables(F.col("ddl")), ",").alias("altered"))
+
+
+_E_LAYER = "select p_partkey, concat(case p_size % 5 when 0 then 'DWE.X' when 1 then 'dws_dwe.X' when 2 then 'DWS_DWP.DWE_X' when 3 then 'DWE_X' else 'DWP.DWE_X' end, cast(p_partkey as varchar(20))) as name from part"
+
+
+@query(
+    """SELECT p_partkey, array_to_string(list_sort(list_distinct(CASE p_size % 5 WHEN 0 THEN ['DWE.X' || k, 'X' || k, 'DWS_DWE.X' || k, 'DWP.DWE_X' || k, 'DWE_X' || k] WHEN 1 THEN ['DWS_DWE.X' || k, 'X' || k, 'DWE.X' || k, 'DWP.DWE_X' || k]
+    WHEN 2 THEN ['DWS_DWP.DWE_X' || k, 'DWE_X' || k, 'DWP.DWE_X' || k, 'DWS_DWE.X' || k, 'DWE.X' || k] WHEN 3 THEN ['DWE_X' || k, 'DWS_DWE_X' || k, 'DWS_DWE.X' || k, 'DWE.X' || k] ELSE ['DWP.DWE_X' || k, 'DWE_X' || k, 'DWS_DWP.DWE_X' || k, 'DWS_DWE.X' || k, 'DWE.X' || k] END)), ',') AS aliases
+    FROM (SELECT p_partkey, p_size, CAST(p_partkey AS VARCHAR) AS k FROM part)"""
+)
+def layer_aliases(spark, sf_dir):
+    """Forms of the E layer."""
+    return run(spark, sf_dir, _E_LAYER).select("p_partkey", F.array_join(F.array_sort(names.table_aliases(F.col("name"))), ",").alias("aliases"))
+
+
 _COMMENTED = "select p_partkey, concat('a', cast(p_size as varchar(9)), ' -- note ', p_name, chr(10), '/* ', p_type, ' */ b ''-- kept ', p_brand, '''') as script from part"
 
 
