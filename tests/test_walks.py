@@ -249,12 +249,12 @@ def test_database_reads_are_partitioned(spark):
     url, properties = "jdbc:derby:memory:threadloom;create=true", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
     rows = spark.range(100).selectExpr("cast(id as int) as id", "concat('p', id) as name", "if(id % 10 = 0, '', concat('select ', id)) as code")
     rows.write.format("jdbc").options(url=url, dbtable="programs", createTableColumnTypes="id int, name varchar(20), code varchar(40)", **properties).mode("overwrite").save()
-    got = readers.jdbc_sources(spark, url, "select id, name, code from programs where code <> ''", properties, key="id", partitions=4)
+    got = readers.jdbc_sources(spark, url, 'select "id" as id, "name" as name, "code" as code from programs where "code" <> \'\'', properties, key="id", partitions=4)
     assert got.rdd.getNumPartitions() == 4 and got.count() == 90
     assert all(n > 10 for n in got.groupBy(F.spark_partition_id()).count().toPandas()["count"])
     few = got.where("id < 7")
     assert few.count() == 6 and "PushedFilters: [*IsNotNull(ID), *LessThan(ID,7)]" in few._jdf.queryExecution().executedPlan().toString()
     sources = readers.program_sources(got, "PROD", "db", "name", "code")
     assert sources.count() == 90 and sources.where("source_hash is null").isEmpty()
-    assert readers.jdbc_sources(spark, url, "select id from programs where id < 0", properties, key="id", partitions=4).count() == 0
-    assert readers.jdbc_sources(spark, url, "select id from programs", properties).rdd.getNumPartitions() == 1
+    assert readers.jdbc_sources(spark, url, 'select "id" as id from programs where "id" < 0', properties, key="id", partitions=4).count() == 0
+    assert readers.jdbc_sources(spark, url, 'select "id" as id from programs', properties).rdd.getNumPartitions() == 1
