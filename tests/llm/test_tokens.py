@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from threadloom.llm import range_coder, sentencepiece_bpe, token_output, word_table
@@ -76,6 +77,37 @@ def test_long_words_without_a_break():
     assert token_output.encode_texts([word.encode()], path)[0].tolist() == Tokenizer.from_file(path).encode(word, add_special_tokens=False).ids
 
 
+def test_parts_are_encoded_once(monkeypatch):
+    path, calls = sentencepiece_bpe.model_path(), []
+    e = sentencepiece_bpe.encoder(path)[0]
+    plain = e._ids
+    monkeypatch.setattr(e, "_ids", lambda part: calls.append(part) or plain(part))
+    rng = random.Random(11)
+    words = list({"".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=5)) for _ in range(470_000)})
+    texts = [" ".join(words[k : k + 50_000]).encode() for k in range(0, len(words), 50_000)]
+    first = [sentencepiece_bpe.encode_text(t, path).tolist() for t in texts]
+    calls.clear()
+    assert [sentencepiece_bpe.encode_text(t, path).tolist() for t in texts] == first
+    assert not calls
+    assert e.model.encode([t.decode() for t in texts]) == first
+
+
+def test_cuts_where_no_piece_reaches(monkeypatch):
+    path = sentencepiece_bpe.model_path()
+    e, table = sentencepiece_bpe.encoder(path)
+    rng, pieces = random.Random(13), sorted(e.ids)
+    texts = ["".join(rng.choices(pieces, k=rng.randint(1, 6))) for _ in range(4000)] + ["".join(rng.choice(pieces)[-1] + rng.choice(pieces)[0] for _ in range(9)) for _ in range(4000)]
+    want = e.model.encode(texts)
+    for small in (False, True):  # with a table that is emptied again and again, too
+        if small:
+            monkeypatch.setitem(sentencepiece_bpe._encoders, path, (e, word_table.WordTable(e.parts, 50, e.bounds)))
+        assert [sentencepiece_bpe.encode_text(t.encode(), path).tolist() for t in texts] == want
+    whole = [i.tolist() for ids, n in sentencepiece_bpe.encode_column(pa.array(["", *texts, "", ""]).cast(pa.binary()), path) for i in np.split(ids, np.cumsum(n)[:-1])]
+    assert whole == [[], *want, [], []]
+    for bad in (b"a\xe3\x81 b\xff,c", b"\xc3", b"\x81\x82 \xe2\x96"):
+        assert sentencepiece_bpe.encode_text(bad, path).tolist() == e.model.encode(bad.decode(errors="replace"))
+
+
 def test_token_files(spark, odd_docs, no_docs):
     from tokenizers import Tokenizer
 

@@ -5,8 +5,9 @@ themselves. So the encoder takes the longest piece at each place (Aho-Corasick f
 word in one pass), checks it against the piece before by re-merging the two, and steps back to a
 shorter piece where they don't fit; a bitfield marks the places from which no encoding can follow.
 
-Texts are cut where no piece of the vocabulary can reach across: before a space, around a line break,
-between an ASCII letter or digit and a full stop or comma. A bounded table keeps the ids of cut words.
+Texts are cut where no piece of the vocabulary can reach across: between two characters that no piece holds
+side by side. The parts of a chunk of texts meet their ids in an exact array-wise table (`word_table.py`), so
+that only parts which it doesn't hold are encoded, each distinct one once a chunk. The table is bounded.
 
 Nulls, empties and repeats: a null text counts as empty, and an empty text has no ids and decodes to
 ''. All rows are kept, repeated ones too; an empty table gives an empty one. Texts are never cut short.
@@ -16,13 +17,18 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import re
+import itertools
+import struct
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from threadloom.llm.common import column, fields, fresh, mapped, table
+from threadloom.llm.token_output import texts_in
+from threadloom.llm.word_table import LONGEST, WordTable
 
 SPACE = "▁"
 DEFAULT_MODEL = "piece_bpe_32k.model"
@@ -34,6 +40,20 @@ def model_path(name: str = DEFAULT_MODEL) -> str:
     return public_tokenizers.path(name)
 
 
+def _cut_table(pieces) -> np.ndarray:
+    """At a + 256 * b: whether no piece reaches from a byte a to a byte b after it; a space stands for SPACE.
+
+    Bytes beyond ASCII stand for all characters beyond it, and are never parted from each other.
+    """
+    cut = np.ones((256, 256), bool)
+    cut[128:, 128:] = False
+    for piece in pieces:
+        for a, b in itertools.pairwise(min(ord(c), 128) for c in piece.replace(SPACE, " ")):
+            cut[b, a] = False
+    cut[128:, :128], cut[:128, 128:] = cut[128, :128], cut[:128, 128:129]
+    return cut.ravel()
+
+
 class Encoder:
     def __init__(self, path: str, most: int = 200_000):
         import ahocorasick
@@ -51,20 +71,11 @@ class Encoder:
             if self.merged(piece) == [piece]:  # a piece that merging never makes is no candidate
                 self.automaton.add_word(piece, len(piece))
         self.automaton.make_automaton()
-        pieces = [p for p in self.ids if len(p) > 1]
-        #: Where no piece can reach across, in words without spaces inside.
-        breaks = []
-        if not any("\n" in p for p in pieces):
-            breaks.append(r"(?<=\n)|(?=\n)")
-        if not any(re.search(r"[A-Za-z0-9][.,]", p) for p in pieces):
-            breaks.append(r"(?<=[A-Za-z0-9])(?=[.,])")
-        if any(SPACE in p.lstrip(SPACE) for p in pieces):
-            raise ValueError("pieces with a space after other characters aren't supported")
-        self.breaks = re.compile("|".join(breaks)) if breaks else None
+        self.cuts = _cut_table(self.ids)
         self.fits = functools.lru_cache(3 << 16)(self._fits)
-        #: Words met lately, and those met before them: at most `most` each.
-        self.inner: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        #: Parts too long for the table that were met lately, and those met before them: at most `most` each.
+        self.inner: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
         """The pieces that merging from single characters gives: best score first, then leftmost. For short texts."""
@@ -84,7 +95,7 @@ class Encoder:
         return self.merged(left + right) == [left, right]
 
     def pieces(self, text: str) -> list[str]:
-        """The exact pieces of a text without line breaks or inner spaces, by backtracking."""
+        """The exact pieces of a text, with SPACE for spaces, by backtracking."""
         n = len(text)
         #: For each place, a bit for each size of a piece that starts there.
         at = [0] * n + [0]
@@ -129,80 +140,75 @@ class Encoder:
                 out += [self.byte_ids[b] for b in piece.encode()]
             else:
                 out.append(i)
-        return np.array(out, "<u4").tobytes()
-
-    def word(self, word: str) -> bytes:
-        """Ids, as bytes, of a text that holds spaces at its start only (as SPACE)."""
-        out = []
-        for part in self.breaks.split(word) if self.breaks else [word]:
+        return struct.pack(f"<{len(out)}I", *out)
+
+    def bounds(self, data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, ends) of the parts of data, which also end at cuts."""
+        at = np.zeros(len(data) + 1, bool)
+        if len(data) > 1:
+            at[1:-1] = self.cuts.take(np.ndarray((len(data) - 1,), "<u2", data, strides=(1,)))
+        at[cuts] = True
+        edges = np.flatnonzero(at)
+        return edges[:-1], edges[1:]
+
+    def parts(self, parts: list[bytes]):
+        """Ids, as bytes, of each part in UTF-8."""
+        for part in parts:
             got = self.inner.get(part)
             if got is None:
                 got = self.older.get(part)
                 if got is None:
-                    got = self._ids(part)
-                if len(part) < 200:
+                    got = self._ids(part.decode(errors="replace").replace(" ", SPACE))
+                if LONGEST < len(part) < 200:
                     if len(self.inner) >= self.most:
                         self.older, self.inner = self.inner, {}
                     self.inner[part] = got
-            out.append(got)
-        return b"".join(out)
-
+            yield got
 
-class Words(dict):
-    """From a word in UTF-8 to the ids of a space and the word; emptied when full, as the encoder keeps the words too."""
 
-    def __init__(self, encoder: Encoder):
-        self.encoder = encoder
+_encoders: dict[str, tuple[Encoder, WordTable]] = {}
 
-    def __missing__(self, word: bytes) -> bytes:
-        got = self.encoder.word(SPACE + word.decode(errors="replace"))
-        if len(word) < 200:
-            if len(self) >= self.encoder.most // 2:
-                self.clear()
-            self[word] = got
-        return got
 
-
-_encoders: dict[str, tuple[Encoder, Words]] = {}
-_RUNS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-
-
-def encoder(path: str) -> tuple[Encoder, Words]:
+def encoder(path: str) -> tuple[Encoder, WordTable]:
+    """Kept between the tasks of a worker."""
     if path not in _encoders:
         e = Encoder(path)
-        _encoders[path] = e, Words(e)
+        _encoders[path] = e, WordTable(e.parts, 2_000_000, e.bounds)
     return _encoders[path]
 
 
+def encode_column(texts: pa.Array, path: str):
+    """The ids of texts in UTF-8, exactly the library's, in chunks of whole texts: (ids, how many of each text)."""
+    _, words = encoder(path)
+    texts = pc.replace_substring(texts.cast(pa.large_binary()), SPACE.encode(), b" ")
+    texts = pc.if_else(pc.equal(texts, b""), texts, pc.binary_join_element_wise(pa.scalar(b" ", texts.type), texts, pa.scalar(b"", texts.type)))
+    for data, cuts in texts_in(texts):
+        yield words.encode(data, cuts, b"")
+
+
 def encode_text(text: bytes, path: str) -> np.ndarray:
-    """The ids of a text in UTF-8, exactly the library's."""
-    e, words = encoder(path)
-    if not text:
-        return np.empty(0, "<u4")
-    if b"  " in text or b"\xe2\x96\x81" in text or text[:1] == b" " or text[-1:] == b" ":
-        whole = SPACE + text.decode(errors="replace").replace(" ", SPACE)
-        return np.frombuffer(b"".join(map(e.word, _RUNS.findall(whole))), "<u4")
-    return np.frombuffer(b"".join(map(words.__getitem__, text.split(b" "))), "<u4")
+    return next(encode_column(pa.array([text], pa.binary()), path))[0]
 
 
 def _encode_rows(path: str, digests: bool, with_ids: bool, names: list[str], batches):
     """The kept columns and the new ones; the text comes last."""
     e, _ = encoder(path)
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            ids = [encode_text(x.as_py() or b"", path) for x in part.columns[-1]]
-            plain = [i.tolist() for i in ids]
+        at = 0
+        for ids, counts in encode_column(batch.columns[-1], path):
+            columns = [c.slice(at, len(counts)) for c in batch.columns[:-1]]
+            at += len(counts)
+            flat, ends = ids.tolist(), np.cumsum(counts)
+            plain = [flat[a:b] for a, b in itertools.pairwise([0, *ends.tolist()])]
             decoded = [e.model.decode(i) for i in plain]
-            columns = part.columns[:-1]
             if digests:
-                columns.append(pa.array([len(i) for i in plain], pa.int64()))
+                columns.append(pa.array(counts, pa.int64()))
                 columns.append(pa.array([hashlib.sha256(",".join(map(e.decimal.__getitem__, i)).encode()).hexdigest() for i in plain], pa.string()))
                 columns.append(pa.array([hashlib.sha256(d.encode()).hexdigest() for d in decoded], pa.string()))
             else:
                 columns.append(pa.array(decoded, pa.string()))
             if with_ids:
-                columns.append(pa.array(plain, pa.list_(pa.int32())))
+                columns.append(pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype(np.int32), ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
@@ -215,7 +221,7 @@ def encode(docs: DataFrame, text: str = "text", keep: list[str] | None = None, m
     """
     new = (["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["decoded"]) + ["piece_ids"] * with_ids
     kept = [c for c in (docs.columns if keep is None else keep) if c not in new]
-    rows = docs.select(*map(column, kept), column(text).cast("binary").alias(fresh(docs, "text")[0]))
+    rows = docs.select(*map(column, kept), F.coalesce(column(text).cast("binary"), F.lit(b"")).alias(fresh(docs, "text")[0]))
     kinds = {"n_tokens": "long", "piece_ids": "array<int>"}
     schema = fields(docs, kept, **{c: kinds.get(c, "string") for c in new})
     return mapped(rows, schema, _encode_rows, model or model_path(), digests, with_ids)

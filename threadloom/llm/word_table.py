@@ -1,6 +1,6 @@
 """An exact, array-wise cache from words to token ids.
 
-Words (runs of bytes between ASCII white space) of up to LONGEST bytes are packed into two 64-bit numbers, which
+Words (runs of bytes between ASCII white space, or as `bounds` says) of up to LONGEST bytes are packed into two 64-bit numbers, which
 stand for just that word, and looked up in an open-addressing table, all words of a chunk of texts at
 once. Only words that the table doesn't hold go through Python, each distinct one once a chunk. A full table
 is emptied, so memory is bounded; longer words are never kept.
@@ -42,10 +42,10 @@ def _packed(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[
 
 
 class WordTable:
-    """`ids_of` gives the ids of distinct words as little-endian bytes, in the order given."""
+    """`ids_of` gives the ids of distinct words as little-endian bytes, in the order given; `bounds` where words start and end."""
 
-    def __init__(self, ids_of: Callable[[list[bytes]], Iterable[bytes]], most: int = 1_000_000):
-        self.ids_of, self.most = ids_of, most
+    def __init__(self, ids_of: Callable[[list[bytes]], Iterable[bytes]], most: int = 1_000_000, bounds=bounds):
+        self.ids_of, self.most, self.bounds = ids_of, most, bounds
         self.bits = (2 * most - 1).bit_length()
         self.clear()
 
@@ -99,7 +99,7 @@ class WordTable:
 
     def encode(self, data: np.ndarray, cuts: np.ndarray, end: bytes) -> tuple[np.ndarray, np.ndarray]:
         """(ids, how many of each text) of the texts data[cuts[k]:cuts[k + 1]]; each text ends with the ids `end`."""
-        starts, ends = bounds(data, cuts)
+        starts, ends = self.bounds(data, cuts)
         lengths = ends - starts
         padded = np.concatenate([data, np.zeros(16, np.uint8)])
         short = lengths <= LONGEST
