@@ -92,6 +92,21 @@ def test_parts_are_encoded_once(monkeypatch):
     assert e.model.encode([t.decode() for t in texts]) == first
 
 
+def test_a_large_batch_is_copied_a_chunk_at_a_time():
+    some = ["", "plain words", "\u2581 and ", "x" * 300, None, "caf\u00e9 \u0417\u0434"]
+    plain = [t or "" for t in some] * 3 + ["of one batch of texts " * 300] * 1500  # 10 MB
+    path, sp = sentencepiece_bpe.model_path(), sentencepiece_bpe.encoder(sentencepiece_bpe.model_path())[0].model
+    texts = pa.array([b"before", *(t.encode() for t in plain)], pa.binary()).slice(1)
+    before, most, at = pa.total_allocated_bytes(), 0, 0
+    for ids, counts in sentencepiece_bpe.encode_column(texts, path):
+        most = max(most, pa.total_allocated_bytes() - before)
+        for got, text in zip(np.split(ids, np.cumsum(counts)[:-1]), plain[at : at + len(counts)], strict=True):
+            assert got.tolist() == sp.encode(text)
+        at += len(counts)
+    assert at == len(plain)
+    assert most < 2 << 20
+
+
 def test_cuts_where_no_piece_reaches(monkeypatch):
     path = sentencepiece_bpe.model_path()
     e, table = sentencepiece_bpe.encoder(path)

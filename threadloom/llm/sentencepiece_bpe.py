@@ -32,6 +32,7 @@ from threadloom.llm.word_table import LONGEST, WordTable
 
 SPACE = "▁"
 DEFAULT_MODEL = "piece_bpe_32k.model"
+CHUNK = 1 << 18
 
 
 def model_path(name: str = DEFAULT_MODEL) -> str:
@@ -55,7 +56,7 @@ def _cut_table(pieces) -> np.ndarray:
 
 
 class Encoder:
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 50_000):
         import ahocorasick
         import sentencepiece
 
@@ -72,7 +73,7 @@ class Encoder:
                 self.automaton.add_word(piece, len(piece))
         self.automaton.make_automaton()
         self.cuts = _cut_table(self.ids)
-        self.fits = functools.lru_cache(3 << 16)(self._fits)
+        self.fits = functools.lru_cache(1 << 16)(self._fits)
         #: Parts too long for the table that were met lately, and those met before them: at most `most` each.
         self.inner: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
@@ -173,16 +174,26 @@ def encoder(path: str) -> tuple[Encoder, WordTable]:
     """Kept between the tasks of a worker."""
     if path not in _encoders:
         e = Encoder(path)
-        _encoders[path] = e, WordTable(e.parts, 2_000_000, e.bounds)
+        _encoders[path] = e, WordTable(e.parts, 1_000_000, e.bounds)
     return _encoders[path]
 
 
+def _spaced(texts: pa.Array) -> pa.Array:
+    """The texts with plain spaces for SPACE, and one in front of those that aren't empty."""
+    texts = pc.replace_substring(texts.cast(pa.large_binary()), SPACE.encode(), b" ")
+    return pc.if_else(pc.equal(texts, b""), texts, pc.binary_join_element_wise(pa.scalar(b" ", texts.type), texts, pa.scalar(b"", texts.type)))
+
+
 def encode_column(texts: pa.Array, path: str):
-    """The ids of texts in UTF-8, exactly the library's, in chunks of whole texts: (ids, how many of each text)."""
+    """The ids of texts in UTF-8, exactly the library's, in chunks of whole texts: (ids, how many of each text).
+
+    Whatever the size of the column, copies are made of a chunk at a time.
+    """
     _, words = encoder(path)
-    texts = pc.replace_substring(texts.cast(pa.large_binary()), SPACE.encode(), b" ")
-    texts = pc.if_else(pc.equal(texts, b""), texts, pc.binary_join_element_wise(pa.scalar(b" ", texts.type), texts, pa.scalar(b"", texts.type)))
-    for data, cuts in texts_in(texts):
+    at = 0
+    for _, given in texts_in(texts, CHUNK):
+        data, cuts = next(texts_in(_spaced(texts.slice(at, len(given) - 1)), 1 << 62))
+        at += len(given) - 1
         yield words.encode(data, cuts, b"")
 
 

@@ -124,17 +124,17 @@ def word_table(path: str) -> WordTable:
     return _tables[path]
 
 
-def texts_in(column: pa.Array):
-    """A column of texts without nulls in chunks of about CHUNK bytes and whole texts: (bytes, bounds of the texts)."""
+def texts_in(column: pa.Array, chunk: int = CHUNK):
+    """A column of texts without nulls in chunks of about `chunk` bytes and whole texts: (bytes, bounds of the texts)."""
     if not len(column):
         return
-    column = column.cast(pa.large_binary())
-    _, offsets, data = column.buffers()
-    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    wide = pa.types.is_large_binary(column.type) or pa.types.is_large_string(column.type)
+    _, offsets, data = column.buffers()  # never copied
+    offsets = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
     at = 0
     while at < len(column):
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + chunk, "right")) - 1)
         yield data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         at = to
 

@@ -52,8 +52,8 @@ class WordTable:
     def clear(self):
         self.slots = np.full(1 << self.bits, -1, np.int32)
         self.keys = np.empty((2, self.most), np.uint64)
-        self.first = np.empty(self.most, np.int64)
-        self.count = np.empty(self.most, np.int32)
+        self.first = np.empty(self.most, np.uint32)
+        self.count = np.empty(self.most, np.uint16)
         self.pool = np.empty(8 * self.most, "<u4")
         self.n = self.used = 0
 
