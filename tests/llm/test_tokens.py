@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import io
 import random
 import zlib
 
@@ -37,6 +38,36 @@ def test_range_coder_learns_and_checks():
         range_coder.decode(bytes(bad))
 
 
+def test_the_coder_writes_what_it_wrote():
+    k = np.arange(60_000, dtype=np.uint64)
+    ids = ((k * k // np.uint64(7)) % np.uint64(997) * (k % np.uint64(5) + np.uint64(1))).astype("<u4")
+    ids[50_000:50_300] *= np.uint32(70_001)
+    ids[55_000:] = ids[5_000:10_000]
+    assert hashlib.sha256(b"".join(range_coder.encode(ids))).hexdigest() == "2bea1e347a1a9049405c9647d47dfea30f9917b6f4e08a6b587261b369eb451a"
+
+
+def test_shards_are_read_in_large_pieces(monkeypatch):
+    ids = np.arange(300 * range_coder.BLOCK, dtype="<u4") % 5000
+    blocks = b"".join(range_coder.encode(ids))
+    heads = zlib.compress(np.ones(1, np.uint8).tobytes() + np.array([8], "<i8").tobytes() + np.array([len(ids)], "<u4").tobytes())
+    reads = []
+
+    class Counted(io.BytesIO):
+        def read(self, n=-1):
+            reads.append(n)
+            return super().read(n)
+
+    class Files:
+        def open_input_file(self, path):
+            return pa.PythonFile(Counted(blocks + heads + token_output.TAIL.pack(len(heads), 1, len(ids), len(blocks), token_output.MAGIC)), mode="r")
+
+    monkeypatch.setattr(token_output, "open_fs", lambda path: (Files(), path))
+    known, docs, lengths, parts = token_output.open_shard("shard")
+    assert known.tolist() == [1] and docs.tolist() == [8] and lengths.tolist() == [len(ids)]
+    assert np.array_equal(np.concatenate(list(parts)), ids)
+    assert len(reads) < 20  # of 300 blocks
+
+
 def test_words_encode_as_the_library_does():
     from tokenizers import Tokenizer
 

@@ -34,24 +34,41 @@ _CONF = 4  # confidences of a prediction: hits in a row, up to _CONF - 1
 _U = np.uint64
 _LEAST, _LOW32 = _U(1 << 32), _U((1 << 32) - 1)
 _S16, _S32, _ST = _U(16), _U(32), _U(_TOTAL)
-_place = np.zeros(1 << 18, np.int32)
-
-
-def _alphabet(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct ids, ascending, and the place of each id among them."""
-    found = np.sort(ids)
-    found = found[np.concatenate([[True], found[1:] != found[:-1]])]
-    if found[-1] >= len(_place):
-        return found, np.searchsorted(found, ids)
-    _place[found] = np.arange(len(found))
-    return found, _place[ids]
-
-
-def _pack_gaps(alphabet: np.ndarray) -> bytes:
-    """A byte for each gap; larger gaps follow in 16 bits, and those that don't fit there in 32."""
-    gaps = np.diff(alphabet.astype(np.int64), prepend=0)
-    large = gaps[gaps >= 255]
-    return np.minimum(gaps, 255).astype(np.uint8).tobytes() + np.minimum(large, 65535).astype("<u2").tobytes() + large[large >= 65535].astype("<u4").tobytes()
+_MARKS = np.uint32(1) << np.arange(0, 8 * _CONF, 8, dtype=np.uint32)
+_place = np.zeros(1 << 18, np.uint16)
+
+
+def _alphabets(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(the distinct ids of each row, ascending and row after row; how many each has; the place of each id among those of its row)."""
+    found = np.sort(rows, axis=1)
+    new = np.ones(found.shape, bool)
+    np.not_equal(found[:, 1:], found[:, :-1], out=new[:, 1:])
+    sizes = np.count_nonzero(new, axis=1)
+    found, ends = found[new], np.cumsum(sizes)
+    symbols, places, known = np.empty(rows.shape, np.uint16), np.arange(rows.shape[1], dtype=np.uint16), found.max() < len(_place)
+    for row, out, a, b in zip(rows, symbols, (ends - sizes).tolist(), ends.tolist(), strict=True):
+        if known:
+            _place[found[a:b]] = places[: b - a]
+            out[:] = _place[row]
+        else:
+            out[:] = np.searchsorted(found[a:b], row)
+    return found, sizes, symbols
+
+
+def _pack_gaps(alphabets: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """Of each row, a byte for each gap; larger gaps follow in 16 bits, and those that don't fit there in 32."""
+    ends = np.cumsum(sizes)
+    firsts, ids = ends - sizes, alphabets.astype(np.int64)
+    gaps = np.diff(ids, prepend=0)
+    gaps[firsts] = ids[firsts]
+    large = np.flatnonzero(gaps >= 255)
+    huge = large[gaps[large] >= 65535]
+    kinds = []
+    for places, kind in ((np.arange(len(gaps)), "u1"), (large, "<u2"), (huge, "<u4")):
+        most, width = (255, 65535, (1 << 32) - 1)[len(kinds)], np.dtype(kind).itemsize
+        cuts = (np.searchsorted(places, np.append(firsts, len(gaps))) * width).tolist()
+        kinds.append((np.minimum(gaps[places], most).astype(kind).tobytes(), cuts))
+    return [b"".join(data[cuts[k] : cuts[k + 1]] for data, cuts in kinds) for k in range(len(sizes))]
 
 
 def _unpack_gaps(data: bytes, n: int) -> np.ndarray:
@@ -77,21 +94,23 @@ class _Model:
         self.base2 = n * width + lane * _SLOTS
         self.index = np.empty((2, n), np.int64)
         self.base_w = lane * _CONF * _CONF
-        self.counts = (np.arange(width)[None, :] < sizes[:, None]).astype(np.int64)
+        self.counts = (np.arange(width)[None, :] < sizes[:, None]).astype(np.int32)
         self.history = np.empty((steps, n), np.uint16)
         self.tries, self.hits = np.zeros((2, n, _CONF), np.int64), np.zeros((2, n, _CONF), np.int64)
-        self.tried, self.met = np.zeros((2, n), np.int64), np.zeros((2, n), np.int64)
+        #: a byte for each confidence; between two rebuilds none overflows
+        self.tried, self.met = np.zeros((2, n), np.uint32), np.zeros((2, n), np.uint32)
         self.tries += 16
         self.hits += np.array([[[1, 3, 5, 8]], [[2, 6, 10, 14]]])
         self.search = search
         self.prev, self.hash2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.part = np.zeros(n, np.uint16)
         self.step = self.counted = 0
 
     def _weigh(self):
         """Weights of each pair of confidences, packed: order 2, order 1, units of order 0."""
         for k in range(_CONF):
-            self.tries[:, :, k] += self.tried >> 16 * k & 0xFFFF
-            self.hits[:, :, k] += self.met >> 16 * k & 0xFFFF
+            self.tries[:, :, k] += self.tried >> np.uint32(8 * k) & np.uint32(0xFF)
+            self.hits[:, :, k] += self.met >> np.uint32(8 * k) & np.uint32(0xFF)
         self.tried[:], self.met[:] = 0, 0
         (t1, t2), (h1, h2) = self.tries, self.hits
         w2 = np.clip(h2 * _ALL // t2, 64, _ALL - (3 << _PLAIN))[:, :, None]
@@ -104,13 +123,20 @@ class _Model:
         """The order-0 table from all symbols so far."""
         fresh = self.history[self.counted : self.step]
         if len(fresh):
-            self.counts += _GAIN * np.bincount((fresh + self.base0).ravel(), minlength=self.n * self.width).reshape(self.n, self.width)
+            self.counts += (_GAIN * np.bincount((fresh + self.base0).ravel(), minlength=self.n * self.width)).astype(np.int32).reshape(self.n, self.width)
             self.counted = self.step
-        room = (1 << _PLAIN) - self.sizes
-        freq = self.counts * room[:, None] // self.counts.sum(axis=1)[:, None] + (np.arange(self.width)[None, :] < self.sizes[:, None])
-        freq[:, 0] += (1 << _PLAIN) - freq.sum(axis=1)
-        cum = freq.cumsum(axis=1) - freq
-        self.spans = (cum << 16 | freq).astype(np.uint32).reshape(-1)
+        # all below 2 ** 31, so that a division of doubles rounds down to just the integer
+        room, total = ((1 << _PLAIN) - self.sizes).astype(np.float64), self.counts.sum(axis=1).astype(np.float64)
+        share = self.counts * room[:, None]
+        share /= total[:, None]
+        freq = share.astype(np.int32)
+        freq += np.arange(self.width)[None, :] < self.sizes[:, None]
+        freq[:, 0] += (1 << _PLAIN) - freq.sum(axis=1, dtype=np.int32)
+        cum = freq.cumsum(axis=1, dtype=np.int32)
+        cum -= freq
+        cum <<= 16
+        cum |= freq
+        self.spans = cum.view(np.uint32).reshape(-1)
         if self.search:
             self.symbols = np.repeat(np.tile(np.arange(self.width, dtype=np.uint16), self.n), freq.ravel())
 
@@ -122,13 +148,12 @@ class _Model:
             self._count()
         np.add(self.base0, self.prev, out=self.index[0])
         np.add(self.base2, self.hash2, out=self.index[1])
-        slots = self.slots.take(self.index).astype(np.int64)
-        self.conf = slots & _CONF - 1
-        self.guess = slots >> 2
-        k = self.conf[1] << 2
+        slots = self.slots.take(self.index)
+        self.conf = slots & np.uint16(_CONF - 1)
+        self.guess = slots >> np.uint16(2)
+        k = self.conf[1] << np.uint16(2)
         k += self.conf[0]
-        k += self.base_w
-        w = self.weights.take(k)
+        w = self.weights.take(self.base_w + k)
         self.w0 = w & 0x1FFFFF
         self.w2 = w >> 42
         w >>= 21
@@ -144,7 +169,8 @@ class _Model:
         start >>= 16
         start *= self.w0
         start += self.w12
-        self.hit = self.guess == sym
+        self.narrow = sym.astype(np.uint16)
+        self.hit = self.guess == self.narrow
         h1, h2 = self.hit
         np.copyto(start, self.w2, where=h1)
         np.copyto(freq, self.w1, where=h1)
@@ -154,22 +180,23 @@ class _Model:
 
     def learn(self, sym: np.ndarray):
         """Must follow interval() of the same symbols."""
-        hit, conf = self.hit.astype(np.int64), self.conf
-        mark = np.left_shift(1, conf << 4)
+        hit, conf, narrow = self.hit.view(np.uint8), self.conf, self.narrow
+        mark = _MARKS.take(conf)
         self.tried += mark
         mark *= hit
         self.met += mark
-        conf += 1
-        np.minimum(conf, _CONF - 1, out=conf)
+        conf += np.uint16(1)
+        np.minimum(conf, np.uint16(_CONF - 1), out=conf)
         conf *= hit
-        conf += sym << 2
+        conf += narrow << np.uint16(2)
         self.slots[self.index] = conf
-        self.history[self.step] = sym
+        self.history[self.step] = narrow
         self.step += 1
-        h = self.prev * 1259
-        h += sym * 2557
-        h &= _SLOTS - 1
+        h = narrow * np.uint16(2557)  # modulo 2 ** 16, of which the low bits count
+        h += self.part
+        h &= np.uint16(_SLOTS - 1)
         self.hash2 = h
+        self.part = narrow * np.uint16(1259)
         self.prev = sym
 
 
@@ -188,11 +215,18 @@ def _encode_batch(symbols: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
         start *= rng
         low += start
         rng *= freq
-        while (small := rng < _LEAST).any():
-            out[at] = low >> _S32  # with the carry, which goes up at the end; overwritten unless the place moves on
-            np.copyto(low, (low & _LOW32) << _S16, where=small)
-            np.copyto(rng, rng << _S16, where=small)
-            at += small * np.int64(n)
+        small = rng < _LEAST
+        out[at] = low >> _S32  # with the carry, which goes up at the end; overwritten unless the place moves on
+        np.copyto(low, (low & _LOW32) << _S16, where=small)
+        np.copyto(rng, rng << _S16, where=small)
+        at += small * np.int64(n)
+        few = np.flatnonzero(rng < _LEAST)
+        while len(few):  # a second word is rare
+            out[at[few]] = low[few] >> _S32
+            low[few] = (low[few] & _LOW32) << _S16
+            rng[few] <<= _S16
+            at[few] += n
+            few = few[rng[few] < _LEAST]
         m.learn(sym)
     for _ in range(3):
         out[at] = low >> _S32
@@ -235,28 +269,36 @@ def _decode_batch(streams: list[np.ndarray], sizes: np.ndarray, steps: int) -> n
         start *= rng
         code -= start
         rng *= freq
-        while (small := rng < _LEAST).any():
-            np.copyto(code, code << _S16 | data.take(at), where=small)
-            np.copyto(rng, rng << _S16, where=small)
-            at += small * np.int64(n)
+        small = rng < _LEAST
+        np.copyto(code, code << _S16 | data.take(at), where=small)
+        np.copyto(rng, rng << _S16, where=small)
+        at += small * np.int64(n)
+        few = np.flatnonzero(rng < _LEAST)
+        while len(few):  # a second word is rare
+            code[few] = code[few] << _S16 | data[at[few]]
+            rng[few] <<= _S16
+            at[few] += n
+            few = few[rng[few] < _LEAST]
         m.learn(sym)
     return m.history
 
 
 def encode(ids: np.ndarray, length: int = BLOCK) -> list[bytes]:
     """ids (unsigned 32-bit) as self-contained blocks of `length` ids (at most BLOCK), the last one shorter."""
-    pieces = [ids[k : k + length] for k in range(0, len(ids), length)]
     out: list[bytes] = []
-    for k in range(0, len(pieces), LANES):
-        batch = pieces[k : k + LANES]
-        locals_ = [_alphabet(p) for p in batch]
-        symbols = np.zeros((len(batch), max(map(len, batch))), np.uint16)
-        for row, (_, inverse) in zip(symbols, locals_, strict=True):
-            row[: len(inverse)] = inverse
-        streams = _encode_batch(np.ascontiguousarray(symbols.T), np.array([len(a) for a, _ in locals_]))
-        for p, (alphabet, _), s in zip(batch, locals_, streams, strict=True):
-            gaps = _pack_gaps(alphabet)
-            out.append(HEAD.pack(MAGIC, len(p), len(alphabet), len(gaps), len(s), zlib.crc32(np.ascontiguousarray(p, "<u4"))) + gaps + s.tobytes())
+    for k in range(0, len(ids), LANES * length):
+        part = np.ascontiguousarray(ids[k : k + LANES * length], "<u4")
+        steps = min(length, len(part))
+        blocks, last = -(-len(part) // steps), (len(part) - 1) % steps + 1
+        rows = np.empty((blocks, steps), np.uint32)
+        rows.reshape(-1)[: len(part)] = part
+        rows[-1, last:] = rows[-1, :last].min()
+        alphabets, sizes, symbols = _alphabets(rows)
+        streams = _encode_batch(np.ascontiguousarray(symbols.T), sizes)
+        raw, step = memoryview(part).cast("B"), 4 * steps
+        for b, (gaps, size, s) in enumerate(zip(_pack_gaps(alphabets, sizes), sizes.tolist(), streams, strict=True)):
+            n = last if b == blocks - 1 else steps
+            out.append(HEAD.pack(MAGIC, n, size, len(gaps), len(s), zlib.crc32(raw[b * step : b * step + 4 * n])) + gaps + s.tobytes())
     return out
 
 

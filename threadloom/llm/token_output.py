@@ -33,7 +33,7 @@ from threadloom.llm.word_table import WordTable
 
 MAGIC = b"TLTOK2\0\0"
 TAIL = struct.Struct("<IIQQ8s")  # bytes of the document table, documents, ids, bytes of the blocks, magic
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 MANIFEST = "shard long, path string, documents long, n_tokens long, n_bytes long"
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 _PARTS = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
@@ -224,7 +224,7 @@ def open_shard(path: str):
     if lengths.sum() != total:
         raise ValueError(f"{path}: the document table doesn't fit {total} ids")
     f.seek(0)
-    return np.frombuffer(heads, np.uint8, n), np.frombuffer(heads, "<i8", n, n), lengths, range_coder.decode_file(f, block_bytes)
+    return np.frombuffer(heads, np.uint8, n), np.frombuffer(heads, "<i8", n, n), lengths, range_coder.decode_file(pa.BufferedInputStream(f, CHUNK), block_bytes)
 
 
 def _read_rows(with_ids: bool, batches):
