@@ -78,6 +78,40 @@ def test_words_encode_as_the_library_does():
             assert ids.tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_words_that_differ_in_case_or_stops_are_encoded_once(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = token_output.tokenizer_path()
+    plain = Tokenizer.from_file(path)
+    monkeypatch.setattr(token_output, "_tables", {})
+    calls, ids_of = [], token_output.word_table(path).ids_of
+    monkeypatch.setattr(token_output.word_table(path), "ids_of", lambda pieces: calls.extend(pieces) or ids_of(pieces))
+    texts = ["Quorvex, quorvex QUORVEX. quorvex.,Quorvex"]
+    assert token_output.encode_texts([t.encode() for t in texts], path)[0].tolist() == plain.encode(texts[0], add_special_tokens=False).ids
+    assert sorted(calls) == [b",", b".", b".,", b"quorvex"]
+    # marks that compose with small letters only, special tokens in other cases, stops beside other signs, texts without white space between
+    odd = ["H\u0331 h\u0331 J\u030c A\u0301", "<|EndOfText|> <|endoftext|> ABC", "Don'T. IT'S, a.'s .,! A.B,c1.2", "Z", "\u0301Z", "\u212aK K.\u0301 .\u0338", "X", "", ".", "y"]
+    for some in (odd, [t for t in odd if "<" not in t], ["<", *odd]):
+        for t, ids in zip(some, token_output.encode_texts([t.encode() for t in some], path), strict=True):
+            assert ids.tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_intervals_known_at_once_are_those_of_the_model():
+    rng = np.random.default_rng(3)
+    for steps, most in ((1, 1), (5, 3), (128, 9), (300, 40), (1024, 700)):
+        symbols = np.minimum(rng.zipf(1.4, (7, steps)) - 1, most - 1).astype(np.uint16)
+        symbols[1] = 0
+        sizes = np.array([int(row.max()) + 1 for row in symbols])
+        starts, widths = range_coder._intervals(symbols, sizes)
+        model = range_coder._Model(sizes, steps)
+        for t in range(steps):
+            sym = symbols[:, t].astype(np.int64)
+            model.predict()
+            start, width = model.interval(sym, symbols[:, t])
+            model.learn(sym, symbols[:, t])
+            assert (start == starts[:, t]).all() and (width == widths[:, t]).all()
+
+
 def test_a_full_word_table_starts_anew():
     calls = []
     table = word_table.WordTable(lambda words: [calls.append(w) or np.array([len(w), w[0]], "<u4").tobytes() for w in words], most=50)

@@ -73,6 +73,7 @@ class WordIds:
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.model = self.tokenizer.model
+        self.packed = [k.to_bytes(4, "little") for k in range(max(self.tokenizer.get_vocab().values()) + 1)]
         self.parts: dict[str, bytes] = {}
         self.old_parts: dict[str, bytes] = {}
 
@@ -86,7 +87,8 @@ class WordIds:
             if got is None:
                 if text.isalpha():
                     letters = text if text.isascii() else text.encode().decode("latin-1").translate(_BYTE_CHARACTERS)
-                    got = struct.pack(f"<{len(ids)}I", *ids) if (ids := [t.id for t in self.model.tokenize(letters)]) else b""
+                    packed = self.packed
+                    got = b"".join([packed[t.id] for t in self.model.tokenize(letters)])
                 else:
                     got = self.whole(text)
             if len(self.parts) >= self.most:
@@ -95,12 +97,10 @@ class WordIds:
         return got
 
     def pieces(self, pieces: list[bytes]):
-        part = self.part
+        tokenize, packed = self.model.tokenize, self.packed
         for piece in pieces:
-            head = piece.rstrip(b".,")  # most pieces are letters and a stop
-            if head.isalpha():
-                got = part(head.lower().decode())
-                yield got + part(piece[len(head) :].decode()) if len(head) < len(piece) else got
+            if piece.isalpha():  # a-z, most pieces by far, and each of them comes once
+                yield b"".join([packed[t.id] for t in tokenize(piece.lower().decode())])
             else:
                 yield self.piece(piece)
 
@@ -114,13 +114,40 @@ class WordIds:
         return b"".join(map(self.part, _PARTS.findall(text.lower())))
 
 
+#: Of each byte: white space 0, a-z and A-Z 2, full stop and comma 4, else 1.
+_KINDS = np.ones(256, np.uint8)
+_KINDS[[9, 10, 11, 12, 13, 32]] = 0
+_KINDS[65:91] = _KINDS[97:123] = 2
+_KINDS[[44, 46]] = 4
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """A-Z as the tokenizer lower-cases them, so that fewer words differ. Letters that a mark may follow keep their case, as the
+    tokenizer composes them first; so do chunks that may hold special tokens, which are found before anything is lower-cased."""
+    if (data == 60).any():
+        return data
+    upper = data - np.uint8(65) < 26
+    upper[:-1] &= data[1:] < 128
+    return data | upper.view(np.uint8) << np.uint8(5)
+
+
+def bounds(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the words of data, which also end at cuts, and between a-z and a full stop or comma, where the tokenizer always cuts."""
+    kinds = np.zeros(len(data) + 2, np.uint8)
+    kinds[1:-1] = _KINDS[data]
+    cut = (kinds[1:] ^ kinds[:-1]) == 6
+    cut[cuts] = True
+    inside = kinds != 0
+    return np.flatnonzero(inside[1:] & (cut | ~inside[:-1])), np.flatnonzero(inside[:-1] & (cut | ~inside[1:]))
+
+
 _tables: dict[str, WordTable] = {}
 
 
 def word_table(path: str) -> WordTable:
     """Kept between the tasks of a worker."""
     if path not in _tables:
-        _tables[path] = WordTable(WordIds(path).pieces, 2_000_000)
+        _tables[path] = WordTable(WordIds(path).pieces, 2_000_000, bounds)
     return _tables[path]
 
 
@@ -143,7 +170,7 @@ def encode_texts(texts: list[bytes], path: str, end: bytes = b"") -> list[np.nda
     """The ids of each text, exactly the library's, and the ids `end`."""
     out = []
     for data, cuts in texts_in(pa.array(texts, pa.binary())):
-        ids, n = word_table(path).encode(data, cuts, end)
+        ids, n = word_table(path).encode(lowered(data), cuts, end)
         out += np.split(ids, np.cumsum(n)[:-1])
     return out
 
@@ -172,7 +199,7 @@ def _write_shards(out: str, tokenizer: str, end_id: int, batches):
             f = fs.open_output_stream(local, compression=None)
         keys.append(batch.column(0))
         for data, cuts in texts_in(batch.column(1)):
-            ids, n = words.encode(data, cuts, end)
+            ids, n = words.encode(lowered(data), cuts, end)
             lengths.append(n)
             waiting.append(ids)
             n_waiting += len(ids)
