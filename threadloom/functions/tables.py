@@ -5,11 +5,15 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+import weakref
 
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Where store() has put tables that are still in use.
+_stored: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -50,4 +54,14 @@ def store(df: DataFrame, name: str = "step") -> DataFrame:
     """df written to the shared folder and read back, so that loops keep short plans and survive lost executors."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _stored[out] = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Removes the table that store() wrote for df, once nothing reads it any more; other DataFrames are left alone."""
+    if (path := _stored.pop(df, None)) is not None:
+        sc = df.sparkSession.sparkContext
+        where = sc._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)

@@ -74,7 +74,7 @@ _SCC = f"""WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM {duck('edges_cycle
 
 @query(_SCC + " SELECT node, least(min(other), node) AS component, count(*) + 1 AS size FROM m GROUP BY node")
 def scc_members(spark, sf_dir):
-    return graph.strong_components(relation(spark, sf_dir, "edges_cycle"))
+    return graph.strong_components(relation(spark, sf_dir, "edges_cycle"), "o_custkey")
 
 
 @query(_SCC + " SELECT o_custkey, count(DISTINCT node) AS in_cycle FROM m JOIN orders ON o_orderkey = node GROUP BY o_custkey")
