@@ -79,7 +79,7 @@ def scc_members(spark, sf_dir):
 
 @query(_SCC + " SELECT o_custkey, count(DISTINCT node) AS in_cycle FROM m JOIN orders ON o_orderkey = node GROUP BY o_custkey")
 def cycle_orders(spark, sf_dir):
-    members = graph.strong_components(relation(spark, sf_dir, "edges_cycle"))
+    members = graph.strong_components(relation(spark, sf_dir, "edges_cycle"), "o_custkey")
     orders = run(spark, sf_dir, "select o_orderkey, o_custkey from orders")
     return members.join(orders, members["node"] == orders["o_orderkey"]).groupBy("o_custkey").agg(F.countDistinct("node").alias("in_cycle"))
 
