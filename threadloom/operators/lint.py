@@ -135,10 +135,10 @@ def empty_sequences(plans: DataFrame, jobs: DataFrame) -> DataFrame:
     return plans.select("plan", "seq").distinct().join(jobs.where("job is not null").select("seq"), "seq", "left_anti").select("plan", "seq")
 
 
-def cycle_issues(deps: DataFrame) -> DataFrame:
-    """Q7: (job, CYCLE) for every job on a cycle of dependencies (job, dep), one that depends on itself too."""
-    edges = deps.select(F.col("job").alias("src"), F.col("dep").alias("dst"))
-    found = strong_components(edges).select(F.col("node").alias("job")).unionByName(edges.where("src = dst").select(F.col("src").alias("job")))
+def cycle_issues(deps: DataFrame, near: str | None = None) -> DataFrame:
+    """Q7: (job, CYCLE) for every job on a cycle of dependencies (job, dep), one that depends on itself too; near as for strong_components."""
+    edges = deps.withColumnsRenamed({"job": "src", "dep": "dst"})
+    found = strong_components(edges, near).select(F.col("node").alias("job")).unionByName(edges.where("src = dst").select(F.col("src").alias("job")))
     return found.distinct().withColumn("rule", F.lit("CYCLE"))
 
 

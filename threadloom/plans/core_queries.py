@@ -538,7 +538,7 @@ def empty_sequences(spark, sf_dir):
 @query(f"WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM {duck('edges_cycle')} t), w AS (SELECT src, dst FROM e UNION SELECT w.src, e.dst FROM w JOIN e ON e.src = w.dst) SELECT DISTINCT src AS job, 'CYCLE' AS rule FROM w WHERE src = dst")
 def dependency_cycles(spark, sf_dir):
     """Q7: jobs that depend on themselves in the end."""
-    return lint.cycle_issues(relation(spark, sf_dir, "edges_cycle").select(F.col("src").alias("job"), F.col("dst").alias("dep")))
+    return lint.cycle_issues(relation(spark, sf_dir, "edges_cycle").withColumnsRenamed({"src": "job", "dst": "dep"}), "o_custkey")
 
 
 _KINDS = """select l_orderkey * 10 + l_linenumber as id, case l_linenumber % 3 when 0 then 'SQL' when 1 then 'HIVE' else 'PYTHON' end as kind, case when l_suppkey % 3 > 0 then l_suppkey % 3 = 1 end as partitioned,
