@@ -47,6 +47,15 @@ def test_strong_components_by_a_hint(spark, monkeypatch, largest):
     assert want and {r["node"]: (r["component"], r["size"]) for r in graph.strong_components(df, "owner").collect()} == want
 
 
+@pytest.mark.parametrize("largest", [100_000, 16])
+def test_strong_components_of_one_graph_a_program(spark, monkeypatch, largest):
+    monkeypatch.setattr(blocks, "LARGEST", largest)
+    rows = [(f"n{int(a[1:]) % 20}", f"n{int(b[1:]) % 20}", k) for a, b, k in _hinted(1)]
+    want = {(k, n): x for k in {r[2] for r in rows} for n, x in _components([r[:2] for r in rows if r[2] == k]).items()}
+    found = graph.strong_components_by(spark.createDataFrame(rows, "src string, dst string, program int"), "program").collect()
+    assert want and {(r["program"], r["node"]): (r["component"], r["size"]) for r in found} == want
+
+
 def test_blocks_hold_whole_groups(monkeypatch):
     import pyarrow as pa
 
@@ -63,7 +72,7 @@ def _tables(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", ["scc_members", "cycle_orders", "issue_keys", "dependency_cycles"])
+@pytest.mark.parametrize("name", ["scc_members", "cycle_orders", "issue_keys", "dependency_cycles", "cycle_issues"])
 def test_few_tables_stay(spark, name):
     """Tables of rounds once filled the disk."""
     before = _tables(spark)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions.names import is_business, is_technical, stable_key
-from threadloom.operators.graph import levels, sinks, strong_components
+from threadloom.operators.graph import levels, sinks, strong_components_by
 
 #: Severity by issue type.
 SEVERITY = {
@@ -45,8 +45,7 @@ def self_references(edges: DataFrame) -> DataFrame:
 
 def cycles(edges: DataFrame) -> DataFrame:
     """K4: an issue for each component, named by its least member."""
-    found = strong_components(_keyed(edges))
-    return _issue(found.select(F.col("component.program").alias("program"), F.col("component.name").alias("node")), "CYCLE_DETECTED")
+    return _issue(strong_components_by(edges, "program"), "CYCLE_DETECTED", "component")
 
 
 def multi_sinks(edges: DataFrame) -> DataFrame:
