@@ -7,7 +7,7 @@ import random
 
 import pytest
 
-from threadloom.operators import blocks, graph
+from threadloom.operators import blocks, cycles, graph
 from threadloom.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -66,13 +66,55 @@ def test_blocks_hold_whole_groups(monkeypatch):
     assert sum(found, []) == groups and len(found) > 2 and sum(len(set(x)) for x in found) == len(set(groups))
 
 
+def _cycles(pairs):
+    after, out = {}, set()
+    for a, b in pairs:
+        after.setdefault(a, set()).add(b)
+    todo = [(a,) for a in after]
+    while todo:
+        path = todo.pop()
+        for b in after.get(path[-1], ()):
+            if b == path[0]:
+                out.add(path)
+            elif b > path[0] and b not in path:
+                todo.append((*path, b))
+    return sorted(out, key=lambda c: (len(c), c))
+
+
+@pytest.mark.parametrize("largest", [100_000, 14])
+@pytest.mark.parametrize("marks", [None, ["n3", "n45", "n46"]])
+def test_cycle_lists_by_a_hint(spark, monkeypatch, largest, marks):
+    monkeypatch.setattr(blocks, "LARGEST", largest)
+    rows = [r for r in _hinted(5) if r[2] is None or r[2] < 4]
+    pairs = {r[:2] for r in rows}
+    parts = {n: c for n, (c, _) in _components(pairs).items()}
+    want = {}
+    for c in _cycles(pairs):
+        if marks is None or set(c) & set(marks):
+            want.setdefault(parts.get(c[0], c[0]), []).append(c)
+    only = None if marks is None else spark.createDataFrame([(m,) for m in marks], "node string")
+    found = cycles.cycle_lists(spark.createDataFrame(rows, "src string, dst string, owner int"), 5, only, "owner").collect()
+    got = sorted((r["component"], r["place"], tuple(r["cycle"]), r["more"]) for r in found)
+    assert want and got == sorted((p, k + 1, c, len(x) > 5) for p, x in want.items() for k, c in enumerate(x[:5]))
+
+
+def test_first_cycles_of_long_rings():
+    """A long ring with a short way and a shorter ring: three cycles, not a walk for each length."""
+    n = 5000
+    out = {k: [(k + 1) % n] for k in range(n)}
+    out[10], out[30] = [11, 4000], [7, 31]
+    found = blocks.first_cycles(out, None, 21)
+    assert [(len(c), c[0]) for c in found] == [(24, 7), (1011, 0), (5000, 0)]
+    assert [len(c) for c in blocks.first_cycles(out, [4500], 21)] == [1011, 5000]
+
+
 def _tables(spark):
     folder = f"{spark.conf.get('spark.checkpoint.dir').removeprefix('file://')}/threadloom/{spark.sparkContext.applicationId}"
     return set(os.listdir(folder)) if os.path.isdir(folder) else set()
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", ["scc_members", "cycle_orders", "issue_keys", "dependency_cycles", "cycle_issues"])
+@pytest.mark.parametrize("name", ["scc_members", "cycle_orders", "issue_keys", "dependency_cycles", "cycle_issues", "cycle_lists"])
 def test_few_tables_stay(spark, name):
     """Tables of rounds once filled the disk."""
     before = _tables(spark)

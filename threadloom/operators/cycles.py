@@ -1,12 +1,15 @@
-"""Cycles as lists of nodes, set at a time."""
+"""Cycles as lists of nodes: of small graphs in blocks by tasks, of others set at a time."""
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from threadloom.functions.tables import bounded, store
+from threadloom.functions.tables import bounded, forget, store
+from threadloom.operators import blocks
 from threadloom.operators.graph import pairs, strong_components
 
 
@@ -61,18 +64,48 @@ def _contracted(nodes: DataFrame, inside: DataFrame) -> DataFrame:
     return store(direct.withColumn("via", none).unionByName(around), "contracted")
 
 
-def cycle_lists(edges: DataFrame, most: int = 20, only: DataFrame | None = None) -> DataFrame:
+def cycle_lists(edges: DataFrame, most: int = 20, only: DataFrame | None = None, near: str | None = None) -> DataFrame:
     """(component, place, cycle, more): of each strong component the first `most` elementary cycles, and whether it has more.
 
     A cycle is the list of its nodes from the least one on; cycles are ordered by their number of nodes, then by the list, so
     rotations of one cycle are one row. A self edge is a cycle of one node. With `only` (a column `node`), cycles without
-    any of those nodes don't count.
+    any of those nodes don't count. `near` is a hint as for strong_components.
+
+    Groups of edges that lie apart, and else components, are solved in blocks by tasks while they have at most blocks.LARGEST edges.
+    """
+    done, rest = None, edges
+    if near is not None:
+        e = edges.where("src is not null and dst is not null").select(F.xxhash64(near).alias("group"), "src", "dst")
+        closed, rest = blocks.apart(store(e, "edges"))
+        done = _solved(closed, most, only)
+        if rest is None:
+            return done
+    nodes, inside = _inside(rest, only)
+    few, large = blocks.small(inside.withColumnRenamed("component", "group"))
+    found = _solved(few, most, only)
+    if large is not None:
+        walked = large.withColumnRenamed("group", "component")
+        found = found.unionByName(_walked(nodes.join(walked.select("component").distinct(), "component", "left_semi"), store(walked, "large"), most, only))
+    return found if done is None else done.unionByName(found)
+
+
+def _solved(e: DataFrame, most: int, only: DataFrame | None) -> DataFrame:
+    """The lists of (group, src, dst), whose groups share no node and are small."""
+    kind = e.schema["src"].dataType.simpleString()
+    e = e.select("group", "src", "dst")
+    if only is not None:
+        mark = only.select(F.col("node").alias("src")).distinct().withColumn("marked", F.lit(True))
+        e = e.join(mark, "src", "left").select("group", "src", "dst", F.coalesce("marked", F.lit(False)).alias("marked"))
+    return store(blocks.solved(e, functools.partial(blocks.cycles, most), f"component {kind}, place int, cycle array<{kind}>, more boolean"), "cycles")
+
+
+def _walked(nodes: DataFrame, inside: DataFrame, most: int, only: DataFrame | None) -> DataFrame:
+    """The lists of components of (component, src, dst) with their nodes, set at a time.
 
     Walks start at each node that some branching happens at and visit greater ones only; chains without branches are one step. Once a
     component has more than `most` cycles, walks that can't close below the longest of the first ones end: no cycle of the
     answer is missed, and no other is kept. A component of few cycles has few branches, so its walks are few too.
     """
-    nodes, inside = _inside(edges, only)
     steps = _contracted(nodes, inside)
     if only is None:
         steps = steps.withColumn("hit", F.lit(True))
@@ -87,12 +120,15 @@ def cycle_lists(edges: DataFrame, most: int = 20, only: DataFrame | None = None)
     walk, found = store(walk, "walk"), None
     while True:
         closed = walk.where("at = start and hit").select("component", from_least(F.col("path")).alias("cycle"))
-        found = store(kept(closed if found is None else found.select("component", "cycle").unionByName(closed)), "cycles")
+        was, found = found, store(kept(closed if found is None else found.select("component", "cycle").unionByName(closed)), "cycles")
+        if was is not None:
+            forget(was)
         full = found.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("cycle")).alias("longest")).where(F.col("n") > most).select("component", "longest")
         open_ = walk.where("at <> start").join(bounded(store(full, "full"), 64), "component", "left").where("longest is null or size(path) < longest")
         wider = open_.drop("longest").join(steps.select("component", F.col("src").alias("at"), F.col("dst").alias("to"), "via", F.col("hit").alias("also")), ["component", "at"])
         wider = wider.where("to = start or (to > start and to <> at and not array_contains(seen, to))")
-        walk = store(wider.select("component", "start", F.col("to").alias("at"), F.concat("seen", F.array("at")).alias("seen"), F.concat("path", F.array("at"), "via").alias("path"), (F.col("hit") | F.col("also")).alias("hit")), "walk")
+        last, walk = walk, store(wider.select("component", "start", F.col("to").alias("at"), F.concat("seen", F.array("at")).alias("seen"), F.concat("path", F.array("at"), "via").alias("path"), (F.col("hit") | F.col("also")).alias("hit")), "walk")
+        forget(last)
         if walk.isEmpty():
             break
     total = found.groupBy("component").agg((F.count(F.lit(1)) > most).alias("more"))

@@ -34,7 +34,7 @@ def _shown(lists):
 @query(_cycles(duck("edges_cycle"), "component", 99))
 def cycle_lists(spark, sf_dir):
     """Every ring of orders."""
-    return _shown(cycles.cycle_lists(relation(spark, sf_dir, "edges_cycle")))
+    return _shown(cycles.cycle_lists(relation(spark, sf_dir, "edges_cycle"), near="o_custkey"))
 
 
 _DENSE = f"(SELECT concat(program, '.', src) AS src, concat(program, '.', dst) AS dst FROM {duck('program_edges')} p)"
