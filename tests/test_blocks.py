@@ -114,7 +114,7 @@ def _tables(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", ["scc_members", "cycle_orders", "issue_keys", "dependency_cycles", "cycle_issues", "cycle_lists"])
+@pytest.mark.parametrize("name", ["scc_members", "cycle_orders", "issue_keys", "dependency_cycles", "cycle_issues", "cycle_lists", "cycle_lists_dense"])
 def test_few_tables_stay(spark, name):
     """Tables of rounds once filled the disk."""
     before = _tables(spark)

@@ -43,8 +43,8 @@ _DENSE = f"(SELECT concat(program, '.', src) AS src, concat(program, '.', dst) A
 @query(_cycles(_DENSE, "component", 4))
 def cycle_lists_dense(spark, sf_dir):
     """Programs with very many cycles, self edges among them; each component tells that it has more than 20."""
-    edges = relation(spark, sf_dir, "program_edges").select(F.concat_ws(".", "program", "src").alias("src"), F.concat_ws(".", "program", "dst").alias("dst"))
-    return _shown(cycles.cycle_lists(edges))
+    edges = relation(spark, sf_dir, "program_edges").select(F.concat_ws(".", "program", "src").alias("src"), F.concat_ws(".", "program", "dst").alias("dst"), "program")
+    return _shown(cycles.cycle_lists(edges, near="program"))
 
 
 @query(
