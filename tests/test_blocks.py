@@ -7,7 +7,7 @@ import random
 
 import pytest
 
-from threadloom.operators import blocks, cycles, graph
+from threadloom.operators import blocks, columns, cycles, graph
 from threadloom.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -62,7 +62,7 @@ def test_blocks_hold_whole_groups(monkeypatch):
     monkeypatch.setattr(blocks, "BLOCK", 10)
     groups = sorted(random.Random(2).choices(["a", "b", "c", None, "d"], k=60) + ["e"] * 30, key=str)
     batch = pa.RecordBatch.from_pydict({"group": groups})
-    found = [t.column(0).to_pylist() for t in blocks._whole(batch.slice(k, 7) for k in range(0, 90, 7))]
+    found = [t.column(0).to_pylist() for t in blocks.whole(batch.slice(k, 7) for k in range(0, 90, 7))]
     assert sum(found, []) == groups and len(found) > 2 and sum(len(set(x)) for x in found) == len(set(groups))
 
 
@@ -108,13 +108,31 @@ def test_first_cycles_of_long_rings():
     assert [len(c) for c in blocks.first_cycles(out, [4500], 21)] == [1011, 5000]
 
 
+@pytest.mark.parametrize("most", [1000, 12])
+def test_producer_chains_by_a_hint(spark, monkeypatch, most):
+    monkeypatch.setattr(columns, "MOST_ROWS", most)
+    rng = random.Random(4)
+    name = lambda k: f"T{10 * k + rng.randrange(8)}"
+    rows = []
+    for k in range(12):
+        for _ in range(rng.choice((5, 10, 16))):
+            source = rng.choice((name(k), name(k), f"X{rng.randrange(3)}", None, f"T{990 + k}" if k % 4 == 0 else f"X{k}"))
+            rows.append((rng.choice("GH"), name(k), rng.choice("KV"), source, rng.choice(("K", "V", "V")), rng.choice(("RESOLVED",) * 9 + (rng.choice(("AMBIGUOUS", "UNRESOLVED", "odd", None)),)), k))
+    rows += [("G", "T11", "K", "T21", "V", "RESOLVED", 1), ("G", "T31", "V", "T41", "K", "RESOLVED", None), (None, "T5", "V", "X1", "K", "RESOLVED", 0), ("G", None, "K", "X1", "K", "RESOLVED", 0)]
+    df = spark.createDataFrame(rows + rows[:9], "program string, table string, column string, source_table string, source_column string, state string, owner int")
+    got = lambda df: sorted(map(str, df.collect()))
+    want = got(columns.producer_chains(df.drop("owner"), lambda t: t.startswith("T")))
+    assert {s for s in ("RESOLVED", "CYCLE", "AMBIGUOUS", "UNRESOLVED", "MISSING") if any(f"'{s}'" in x for x in want)} >= {"RESOLVED", "CYCLE", "UNRESOLVED", "MISSING"}
+    assert got(columns.producer_chains(df, lambda t: t.startswith("T"), "owner")) == want
+
+
 def _tables(spark):
     folder = f"{spark.conf.get('spark.checkpoint.dir').removeprefix('file://')}/threadloom/{spark.sparkContext.applicationId}"
     return set(os.listdir(folder)) if os.path.isdir(folder) else set()
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", ["scc_members", "cycle_orders", "issue_keys", "dependency_cycles", "cycle_issues", "cycle_lists", "cycle_lists_dense"])
+@pytest.mark.parametrize("name", ["scc_members", "cycle_orders", "issue_keys", "dependency_cycles", "cycle_issues", "cycle_lists", "cycle_lists_dense", "producer_chains"])
 def test_few_tables_stay(spark, name):
     """Tables of rounds once filled the disk."""
     before = _tables(spark)

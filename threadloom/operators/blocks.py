@@ -22,12 +22,12 @@ from threadloom.functions.tables import bounded, store
 LARGEST, BLOCK = 100_000, 50_000
 
 
-def apart(e: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+def apart(e: DataFrame, largest: int | None = None) -> tuple[DataFrame, DataFrame | None]:
     """Of (group, src, dst, ...) the edges of groups that share no node with others and are small, and the rest; None if there is none."""
-    ends = e.select("group", F.explode(F.array("src", "dst")).alias("node"))
+    ends = e.select("group", F.explode(F.array("src", "dst")).alias("node")).where("node is not null")
     shared = ends.groupBy("node").agg(F.min("group").alias("a"), F.max("group").alias("b")).where("a <> b").select("node")
     shared = store(shared, "shared")
-    open_ = e.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LARGEST).select("group")
+    open_ = e.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > (largest or LARGEST)).select("group")
     if not shared.isEmpty():
         for c in ("src", "dst"):
             open_ = open_.unionByName(e.join(shared.withColumnRenamed("node", c), c, "left_semi").select("group"))
@@ -52,7 +52,7 @@ def solved(e: DataFrame, solve: Callable, schema: str) -> DataFrame:
     return e.repartition("group").sortWithinPartitions("group").mapInArrow(functools.partial(_each, solve), schema)
 
 
-def _whole(batches):
+def whole(batches):
     """Tables of whole groups from batches sorted by their first column."""
     held, rows = [], 0
     for batch in batches:
@@ -70,7 +70,7 @@ def _whole(batches):
         yield pa.Table.from_batches(held)
 
 
-def _codes(*columns: pa.ChunkedArray) -> tuple[pa.Array, list[np.ndarray]]:
+def coded(*columns: pa.ChunkedArray) -> tuple[pa.Array, list[np.ndarray]]:
     """The sorted distinct values of some columns of one type, and each column as places among them."""
     found = pa.chunked_array([c for x in columns for c in x.chunks], columns[0].type).combine_chunks()
     found = (found.combine_chunks() if isinstance(found, pa.ChunkedArray) else found).dictionary_encode(null_encoding="encode")
@@ -82,15 +82,15 @@ def _codes(*columns: pa.ChunkedArray) -> tuple[pa.Array, list[np.ndarray]]:
 
 
 def _each(solve: Callable, batches):
-    for block in _whole(batches):
-        groups, (group,) = _codes(block.column(0))
-        names, (src, dst) = _codes(block.column(1), block.column(2))
+    for block in whole(batches):
+        groups, (group,) = coded(block.column(0))
+        names, (src, dst) = coded(block.column(1), block.column(2))
         # a node is a name within its group; numbers go up with the name
         nodes, ends = np.unique(np.concatenate([group, group]) * len(names) + np.concatenate([src, dst]), return_inverse=True)
         yield from solve(*np.split(ends, 2), block, groups.take(pa.array(nodes // len(names))), names.take(pa.array(nodes % len(names)))).to_batches()
 
 
-def _strong(n: int, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+def tarjan(n: int, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
     """A number for each node's strong component (Tarjan)."""
     order = np.argsort(src, kind="stable")
     to, first = dst[order].tolist(), np.searchsorted(src[order], np.arange(n + 1)).tolist()
@@ -130,7 +130,7 @@ def _strong(n: int, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
 
 def components(src: np.ndarray, dst: np.ndarray, block: pa.Table, groups: pa.Array, names: pa.Array) -> pa.Table:
     """(group, node, component, size) of the strong components of more than one node."""
-    part = _strong(len(names), src, dst)
+    part = tarjan(len(names), src, dst)
     _, least, same, size = np.unique(part, return_index=True, return_inverse=True, return_counts=True)
     inner = np.flatnonzero(size[same] > 1)
     return pa.table({"group": groups.take(pa.array(inner)), "node": names.take(pa.array(inner)), "component": names.take(pa.array(least[same[inner]])), "size": pa.array(size[same[inner]], pa.int64())})
@@ -138,7 +138,7 @@ def components(src: np.ndarray, dst: np.ndarray, block: pa.Table, groups: pa.Arr
 
 def cycles(most: int, src: np.ndarray, dst: np.ndarray, block: pa.Table, groups: pa.Array, names: pa.Array) -> pa.Table:
     """(component, place, cycle, more) of each strong component: its first cycles; a fourth column of the block marks nodes as src."""
-    part = _strong(len(names), src, dst)
+    part = tarjan(len(names), src, dst)
     inner = part[src] == part[dst]
     marked = np.zeros(len(names), bool)
     if block.num_columns > 3:

@@ -4,18 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from threadloom.functions.tables import store
+from threadloom.functions.tables import forget, store
+from threadloom.operators import blocks
 from threadloom.operators.graph import strong_components
 
 #: What a chain that gives no source ends in; of several, the first here is told.
 STATES = ("CYCLE", "AMBIGUOUS", "UNRESOLVED", "MISSING")
 
 
-def producer_chains(definitions: DataFrame, internal: Callable[[Column], Column]) -> DataFrame:
+def producer_chains(definitions: DataFrame, internal: Callable[[Column], Column], near: str | None = None) -> DataFrame:
     """(table, column, state, source_table, source_column, program): where each defined column comes from in the end.
 
     definitions are (program, table, column, source_table, source_column, state): one row for each column that an expression
@@ -26,8 +29,84 @@ def producer_chains(definitions: DataFrame, internal: Callable[[Column], Column]
 
     Every column keeps the set of what it has reached; a round puts what those reached in their place, so rounds grow with the logarithm
     of the chains. What is still open after LOOK_AT rounds is searched for cycles, whose columns are ends from then on.
+
+    `near` names a further column that definitions of one chain mostly share. It is only a hint: groups of at most MOST_ROWS definitions
+    by it that share no column with others are followed in blocks by tasks, and all others in rounds.
     """
     known = F.col("state") == "RESOLVED"
+    if near is None:
+        return _in_rounds(definitions, internal)
+    followed = known & F.col("source_table").isNotNull() & F.col("source_column").isNotNull()
+    rank = F.when(~known, F.coalesce(*[F.when(F.col("state") == s, k) for k, s in enumerate(STATES)], F.lit(STATES.index("UNRESOLVED")))).when(followed, F.lit(None)).otherwise(STATES.index("UNRESOLVED"))
+    columns = ["table", "column", "source_table", "source_column", "program"]
+    rows = definitions.where(F.col("table").isNotNull() & F.col("column").isNotNull())
+    rows = rows.select(F.xxhash64(near).alias("group"), *columns, "state", rank.cast("int").alias("rank"), F.coalesce(internal(F.col("source_table")), F.lit(False)).alias("inner"))
+    rows = store(rows, "definitions")
+    ends = F.when(F.col("rank").isNull() & F.col("inner"), F.xxhash64("source_table", "source_column")).alias("src"), F.xxhash64("table", "column").alias("dst")
+    closed, open_ = blocks.apart(rows.select("*", *ends), MOST_ROWS)
+    kind = {c: definitions.schema[c].dataType.simpleString() for c in columns}
+    schema = f"table {kind['table']}, column {kind['column']}, state string, source_table {kind['source_table']}, source_column {kind['source_column']}, program {kind['program']}"
+    found = closed.select("group", *columns, "rank", "inner").repartition("group").sortWithinPartitions("group").mapInArrow(_in_blocks, schema)
+    return found if open_ is None else found.unionByName(_in_rounds(open_, internal))
+
+
+def _in_blocks(batches):
+    """The chains of sorted (group, definition, rank of a bad state, inner), whose groups share no columns."""
+    for block in blocks.whole(batches):
+        group, table, column, source_table, source_column, program, rank, inner = block.columns
+        _, (g,) = blocks.coded(group)
+        tables, (t, st) = blocks.coded(table, source_table)
+        columns, (c, sc) = blocks.coded(column, source_column)
+        programs, (p,) = blocks.coded(program)
+        nodes, v = np.unique((g * len(tables) + t) * len(columns) + c, return_inverse=True)
+        at = (g * len(tables) + st) * len(columns) + sc
+        w = np.minimum(np.searchsorted(nodes, at), len(nodes) - 1)
+        bad, inner = rank.fill_null(-1).to_numpy(), inner.to_numpy()
+        bad = np.where((bad < 0) & inner & (nodes[w] != at), STATES.index("MISSING"), bad)
+        follow, ends = np.flatnonzero((bad < 0) & inner), np.flatnonzero((bad < 0) & ~inner)
+        part = blocks.tarjan(len(nodes), v[follow], w[follow])
+        none = len(STATES)
+        worst = np.full(len(nodes), none)
+        np.minimum.at(worst, v[bad >= 0], bad[bad >= 0])
+        worst[np.bincount(part)[part] > 1] = worst[v[follow[v[follow] == w[follow]]]] = STATES.index("CYCLE")
+        worst, order = worst.tolist(), np.argsort(part, kind="stable").tolist()
+        follow = follow[np.argsort(v[follow], kind="stable")]
+        to, first = w[follow].tolist(), np.searchsorted(v[follow], np.arange(len(nodes) + 1)).tolist()
+        own: dict[int, set[int]] = {}
+        for x, source in zip(v[ends].tolist(), ((st[ends] * len(columns) + sc[ends]) * len(programs) + p[ends]).tolist(), strict=True):
+            own.setdefault(x, set()).add(source)
+        # components are numbered from the ends of chains on, so what a column reads is settled before it
+        sources: list[set[int] | None] = [None] * len(nodes)
+        good, counts, flat = [], [], []
+        for x in order:
+            reads = to[first[x] : first[x + 1]]
+            for y in reads:
+                if worst[y] < worst[x]:
+                    worst[x] = worst[y]
+            if worst[x] < none:
+                continue
+            found = None
+            for more in [*(sources[y] for y in reads), own.get(x)]:
+                if more is not None and found is not more:
+                    found = more if found is None else found if more <= found else found | more
+            sources[x] = found
+            good.append(x)
+            counts.append(len(found))
+            flat += found
+        worst = np.array(worst)
+        bad, good, flat = np.flatnonzero(worst < none), np.repeat(np.array(good, np.int64), counts), np.array(flat, np.int64)
+        node = nodes[np.concatenate([good, bad])]
+        source, by = np.divmod(flat, len(programs))
+        blank = lambda values, k: pa.concat_arrays([values.take(pa.array(k)), pa.nulls(len(bad), values.type)])
+        state = pa.array([*STATES, "RESOLVED"]).take(pa.array(np.concatenate([np.full(len(good), none), worst[bad]])))
+        table = tables.take(pa.array(node // len(columns) % len(tables))), columns.take(pa.array(node % len(columns)))
+        out = *table, state, blank(tables, source // len(columns)), blank(columns, source % len(columns)), blank(programs, by)
+        yield from pa.table(dict(zip(("table", "column", "state", "source_table", "source_column", "program"), out, strict=True))).to_batches()
+
+
+def _in_rounds(definitions: DataFrame, internal: Callable[[Column], Column]) -> DataFrame:
+    """The chains set at a time."""
+    known = F.col("state") == "RESOLVED"
     source = F.when(known & F.col("source_table").isNotNull() & F.col("source_column").isNotNull(), F.struct(F.col("source_table").alias("t"), F.col("source_column").alias("c")))
     rows = definitions.select(F.struct(F.col("table").alias("t"), F.col("column").alias("c")).alias("node"), source.alias("at"), "program", F.when(~known, F.col("state")).when(source.isNull(), "UNRESOLVED").alias("bad"))
     rows = store(rows.where("node.t is not null and node.c is not null").distinct(), "definitions")
@@ -43,7 +122,9 @@ def producer_chains(definitions: DataFrame, internal: Callable[[Column], Column]
             reach = _cut_cycles(flow, reach)
         further = reach.select(F.col("node").alias("at"), F.col("at").alias("to"), F.col("program").alias("by"), F.col("end").alias("until"))
         longer = reach.where("end is null").drop("program", "end").join(further, "at").select("node", F.col("to").alias("at"), F.col("by").alias("program"), F.col("until").alias("end"))
-        reach = store(reach.where("end is not null").unionByName(longer).distinct(), "reach")
+        was, reach = reach, store(reach.where("end is not null").unionByName(longer).distinct(), "reach")
+        if was is not flow:
+            forget(was)
     order = F.coalesce(*[F.when(F.col("end") == s, k) for k, s in enumerate(STATES)], F.when(F.col("end") != "SOURCE", STATES.index("UNRESOLVED")))
     worst = reach.groupBy("node").agg(F.min(order).alias("worst"))
     names = F.array(*map(F.lit, STATES))
@@ -53,6 +134,8 @@ def producer_chains(definitions: DataFrame, internal: Callable[[Column], Column]
     return good.unionByName(bad, allowMissingColumns=True)
 
 
+#: Most definitions of a group that a task follows by itself; what they reach may be the square of that.
+MOST_ROWS = 1000
 #: Rounds, of doubled length each, after which what is left open is searched for cycles.
 LOOK_AT = 6
 

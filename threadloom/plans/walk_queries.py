@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from threadloom.functions.tables import store
 from threadloom.operators import audit, columns, cycles, graph, traces
 from threadloom.plans.registry import Registry
 from threadloom.plans.relations import duck, relation, run
@@ -89,10 +90,10 @@ _DEFINED = """select 'G' as program, concat('T', cast(dst as varchar(20))) as ta
 )
 def producer_chains(spark, sf_dir):
     """N2."""
-    rows = relation(spark, sf_dir, "edges_cycle")
-    rows.createOrReplaceTempView("threadloom_chain")
-    defined = run(spark, sf_dir, _DEFINED.format("threadloom_chain")).toDF("program", "table", "column", "source_table", "source_column", "state")
-    return columns.producer_chains(defined, lambda t: t.startswith("T"))
+    store(relation(spark, sf_dir, "edges_cycle"), "chain").createOrReplaceTempView("threadloom_chain")
+    owned = _DEFINED.replace(" from {0}", ", o_custkey as owner from {0}").replace(" from (select o_orderkey,", ", o_custkey from (select o_orderkey,")
+    defined = run(spark, sf_dir, owned.format("threadloom_chain")).toDF("program", "table", "column", "source_table", "source_column", "state", "owner")
+    return columns.producer_chains(defined, lambda t: t.startswith("T"), "owner")
 
 
 _RELATIONS = "select l_orderkey as query, place, concat('a', cast(place as varchar(9))) as alias, concat('t', cast(l_partkey % 50 as varchar(9))) as tab, l_returnflag = 'R' as merges from (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_returnflag) as place from lineitem) x"
